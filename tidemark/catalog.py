@@ -1,4 +1,563 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the sample tables, each with its SQL. E = events, O = orders, L = lineitem."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import calendar, text
+from .operators import baselines, chunks, evaluate, filters, parse, patterns, resample, retrieve, stats
+from .plans.windows import windows_of
+from .sources import readings
+from .spec import AnomalyConfig, Filters, RetrievalConfig, SeriesSpec
+
+E = SeriesSpec("ts", "event_type", ("value",), "event_id")
+O = SeriesSpec("o_orderdate", "o_orderpriority", ("o_totalprice",), "o_orderkey")  # noqa: E741
+L = SeriesSpec("l_shipdate", "l_returnflag", ("l_quantity", "l_extendedprice"))
+TABLES = {"E": ("events", E), "O": ("orders", O), "L": ("lineitem", L)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function by its name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- retrieval ----------------------------------------------------------------------------------------------------
+
+_DAY = "INTERVAL 1 DAY"
+_BASE = "date_trunc('month', a - i * INTERVAL 1 YEAR) + (least(28, day(a)) - 1) * INTERVAL 1 DAY"
+_END = "INTERVAL 86399 SECOND"
+_RECENT = "SELECT 'recent_window' AS ret_block, 0 AS block_rank, 0 AS lag, date_trunc('day', a - INTERVAL {} DAY) AS lo, date_trunc('day', a) + INTERVAL 86399 SECOND AS hi FROM a"
+_HOUR = f"SELECT 'same_hour_previous_days', 1, i, a - i * {_DAY} - INTERVAL 30 MINUTE, a - i * {_DAY} + INTERVAL 30 MINUTE FROM a, range(1, 15) t(i)"
+_WEEKDAY = f"SELECT 'same_weekday_recent_weeks', 2, i, a - (7 * i + 1) * {_DAY} - INTERVAL 30 MINUTE, a - (7 * i - 1) * {_DAY} + INTERVAL 30 MINUTE FROM a, range(1, {{}}) t(i)"
+_DATES = "SELECT 'prior_years_same_dates', 3, i, a - i * INTERVAL 1 YEAR, a - i * INTERVAL 1 YEAR FROM a, range(1, 6) t(i)"
+_WEEK = f"SELECT 'prior_years_same_week', 4, i, {_BASE} - 3 * {_DAY}, {_BASE} + 3 * {_DAY} + {_END} FROM a, range(1, 6) t(i)"
+_MONTH = f"SELECT 'same_month_prev_years', 5, i, date_trunc('month', a - i * INTERVAL 1 YEAR) + (greatest(1, day(a) - {{0}}) - 1) * {_DAY}, date_trunc('month', a - i * INTERVAL 1 YEAR) + (least(28, day(a) + {{0}}) - 1) * {_DAY} + {_END} FROM a, range(1, {{1}}) t(i)"
+_WOY = f"SELECT 'same_woy_prior_years', 6, i, {_BASE} + (a - date_trunc('day', a)) - 3 * {_DAY} - INTERVAL 30 MINUTE, {_BASE} + (a - date_trunc('day', a)) + 3 * {_DAY} + INTERVAL 30 MINUTE FROM a, range(1, 7) t(i)"
+_MACRO = "SELECT 'macro_trend_blocks', 7, 0, a - INTERVAL 3 YEAR, NULL FROM a"
+ROUTE_SQL = {
+    "short_term": [_RECENT.format(7), _HOUR, _WEEKDAY.format(9), _DATES, _WEEK],
+    "mid_term": [_RECENT.format(84), _WEEKDAY.format(17), _MONTH.format(7, 5), _WEEK, _DATES],
+    "long_term": [_RECENT.format(7) + " WHERE false", _MONTH.format(14, 7), _WOY, _MACRO, _DATES],
+}
+_SCORE = "0.45 / (1 + ln(1 + date_diff('microsecond', ts, a) / 3600000000.0)) + 0.25 * (hour(ts) = hour(a))::INT + 0.20 * (isodow(ts) = isodow(a))::INT + 0.10"
+
+
+def found_sql(name: str, route: str) -> str:
+    """CTEs a, w, found (ret_block, block_rank, lag, ts, series, key, value, ret_score)."""
+    t, s = TABLES[name]
+    return f"""WITH a AS (SELECT max({s.ts}) AS a FROM {t}), w AS ({" UNION ALL ".join(ROUTE_SQL[route])}),
+      src AS (SELECT {s.ts} AS ts, {s.group} AS series, {s.key} AS key, {s.metrics[0]} AS value FROM {t}),
+      found AS (SELECT ret_block, block_rank, lag, ts, series, key, value, {_SCORE} AS ret_score FROM src, a, w WHERE ts < a AND ts >= lo AND (hi IS NULL OR ts <= hi))"""
+
+
+def found(spark: SparkSession, sf: str, name: str, route: str):
+    t, s = TABLES[name]
+    return retrieve.retrieve(table(spark, sf, t), s, route), s
+
+
+def shown(df: DataFrame, s: SeriesSpec) -> DataFrame:
+    return df.select("ret_block", "lag", F.col(s.ts).alias("ts"), F.col(s.group).alias("series"), F.col(s.key).alias("key"), F.col(s.metrics[0]).alias("value"), F.round("ret_score", 9).alias("ret_score"))
+
+
+def _block_query(name: str, data: str, route: str, block: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        r, s = found(spark, sf, data, route)
+        return shown(r.rows.where(F.col("ret_block") == block), s)
+
+    QUERIES[name] = run
+    ORACLES[name] = found_sql(data, route) + f" SELECT ret_block, lag::INT AS lag, ts, series, key, value, round(ret_score, 9) AS ret_score FROM found WHERE ret_block = '{block}'"
+
+
+for _name, _data, _route, _block in (
+    ("retrieve_recent_window", "E", "short_term", "recent_window"),
+    ("retrieve_rolling_weeks", "O", "mid_term", "recent_window"),
+    ("retrieve_same_hour", "E", "short_term", "same_hour_previous_days"),
+    ("retrieve_same_weekday", "O", "mid_term", "same_weekday_recent_weeks"),
+    ("retrieve_prior_dates", "O", "short_term", "prior_years_same_dates"),
+    ("retrieve_prior_week", "O", "short_term", "prior_years_same_week"),
+    ("retrieve_same_month", "O", "long_term", "same_month_prev_years"),
+    ("retrieve_woy", "O", "long_term", "same_woy_prior_years"),
+    ("retrieve_macro", "O", "long_term", "macro_trend_blocks"),
+):
+    _block_query(_name, _data, _route, _block)
+
+
+@query(found_sql("O", "short_term") + " SELECT ret_block, count(*) AS n_rows, round(sum(value * ret_score) / sum(ret_score), 4) AS weighted_mean, round(max(ret_score), 9) AS best_score FROM found GROUP BY ret_block")
+def retrieve_short_term(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: evidence of the short route by block, with its score-weighted mean."""
+    r, s = found(spark, sf, "O", "short_term")
+    return r.rows.groupBy("ret_block").agg(F.count(F.lit(1)).alias("n_rows"), F.round(stats.weighted_mean(F.col(s.metrics[0]), F.col("ret_score")), 4).alias("weighted_mean"), F.round(F.max("ret_score"), 9).alias("best_score"))
+
+
+def _counts(name: str, route: str) -> None:
+    QUERIES[name] = lambda spark, sf: found(spark, sf, "O", route)[0].counts
+    ORACLES[name] = found_sql("O", route) + " SELECT ret_block, count(*) AS n_rows FROM found GROUP BY ret_block"
+
+
+_counts("block_counts_mid", "mid_term")
+_counts("block_counts_long", "long_term")
+
+
+@query(found_sql("O", "long_term") + """, d AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY ts, series ORDER BY ret_score DESC, block_rank, lag, key) = 1)
+  SELECT ret_block, lag::INT AS lag, ts, series, key, value, round(ret_score, 9) AS ret_score FROM d ORDER BY d.ret_score DESC, ts, series, key LIMIT 5000""")
+def retrieve_combined_topk(spark: SparkSession, sf: str) -> DataFrame:
+    r, s = found(spark, sf, "O", "long_term")
+    return shown(r.combined, s)
+
+
+@query(found_sql("O", "mid_term") + " SELECT ret_block, lag::INT AS lag, ts, series, key, value, round(ret_score, 9) AS ret_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY ret_block ORDER BY ret_score DESC, ts, series, key, lag)::INT AS rank FROM found) WHERE rank <= 5")
+def topk_per_block(spark: SparkSession, sf: str) -> DataFrame:
+    r, s = found(spark, sf, "O", "mid_term")
+    order = SeriesSpec(s.ts, s.group, s.metrics, s.key)
+    top = retrieve.preview(r.rows.withColumn("_", F.lit(0)), order, 5)
+    return shown(top, s).join(top.select("ret_block", F.col(s.key).alias("key"), "lag", "rank"), ["ret_block", "key", "lag"])
+
+
+@query(found_sql("O", "short_term") + " SELECT count(*) AS total_rows, count(DISTINCT ret_block) AS n_blocks, 'short_term' AS route, strftime((SELECT a FROM a), '%Y-%m-%dT%H:%M:%S') AS anchor FROM found")
+def retrieval_meta(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieve.meta_frame(found(spark, sf, "O", "short_term")[0])
+
+
+@query(f"WITH a AS (SELECT max(ts) AS a FROM events) SELECT event_id, round({_SCORE}, 9) AS ret_score FROM events, a WHERE ts < a")
+def score(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    a = retrieve.anchor_of(e, E)
+    return filters.before(e, "ts", a).select("event_id", F.round(retrieve.score_of(F.col("ts"), a), 9).alias("ret_score"))
+
+
+@query("SELECT strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS now FROM orders")
+def dataset_now(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(retrieve.now_iso(table(spark, sf, "orders"), O),)], "now string")
+
+
+# --- predicates ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE upper(o_orderpriority) IN ('1-URGENT', '2-HIGH') AND year(o_orderdate) IN (1996, 1998) AND month(o_orderdate) IN (2, 3) AND day(o_orderdate) IN (1, 28, 29)")
+def filter_components(spark: SparkSession, sf: str) -> DataFrame:
+    f = Filters(groups=("1-urgent", "2-High"), years=(1996, 1998), months=(2, 3), days=(1, 28, 29))
+    return filters.apply(table(spark, sf, "orders"), O, f).select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query("""SELECT event_id, ts FROM events WHERE abs(epoch_us(ts) - epoch_us(date_trunc('day', ts)) - (epoch_us(ts) % 1000000) - 32400000000) <= 1800000000
+  OR abs(epoch_us(ts) - epoch_us(date_trunc('day', ts)) - (epoch_us(ts) % 1000000) - 64800000000) <= 1800000000""")
+def filter_time_tolerance(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.apply(table(spark, sf, "events"), E, Filters(times=("09:00", "18:00:00"))).select("event_id", "ts")
+
+
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-09 23:59:59'")
+def filter_date_range(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.apply(table(spark, sf, "events"), E, Filters(date_start="2024-01-05", date_end="2024-01-09")).select("event_id", "ts")
+
+
+@query("SELECT event_id, ts FROM events WHERE isodow(ts) IN (6, 7)")
+def filter_weekend(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.apply(table(spark, sf, "events"), E, Filters(weekends=True), calendar=True).select("event_id", "ts")
+
+
+@query("SELECT 'l_discount,l_extendedprice,l_linenumber,l_orderkey,l_partkey,l_quantity,l_suppkey,l_tax' AS metrics")
+def metric_detection(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(",".join(sorted(filters.metric_columns(table(spark, sf, "lineitem")))),)], "metrics string")
+
+
+# --- statistics ---------------------------------------------------------------------------------------------------
+
+_PCT = ", ".join(f"round(quantile_cont({{0}}, {p / 100}), 6) AS p{p}" for p in (1, 5, 10, 25, 50, 75, 90, 95, 99))
+
+
+def _basic_sql(v: str) -> str:
+    return f"count({v}) AS n, round(avg({v}), 6) AS mean, round(coalesce(stddev_samp({v}), 0), 6) AS std, round(min({v}), 6) AS min, round(max({v}), 6) AS max, {_PCT.format(v)}"
+
+
+@query(f"SELECT event_type, {_basic_sql('value')} FROM events GROUP BY event_type")
+def basic_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.basic(table(spark, sf, "events"), "value", ("event_type",)))
+
+
+@query(f"WITH u AS (SELECT l_returnflag AS series, 'l_quantity' AS metric, l_quantity AS value FROM lineitem UNION ALL SELECT l_returnflag, 'l_extendedprice', l_extendedprice FROM lineitem) SELECT series, metric, {_basic_sql('value')} FROM u GROUP BY series, metric")
+def stats_by_group_metric(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.basic(stats.unpivot(table(spark, sf, "lineitem"), L), "value", ("series", "metric")))
+
+
+@query("SELECT event_type, round(sum(value * greatest(hour(ts) - 6, 0)) / nullif(sum(greatest(hour(ts) - 6, 0)), 0), 6) AS weighted_mean FROM events GROUP BY event_type")
+def weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
+    w = stats.weighted_mean(F.col("value"), (F.hour("ts") - 6).cast("double"))
+    return rounded(table(spark, sf, "events").groupBy("event_type").agg(w.alias("weighted_mean")))
+
+
+@query("SELECT l_returnflag, 'l_quantity' AS metric_a, 'l_extendedprice' AS metric_b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY l_returnflag UNION ALL SELECT l_returnflag, 'l_quantity', 'l_tax', round(corr(l_quantity, l_tax), 6) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT l_returnflag, 'l_extendedprice', 'l_tax', round(corr(l_extendedprice, l_tax), 6) FROM lineitem GROUP BY l_returnflag")
+def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.correlation_matrix(table(spark, sf, "lineitem"), ("l_quantity", "l_extendedprice", "l_tax"), ("l_returnflag",)))
+
+
+def _profile(name: str, t: str, ts: str, v: str, part: str, lo: int, hi: int, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf: rounded(stats.profile(table(spark, sf, t), ts, v, part))
+    ORACLES[name] = f"SELECT g.slot::INT AS slot, round(m.median, 6) AS median FROM range({lo}, {hi}) g(slot) LEFT JOIN (SELECT {sql} AS slot, median({v}) AS median FROM {t} GROUP BY 1) m ON g.slot = m.slot"
+
+
+_profile("profile_hour", "events", "ts", "value", "hour", 0, 24, "hour(ts)")
+_profile("profile_weekday", "events", "ts", "value", "weekday", 0, 7, "isodow(ts) - 1")
+_profile("profile_month", "orders", "o_orderdate", "o_totalprice", "month", 1, 13, "month(o_orderdate)")
+
+
+@query("""WITH t AS (SELECT DISTINCT event_type, ts FROM events), d AS (SELECT event_type, date_diff('microsecond', lag(ts) OVER (PARTITION BY event_type ORDER BY ts), ts) AS us FROM t),
+  m AS (SELECT event_type, round_even(us / 60000000.0, 0)::BIGINT AS minutes, count(*) AS n FROM d WHERE us IS NOT NULL GROUP BY 1, 2)
+  SELECT event_type, minutes * 60 AS step_seconds FROM m QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, minutes) = 1""")
+def sampling_interval(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.sampling_interval(table(spark, sf, "events"), "ts", ("event_type",))
+
+
+@query("""WITH t AS (SELECT o_orderpriority, o_orderdate AS ts, count(*) AS n FROM orders GROUP BY 1, 2), d AS (SELECT *, date_diff('microsecond', lag(ts) OVER (PARTITION BY o_orderpriority ORDER BY ts), ts) / 86400000000.0 AS steps FROM t)
+  SELECT o_orderpriority, coalesce(sum((steps > 1.5)::INT), 0)::BIGINT AS n_gaps, round(max(steps), 6) AS max_gap_steps, sum(n - 1)::BIGINT AS duplicate_rows FROM d GROUP BY 1""")
+def gap_report(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.gap_report(table(spark, sf, "orders"), "o_orderdate", ("o_orderpriority",), 86400))
+
+
+@query("SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, count(DISTINCT event_type) AS n_series FROM events")
+def overview(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.overview(table(spark, sf, "events"), E)
+
+
+_DAILY = "d AS (SELECT o_orderdate AS ts, avg(o_totalprice) AS x FROM orders GROUP BY 1)"
+
+
+def daily(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").groupBy(F.col("o_orderdate").alias("ts")).agg(F.avg("o_totalprice").alias("x"))
+
+
+@query(f"WITH {_DAILY}, s AS (SELECT x, lag(x, 1) OVER (ORDER BY ts) AS a, lag(x, 7) OVER (ORDER BY ts) AS b, lag(x, 30) OVER (ORDER BY ts) AS c FROM d) SELECT 1 AS lag, round(corr(x, a), 6) AS r FROM s UNION ALL SELECT 7, round(corr(x, b), 6) FROM s UNION ALL SELECT 30, round(corr(x, c), 6) FROM s")
+def acf_pearson(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.autocorrelation(daily(spark, sf), "ts", "x", (1, 7, 30)))
+
+
+# --- patterns -----------------------------------------------------------------------------------------------------
+
+
+def long_events(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.unpivot(table(spark, sf, "events"), E)
+
+
+_Z = """WITH r AS (SELECT event_type AS series, ts, value, count(value) OVER w AS n, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM events
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 604799999999 MICROSECONDS PRECEDING AND CURRENT ROW)), z AS (SELECT *, CASE WHEN n >= 24 AND s <> 0 THEN (value - m) / s END AS z FROM r)"""
+
+
+@query(_Z + " SELECT series, ts, value, n, round(z, 6) AS z, CASE WHEN z > 0 THEN 'spike' ELSE 'drop' END AS type FROM z WHERE abs(z) >= 2.5")
+def rolling_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(patterns.anomalies(long_events(spark, sf), AnomalyConfig(z_threshold=2.5)).select("series", "ts", "value", "n", "z", "type"))
+
+
+@query(_Z + " SELECT series, ts, round(z, 6) AS z, rank FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY abs(z) DESC, ts)::INT AS rank FROM z WHERE abs(z) >= 2.0) WHERE rank <= 20")
+def top_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(patterns.top_anomalies(long_events(spark, sf), AnomalyConfig(z_threshold=2.0)).select("series", "ts", "z", "rank"))
+
+
+@query("WITH h AS (SELECT event_type AS series, floor(epoch_us(ts) / 3600000000)::BIGINT AS slot, avg(value) AS v FROM events GROUP BY 1, 2) SELECT series, 'value' AS metric, round(regr_slope(v, slot), 9) AS slope_per_hour FROM h GROUP BY 1")
+def trend_slope(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(patterns.trend(long_events(spark, sf)), 9)
+
+
+_GRID = """WITH m AS (SELECT event_type AS series, floor(epoch_us(ts) / {0}000000)::BIGINT AS slot, avg(value) AS v FROM events GROUP BY 1, 2),
+  g AS (SELECT series, unnest(range(lo, hi + 1)) AS slot FROM (SELECT series, min(slot) AS lo, max(slot) AS hi FROM m GROUP BY 1)),
+  j AS (SELECT g.series, g.slot, m.v, last_value(m.v IGNORE NULLS) OVER a AS va, last_value(CASE WHEN m.v IS NOT NULL THEN g.slot END IGNORE NULLS) OVER a AS sa,
+    first_value(m.v IGNORE NULLS) OVER b AS vb, first_value(CASE WHEN m.v IS NOT NULL THEN g.slot END IGNORE NULLS) OVER b AS sb FROM g LEFT JOIN m ON g.series = m.series AND g.slot = m.slot
+    WINDOW a AS (PARTITION BY g.series ORDER BY g.slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY g.series ORDER BY g.slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  f AS (SELECT series, slot, CASE WHEN sa = sb THEN va ELSE va + (vb - va) * (slot - sa) / (sb - sa) END AS value FROM j)"""
+
+
+@query(_GRID.format(1800) + " SELECT series, slot, make_timestamp(slot * 1800000000) AS ts, round(value, 6) AS value FROM f")
+def resample_interp(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(resample.regular(long_events(spark, sf), "ts", "value", 1800, ("series",)))
+
+
+@query(_GRID.format(3600) + """, c AS (SELECT series, slot, value - avg(value) OVER (PARTITION BY series) AS c FROM f), l AS (SELECT series, c, lag(c, 1) OVER w AS a, lag(c, 24) OVER w AS b, lag(c, 168) OVER w AS d FROM c WINDOW w AS (PARTITION BY series ORDER BY slot))
+  SELECT series, 1 AS lag_hours, round(sum(c * a) / sum(c * c), 6) AS acf FROM l GROUP BY 1 UNION ALL SELECT series, 24, round(sum(c * b) / sum(c * c), 6) FROM l GROUP BY 1 UNION ALL SELECT series, 168, round(sum(c * d) / sum(c * c), 6) FROM l GROUP BY 1""")
+def acf_biased(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(patterns.autocorrelation(long_events(spark, sf), 3600, (1, 24, 168)).drop("metric"))
+
+
+@query("WITH n AS (SELECT event_type AS series, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT series, 'value' AS metric, ts, value FROM n WHERE place % greatest(1, ceil(n / 360.0)::BIGINT) = 0")
+def thumbnail(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.thumbnail(long_events(spark, sf))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN (SELECT DISTINCT o_orderpriority FROM orders ORDER BY 1 LIMIT 2)")
+def first_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.first_groups(table(spark, sf, "orders"), "o_orderpriority", 2).select("o_orderkey", "o_orderpriority")
+
+
+@query()
+def pattern_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(patterns.labels(long_events(spark, sf)))
+
+
+@query("WITH s AS (SELECT o_orderpriority AS p, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY 1) SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS z FROM orders JOIN s ON p = o_orderpriority")
+def group_zscore(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(resample.normalise(table(spark, sf, "orders"), "o_totalprice", ("o_orderpriority",)).select("o_orderkey", "z"))
+
+
+# --- chunks -------------------------------------------------------------------------------------------------------
+
+
+@query("WITH f AS (SELECT min(ts) AS f FROM events) SELECT floor(date_diff('microsecond', f, ts) / 86400000000)::BIGINT AS chunk_id, count(*) AS n, round(avg(value), 6) AS mean FROM events, f GROUP BY 1")
+def chunk_time(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(chunks.by_time(table(spark, sf, "events"), "ts").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
+
+
+@query("SELECT event_type, floor((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) / 500)::BIGINT AS chunk_id, event_id FROM events")
+def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.by_rows(table(spark, sf, "events"), ("ts", "event_id"), ("event_type",), rows=500).select("event_type", "chunk_id", "event_id")
+
+
+@query("""WITH f AS (SELECT event_type, min(ts) AS f FROM events GROUP BY 1), c AS (SELECT e.event_type, floor(date_diff('microsecond', f, ts) / 86400000000) AS k, count(*) AS n, sum(value) AS t, min(value) AS lo, max(value) AS hi FROM events e JOIN f USING (event_type) GROUP BY 1, 2)
+  SELECT event_type, count(*) AS parts, sum(n)::BIGINT AS n, round(sum(t), 4) AS total, round(min(lo), 6) AS lo, round(max(hi), 6) AS hi FROM c GROUP BY 1""")
+def chunk_reduce(spark: SparkSession, sf: str) -> DataFrame:
+    per_origin = chunks.summarise(chunks.by_time(table(spark, sf, "events"), "ts", 24, ("event_type",)), "ts", "value", "event_type")[1]
+    return per_origin.select("event_type", "parts", "n", F.round("total", 4).alias("total"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+# --- baselines ----------------------------------------------------------------------------------------------------
+
+_TARGETS = "t AS (SELECT event_type, (i - 1)::BIGINT AS target_id, TIMESTAMP '2024-01-02' + (i - 1) * INTERVAL 1 DAY AS ts FROM (SELECT DISTINCT event_type FROM events), range(1, 29) r(i))"
+
+
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_type", "ts", "value")
+
+
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    days = F.explode(F.sequence(F.lit(datetime(2024, 1, 2)), F.lit(datetime(2024, 1, 29)), F.expr("interval 1 day"))).alias("ts")
+    groups = table(spark, sf, "events").select("event_type").distinct()
+    out = groups.select("event_type", days).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return out.withColumn("target_id", F.date_diff("ts", F.lit("2024-01-02")).cast("long"))
+
+
+@query(f"WITH {_TARGETS} SELECT t.event_type, t.target_id, t.ts, round(e.value, 6) AS prediction FROM t ASOF LEFT JOIN events e ON t.event_type = e.event_type AND t.ts > e.ts")
+def persistence_asof(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(baselines.persistence(_history(spark, sf), _targets(spark, sf), ("event_type",), block_days=7))
+
+
+_SEASONAL = f"""{_TARGETS}, j AS (SELECT t.*, e.ts AS h, e.value FROM t LEFT JOIN events e ON t.event_type = e.event_type AND e.ts < t.ts AND hour(e.ts) = hour(t.ts)),
+  s AS (SELECT event_type, target_id, ts, coalesce(arg_max(value, h) FILTER (isodow(h) = isodow(ts) AND abs(minute(h) - minute(ts)) <= 30), arg_max(value, h)) AS prediction FROM j GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_SEASONAL} SELECT event_type, target_id, ts, round(prediction, 6) AS prediction FROM s")
+def seasonal_naive(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(baselines.seasonal_naive(_history(spark, sf), _targets(spark, sf), ("event_type",)))
+
+
+@query(f"""WITH {_SEASONAL}, hourly AS (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS g FROM events GROUP BY 1, 2), p AS (SELECT t.event_type, t.target_id, t.ts, e.value AS prediction FROM t ASOF LEFT JOIN events e ON t.event_type = e.event_type AND t.ts > e.ts),
+  u AS (SELECT 'persistence' AS method, * FROM p UNION ALL SELECT 'seasonal_naive', * FROM s), e AS (SELECT u.event_type, method, prediction - g AS e FROM u JOIN hourly USING (event_type, ts) WHERE prediction IS NOT NULL)
+  SELECT event_type, method, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, count(*) AS n FROM e GROUP BY 1, 2""")
+def baseline_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    h = _history(spark, sf)
+    hourly = h.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("value"))
+    results = baselines.run(h, _targets(spark, sf), hourly, ("event_type",))
+    return rounded(baselines.errors(results, ("persistence", "seasonal_naive"), ("event_type",)))
+
+
+@query("SELECT (i - 1)::INT AS split, TIMESTAMP '2025-04-01' + i * INTERVAL 1 MONTH AS cutoff, TIMESTAMP '2025-05-01' + i * INTERVAL 1 MONTH AS test_end FROM range(1, 4) r(i) WHERE TIMESTAMP '2025-05-01' + i * INTERVAL 1 MONTH <= TIMESTAMP '2025-07-30' + INTERVAL 2 DAY")
+def monthly_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return baselines.monthly_splits(spark.range(1), "2025-04-30", "2025-07-30")
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------
+# orders by priority stand for models: question = customer, prediction = price, truth = the customer's balance
+
+_ERRORS = """e AS (SELECT o_orderpriority AS model, o_custkey AS query_id, avg(abs(c_acctbal - o_totalprice) / abs(c_acctbal)) AS error FROM orders JOIN customer ON o_custkey = c_custkey WHERE abs(c_acctbal) > 0 GROUP BY 1, 2)"""
+_PAIRS = _ERRORS + ", p AS (SELECT a.model AS model_a, b.model AS model_b, query_id, a.error AS error_a, b.error AS error_b FROM e a JOIN e b USING (query_id) WHERE a.model < b.model)"
+
+
+def _predictions(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("query_id"), F.col("o_totalprice").alias("prediction"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), F.col("c_acctbal").alias("ground_truth"))
+    return evaluate.with_truth(o, c)
+
+
+def _errors(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.normalised_error(_predictions(spark, sf))
+
+
+@query(f"WITH {_ERRORS} SELECT model, query_id, round(error, 6) AS error FROM e")
+def error_join(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_errors(spark, sf))
+
+
+@query(f"WITH {_PAIRS} SELECT model_a, model_b, count(*) AS n, round(avg(error_a), 6) AS mae_a, round(avg(error_b), 6) AS mae_b FROM p GROUP BY 1, 2")
+def pairwise_errors(spark: SparkSession, sf: str) -> DataFrame:
+    p = evaluate.pairs(_errors(spark, sf))
+    return rounded(p.groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("n"), F.avg("error_a").alias("mae_a"), F.avg("error_b").alias("mae_b")))
+
+
+@query("WITH q AS (SELECT o_orderpriority AS model, o_custkey AS q, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) >= 2) SELECT model, round(avg(s / abs(m)), 6) AS mean_cv, round(avg(s), 4) AS mean_std, count(*) AS n_queries FROM q GROUP BY 1")
+def reproducibility_cv(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluate.reproducibility(_predictions(spark, sf))
+    return out.select("model", F.round("mean_cv", 6).alias("mean_cv"), F.round("mean_std", 4).alias("mean_std"), "n_queries")
+
+
+@query(f"WITH {_PAIRS}, d AS (SELECT *, error_a * error_a - error_b * error_b AS d FROM p) SELECT model_a, model_b, count(*) AS n, round(avg(d) / sqrt(var_samp(d) / count(*)), 6) AS dm FROM d GROUP BY 1, 2 HAVING count(*) >= 10")
+def diebold_mariano(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.diebold_mariano(evaluate.pairs(_errors(spark, sf))).where("dm is not null").drop("p_value"))
+
+
+@query(f"WITH {_PAIRS}, d AS (SELECT *, error_a - error_b AS d FROM p), l AS (SELECT *, lag(d) OVER (PARTITION BY model_a, model_b ORDER BY query_id) AS b FROM d) SELECT model_a, model_b, count(*) AS n, round(avg(d) / sqrt((var_samp(d) + covar_samp(d, b)) / count(*)), 6) AS dm FROM l GROUP BY 1, 2 HAVING count(*) >= 4")
+def diebold_mariano_hac(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.diebold_mariano(evaluate.pairs(_errors(spark, sf)), absolute=True).where("dm is not null").drop("p_value"))
+
+
+@query(f"""WITH {_PAIRS}, d AS (SELECT model_a, model_b, error_a - error_b AS d FROM p WHERE error_a <> error_b), r AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0 AS r FROM d)
+  SELECT model_a, model_b, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS statistic FROM r GROUP BY 1, 2 HAVING count(*) >= 10""")
+def wilcoxon_stat(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.wilcoxon(evaluate.pairs(_errors(spark, sf))).where("statistic is not null").select("model_a", "model_b", "n", F.col("statistic").cast("double").alias("statistic"))
+
+
+@query()
+def significance_table(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.significance(_errors(spark, sf), ("1-URGENT",)))
+
+
+@query()
+def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.bootstrap(_errors(spark, sf)))
+
+
+_CALLS = """c AS (SELECT CASE event_type WHEN 'view' THEN 'openai-mini' WHEN 'click' THEN 'claude-api' ELSE 'other' END AS model, CASE hour(ts) % 3 WHEN 0 THEN 'horizon' WHEN 1 THEN 'stats' ELSE 'summary' END AS stage, value AS latency_sec, 1000 + event_id % 500 AS tokens_in, event_id % 200 AS tokens_out FROM events),
+  k AS (SELECT *, CASE model WHEN 'openai-mini' THEN tokens_in / 1000.0 * 0.00015 + tokens_out / 1000.0 * 0.00066 WHEN 'claude-api' THEN tokens_in / 1000.0 * 0.003 + tokens_out / 1000.0 * 0.015 ELSE 0 END AS cost_usd FROM c)"""
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    model = F.when(F.col("event_type") == "view", "openai-mini").when(F.col("event_type") == "click", "claude-api").otherwise("other")
+    stage = F.when(F.hour("ts") % 3 == 0, "horizon").when(F.hour("ts") % 3 == 1, "stats").otherwise("summary")
+    c = e.select(model.alias("model"), stage.alias("stage"), F.col("value").alias("latency_sec"), (1000 + F.col("event_id") % 500).alias("tokens_in"), (F.col("event_id") % 200).alias("tokens_out"))
+    return c.withColumn("cost_usd", evaluate.cost(F.col("model"), F.col("tokens_in"), F.col("tokens_out")))
+
+
+@query(f"WITH {_CALLS} SELECT model, stage, CASE stage WHEN 'horizon' THEN 1 WHEN 'stats' THEN 3 ELSE 4 END AS stage_order, round(avg(cost_usd), 9) AS mean_cost, round(stddev_samp(cost_usd), 9) AS std_cost, round(avg(latency_sec), 6) AS mean_latency, round(stddev_samp(latency_sec), 6) AS std_latency, count(*) AS n FROM k GROUP BY 1, 2")
+def cost_by_stage(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluate.cost_by_stage(_calls(spark, sf))
+    return out.select("model", "stage", "stage_order", F.round("mean_cost", 9).alias("mean_cost"), F.round("std_cost", 9).alias("std_cost"), F.round("mean_latency", 6).alias("mean_latency"), F.round("std_latency", 6).alias("std_latency"), "n")
+
+
+@query(f"WITH {_CALLS} SELECT count(*) AS runs, 0::BIGINT AS errors, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(cost_usd), 6) AS cost_usd, round(avg(latency_sec), 6) AS mean_latency, round(avg(cost_usd), 6) AS mean_cost FROM k")
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.run_summary(_calls(spark, sf).withColumn("error", F.lit(""))))
+
+
+@query("SELECT query_id, query_id LIKE '%hourly%' AS multi FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'q_hourly_' ELSE 'q_' END || event_id AS query_id FROM events)")
+def split_multi_point(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "events").select(F.concat(F.when(F.col("event_id") % 3 == 0, "q_Hourly_").otherwise("q_"), F.col("event_id").cast("string")).alias("query_id"))
+    multi, point = filters.split_by_horizon(q)
+    both = multi.withColumn("multi", F.lit(True)).unionByName(point.withColumn("multi", F.lit(False)))
+    return both.select(F.lower("query_id").alias("query_id"), "multi")
+
+
+# --- texts --------------------------------------------------------------------------------------------------------
+
+_SAY = "strftime(o_orderdate, '%Y/%m/%d %H:%M:%S')"
+
+
+@query("SELECT o_orderkey, 'TOTALDEMAND' AS metric, round(o_totalprice, 2) AS value, o_orderdate AS ts FROM orders UNION ALL SELECT o_orderkey, 'RRP', (o_orderkey % 90)::DOUBLE, o_orderdate FROM orders")
+def parse_forecast_text(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.format_string("- %s : TOTALDEMAND=%.2f and RRP=%d.0", F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss"), "o_totalprice", F.col("o_orderkey") % 90)
+    return parse.lines(table(spark, sf, "orders").select("o_orderkey", said.alias("answer")), "answer", ("o_orderkey",))
+
+
+@query("SELECT o_orderkey, 'TOTALDEMAND' AS metric, round(o_totalprice, 2) AS value, o_orderdate AS ts FROM orders UNION ALL SELECT o_orderkey, 'RRP', (o_orderkey % 90)::DOUBLE, o_orderdate FROM orders")
+def parse_forecast_table(spark: SparkSession, sf: str) -> DataFrame:
+    head = "## Forecast\n| Time | Demand | Price | Unit |\n|---|---|---|---|\n"
+    said = F.format_string(head + "| %s | %.2f | %d.0 | MW / $/MWh |\n\n**Rationale**: the year before it was 1.00 MW.", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "o_totalprice", F.col("o_orderkey") % 90)
+    return parse.parse_column(table(spark, sf, "orders").select("o_orderkey", said.alias("answer"))).drop("answer")
+
+
+@query(f"SELECT o_orderkey, '{{''RRP'': [[' || (o_orderkey % 90) || '.0, ''' || {_SAY} || ''']]}}' AS predicted FROM orders")
+def predictions_as_literal(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").select("o_orderkey", F.lit("RRP").alias("metric"), (F.col("o_orderkey") % 90).cast("double").alias("value"), F.col("o_orderdate").alias("ts"))
+    return parse.as_literal(rows, "o_orderkey")
+
+
+@query("SELECT o_orderkey, (o_orderkey % 90)::DOUBLE AS value, o_orderdate AS ts, NULL::DOUBLE AS absent FROM orders")
+def literal_series(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.format_string("{'RRP': [[%d.0, '%s']]}", F.col("o_orderkey") % 90, F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss"))
+    p = table(spark, sf, "orders").select("o_orderkey", said.alias("p"))
+    return p.select("o_orderkey", text.single(text.values_of(F.col("p"), "RRP")).alias("value"), text.single(text.stamps_of(F.col("p"), "RRP")).cast("timestamp_ntz").alias("ts"), text.single(text.values_of(F.col("p"), "TOTALDEMAND")).alias("absent"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'NSW1' WHEN 'click' THEN 'VIC1' ELSE upper(event_type) END AS region FROM events")
+def alias_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.when(F.col("event_type") == "view", " Sydney ").when(F.col("event_type") == "click", "vic.").otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", calendar.alias_column(said, calendar.REGION_ALIASES).alias("region"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '1H' WHEN 1 THEN '30min' WHEN 2 THEN '2D' ELSE 'weekly' END AS freq FROM events")
+def freq_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    return table(spark, sf, "events").select("event_id", calendar.freq_column(F.when(k == 0, "Hourly").when(k == 1, "30 minutes").when(k == 2, "2 days").otherwise("weekly")).alias("freq"))
+
+
+@query("SELECT o_orderkey, CASE WHEN date_diff('day', TIMESTAMP '1998-01-01', o_orderdate) <= 15 THEN 'short_term' WHEN date_diff('day', TIMESTAMP '1998-01-01', o_orderdate) <= 365 THEN 'mid_term' ELSE 'long_term' END AS route FROM orders")
+def horizon_route(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", calendar.route_column(F.col("o_orderdate"), F.lit(datetime(1998, 1, 1)).cast("timestamp_ntz")).alias("route"))
+
+
+@query("SELECT d::DATE AS day, year(d)::INT AS year, month(d)::INT AS month, day(d)::INT AS dom, (isodow(d) - 1)::INT AS weekday, isodow(d) >= 6 AS weekend, week(d)::INT AS iso_week FROM range(TIMESTAMP '2023-12-25', TIMESTAMP '2024-03-06', INTERVAL 1 DAY) t(d)")
+def date_expand(spark: SparkSession, sf: str) -> DataFrame:
+    return calendar.date_table(spark, "2023-12-25", "2024-03-05")
+
+
+@query("SELECT conv_id, turn, greatest(1, floor(length(text) / 4))::BIGINT AS tokens FROM conversations")
+def token_count(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.token_count(F.col("text")).alias("tokens"))
+
+
+# --- sources ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT y AS year, m AS month, r AS region, 'https://data.example/price_and_demand_' || y || m || '_' || r || '.csv' AS url FROM (VALUES ('2025')) a(y), (VALUES ('01'), ('02'), ('03'), ('04')) b(m), (VALUES ('NSW1'), ('TAS1'), ('QLD1'), ('VIC1'), ('SA1')) c(r)")
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.manifest(spark)
+
+
+@query("SELECT '' AS missing_columns, 0::BIGINT AS year_nulls, 0::BIGINT AS month_nulls, 0::BIGINT AS region_nulls, 0::BIGINT AS url_nulls, 0::BIGINT AS duplicate_urls, 20::BIGINT AS n_rows")
+def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.validate_manifest(readings.manifest(spark))
+
+
+@query("SELECT o_orderpriority, o_orderdate, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey) = 1")
+def merge_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_orderdate", "o_orderkey", "o_totalprice")
+    parts = [o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), o.where("o_orderkey % 4 = 1")]
+    return readings.merge(parts, ("o_orderpriority", "o_orderdate"), ("o_orderkey",), "o_orderdate")
+
+
+@query("WITH p AS (SELECT o_orderpriority AS series, o_orderdate AS d, count(*) AS n FROM orders GROUP BY 1, 2) SELECT series, sum(n)::BIGINT AS n_rows, 0::BIGINT AS null_times, min(d) AS first_ts, max(d) AS last_ts, sum(n - 1)::BIGINT AS duplicate_rows FROM p GROUP BY 1")
+def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.profile(table(spark, sf, "orders"), "o_orderdate", "o_orderpriority")
+
+
+@query("WITH t AS (SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ',' || o_orderkey AS l FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20) SELECT 'o_orderdate,o_orderkey' || chr(10) || (SELECT string_agg(l, chr(10) ORDER BY split_part(l, ',', 1), split_part(l, ',', 2)::BIGINT) FROM t) AS csv")
+def csv_preview(spark: SparkSession, sf: str) -> DataFrame:
+    return readings.csv_text(table(spark, sf, "orders"), ("o_orderdate", "o_orderkey"), ("o_orderdate", "o_orderkey"), 20)
+
+
+__all__ = ["ORACLES", "QUERIES", "RetrievalConfig", "windows_of"]
