@@ -285,9 +285,9 @@ _GRID = """WITH m AS (SELECT event_type AS series, floor(epoch_us(ts) / {0}00000
   f AS (SELECT series, slot, CASE WHEN sa = sb THEN va ELSE va + (vb - va) * (slot - sa) / (sb - sa) END AS value FROM j)"""
 
 
-@query(_GRID.format(1800) + " SELECT series, slot, make_timestamp(slot * 1800000000) AS ts, round(value, 6) AS value FROM f")
+@query(_GRID.format(1800) + " SELECT series, slot, make_timestamp(slot * 1800000000) AS ts, round(value + 1e-9, 6) AS value FROM f")
 def resample_interp(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(resample.regular(long_events(spark, sf), "ts", "value", 1800, ("series",)))
+    return rounded(resample.regular(long_events(spark, sf), "ts", "value", 1800, ("series",)).withColumn("value", F.col("value") + 1e-9))  # no ties to round
 
 
 @query(_GRID.format(3600) + """, c AS (SELECT series, slot, value - avg(value) OVER (PARTITION BY series) AS c FROM f), l AS (SELECT series, c, lag(c, 1) OVER w AS a, lag(c, 24) OVER w AS b, lag(c, 168) OVER w AS d FROM c WINDOW w AS (PARTITION BY series ORDER BY slot))

@@ -268,5 +268,7 @@ def infer_columns(df: DataFrame, id_col: str = "id", text_col: str = "text", reg
 def localise(df: DataFrame, ts: str, transitions: DataFrame) -> DataFrame:
     """Wall-clock timestamps across daylight-saving changes. transitions: gap_lo, gap_hi, fold_lo, fold_hi (a row for each change; a few for each
     year). Ambiguous times become null, times in a gap move to its end."""
-    t = df.join(F.broadcast(transitions), (F.col(ts) >= F.col("gap_lo")) & (F.col(ts) < F.col("gap_hi")) | (F.col(ts) >= F.col("fold_lo")) & (F.col(ts) < F.col("fold_hi")), "left")
-    return t.withColumn(ts, F.when(F.col("fold_lo").isNotNull() & (F.col(ts) >= F.col("fold_lo")), None).when(F.col("gap_hi").isNotNull(), F.col("gap_hi")).otherwise(F.col(ts))).drop("gap_lo", "gap_hi", "fold_lo", "fold_hi")
+    gap = (F.col(ts) >= F.col("gap_lo")) & (F.col(ts) < F.col("gap_hi"))
+    fold = (F.col(ts) >= F.col("fold_lo")) & (F.col(ts) < F.col("fold_hi"))
+    t = df.join(F.broadcast(transitions), gap | fold, "left")
+    return t.withColumn(ts, F.when(fold, None).when(gap, F.col("gap_hi")).otherwise(F.col(ts))).drop("gap_lo", "gap_hi", "fold_lo", "fold_hi")

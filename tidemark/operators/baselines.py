@@ -33,9 +33,12 @@ def persistence(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()
 def seasonal_naive(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), tolerance_minutes: int = 30) -> DataFrame:
     """The latest earlier value of the same weekday and hour and near the minute; else of the same hour. Candidates are first reduced to
     the values of a slot before each target, by max_by."""
-    h = history.where("value is not null").select(*by, F.col("ts").alias("h_ts"), "value", F.weekday("ts").alias("h_weekday"), F.hour("ts").alias("slot_hour"), F.minute("ts").alias("h_minute"))
+    h = history.where("value is not null").select(*[F.col(b).alias(f"h_{b}") for b in by], F.col("ts").alias("h_ts"), "value", F.weekday("ts").alias("h_weekday"), F.hour("ts").alias("h_hour"), F.minute("ts").alias("h_minute"))
     t = targets.select(*by, F.col("target_id").cast("long").alias("target_id"), "ts", F.hour("ts").alias("slot_hour"))
-    joined = t.join(h, [*by, "slot_hour"], "left").where("h_ts is null or h_ts < ts")
+    on = (F.col("slot_hour") == F.col("h_hour")) & (F.col("h_ts") < F.col("ts"))
+    for b in by:
+        on &= F.col(b) == F.col(f"h_{b}")
+    joined = t.join(h, on, "left")
     same = (F.col("h_weekday") == F.weekday("ts")) & (F.abs(F.col("h_minute") - F.minute("ts")) <= tolerance_minutes)
     return joined.groupBy(*by, "target_id", "ts").agg(F.coalesce(F.max_by("value", F.when(same, F.col("h_ts"))), F.max_by("value", "h_ts")).alias("prediction"))
 
