@@ -1,0 +1,348 @@
+"""The training-data operators against brute force, and on awkward rows: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import base64
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import ann, exact_dedup, html_extract, packing, pii, sentencepiece_viterbi, simhash, substring_dedup, toxicity, warc
+from tidemark.llm.common import connected_components, table
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{k % 977}" for k in range(30_000))
+PASSAGE = " ".join(f"p{k}" for k in range(60))
+ROWS = [(1, None), (2, ""), (3, " \n\t"), (4, "one two three"), (5, "One  two three"), (6, LONG), (7, LONG + " tail"), (8, "x " + PASSAGE + " y"), (9, PASSAGE), (10, "same line\n" * 60), (10, "same line\n" * 60), (11, "mail bob.ray@mail.example.com or +1 (555) 123-4567 or 10.20.30.40"), (12, "Mrs. Anna Meier met bob.ray@mail.example.com; password=abcdef123456"), (13, "ein zwei\x0bdrei   vier é½日本 x")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "en", i * 2, True) for i, t in ROWS], "doc_id long, text string, lang string, n_chars long, kept boolean").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("false")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return table(spark, sf, "documents")
+
+
+def words(text, lower=False):
+    raw = (text or "").encode()
+    return WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw) if lower else raw)
+
+
+def brute_windows(rows, n=35):
+    split = [(i, words(t)) for i, t in rows]
+    count = collections.Counter(b" ".join(w[p : p + n]) for _, w in split for p in range(len(w) - n + 1))
+    out = []
+    for i, w in split:
+        gone = np.zeros(len(w), dtype=bool)
+        for p in range(len(w) - n + 1):
+            if count[b" ".join(w[p : p + n])] > 1:
+                gone[p : p + n] = True
+        out.append((i, len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
+    return sorted(out)
+
+
+def brute_simhash(rows):
+    from xxhash import xxh64_intdigest
+
+    fps = {}
+    for i, t in rows:
+        w = words(t, True)
+        h = [xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))] if w else []
+        fps[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+    label = {i: i for i in fps}
+    changed = True
+    while changed:
+        changed = False
+        for i in fps:
+            low = min(label[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4)
+            if low < label[i]:
+                label[i], changed = low, True
+    return {i: (f"{fps[i]:016x}", label[i]) for i in fps}
+
+
+def collected(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_substring_dedup_equals_brute_force(docs, odd):
+    for df in (docs.limit(150), odd.where("doc_id <> 10"), odd.where("doc_id <> 10").dropDuplicates(["doc_id"])):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        frame = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(collected(substring_dedup.digest(substring_dedup.substring_dedup(frame)))) == brute_windows(rows)
+
+
+def test_substring_dedup_of_repeating_text(spark, empty):
+    rows = [(1, "a b " * 40), (2, "c " * 35), (3, "d " * 36), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(collected(substring_dedup.digest(substring_dedup.substring_dedup(frame)))) == brute_windows(rows)
+    assert substring_dedup.substring_dedup(empty).isEmpty()
+
+
+def test_runs_agree_for_equal_windows():
+    rng = np.random.default_rng(1)
+    w = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    w[300:380] = w[100:180]
+    start, count, seed, _ = substring_dedup.runs(w)
+    seeds = np.repeat(seed, count)
+    assert (seeds[100 : 100 + 46] == seeds[300 : 300 + 46]).all() and count.sum() == 400 - 35 + 1
+
+
+def test_simhash_equals_brute_force(docs, odd, empty):
+    for df in (docs, odd):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        got = {r[0]: r[1:] for r in collected(simhash.digest(simhash.near_duplicates(df)))}
+        assert got == brute_simhash(rows)
+    assert simhash.near_duplicates(empty).isEmpty()
+
+
+def test_forest_and_cells_lose_no_link(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 12).astype(np.uint64)
+    fps = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 12).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 12).astype(np.uint64)) for _ in range(40)]))
+
+    def classes(pairs):
+        label = {int(x): int(x) for x in fps}
+        while any(label[a] != label[b] for a, b in pairs):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    true = classes([(int(a), int(b)) for a in fps for b in fps if a < b and (int(a) ^ int(b)).bit_count() <= 4])
+    a, b = simhash.forest(fps, np.zeros(len(fps), dtype=np.int64))
+    assert len(set(true.values())) == len(set(classes(list(zip(map(int, a), map(int, b)))).values()))
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    for cell in (4096, 7):  # with cells of 7 rows, buckets are cut into chunks
+        e = collected(simhash.links(frame, cell=cell))
+        assert len(set(classes([tuple(int(np.int64(x).view(np.uint64)) for x in p) for p in e]).values())) == len(set(true.values()))
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 200), (300, 200)], "a long, b long")
+    assert {r["component"] for r in connected_components(e).collect()} == {1, 100}
+    assert connected_components(e.where("false")).isEmpty()
+
+
+def test_exact_dedup(docs, odd, empty):
+    for df in (docs, odd):
+        rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+        groups = collections.defaultdict(list)
+        for i, t in rows:
+            groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
+        want = sorted((i, min(groups[b])[1], len(groups[b]), i == min(groups[b])[1], hashlib.sha256(b.encode()).hexdigest()) for i, t in rows for b in [re.sub(r"[\x20\x09-\x0D]", "", t)])
+        assert sorted(collected(exact_dedup.exact_dedup(df))) == want
+        assert sorted(collected(exact_dedup.exact_dedup(df, budget_bytes=2000))) == want  # with spill files
+    assert exact_dedup.exact_dedup(empty).isEmpty()
+    kept = exact_dedup.drop_copies(odd)
+    assert kept.columns == odd.columns and kept.count() == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in ROWS})
+
+
+def test_packing_is_gapless_and_exact(docs, odd, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    for df in (docs, odd.dropDuplicates(["doc_id"])):
+        ids = {r["doc_id"]: [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in df.collect()}
+        pieces = packing.digest(packing.pack(df)).collect()
+        covered, sequences = collections.defaultdict(list), collections.defaultdict(list)
+        for p in pieces:
+            own = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+            assert p["ids_crc32"] == zlib.crc32(np.array(own, dtype="<u4").tobytes()) and p["doc_tokens"] == len(ids[p["doc_id"]])
+            covered[p["doc_id"]].append((p["start"], p["length"]))
+            sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+        assert {i: sum(n for _, n in c) for i, c in covered.items()} == {i: len(x) for i, x in ids.items()}
+        for s in (*covered.values(), *sequences.values()):
+            at = 0
+            for start, n in sorted(s):
+                assert start == at
+                at += n
+            assert at <= 2048 or s in covered.values()
+    assert packing.pack(empty).isEmpty()
+
+
+def test_warc(spark, sf, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/ b", "<p>x</p>"), (2, None, None), (3, "u", ""), (4, "u\r\nv", "<p>x</p>"), (5, "u", "é" * 70_000), (6, "v", "<p>x</p>")], "page_id long, url string, html string")
+    for df in (pages, table(spark, sf, "pages")):
+        rows = [(r["page_id"], (r["html"] or "").encode()) for r in df.collect()]
+        newest = {}
+        for i, p in rows:
+            newest[p] = max(i, newest.get(p, i))
+        want = sorted((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if newest[p] == i else "revisit", None if newest[p] == i else newest[p]) for i, p in rows)
+        assert sorted(collected(warc.digest(warc.roundtrip(df)))) == want
+    index = warc.write_warc(pages, f"file://{tmp_path}/w", roll=300)
+    assert warc.read_warc(index.where("page_id = 5"), f"file://{tmp_path}/w").first()["payload"].decode() == "é" * 70_000
+    assert warc.roundtrip(pages.where("false")).isEmpty()
+    assert [(s, n) for _, s, n, _ in warc.ranges([("a", 0, 10), ("a", 12, 5), ("a", 900, 1), ("b", 0, 1)], gap=5)] == [(0, 17), (900, 1), (0, 1)]
+
+
+PAGE = """<html><head><title>t</title><script>var x='<p>no</p>'</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div>
+<article><h1>A &amp; B</h1><p>First  paragraph,<br>of <b>some</b> words &eacute;.<p>Second one, which is a little longer than the first.</p></article>
+<div id="comments"><div class="comment"><p>Nice read.</p></div></div><form><label>Mail</label><button>Send</button></form><footer>&copy; x</footer>"""
+
+
+def test_html(spark, sf):
+    net = html_extract.load()
+    assert html_extract.main_texts(net, [PAGE, None, "", "<", "<p"])[:3] == ["A & B\nFirst paragraph, of some words é.\nSecond one, which is a little longer than the first.", "", ""]
+    pages = table(spark, sf, "pages")
+    got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
+    for r in pages.collect():
+        body = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        parts = [" ".join(__import__("html").unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body.replace("<br>", " "))]
+        assert got[r["page_id"]]["text"] == "\n".join(p for p in parts if p) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+    assert html_extract.extract(pages.where("false")).isEmpty()
+    rng = np.random.default_rng(99)
+    right = total = 0
+    for x, y, *_ in (html_extract.labelled_page(rng) for _ in range(150)):
+        if len(x):
+            p = net.predict(*html_extract._padded([x]))[:, 0]
+            right, total = right + int(((p >= 0.5) == (y >= 0.5)).sum()), total + len(y)
+    assert right / total > 0.98
+
+
+def test_html_gradients():
+    rng = np.random.default_rng(3)
+    x, y, *_ = html_extract.labelled_page(rng)
+    net = html_extract.Labeller(seed=1)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    px, mask = html_extract._padded([x])
+    _, g = net.gradients(px, mask, y[:, None])
+    for k in ("xf", "hb", "o"):
+        at = tuple(int(rng.integers(n)) for n in net.w[k].shape)
+        was = net.w[k][at]
+        net.w[k][at] = was + 1e-3
+        up = net.gradients(px, mask, y[:, None])[0]
+        net.w[k][at] = was - 1e-3
+        down = net.gradients(px, mask, y[:, None])[0]
+        net.w[k][at] = was
+        assert abs((up - down) / 2e-3 - g[k][at]) < 1e-3
+
+
+def test_sentencepiece_ids_are_the_library_s(docs, odd):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_viterbi.default_model())
+    for df in (docs, odd):
+        texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+        for r in sentencepiece_viterbi.roundtrip(df).collect():
+            ids = sp.encode(texts[r["doc_id"]])
+            assert (r["n_ids"], r["ids_crc32"], r["exact"]) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), True)
+    v = sentencepiece_viterbi.vocabulary(sentencepiece_viterbi.default_model())
+    window = [0]
+    text = "▁" + LONG.replace(" ", "▁")
+    assert sentencepiece_viterbi._ids(v, sentencepiece_viterbi.viterbi(v, text, window)) == sp.encode(LONG)
+    assert window[0] <= 3 * v.longest
+    assert sentencepiece_viterbi.encode(v, "") == b""
+
+
+def test_unigram_viterbi_is_the_best_path():
+    rng = np.random.default_rng(4)
+    letters = "ab▁"
+    pieces = {"".join(rng.choice(list(letters), rng.integers(1, 5))): float(-rng.random() * 9) for _ in range(40)} | {c: -9.5 for c in letters}
+    v = sentencepiece_viterbi.Vocabulary(pieces=pieces)
+    for _ in range(100):
+        text = "".join(rng.choice(list(letters), rng.integers(1, 60)))
+        best = [0.0] + [-1e9] * len(text)
+        for e in range(1, len(text) + 1):
+            best[e] = max(best[s] + pieces[text[s:e]] for s in range(max(0, e - 4), e) if text[s:e] in pieces)
+        got = list(sentencepiece_viterbi.viterbi(v, text))
+        assert "".join(got) == text and abs(sum(pieces[p] for p in got) - best[-1]) < 1e-9
+
+
+def test_nearest_neighbours(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    rows = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in vectors.collect()]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(vectors, lambda i: i % 100 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hits = total = 0
+    for q, x in rows:
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((x - y) ** 2).sum())), i) for i, y in rows if i != q)[:10]
+            hits, total = hits + len({i for _, i in near} & {i for _, i, _ in got[q]}), total + len(near)
+            assert [r for r, *_ in sorted(got[q])] == list(range(1, len(got[q]) + 1))
+    assert hits / total >= 0.9
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [0.5, 0.5]), (9, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
+    found = [tuple(r) for r in ann.nearest(odd, lambda i: i % 100 == 0).orderBy("query_id", "rank").collect()]
+    assert [(q, i) for q, _, i, _ in found] == [(0, 3), (0, 100), (0, 8), (100, 0), (100, 3), (100, 8)]
+    assert ann.nearest(odd.where("false"), lambda i: i % 100 == 0).isEmpty()
+
+
+def test_toxicity(spark, odd, empty):
+    toxic = "quibblescum blargfoul"
+    rng = np.random.default_rng(5)
+    plain = ["".join(rng.choice(list("abcdeilmnorst"), 3)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(plain, 60)) + (f" {toxic} " * 3 if i % 4 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)] + [(5, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in held]) > 0.97
+    assert {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()} == {r["doc_id"] for r in got if not r["predicted"]}
+    for own, given in ((odd, labels), (odd, labels.where("false")), (odd, labels.where("toxic = 0"))):
+        out = toxicity.score(own, given).collect()
+        assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
+    assert toxicity.score(empty, labels).isEmpty() and toxicity.drop_toxic(odd, labels.where("false")).columns == odd.columns
+
+
+def test_kneser_ney_probabilities_add_up():
+    words_ = ["ab", "abc", "b", "ca", "aab"]
+    m = toxicity.fit_counts(words_, np.array([3, 1, 0, 2, 0]), np.array([1, 0, 4, 1, 1]))
+    assert np.isfinite(m.gram_value).all() and np.isfinite(m.context_value).all()
+    assert m.words(["zzz"])[0] == 0 or abs(m.words(["zzz"])[0]) < 3  # what neither class knows says next to nothing
+
+
+def test_pii(spark, odd, empty):
+    done = {r["doc_id"]: r for r in pii.replace_pii(odd.dropDuplicates(["doc_id"])).collect()}
+    a, b = done[11]["text"], done[12]["text"]
+    assert "bob.ray" not in a + b and "555) 123" not in a and "10.20.30.40" not in a and "Meier" not in b and "abcdef123456" not in b
+    assert b.startswith("Mrs. ") and b.split()[1] in pii.FEMALE and "password=" in b
+    assert re.search(r"mail (\S+@\S+) or", a)[1] == re.search(r"met (\S+@\S+);", b)[1]  # one entity, one surrogate
+    assert re.fullmatch(r"mail [a-z]{3}\.[a-z]{3}@[a-z]{4}\.example\.com or \+1 \(\d{3}\) \d{3}-\d{4} or \d\d\.\d\d\.\d\d\.\d\d", a)
+    assert done[1]["text"] is None and done[2]["text"] == "" and all(done[i]["text"] == t for i, t in ROWS if i < 11)
+    assert pii.replace_pii(empty).isEmpty() and pii.redact_documents(odd).columns == odd.columns
+    assert pii.redact_documents(odd).count() == len(ROWS)
+
+
+def test_pii_kinds_and_collisions(spark):
+    cards = "4111111111111111"
+    df = spark.createDataFrame([(cards,), ("378-12-3456",), ("Herr Иван Петров",), ("DE89 3704 0044 0532 0130 00",)], "e string")
+    got = [r[0] for r in df.select(pii.surrogate(F.col("e"), F.lit(0))).collect()]
+    assert got[0] != cards and spark.sql(f"select luhn_check('{got[0]}')").first()[0]
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", got[1]) and re.fullmatch(r"Herr [А-Я][а-я]+ [А-Я][а-я]+", got[2]) and got[2].split()[1] in pii.MALE_CYRILLIC
+    # 60 one-letter-and-digit addresses in a space of 260: many collide at first
+    tight = spark.createDataFrame([(k, f"{chr(97 + k % 26)}{k // 26}@x.com") for k in range(60)], "doc_id long, text string")
+    rows = pii.replace_pii(tight).collect()
+    assert len({r["text"] for r in rows}) == 60 and not {r["text"] for r in rows} & {f"{chr(97 + k % 26)}{k // 26}@x.com" for k in range(60)}
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs, columns = table(spark, sf, "documents"), None
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r["doc_id"]: r for r in docs.collect()}
+        docs = stage(spark, docs, sf)
+        columns = columns or docs.columns
+        if k < 4:
+            after = {r["doc_id"]: r for r in docs.collect()}
+            assert docs.columns == columns and set(after) <= set(before)
+        if name == "exact_dedup":
+            best = {}
+            for r in before.values():
+                b = re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")
+                best[b] = min(best.get(b, (0, 1 << 60)), (-len(r["text"] or ""), r["doc_id"]))
+            assert set(after) == {i for _, i in best.values()}
+        if name == "simhash":
+            assert set(after) == {i for i, (_, c) in brute_simhash([(r["doc_id"], r["text"]) for r in before.values()]).items() if i == c}
+    assert docs.select("doc_id").distinct().count() == len(before)
