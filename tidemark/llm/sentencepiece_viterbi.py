@@ -314,7 +314,7 @@ def _cut(text: str) -> list[str]:
     """Words without the mark in front of them; where spaces repeat or the text holds the mark, runs of marks with what follows, marks kept."""
     if not text:
         return []
-    if "  " not in text and MARK not in text and text[-1] != " ":
+    if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
         return text.split(" ")
     return [w[1:] if w.count(MARK) == 1 else MARK + w for w in _WORD.findall(MARK + text.replace(" ", MARK))]
 
