@@ -11,6 +11,7 @@ the ids, so the result doesn't change when a task runs again. Repeated rows are
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from .common import materialise
 LENGTH = 2048
 END_ID = 1
 #: Entries of a worker's cache of encoded chunks; about 250 bytes each.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 _workers: dict = {}
 
 
@@ -44,8 +45,8 @@ class CachedTokenizer:
         self.cache: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        kind = "<u4" if self.wide else "<u2"
-        return [np.array(e.ids, dtype=kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "I" if self.wide else "H"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -97,8 +98,8 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
         width = 4 if tok.wide else 2
         end = end_id.to_bytes(width, "little")
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
                 ids = [x + end for x in tok.encode([t or "" for t in b.column(1).to_pylist()])]
                 n = np.array([len(x) // width for x in ids], dtype=np.int64)
                 start = at + np.cumsum(n) - n
