@@ -346,3 +346,11 @@ def test_pipeline(spark, sf):
         if name == "simhash":
             assert set(after) == {i for i, (_, c) in brute_simhash([(r["doc_id"], r["text"]) for r in before.values()]).items() if i == c}
     assert docs.select("doc_id").distinct().count() == len(before)
+
+
+def test_no_row_is_lost_in_large_batches(spark):
+    many = spark.range(0, 6000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    pages = many.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    results = [sentencepiece_viterbi.roundtrip(many), sentencepiece_viterbi.encode_documents(many), packing.pack(many).select("doc_id").distinct(), toxicity.score(many, labels), html_extract.extract(pages), substring_dedup.substring_dedup(many), simhash.fingerprints(many), exact_dedup.exact_dedup(many), warc.roundtrip(pages)]
+    assert [r.count() for r in results] == [6000] * 9

@@ -396,7 +396,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
         v = vocabulary(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 256)
+                b = whole.slice(lo, 1024)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(encode_all(v, [t or "" for t in b.column(1).to_pylist()]), pa.binary())], names=["doc_id", "text", "ids"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -411,7 +411,7 @@ def roundtrip(docs: DataFrame, model: str | None = None) -> DataFrame:
         v = vocabulary(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 256)
+                b = whole.slice(lo, 1024)
                 rows = []
                 texts = b.column(1).to_pylist()
                 for doc_id, text, raw in zip(b.column(0).to_pylist(), texts, encode_all(v, [t or "" for t in texts])):
