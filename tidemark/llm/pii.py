@@ -74,42 +74,51 @@ def kind_of(e: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once; a column that is used repeatedly would be copied into the plan each time."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _byte(h: Column, i: Column) -> Column:
     """Two bytes of the hash as a number, from place i (cyclic)."""
     return F.conv(F.substring(h, F.pmod(i * 4, F.lit(125)).cast("int") + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _mapped(e: Column, h: Column, keep: Column | None = None, letters: int = 26) -> Column:
+def _mapped(e: Column, h: Column, keep: Column | int = 0, letters: Column | int = 26) -> Column:
     """Each digit and letter of e becomes another of its class; keep: number of leading characters that stay."""
 
     def one(c: Column, i: Column) -> Column:
         v = _byte(h, i)
         new = F.when(c.between("0", "9"), F.char(F.lit(48) + F.pmod(v, F.lit(10)))).when(c.between("a", "z"), F.char(F.lit(97) + F.pmod(v, F.lit(letters)))).when(c.between("A", "Z"), F.char(F.lit(65) + F.pmod(v, F.lit(26)))).otherwise(c)
-        return new if keep is None else F.when(i < keep, c).otherwise(new)
+        return F.when(i < keep, c).otherwise(new)
 
     return F.array_join(F.transform(F.split(e, ""), one), "")
 
 
 def _pick(values: list[str], v: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), F.pmod(v, F.lit(len(values))).cast("int") + 1)
+    return F.split(F.lit(" ".join(values)), " ")[F.pmod(v, F.lit(len(values))).cast("int")]
 
 
 def _name(e: Column, h: Column, attempt: Column) -> Column:
     title = F.regexp_extract(e, rf"^(?:{_honorific})\b\.? ", 0)
-    parts = F.split(F.substring(e, F.length(title) + 1, F.length(e)), "[ -]")
+    return _let(title, lambda t: _let(F.split(F.substring(e, F.length(t) + 1, F.length(e)), "[ -]"), lambda words: _titled(e, h, attempt, t, words)))
+
+
+def _titled(e: Column, h: Column, attempt: Column, title: Column, words: Column) -> Column:
     bare = F.regexp_replace(title, r"\.? $", "")
-    first = parts[0]
-    cyrillic = e.rlike(r"\p{IsCyrillic}")
-    female = bare.isin(HONORIFIC_FEMALE) | (~bare.isin(HONORIFIC_MALE) & first.isin(FEMALE + FEMALE_CYRILLIC))
-    known = ~bare.isin(HONORIFIC_FEMALE + HONORIFIC_MALE) & ~first.isin(FEMALE + FEMALE_CYRILLIC + MALE + MALE_CYRILLIC)
+    female = bare.isin(HONORIFIC_FEMALE) | (~bare.isin(HONORIFIC_MALE) & words[0].isin(FEMALE + FEMALE_CYRILLIC))
+    known = ~bare.isin(HONORIFIC_FEMALE + HONORIFIC_MALE) & ~words[0].isin(FEMALE + FEMALE_CYRILLIC + MALE + MALE_CYRILLIC)
     either = F.pmod(_byte(h, F.lit(30)), F.lit(2)) == 0
-    woman = F.when(known, either).otherwise(female)
-    v = _byte(h, F.lit(0))
-    given = F.when(cyrillic & woman, _pick(FEMALE_CYRILLIC, v)).when(cyrillic, _pick(MALE_CYRILLIC, v)).when(woman, _pick(FEMALE, v)).otherwise(_pick(MALE, v))
-    places = F.transform(F.sequence(F.lit(1), F.lit(3) + attempt), lambda i: _byte(h, i))
-    family = F.initcap(F.array_join(F.transform(places, lambda p: F.when(cyrillic, _pick(SYLLABLES_CYRILLIC, p)).otherwise(_pick(SYLLABLES, p))), ""))
     gap = F.when(e.rlike(r"\p{L}-\p{L}"), "-").otherwise(" ")
-    return F.concat(title, F.when(F.size(parts) > 1, F.concat(given, gap, family)).otherwise(family))
+    places = F.sequence(F.lit(1), F.lit(3) + attempt)
+
+    def made(cyrillic: Column, woman: Column) -> Column:
+        v = _byte(h, F.lit(0))
+        given = F.when(cyrillic & woman, _pick(FEMALE_CYRILLIC, v)).when(cyrillic, _pick(MALE_CYRILLIC, v)).when(woman, _pick(FEMALE, v)).otherwise(_pick(MALE, v))
+        family = F.initcap(F.array_join(F.transform(places, lambda i: F.when(cyrillic, _pick(SYLLABLES_CYRILLIC, _byte(h, i))).otherwise(_pick(SYLLABLES, _byte(h, i)))), ""))
+        return _let(family, lambda f: F.concat(title, F.when(F.size(words) > 1, F.concat(given, gap, f)).otherwise(f)))
+
+    return _let(e.rlike(r"\p{IsCyrillic}"), lambda cyrillic: _let(F.when(known, either).otherwise(female), lambda woman: made(cyrillic, woman)))
 
 
 def _ip(e: Column, h: Column, attempt: Column) -> Column:
@@ -122,11 +131,13 @@ def _ip(e: Column, h: Column, attempt: Column) -> Column:
 
 def _card(e: Column, h: Column) -> Column:
     """The issuer's digit stays; a valid check digit is made valid again."""
-    new = _mapped(e, h, F.lit(1))
-    body = F.substring(new, F.lit(1), F.length(new) - 1)
-    ends = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string")))
-    valid = F.filter(ends, lambda c: F.expr("true") & F.call_function("luhn_check", F.regexp_replace(c, "[ -]", "")))
-    return F.when(F.call_function("luhn_check", F.regexp_replace(e, "[ -]", "")), valid[0]).otherwise(new)
+    luhn = lambda c: F.call_function("luhn_check", F.regexp_replace(c, "[ -]", ""))
+
+    def checked(new: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(F.substring(new, F.lit(1), F.length(new) - 1), d.cast("string")))
+        return F.when(luhn(e), F.filter(ends, luhn)[0]).otherwise(new)
+
+    return _let(_mapped(e, h, F.lit(1)), checked)
 
 
 def _email(e: Column, h: Column) -> Column:
@@ -143,23 +154,30 @@ def parts(match: Column) -> tuple[Column, Column]:
 
 
 def surrogate(e: Column, attempt: Column, key: str = KEY) -> Column:
-    kind = kind_of(e)
-    h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, e, attempt.cast("string")), 512)
+    def hashed(e: Column, attempt: Column, kind: Column) -> Column:
+        return _let(F.sha2(F.concat_ws("\x1f", F.lit(key), kind, e, attempt.cast("string")), 512), lambda h: _let(_made(e, attempt, kind, h), lambda made: _longer(attempt, kind, h, made)))
+
+    return _let(e, lambda e: _let(attempt, lambda attempt: _let(kind_of(e), lambda kind: hashed(e, attempt, kind))))
+
+
+def _made(e: Column, attempt: Column, kind: Column, h: Column) -> Column:
     dial = F.length(F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[^0-9])", 0))
-    made = (
+    keep = F.when(kind == "key", 4).when(kind == "iban", 2).when(kind == "phone", dial).otherwise(0)
+    letters = F.when((kind == "secret") & e.rlike("^[0-9a-f]+$"), 6).otherwise(26)
+    return (
         F.when(kind == "email", _email(e, h))
         .when(kind == "ip", _ip(e, h, attempt))
         .when(kind == "card", _card(e, h))
-        .when(kind == "key", _mapped(e, h, F.lit(4)))
-        .when(kind == "iban", _mapped(e, h, F.lit(2)))
-        .when(kind == "phone", _mapped(e, h, dial))
         .when(kind == "name", _name(e, h, attempt))
-        .when(e.rlike("^[0-9a-f]+$"), _mapped(e, h, letters=6))
-        .otherwise(_mapped(e, h))
+        .otherwise(_let(keep, lambda keep: _let(letters, lambda letters: _mapped(e, h, keep, letters))))
     )
-    # a format that has no free values left (say, one-letter addresses) grows by a few characters
-    longer = F.substring(h, F.lit(1), attempt)
-    return F.when(attempt <= FREE, made).when(kind == "email", F.concat(longer, made)).when((kind == "name") | ((kind == "ip") & (attempt <= 4 * FREE)), made).otherwise(F.concat(made, F.lit("-"), longer))
+
+
+def _longer(attempt: Column, kind: Column, h: Column, made: Column) -> Column:
+    """A format that has no free values left (say, one-letter addresses) grows by a few characters."""
+    more = F.substring(h, F.lit(1), attempt)
+    as_is = (attempt <= FREE) | (kind == "name") | ((kind == "ip") & (attempt <= 4 * FREE))
+    return F.when(as_is, made).when(kind == "email", F.concat(more, made)).otherwise(F.concat(made, F.lit("-"), more))
 
 
 def _by_marks(text: Column, f) -> Column:
