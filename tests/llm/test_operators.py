@@ -82,6 +82,11 @@ def test_substring_dedup_equals_brute_force(docs, odd):
         assert sorted(collected(substring_dedup.digest(substring_dedup.substring_dedup(frame)))) == brute_windows(rows)
 
 
+def test_runs_of_one_word_that_fills_a_long_text():
+    start, count, _, _ = substring_dedup.runs(np.zeros(1_000_000, dtype=np.uint64))
+    assert count.sum() == 1_000_000 - substring_dedup.LENGTH + 1 and (start == np.arange(len(start))).all()
+
+
 def test_substring_dedup_of_repeating_text(spark, empty):
     rows = [(1, "a b " * 40), (2, "c " * 35), (3, "d " * 36), (4, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")

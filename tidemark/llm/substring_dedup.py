@@ -90,18 +90,11 @@ def runs(words: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.
     width = length - seed + 1
     least = _slide(grams, width, np.minimum)
     # the leftmost place of the least hash: from the right, the nearest place at or after p that equals least[p]
-    order = np.lexsort((first, grams))
-    place = np.empty(len(least), dtype=np.int64)
-    lo = np.arange(len(least))
-    ranked = np.searchsorted(grams[order], least)  # first rank of that value
-    rank_of = np.empty(len(grams), dtype=np.int64)
-    rank_of[order] = np.arange(len(grams))
-    place = order[ranked]
-    for p in np.flatnonzero((place < lo) | (place >= lo + width)):  # a value that occurs more than once in the text
-        k = ranked[p]
-        while order[k] < p:
-            k += 1
-        place[p] = order[k]
+    order = np.argsort(grams, kind="stable")
+    ranked = grams[order]
+    group = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
+    wanted = group[np.searchsorted(ranked, least)] * n + np.arange(len(least))
+    place = order[np.searchsorted(group * n + order, wanted)]
     cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.concatenate([cut, [len(place)]]))
     cover = Ranges(words, _B1).of(cut, cut + count + length - 1)
