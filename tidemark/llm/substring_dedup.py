@@ -153,11 +153,13 @@ def factors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start, windows, ref_doc, ref_start: windows [start, start + windows) of doc_id occur at ref_start of ref_doc."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     every = materialise(_all_runs(docs, length), "rlz-runs")
-    shared = every.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    # written, so that both sides of the joins by seed are plain exchanges, whose hot partitions are split
+    shared = materialise(every.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "rlz-shared")
     known = materialise(every.join(shared, "seed", "left_semi"), "rlz-known")
     place = F.struct("doc_id", "start")
     index = known.groupBy("seed", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    split = index.where("n = 1").select("seed").distinct().withColumn("split", F.lit(True))
+    index = materialise(index, "rlz-covers")
+    split = materialise(index.where("n = 1").select("seed").distinct().withColumn("split", F.lit(True)), "rlz-split")
     index = materialise(index.join(split, "seed", "left"), "rlz-index")
     parsed = known.join(index, ["seed", "cover"])
     ref = F.when(F.col("first") == place, F.col("last")).otherwise(F.col("first"))
