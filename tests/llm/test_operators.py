@@ -82,6 +82,14 @@ def test_substring_dedup_equals_brute_force(docs, odd):
         assert sorted(collected(substring_dedup.digest(substring_dedup.substring_dedup(frame)))) == brute_windows(rows)
 
 
+def test_toxicity_of_two_models_in_the_same_workers(spark):
+    docs = spark.createDataFrame([(i, "zork blick " * 20 if i % 2 else "fern moss " * 20) for i in range(400)], "doc_id long, text string").repartition(4)
+    for toxic_is in (1, 0, 1):
+        labels = docs.select("doc_id", (F.col("doc_id") % 2 == toxic_is).cast("int").alias("toxic"))
+        wrong = toxicity.score(docs, labels).join(labels, "doc_id").where("predicted <> toxic")
+        assert wrong.count() == 0
+
+
 def test_runs_of_one_word_that_fills_a_long_text():
     start, count, _, _ = substring_dedup.runs(np.zeros(1_000_000, dtype=np.uint64))
     assert count.sum() == 1_000_000 - substring_dedup.LENGTH + 1 and (start == np.arange(len(start))).all()

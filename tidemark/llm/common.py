@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_held: dict = {}
 
 #: Class of the white space that the text contracts name, as a regular expression for Java and Python.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -51,6 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def worker_state(key: tuple, make):
+    """What a Python worker keeps between tasks, under a key that names its contents. Workers outlive stages, so that only one entry is kept."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) long -> (node, component): each node that has an edge with the smallest node it reaches.
 

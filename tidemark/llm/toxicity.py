@@ -14,6 +14,7 @@ the curve's value there. Without labels of both classes every score is the smoot
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_state
+
 ORDER = 6
 DISCOUNT = 0.75
 MAX_DOCS = 4000
@@ -93,6 +96,13 @@ class Model:
         total = np.add.reduceat(value, np.cumsum(n) - n)
         return np.sign(total) * np.maximum(np.abs(total) - NOISE, 0)
 
+    def key(self) -> str:
+        """Names what words() depends on."""
+        whole = hashlib.sha1()
+        for x in (self.grams, self.gram_value, self.contexts, self.context_value):
+            whole.update(len(x).to_bytes(8, "little") + x.tobytes())
+        return whole.hexdigest()
+
     def score(self, mean: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * mean + self.intercept, -500, 500)))
 
@@ -145,9 +155,6 @@ def fit_curve(mean: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 0)), float(beta[1])
 
 
-_scorers: dict[int, dict[str, float]] = {}
-
-
 def _mean(model: Model, texts: list[str | None], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     """Difference of log likelihoods per word, and number of words, of each text."""
     split = [words_of(t) for t in texts]
@@ -164,10 +171,10 @@ def _mean(model: Model, texts: list[str | None], cache: dict[str, float]) -> tup
 
 def _scores(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """columns of docs, and mean (difference per word), n_words."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, key = docs.sparkSession.sparkContext.broadcast(model), model.key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _scorers.setdefault(held.id if hasattr(held, "id") else 0, {})
+        cache = worker_state(("toxicity", key), dict)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
@@ -234,10 +241,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) ->
     model = fit(docs, labels, max_docs)
     # a text is scored where it lies, with its row: nothing is joined back by id
     names = [c for c in docs.columns if c != "text"]
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, key = docs.sparkSession.sparkContext.broadcast(model), model.key()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _scorers.setdefault(held.id if hasattr(held, "id") else 0, {})
+        cache = worker_state(("toxicity", key), dict)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
