@@ -10,6 +10,7 @@ the ids, so the result doesn't change when a task runs again. Repeated rows are
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, worker_state
 
 LENGTH = 2048
 END_ID = 1
-#: Entries of a worker's cache of encoded chunks; about 250 bytes each.
-CACHE_ENTRIES = 1_000_000
-_workers: dict = {}
+#: Entries of a worker's cache of encoded chunks, about 200 bytes each; a chunk goes in when it is met in a second slice.
+CACHE_ENTRIES = 690_000
+#: Characters of a slice of texts (at least one text), and strings given to the tokenizer at once: its results are much larger than the ids.
+SLICE_CHARS = 2_000_000
+RAW_STRINGS = 8192
 
 
 class CachedTokenizer:
@@ -43,12 +46,39 @@ class CachedTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = self.tokenizer.get_vocab_size() > 65_536
         self.cache: dict[str, bytes] = {}
+        self.met = bytearray(1 << 22)  # by hash: a collision lets a chunk in early
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        kind = "I" if self.wide else "H"
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str], at_once: int) -> list[bytes]:
+        kind, out = "I" if self.wide else "H", []
+        for lo in range(0, len(texts), at_once):
+            out += [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[lo : lo + at_once], add_special_tokens=False)]
+        return out
+
+    def _settle(self, extra: dict[str, bytes]) -> None:
+        """Of the chunks new in a slice, which lie in the cache, keep those met before."""
+        cache, met, last = self.cache, self.met, len(self.met) - 1
+        room = CACHE_ENTRIES - len(cache) + len(extra)
+        for chunk in extra:
+            h = hash(chunk) & last
+            if met[h] and room > 0:
+                room -= 1
+            else:
+                met[h] = 1
+                del cache[chunk]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        lo = 0
+        while lo < len(texts):
+            hi, chars = lo + 1, len(texts[lo])
+            while hi < len(texts) and chars + len(texts[hi]) <= SLICE_CHARS:
+                chars += len(texts[hi])
+                hi += 1
+            out += self._slice(texts[lo:hi])
+            lo = hi
+        return out
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         plain, whole = [], []
         for k, t in enumerate(texts):
@@ -60,27 +90,24 @@ class CachedTokenizer:
                     whole.append(k)
                 else:
                     plain.append((k, parts))
-        cache = self.cache
-        new = list({p for _, parts in plain for p in parts if p not in cache})
-        extra = dict(zip(new, self._raw(new))) if new else {}
-        if len(cache) + len(extra) <= CACHE_ENTRIES:
-            cache.update(extra)
-            extra = {}
-        get = cache.__getitem__ if not extra else lambda p: cache[p] if p in cache else extra[p]
+        cache, met = self.cache, set()
+        for _, parts in plain:
+            met.update(parts)
+        new = list(met.difference(cache))
+        extra = dict(zip(new, self._raw(new, RAW_STRINGS)))
+        cache.update(extra)
+        get = cache.__getitem__
         for k, parts in plain:
             out[k] = b"".join(map(get, parts))
-        for k, ids in zip(whole, self._raw([texts[k] for k in whole]) if whole else []):
+        for k, ids in zip(whole, self._raw([texts[k] for k in whole], 16)):
             out[k] = ids
+        self._settle(extra)
         return out
 
 
 def _tokenizer(path: str) -> CachedTokenizer:
-    if path not in _workers:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _workers[path] = CachedTokenizer(path)
-    return _workers[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return worker_state(("packing", path), lambda: CachedTokenizer(path))
 
 
 def default_tokenizer() -> str:
