@@ -28,7 +28,7 @@ END_ID = 1
 #: Entries of a worker's cache of encoded chunks, about 200 bytes each; a chunk goes in when it is met in a second slice.
 CACHE_ENTRIES = 690_000
 #: Characters of a slice of texts (at least one text), and strings given to the tokenizer at once: its results are much larger than the ids.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 RAW_STRINGS = 8192
 
 
