@@ -16,4 +16,4 @@ QUERIES = {
     "op9_pii": pii.QUERY,
     "op10_simhash": simhash.QUERY,
 }
-ORACLES = {"op8_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op2_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL}

@@ -177,3 +177,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 QUERY = lambda spark, sf_dir: digest(roundtrip(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+#: Base32 takes the 160 bits of the digest five at a time: four symbols of each five hexadecimal digits.
+SQL = """
+WITH own AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+newest AS (SELECT h, max(page_id) AS newest FROM own GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
+FROM own JOIN newest USING (h)
+"""
