@@ -367,3 +367,12 @@ def test_no_row_is_lost_in_large_batches(spark):
     pages = many.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
     results = [sentencepiece_viterbi.roundtrip(many), sentencepiece_viterbi.encode_documents(many), packing.pack(many).select("doc_id").distinct(), toxicity.score(many, labels), html_extract.extract(pages), substring_dedup.substring_dedup(many), simhash.fingerprints(many), exact_dedup.exact_dedup(many), warc.roundtrip(pages)]
     assert [r.count() for r in results] == [6000] * 9
+
+
+def test_near_duplicates_keep_rows_without_ids(spark):
+    base = " ".join(f"b{k}" for k in range(300))
+    rows = [(None, "a clean text without an id"), (None, base), (None, base), (7, PASSAGE), (None, PASSAGE), (9, "eins zwei drei vier fünf"), (9, "ganz andere worte stehen hier")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, rows[0][1]), (0, base), rows[3], rows[5], rows[6]])

@@ -207,21 +207,39 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFr
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _labelled(own: DataFrame, radius: int, cell: int) -> DataFrame:
+    """own: doc_id, fp. fp, least_id, root: one row for each fingerprint, with the fingerprint that names its component."""
+    classes = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = connected_components(links(classes.select("fp"), radius, cell))
+    return classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id of the component): one row for each row of docs."""
     own = materialise(fingerprints(docs, shingle), "simhash-fps")
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    nodes = connected_components(links(classes.select("fp"), radius, cell))
-    labelled = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    labelled = _labelled(own, radius, cell)
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(own: DataFrame, roots: DataFrame, on: str) -> DataFrame:
+    """The row of own with the smallest doc_id, nulls last, of each root. own: written, with _row; roots: on, root."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")).getField("_row")
+    keep = own.select("doc_id", F.xxhash64("text").alias("_hash"), "_row", on).join(roots, on).groupBy("root").agg(first.alias("_row")).select("_row")
+    return own.join(keep, "_row", "left_semi")
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component."""
-    found = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_keep"), "left_semi")
+    """One row of docs for each component, all columns unchanged: that of the smallest doc_id; null ids come last and stay if there is no other."""
+
+    @F.arrow_udf("long")
+    def fp(text: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in text], dtype=np.uint64).view(np.int64))
+
+    own = materialise(docs.withColumns({"fp_": fp(F.col("text").cast("string")), "_row": F.monotonically_increasing_id()}), "simhash-rows")
+    roots = _labelled(own.select("doc_id", F.col("fp_").alias("fp")), radius, CELL).select(F.col("fp").alias("fp_"), "root")
+    return one_of_each(own, roots, "fp_").select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
