@@ -376,3 +376,12 @@ def test_near_duplicates_keep_rows_without_ids(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, rows[0][1]), (0, base), rows[3], rows[5], rows[6]])
+
+
+def test_pii_secrets_after_keywords_in_capitals(spark):
+    given = ["TOKEN = \"9233A8ECF7C5B09FE5949719B6B82BC0A1B2C3D4\"", "API_KEY=abcdef123456", "Password: Hunter2Hunter2", "my_Secret='q1w2e3r4t5'"]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    for r in pii.replace_pii(df).collect():
+        value = re.search(r"[\w]{9,}(?=['\"]?$)", given[r["doc_id"]])[0]
+        before = given[r["doc_id"]].split(value)[0]
+        assert r["_pii_entities"] == 1 and value not in r["text"] and r["text"].startswith(before) and len(r["text"]) == len(given[r["doc_id"]])

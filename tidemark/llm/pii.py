@@ -38,7 +38,7 @@ _given = "|".join(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)
 _honorific = "|".join(sorted(HONORIFIC_FEMALE + HONORIFIC_MALE + HONORIFIC_ANY, key=len, reverse=True))
 _name_word = r"\p{Lu}\p{Ll}{1,30}"
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_keyword = r"(?:password|passwd|pwd|token|secret|api_key|apikey|access_key)[\x22']?\s{0,2}[=:]\s{0,2}[\x22']?"
+_keyword = r"(?i:password|passwd|pwd|token|secret|api_key|apikey|access_key)[\x22']?\s{0,2}[=:]\s{0,2}[\x22']?"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9_%+.\-])[A-Za-z0-9_%+.\-]++(?<!\.)@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -53,7 +53,7 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:(?:{_honorific})\.? {_name_word}(?:[ \-]{_name_word})?|(?:{_given}) {_name_word})",
 }
 # the first character tells which patterns can match there
-_by_start = [("[0-9+(]", ("ip", "card", "ssn", "phone")), ("[A-ZА-Я]", ("key", "iban", "name")), ("[ptsa]", ("secret",))]
+_by_start = [("[0-9+(]", ("ip", "card", "ssn", "phone")), ("[A-ZА-Я]", ("key", "iban", "name")), ("[ptsaPTSA]", ("secret",))]
 PATTERN = "|".join([PATTERNS["email"], *(rf"(?={start})(?:{'|'.join(PATTERNS[k] for k in kinds)})" for start, kinds in _by_start)])
 #: A text with none of these characters can only hold names and keys, which start with a capital letter.
 _MARKS = "[0-9@=:]"
