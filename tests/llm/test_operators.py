@@ -385,3 +385,11 @@ def test_pii_secrets_after_keywords_in_capitals(spark):
         value = re.search(r"[\w]{9,}(?=['\"]?$)", given[r["doc_id"]])[0]
         before = given[r["doc_id"]].split(value)[0]
         assert r["_pii_entities"] == 1 and value not in r["text"] and r["text"].startswith(before) and len(r["text"]) == len(given[r["doc_id"]])
+
+
+def test_pii_long_secrets_are_replaced_whole(spark):
+    value = base64.b64encode(np.random.default_rng(6).bytes(750)).decode()
+    df = spark.createDataFrame([(1, f"token={value} and more")], "doc_id long, text string")
+    r = pii.replace_pii(df).first()
+    made = re.fullmatch(r"token=(\S{1000}) and more", r["text"])[1]
+    assert r["_pii_entities"] == 1 and not any(value[k : k + 20] in made for k in range(981))

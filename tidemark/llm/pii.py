@@ -43,7 +43,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9_%+.\-])[A-Za-z0-9_%+.\-]++(?<!\.)@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     # the keyword is part of the match and stays
-    "secret": _keyword + r"[A-Za-z0-9+/_.\-]{8,200}",
+    "secret": _keyword + r"[A-Za-z0-9+/_.\-]{8,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_octet}(?:\.{_octet}){{3}}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])",
