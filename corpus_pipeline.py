@@ -1,4 +1,7 @@
-"""The training-data pipeline: documents -> toxicity -> exact copies -> near copies -> personal data -> packed sequences.
+"""The training-data pipeline: documents -> toxicity -> exact copies -> fingerprints -> personal data -> near copies -> packed sequences.
+
+The simhash stage takes what op10's rule links: fingerprints of four-word shingles within four bits. The near_copies stage takes what that leaves:
+all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Each stage takes (spark, docs, sf_dir) and gets what the one before it wrote. All but the last return the columns of documents.
 """
@@ -7,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, packing, pii, simhash, toxicity
+from tidemark.llm import exact_dedup, near_copies, packing, pii, simhash, toxicity
 from tidemark.llm.common import materialise, table
 
 
@@ -27,6 +30,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact_documents(docs)
 
 
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_copies.drop_near_copies(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs))
 
@@ -36,6 +43,7 @@ STAGES = [
     ("exact_dedup", exact_dedup_stage),
     ("simhash", simhash_stage),
     ("pii", pii_stage),
+    ("near_copies", near_copies_stage),
     ("packing", packing_stage),
 ]
 

@@ -393,3 +393,32 @@ def test_pii_long_secrets_are_replaced_whole(spark):
     r = pii.replace_pii(df).first()
     made = re.fullmatch(r"token=(\S{1000}) and more", r["text"])[1]
     assert r["_pii_entities"] == 1 and not any(value[k : k + 20] in made for k in range(981))
+
+
+def test_near_copies_equal_brute_force(spark, docs):
+    from tidemark.llm import near_copies
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(None, PASSAGE + " end"), (None, PASSAGE), (1000, None), (1001, " "), (None, "one two three"), (1002, "One two  three")]
+    sets = [{b" ".join(w[p : p + 5]) for p in range(max(1, len(w) - 4))} for w in (words(t, True) for _, t in rows)]
+    label = list(range(len(rows)))
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                label = [label[i] if k == label[j] else k for k in label]
+    best = {}
+    for k, (i, _) in zip(label, rows):
+        best[k] = min(best.get(k, 1 << 60), 1 << 59 if i is None else i)
+    frame = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = near_copies.drop_near_copies(frame)
+    assert kept.columns == frame.columns
+    assert sorted(1 << 59 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted(best.values())
+    assert near_copies.drop_near_copies(frame.where("false")).isEmpty()
+
+
+def test_pipeline_keeps_no_near_copies(spark, sf):
+    import corpus_pipeline
+
+    near = table(spark, sf, "documents").where("doc_id in (1, 177)")  # similarity 0.83, nine bits apart
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        near = stage(spark, near, sf)
+    assert [r["doc_id"] for r in near.collect()] == [1]

@@ -1,0 +1,98 @@
+"""Near copies by exact Jaccard similarity of word shingles.
+
+Two texts are linked if their sets of five-word shingles (ASCII letters in lower case, 64-bit hashes) have a similarity of 4/5 at least. Such
+sets share one of the first n // 5 + 1 of their n shingles in any order that holds for all texts, so only those are exchanged. In the order used,
+shingles that are common in a sample come last: the sample decides the cost, never the result. Pairs that share a shingle and pass the bounds
+on size and place are compared by their complete sets.
+
+Texts of one to four words have their whole sequence as one shingle, texts without words (null and empty ones too) a common one. Rows that
+share a doc_id are separate rows. The cost grows with the pairs of a group of near copies, so simhash should have taken most of a large one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import connected_components, materialise
+from .substring_dedup import _B1, Ranges, word_hashes
+
+SHINGLE = 5
+#: Rows whose shingles are counted, and how often a common one occurs there.
+SAMPLE, COMMON, MOST_COMMON = 4096, 4, 50_000
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    words = word_hashes(np.frombuffer((text or "").encode().translate(_LOWER), dtype=np.uint8))
+    if not len(words):
+        return np.zeros(1, dtype=np.int64)
+    first = np.arange(max(1, len(words) - shingle + 1))
+    return np.unique(Ranges(words, _B1).of(first, np.minimum(first + shingle, len(words))).view(np.int64))
+
+
+def _prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
+    """rows: _row, text. key, _row, n, place: the shingles of each row that a near copy has one of."""
+    names = ["key", "_row", "n", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                out: list[list[np.ndarray]] = [[] for _ in names]
+                for row, text in zip(part.column(0).to_pylist(), part.column(1)):
+                    own = shingles(text.as_py())
+                    n = len(own)
+                    late = np.isin(own, common)
+                    keys = np.concatenate([own[~late], own[late]])[: n // 5 + 1]
+                    for c, x in zip(out, (keys, np.full(len(keys), row), np.full(len(keys), n), np.arange(len(keys)))):
+                        c.append(x)
+                if out[0]:
+                    cols = [np.concatenate(c) for c in out]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=names)
+
+    return rows.mapInArrow(run, "key long, _row long, n int, place int")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()) for t in part.column(1)], pa.list_(pa.int64()))], names=["_row", "own"])
+
+    return rows.mapInArrow(run, "_row long, own array<long>")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """rows: _row, text; written. a, b: all pairs of near copies."""
+    every = max(1, rows.count() // SAMPLE)
+    some = _sets(rows.where(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0)).select(F.explode("own").alias("key"))
+    common = some.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
+    keys = materialise(_prefixes(rows, common.select("key").toArrow()["key"].to_numpy()), "near-keys")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    known = materialise(keys.join(shared, "key", "left_semi"), "near-known")
+    a = known.select("key", F.col("_row").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    b = known.select("key", F.col("_row").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    # intersection / union >= 4/5 is 9 * intersection >= 4 * (na + nb); the first shared shingle bounds the intersection by what follows it
+    pairs = a.join(b, "key").where("a < b and 9 * least(na - pa, nb - pb) >= 4 * (na + nb)").select("a", "b").distinct()
+    pairs = materialise(pairs, "near-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    sets = materialise(_sets(rows.join(asked, "_row", "left_semi").select("_row", "text")), "near-sets")
+    both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("_row").alias("b"), F.col("own").alias("y")), "b")
+    return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of near copies, all columns unchanged: that of the smallest doc_id, nulls last."""
+    own = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    nodes = connected_components(links(own.select("_row", F.col("text").cast("string").alias("text"))))
+    linked = own.select("doc_id", F.xxhash64("text").alias("_hash"), "_row").join(nodes.withColumnRenamed("node", "_row"), "_row")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")).getField("_row").alias("_first"))
+    gone = linked.join(first, "component").where("_row <> _first").select("_row")
+    return own.join(gone, "_row", "left_anti").select(*docs.columns)
