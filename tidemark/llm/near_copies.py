@@ -2,8 +2,8 @@
 
 Two texts are linked if their sets of five-word shingles (ASCII letters in lower case, 64-bit hashes) have a similarity of 4/5 at least. Such
 sets share one of the first n // 5 + 1 of their n shingles in any order that holds for all texts, so only those are exchanged. In the order used,
-shingles that are common in a sample come last: the sample decides the cost, never the result. Pairs that share a shingle and pass the bounds
-on size and place are compared by their complete sets.
+shingles that are common in a sample come last: the sample decides the cost, never the result. Shared shingles are counted for each pair; where
+the count and all that is outside the exchanged parts could still make up the similarity, the complete sets are compared.
 
 Texts of one to four words have their whole sequence as one shingle, texts without words (null and empty ones too) a common one. Rows that
 share a doc_id are separate rows. The cost grows with the pairs of a group of near copies, so simhash should have taken most of a large one.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, forget, materialise
 from .substring_dedup import _B1, Ranges, word_hashes
 
 SHINGLE = 5
@@ -37,8 +37,8 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """rows: _row, text. key, _row, n, place: the shingles of each row that a near copy has one of."""
-    names = ["key", "_row", "n", "place"]
+    """rows: _row, text. key, _row, n: the shingles of each row that a near copy has one of."""
+    names = ["key", "_row", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,13 +50,13 @@ def _prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
                     n = len(own)
                     late = np.isin(own, common)
                     keys = np.concatenate([own[~late], own[late]])[: n // 5 + 1]
-                    for c, x in zip(out, (keys, np.full(len(keys), row), np.full(len(keys), n), np.arange(len(keys)))):
+                    for c, x in zip(out, (keys, np.full(len(keys), row), np.full(len(keys), n))):
                         c.append(x)
                 if out[0]:
                     cols = [np.concatenate(c) for c in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32))], names=names)
 
-    return rows.mapInArrow(run, "key long, _row long, n int, place int")
+    return rows.mapInArrow(run, "key long, _row long, n int")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -77,11 +77,13 @@ def links(rows: DataFrame) -> DataFrame:
     keys = materialise(_prefixes(rows, common.select("key").toArrow()["key"].to_numpy()), "near-keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     known = materialise(keys.join(shared, "key", "left_semi"), "near-known")
-    a = known.select("key", F.col("_row").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    b = known.select("key", F.col("_row").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    # intersection / union >= 4/5 is 9 * intersection >= 4 * (na + nb); the first shared shingle bounds the intersection by what follows it
-    pairs = a.join(b, "key").where("a < b and 9 * least(na - pa, nb - pb) >= 4 * (na + nb)").select("a", "b").distinct()
-    pairs = materialise(pairs, "near-pairs")
+    forget(keys)
+    a = known.select("key", F.col("_row").alias("a"), F.col("n").alias("na"))
+    b = known.select("key", F.col("_row").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, "key").where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("m"))
+    # intersection / union >= 4/5 is 9 * intersection >= 4 * (na + nb); what is shared past the part that ends first lies outside that part
+    pairs = materialise(met.where("9 * (m + greatest(na - na div 5 - 1, nb - nb div 5 - 1)) >= 4 * (na + nb)").select("a", "b"), "near-pairs")
+    forget(known)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
     sets = materialise(_sets(rows.join(asked, "_row", "left_semi").select("_row", "text")), "near-sets")
     both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("_row").alias("b"), F.col("own").alias("y")), "b")
