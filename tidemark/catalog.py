@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions import calendar, text
 from .operators import baselines, chunks, evaluate, filters, parse, patterns, resample, retrieve, stats
-from .plans.windows import windows_of
+from .plans import pipeline
+from .plans.windows import recent_span, target_window, windows_of
 from .sources import readings
-from .spec import AnomalyConfig, Filters, RetrievalConfig, SeriesSpec
+from .spec import AnomalyConfig, EvaluationConfig, Filters, RetrievalConfig, SeriesSpec
 
 E = SeriesSpec("ts", "event_type", ("value",), "event_id")
 O = SeriesSpec("o_orderdate", "o_orderpriority", ("o_totalprice",), "o_orderkey")  # noqa: E741
@@ -151,6 +153,50 @@ def dataset_now(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(retrieve.now_iso(table(spark, sf, "orders"), O),)], "now string")
 
 
+@query(found_sql("O", "long_term") + """, d AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY ts ORDER BY ret_score DESC, block_rank, lag, series, key) = 1)
+  SELECT ret_block, lag::INT AS lag, ts, series, key, value, round(ret_score, 9) AS ret_score FROM d ORDER BY d.ret_score DESC, ts, series, key LIMIT 5000""")
+def retrieve_one_for_each_time(spark: SparkSession, sf: str) -> DataFrame:
+    r = retrieve.retrieve(table(spark, sf, "orders"), O, "long_term", cfg=RetrievalConfig(compat=True))
+    return shown(r.combined, O)
+
+
+def _at_times(name: str, clock: str, keeps: bool) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return retrieve.retrieve(table(spark, sf, "orders"), O, "short_term", Filters(times=(clock,))).counts
+
+    QUERIES[name] = run
+    rule = "" if keeps else " WHERE ret_block NOT IN ('prior_years_same_dates', 'prior_years_same_week')"
+    ORACLES[name] = found_sql("O", "short_term") + f" SELECT ret_block, count(*) AS n_rows FROM found{rule} GROUP BY ret_block"
+
+
+_at_times("retrieve_at_near_times", "00:20", True)  # orders are dated at midnight
+_at_times("retrieve_at_far_times", "09:00:00", False)
+
+
+@query("SELECT max(o_orderdate) AS anchor FROM orders WHERE upper(o_orderpriority) = '1-URGENT'")
+def anchor_of_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(retrieve.anchor_of(table(spark, sf, "orders"), O, ("1-urgent",)),)], "anchor timestamp_ntz")
+
+
+@query(found_sql("O", "short_term") + """, d AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY ts, series ORDER BY ret_score DESC, block_rank, lag, key) = 1), c AS (SELECT * FROM d ORDER BY d.ret_score DESC, ts, series, key LIMIT 5000)
+  SELECT series, 'o_totalprice' AS metric, round(sum(value * ret_score) / sum(ret_score), 6) AS forecast, count(*) AS n_same_slot, count(*) AS n_evidence FROM c GROUP BY 1""")
+def forecast_from_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    r, s = found(spark, sf, "O", "short_term")
+    return rounded(pipeline.forecast(r, s, datetime(2001, 8, 1)))
+
+
+@query("SELECT * FROM (VALUES ('none', NULL::TIMESTAMP, NULL::TIMESTAMP), ('day', TIMESTAMP '2024-05-01', NULL), ('day and time', TIMESTAMP '2024-05-01 09:30', NULL), ('time inside', TIMESTAMP '2024-05-01 23:30', NULL), ('range', TIMESTAMP '2024-05-01', TIMESTAMP '2024-05-03'), ('parts', TIMESTAMP '2024-02-29 08:00', NULL), ('no such day', NULL, NULL), ('given', TIMESTAMP '2024-01-01 05:00', TIMESTAMP '2024-01-01 07:00')) t(name, lo, hi)")
+def target_windows(spark: SparkSession, sf: str) -> DataFrame:
+    given = {"none": Filters(), "day": Filters(date_start="2024-05-01"), "day and time": Filters(date_start="2024-05-01", times=("09:30",)), "time inside": Filters(date_start="2024-05-01T23:30:00"), "range": Filters(date_start="2024-05-01", date_end="2024-05-03"), "parts": Filters(years=(2024,), months=(2,), days=(29,), times=("08:00",)), "no such day": Filters(years=(2023,), months=(2,), days=(29,)), "given": Filters(start_time="2024-01-01 05:00", end_time="2024-01-01 07:00")}
+    return spark.createDataFrame([(n, *target_window(f)) for n, f in given.items()], "name string, lo timestamp_ntz, hi timestamp_ntz")
+
+
+@query("SELECT * FROM (VALUES ('15min', false, 72), ('30 minutes', false, 96), ('hourly', false, 168), ('daily', false, 8760), ('weekly', false, 168), ('hourly', true, 168), ('daily', true, 168), ('30min', true, 96)) t(freq, compat, hours)")
+def recent_spans(spark: SparkSession, sf: str) -> DataFrame:
+    asked = [("15min", False), ("30 minutes", False), ("hourly", False), ("daily", False), ("weekly", False), ("hourly", True), ("daily", True), ("30min", True)]
+    return spark.createDataFrame([(f, c, int(recent_span(f, RetrievalConfig(compat=c)).total_seconds() // 3600)) for f, c in asked], "freq string, compat boolean, hours int")
+
+
 # --- predicates ---------------------------------------------------------------------------------------------------
 
 
@@ -181,6 +227,35 @@ def metric_detection(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(",".join(sorted(filters.metric_columns(table(spark, sf, "lineitem")))),)], "metrics string")
 
 
+@query("SELECT o_orderdate AS ts, min(o_totalprice) AS value FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1")
+def history_before(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.history(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", datetime(1998, 1, 1))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE upper(o_orderpriority) IN ('5-LOW', '3-MEDIUM')")
+def filter_groups(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return filters.groups(filters.groups(o, "o_orderpriority", ("5-low", "3-Medium")), "no_such_column", ("x",))
+
+
+@query("SELECT event_id, event_type AS stage FROM events WHERE event_type = 'click'")
+def filter_stage(spark: SparkSession, sf: str) -> DataFrame:
+    return filters.stage(table(spark, sf, "events").select("event_id", F.col("event_type").alias("stage")), "click")
+
+
+@query("SELECT o_custkey AS query_id, o_totalprice - 1000 * round(o_totalprice / 1000) AS ground_truth FROM orders WHERE o_totalprice <> 1000 * round(o_totalprice / 1000) AND o_orderkey % 2 = 1")
+def nonzero_truth(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.when(F.col("o_orderkey") % 2 == 1, F.col("o_totalprice") - 1000 * F.round(F.col("o_totalprice") / 1000)).when(F.col("o_orderkey") % 4 == 0, 0.0)
+    return filters.nonzero_truth(table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), t.alias("ground_truth")))
+
+
+@query("SELECT 'balance,code,nationkey' AS metrics, 'name,balance' AS preferred")
+def metric_detection_of_texts(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("name") if "c_name" in table(spark, sf, "customer").columns else F.lit("x").alias("name"), F.col("c_acctbal").cast("string").alias("balance"), F.when(F.col("c_custkey") % 100 == 7, "12").otherwise("n/a").alias("code"), F.col("c_nationkey").alias("nationkey"))
+    found = sorted(m for m in filters.metric_columns(c) if m != "name")
+    return spark.createDataFrame([(",".join(found), ",".join(filters.preferred(c, ("name", "absent", "balance")).columns))], "metrics string, preferred string")
+
+
 # --- statistics ---------------------------------------------------------------------------------------------------
 
 _PCT = ", ".join(f"round(quantile_cont({{0}}, {p / 100}), 6) AS p{p}" for p in (1, 5, 10, 25, 50, 75, 90, 95, 99))
@@ -306,11 +381,23 @@ def first_groups(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.first_groups(table(spark, sf, "orders"), "o_orderpriority", 2).select("o_orderkey", "o_orderpriority")
 
 
-@query()
+_SEASON = "CASE WHEN {0} >= 0.5 THEN 'strong' WHEN {0} >= 0.3 THEN 'present' ELSE 'absent' END"
+
+
+@query(_Z + ", " + _GRID.format(3600).removeprefix("WITH ") + f""", c AS (SELECT series, slot, value - avg(value) OVER (PARTITION BY series) AS c FROM f), l AS (SELECT series, c, lag(c, 24) OVER w AS a, lag(c, 168) OVER w AS b FROM c WINDOW w AS (PARTITION BY series ORDER BY slot)),
+  s AS (SELECT series, sum(c * a) / sum(c * c) AS daily, sum(c * b) / sum(c * c) AS weekly FROM l GROUP BY 1), h AS (SELECT event_type AS series, floor(epoch_us(ts) / 3600000000)::BIGINT AS slot, avg(value) AS v FROM events GROUP BY 1, 2),
+  t AS (SELECT series, regr_slope(v, slot) AS slope FROM h GROUP BY 1), o AS (SELECT series, count(*) AS n FROM z WHERE abs(z) >= 3 GROUP BY 1)
+  SELECT t.series, 'value' AS metric, round(slope, 6) AS slope_per_hour, CASE WHEN abs(slope) > 0.15 THEN 'strong' WHEN abs(slope) >= 0.05 THEN 'moderate' WHEN abs(slope) >= 0.01 THEN 'weak' ELSE 'none' END AS trend_strength,
+  CASE WHEN abs(slope) < 0.01 THEN 'flat' WHEN slope > 0 THEN 'up' ELSE 'down' END AS trend_direction, {_SEASON.format('daily')} AS daily_season, {_SEASON.format('weekly')} AS weekly_season, coalesce(o.n, 0)::BIGINT AS n_anomalies FROM t JOIN s USING (series) LEFT JOIN o ON o.series = t.series""")
 def pattern_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(patterns.labels(long_events(spark, sf)))
 
 
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS time_idx FROM events")
+def time_index(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.numbered(table(spark, sf, "events"), "ts", ("event_type",), then=("event_id",)).select("event_id", "time_idx")
+
+
 @query("WITH s AS (SELECT o_orderpriority AS p, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY 1) SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS z FROM orders JOIN s ON p = o_orderpriority")
 def group_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.normalise(table(spark, sf, "orders"), "o_totalprice", ("o_orderpriority",)).select("o_orderkey", "z"))
@@ -384,6 +471,12 @@ def monthly_splits(spark: SparkSession, sf: str) -> DataFrame:
 # --- evaluation ---------------------------------------------------------------------------------------------------
 # orders by priority stand for models: question = customer, prediction = price, truth = the customer's balance
 
+def p_sql(z: str) -> str:
+    """The two-sided p of a standard normal in SQL, by Simpson's rule."""
+    x = f"least(abs({z}), 9.0)"
+    return f"CASE WHEN {z} IS NOT NULL THEN 1 - 0.7978845608028654 * ({x} / 600) * list_sum(list_transform(range(0, 201), lambda i: (CASE WHEN i = 0 OR i = 200 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (i * {x} / 200) * (i * {x} / 200)))) END"
+
+
 _ERRORS = """e AS (SELECT o_orderpriority AS model, o_custkey AS query_id, avg(abs(c_acctbal - o_totalprice) / abs(c_acctbal)) AS error FROM orders JOIN customer ON o_custkey = c_custkey WHERE abs(c_acctbal) > 0 GROUP BY 1, 2)"""
 _PAIRS = _ERRORS + ", p AS (SELECT a.model AS model_a, b.model AS model_b, query_id, a.error AS error_a, b.error AS error_b FROM e a JOIN e b USING (query_id) WHERE a.model < b.model)"
 
@@ -415,42 +508,67 @@ def reproducibility_cv(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("model", F.round("mean_cv", 6).alias("mean_cv"), F.round("mean_std", 4).alias("mean_std"), "n_queries")
 
 
-@query(f"WITH {_PAIRS}, d AS (SELECT *, error_a * error_a - error_b * error_b AS d FROM p) SELECT model_a, model_b, count(*) AS n, round(avg(d) / sqrt(var_samp(d) / count(*)), 6) AS dm FROM d GROUP BY 1, 2 HAVING count(*) >= 10")
+_DM = "d AS (SELECT *, error_a * error_a - error_b * error_b AS d FROM p), t AS (SELECT model_a, model_b, count(*) AS n, avg(d) / sqrt(var_samp(d) / count(*)) AS dm FROM d GROUP BY 1, 2 HAVING count(*) >= 10)"
+_HAC = "d AS (SELECT *, error_a - error_b AS d FROM p), l AS (SELECT *, lag(d) OVER (PARTITION BY model_a, model_b ORDER BY query_id) AS b FROM d), t AS (SELECT model_a, model_b, count(*) AS n, avg(d) / sqrt((var_samp(d) + covar_samp(d, b)) / count(*)) AS dm FROM l GROUP BY 1, 2 HAVING count(*) >= 4)"
+_SIGNED = """sd AS (SELECT model_a, model_b, error_a - error_b AS d FROM p WHERE error_a <> error_b), sr AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY model_a, model_b, abs(d)) AS t FROM sd),
+  ss AS (SELECT model_a, model_b, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS statistic, sum(t * t - 1) AS ties FROM sr GROUP BY 1, 2 HAVING count(*) >= 10),
+  sw AS (SELECT *, (statistic - n * (n + 1) / 4.0) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48.0) AS z FROM ss)"""
+
+
+@query(f"WITH {_PAIRS}, {_DM} SELECT model_a, model_b, n, round(dm, 6) AS dm, round({p_sql('dm')}, 6) AS p_value FROM t")
 def diebold_mariano(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.diebold_mariano(evaluate.pairs(_errors(spark, sf))).where("dm is not null").drop("p_value"))
+    return rounded(evaluate.diebold_mariano(evaluate.pairs(_errors(spark, sf))).where("dm is not null"))
 
 
-@query(f"WITH {_PAIRS}, d AS (SELECT *, error_a - error_b AS d FROM p), l AS (SELECT *, lag(d) OVER (PARTITION BY model_a, model_b ORDER BY query_id) AS b FROM d) SELECT model_a, model_b, count(*) AS n, round(avg(d) / sqrt((var_samp(d) + covar_samp(d, b)) / count(*)), 6) AS dm FROM l GROUP BY 1, 2 HAVING count(*) >= 4")
+@query(f"WITH {_PAIRS}, {_HAC} SELECT model_a, model_b, n, round(dm, 6) AS dm, round({p_sql('dm')}, 6) AS p_value FROM t")
 def diebold_mariano_hac(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.diebold_mariano(evaluate.pairs(_errors(spark, sf)), absolute=True).where("dm is not null").drop("p_value"))
+    return rounded(evaluate.diebold_mariano(evaluate.pairs(_errors(spark, sf)), absolute=True).where("dm is not null"))
 
 
-@query(f"""WITH {_PAIRS}, d AS (SELECT model_a, model_b, error_a - error_b AS d FROM p WHERE error_a <> error_b), r AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0 AS r FROM d)
-  SELECT model_a, model_b, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS statistic FROM r GROUP BY 1, 2 HAVING count(*) >= 10""")
+@query(f"WITH {_PAIRS}, {_SIGNED} SELECT model_a, model_b, n, statistic, round({p_sql('z')}, 6) AS p_value FROM sw")
 def wilcoxon_stat(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.wilcoxon(evaluate.pairs(_errors(spark, sf))).where("statistic is not null").select("model_a", "model_b", "n", F.col("statistic").cast("double").alias("statistic"))
+    found = evaluate.wilcoxon(evaluate.pairs(_errors(spark, sf))).where("statistic is not null")
+    return found.select("model_a", "model_b", "n", F.col("statistic").cast("double").alias("statistic"), F.round("p_value", 6).alias("p_value"))
+
 
+_STARS = "CASE WHEN {0} < 0.001 THEN '***' WHEN {0} < 0.01 THEN '**' WHEN {0} < 0.05 THEN '*' ELSE 'n.s.' END"
+_BASE_PAIRS = _ERRORS + ", p AS (SELECT a.model AS model_a, b.model AS model_b, query_id, a.error AS error_a, b.error AS error_b FROM e a JOIN e b USING (query_id) WHERE a.model <> '1-URGENT' AND b.model = '1-URGENT')"
 
-@query()
+
+@query(f"""WITH {_BASE_PAIRS}, {_HAC}, {_SIGNED}, j AS (SELECT t.model_a, t.model_b, t.n, dm, {p_sql('dm')} AS dm_p, statistic, {p_sql('z')} AS wilcoxon_p FROM t LEFT JOIN sw USING (model_a, model_b) WHERE t.n >= 5)
+  SELECT model_a, model_b, n, round(dm, 6) AS dm, round(dm_p, 6) AS dm_p, statistic, round(wilcoxon_p, 6) AS wilcoxon_p, {_STARS.format('least(coalesce(dm_p, 1), coalesce(wilcoxon_p, 1))')} AS stars, CASE WHEN dm < 0 THEN 'model better' ELSE 'baseline better' END AS direction FROM j""")
 def significance_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.significance(_errors(spark, sf), ("1-URGENT",)))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, {_SIGNED}, m AS (SELECT model_a, model_b, avg(error_a) AS mae_a, avg(error_b) AS mae_b, count(*) AS n FROM p GROUP BY 1, 2), j AS (SELECT m.*, statistic, {p_sql('z')} AS p_value FROM m LEFT JOIN sw USING (model_a, model_b))
+  SELECT model_a, model_b, round(mae_a, 6) AS mae_a, round(mae_b, 6) AS mae_b, n, statistic, round(p_value, 6) AS p_value, CASE WHEN mae_a < mae_b THEN model_a WHEN mae_b < mae_a THEN model_b END AS winner, {_STARS.format('coalesce(p_value, 1)')} AS stars FROM j""")
+def model_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluate.all_pairs(_errors(spark, sf)))
+
+
+_DRAWS = " + ".join(f"(y / 2147483647.0 >= {t!r})::INT" for t in evaluate._POISSON)
+
+
+@query(f"""WITH {_ERRORS}, k AS (SELECT model, error, ('0x' || substr(md5('42|' || query_id || '|' || model), 1, 7))::BIGINT AS s FROM e), d AS (SELECT k.*, i, (s + i * 1299709) % 2147483647 AS y FROM k, range(0, 200) t(i)),
+  y1 AS (SELECT model, error, s, i, (y * y + 12345) % 2147483647 AS y FROM d), y2 AS (SELECT model, error, s, i, (y * y + s) % 2147483647 AS y FROM y1), y3 AS (SELECT model, error, i, (y * y + i) % 2147483647 AS y FROM y2),
+  w AS (SELECT model, i, error, {_DRAWS} AS w FROM y3), m AS (SELECT model, i, sum(w * abs(error)) / sum(w) AS m, sqrt(sum(w * error * error) / sum(w)) AS r FROM w GROUP BY 1, 2),
+  q AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, quantile_cont(r, 0.025) AS rmse_lo, quantile_cont(r, 0.975) AS rmse_hi FROM m GROUP BY 1)
+  SELECT model, round(avg(abs(error)), 6) AS mae, round(sqrt(avg(error * error)), 6) AS rmse, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, round(any_value(rmse_lo), 6) AS rmse_lo, round(any_value(rmse_hi), 6) AS rmse_hi, count(*) AS n FROM e JOIN q USING (model) GROUP BY 1""")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.bootstrap(_errors(spark, sf)))
+    return rounded(evaluate.bootstrap(_errors(spark, sf), cfg=EvaluationConfig(resamples=200)))
 
 
-_CALLS = """c AS (SELECT CASE event_type WHEN 'view' THEN 'openai-mini' WHEN 'click' THEN 'claude-api' ELSE 'other' END AS model, CASE hour(ts) % 3 WHEN 0 THEN 'horizon' WHEN 1 THEN 'stats' ELSE 'summary' END AS stage, value AS latency_sec, 1000 + event_id % 500 AS tokens_in, event_id % 200 AS tokens_out FROM events),
-  k AS (SELECT *, CASE model WHEN 'openai-mini' THEN tokens_in / 1000.0 * 0.00015 + tokens_out / 1000.0 * 0.00066 WHEN 'claude-api' THEN tokens_in / 1000.0 * 0.003 + tokens_out / 1000.0 * 0.015 ELSE 0 END AS cost_usd FROM c)"""
+_CALLS = """c AS (SELECT CASE event_type WHEN 'view' THEN 'small' WHEN 'click' THEN 'large-2' ELSE 'other' END AS model, CASE hour(ts) % 3 WHEN 0 THEN 'horizon' WHEN 1 THEN 'stats' ELSE 'summary' END AS stage, value AS latency_sec, 1000 + event_id % 500 AS tokens_in, event_id % 200 AS tokens_out FROM events),
+  k AS (SELECT *, CASE model WHEN 'small' THEN tokens_in / 1000.0 * 0.00015 + tokens_out / 1000.0 * 0.00066 WHEN 'large-2' THEN tokens_in / 1000.0 * 0.003 + tokens_out / 1000.0 * 0.015 ELSE 0 END AS cost_usd FROM c)"""
 
 
 def _calls(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    model = F.when(F.col("event_type") == "view", "openai-mini").when(F.col("event_type") == "click", "claude-api").otherwise("other")
+    model = F.when(F.col("event_type") == "view", "small").when(F.col("event_type") == "click", "large-2").otherwise("other")
     stage = F.when(F.hour("ts") % 3 == 0, "horizon").when(F.hour("ts") % 3 == 1, "stats").otherwise("summary")
     c = e.select(model.alias("model"), stage.alias("stage"), F.col("value").alias("latency_sec"), (1000 + F.col("event_id") % 500).alias("tokens_in"), (F.col("event_id") % 200).alias("tokens_out"))
-    return c.withColumn("cost_usd", evaluate.cost(F.col("model"), F.col("tokens_in"), F.col("tokens_out")))
+    return c.withColumn("cost_usd", evaluate.cost(F.col("model"), F.col("tokens_in"), F.col("tokens_out"), {"small": (0.00015, 0.00066), "large": (0.003, 0.015)}, {"large-2": "large"}))
 
 
 @query(f"WITH {_CALLS} SELECT model, stage, CASE stage WHEN 'horizon' THEN 1 WHEN 'stats' THEN 3 ELSE 4 END AS stage_order, round(avg(cost_usd), 9) AS mean_cost, round(stddev_samp(cost_usd), 9) AS std_cost, round(avg(latency_sec), 6) AS mean_latency, round(stddev_samp(latency_sec), 6) AS std_latency, count(*) AS n FROM k GROUP BY 1, 2")
@@ -530,6 +648,97 @@ def token_count(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", text.token_count(F.col("text")).alias("tokens"))
 
 
+@query("SELECT o_orderkey, 'TOTALDEMAND' AS metric, (1000 + o_orderkey % 9000)::DOUBLE AS value, o_orderdate + INTERVAL 14 HOUR + INTERVAL 30 MINUTE AS ts FROM orders UNION ALL SELECT o_orderkey, 'RRP', (o_orderkey % 90)::DOUBLE + 0.25, o_orderdate + INTERVAL 14 HOUR + INTERVAL 30 MINUTE FROM orders")
+def parse_forecast_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Prose with a title, abbreviated and written-out months, day first, 12 hours, history that is no forecast, and reasons behind it."""
+    o = table(spark, sf, "orders")
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "MMM d, yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise(F.date_format("o_orderdate", "d MMMM yyyy"))
+    said = F.format_string("# Evidence\nThe historical average was 123 MW and prices were $1.00/MWh.\n## Forecast\nOn %s at 2:30 PM demand: ~%d MW.\nObserved range: 1 MW. The price will be $%d.25/MWh\n## Rationale\nLast year it was 7 MW.", day, (1000 + F.col("o_orderkey") % 9000).cast("int"), (F.col("o_orderkey") % 90).cast("int"))
+    return parse.parse_column(o.select("o_orderkey", said.alias("answer"))).drop("answer")
+
+
+@query("SELECT o_orderkey, 'TOTALDEMAND' AS metric, 2000.0::DOUBLE + o_orderkey % 7 AS value, o_orderdate AS ts FROM orders")
+def parse_point_answer(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.format_string("Demand: 10 MW. After a second look → %d MW", (2000 + F.col("o_orderkey") % 7).cast("int"))
+    return parse.parse_column(table(spark, sf, "orders").select("o_orderkey", said.alias("answer"), F.col("o_orderdate").alias("at")), point_ts="at").drop("answer", "at")
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace('{"v": [1.23456, ' || turn || '.5]} ' || text, '(\d+\.\d{2})\d+', '\1', 'g'), '["''{}\[\]]', '', 'g'), '[\s\x0b]+', ' ', 'g')) AS text FROM conversations""")
+def compact_text(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", text.compact(F.concat(F.lit('{"v": [1.23456, '), F.col("turn").cast("string"), F.lit(".5]} "), F.col("text"))).alias("text"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS text FROM conversations")
+def capped_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.cap(F.col("text"), 80).alias("text"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 30 + 1 > 12 THEN '1,2,3,4,5,6,…,' || (c_custkey % 30 - 1) || ',' || (c_custkey % 30) || ',' || (c_custkey % 30 + 1) ELSE array_to_string(range(1, c_custkey % 30 + 2), ',') END AS items FROM customer")
+def compact_lists(spark: SparkSession, sf: str) -> DataFrame:
+    items = F.transform(F.sequence(F.lit(1), (F.col("c_custkey") % 30 + 1).cast("int")), lambda x: x.cast("string"))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(text.compact_list(items), ",").alias("items"))
+
+
+@query("SELECT o_orderkey, printf('%.3f [%.3f, %.3f]', o_orderkey / 4.0, o_orderkey::DOUBLE, o_orderkey * 2.5) AS label FROM orders")
+def interval_labels(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("double")
+    return table(spark, sf, "orders").select("o_orderkey", text.interval_label(k / 4, k, k * 2.5).alias("label"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'f-' || event_type ELSE 'plain ' || event_type END AS answer FROM events")
+def main_answers(spark: SparkSession, sf: str) -> DataFrame:
+    k, t = F.col("event_id") % 3, F.col("event_type")
+    said = F.when(k == 0, F.format_string('{"other": 1, "answer": "%s", "text": "no"}', t)).when(k == 1, F.format_string('{"forecast": "f-%s"}', t)).otherwise(F.concat(F.lit("plain "), t))
+    return table(spark, sf, "events").select("event_id", text.main_answer(said).alias("answer"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'TOTALDEMAND,RRP' WHEN 1 THEN 'RRP' ELSE 'TOTALDEMAND' END AS metrics, CASE o_orderkey % 2 WHEN 0 THEN 'VIC1' ELSE 'NSW1' END AS region_code, CASE o_orderkey % 4 WHEN 0 THEN 'mid_term' WHEN 1 THEN 'long_term' ELSE 'short_term' END AS horizon FROM orders")
+def inferred_columns(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    said = F.concat_ws(" ", F.when(k % 3 == 0, "rrp and TotalDemand").when(k % 3 == 1, "RRP").otherwise("something"), F.when(k % 2 == 0, "in vic1").otherwise("here"))
+    name = F.concat(F.when(k % 4 == 0, "q_mid_").when(k % 4 == 1, "q_long_").otherwise("q_"), k.cast("string"))
+    q = table(spark, sf, "orders").select("o_orderkey", name.alias("id"), said.alias("text"))
+    return calendar.infer_columns(q).select("o_orderkey", F.array_join("metrics", ",").alias("metrics"), "region_code", "horizon")
+
+
+@query("SELECT o_orderkey, abs(o_totalprice - o_custkey) AS absolute, o_totalprice - o_custkey AS signed FROM orders")
+def plain_errors(spark: SparkSession, sf: str) -> DataFrame:
+    p, t = F.col("o_custkey"), F.col("o_totalprice")
+    return table(spark, sf, "orders").select("o_orderkey", evaluate.error(p, t).alias("absolute"), evaluate.error(p, t, False).alias("signed"))
+
+
+@query("SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-20 02:00' AND ts < TIMESTAMP '2024-01-20 03:00' THEN NULL WHEN ts >= TIMESTAMP '2024-01-10 02:00' AND ts < TIMESTAMP '2024-01-10 03:00' THEN TIMESTAMP '2024-01-10 03:00' ELSE ts END AS ts FROM events")
+def localised_times(spark: SparkSession, sf: str) -> DataFrame:
+    change = [(datetime(2024, 1, 10, 2), datetime(2024, 1, 10, 3), datetime(2024, 1, 20, 2), datetime(2024, 1, 20, 3))]
+    t = spark.createDataFrame(change, "gap_lo timestamp_ntz, gap_hi timestamp_ntz, fold_lo timestamp_ntz, fold_hi timestamp_ntz")
+    return calendar.localise(table(spark, sf, "events").select("event_id", "ts"), "ts", t)
+
+
+@query("""SELECT * FROM (VALUES ('date', '2024-05-01'), ('no date', ''), ('time', '2024-05-01 09:30:00'), ('day', '2024-05-01 00:00:00 2024-05-01 23:59:59'), ('vague', '15:00:00 180'), ('no vague', ''), ('times', '9:5:0 23:59:1'), ('list', '[1] [] [2, 3]'), ('bools', 'True True False False'), ('ints', '(3, 4)'), ('regions', 'NSW1 TAS1 XX'), ('metrics', 'RRP TOTALDEMAND'),
+  ('notes', 'a | PERIODTYPE=TRADE'), ('object', '{''a'': [1]}'), ('no object', '{''text'': ''no''}'), ('schema', '$.b: missing, $.a: expected integer'), ('sector', 'Energy Undetected'), ('routes', 'short_term mid_term long_term mid_term'), ('holidays', '2024-01-01 2024-01-26 2024-03-29 2024-04-01 2024-04-25 2024-12-25 2024-12-26'), ('label', '2024-05-01 09:30')) t(name, value)""")
+def request_words(spark: SparkSession, sf: str) -> DataFrame:
+    c, at = calendar, datetime(2024, 1, 1)
+    year = [d for d in (datetime.fromordinal(at.toordinal() + k).date() for k in range(366)) if c.is_holiday(d)]
+    said = {
+        "date": c.iso_date("2024-05-01T05:00"), "no date": c.iso_date("2024-13-01") or "", "time": c.iso_datetime("2024/05/01 09:30"), "day": "%s %s" % c.day_bounds(datetime(2024, 5, 1).date()), "vague": "%s %d" % c.vague_time(" Afternoon"), "no vague": c.vague_time("soon") or "",
+        "times": " ".join("%d:%d:%d" % t for t in c.times_of(["09:05", "24:00", "x", "23:59:01"])), "list": f"{c.as_list(1)} {c.as_list(None)} {c.as_list((2, 3))}", "bools": " ".join(str(c.as_bool(x)) for x in (True, "Yes", "0", None)), "ints": c.as_ints(["3", "x", 4, 3]), "regions": " ".join(c.regions_of(["Sydney", "hobart", "xx", ""])), "metrics": " ".join(c.metrics_of(["spot price", "load", "foo"])),
+        "notes": c.merge_notes("a", "TRADE"), "object": c.salvage_json('say {"a": [1]} end'), "no object": c.salvage_json("no", 5), "schema": ", ".join(c.schema_errors({"a": "x"}, {"type": "object", "required": ["b"], "properties": {"a": {"type": "integer"}}})), "sector": f"{c.sector_of('electricity demand')} {c.sector_of('zzz')}",
+        "routes": " ".join(c.route_of(t, at) for t in (datetime(2024, 1, 16), datetime(2024, 12, 31), datetime(2025, 1, 1), None)), "holidays": " ".join(map(str, year)), "label": pipeline.target_label(Filters(date_start="2024-05-01", times=("09:30",))),
+    }
+    return spark.createDataFrame([(k, str(v)) for k, v in said.items()], "name string, value string")
+
+
+@query("""SELECT * FROM (VALUES (1, 'QLD1', 'TOTALDEMAND', '21:00:00', '2024-12-25', NULL, 'wednesday', false, true, NULL), (2, 'NSW1,VIC1', 'RRP', '09:30:00', '2024-03-02', '2024-03-03', 'saturday,sunday', true, false, '1H'), (3, '', '', '', NULL, NULL, '', false, false, NULL)) t(id, regions, metrics, times, date_start, date_end, weekdays, weekends, holidays, freq)""")
+def request_filters(spark: SparkSession, sf: str) -> DataFrame:
+    asked = {1: "demand in Brisbane on Christmas, 2024-12-25 in the late evening", 2: "Hourly spot price in New South Wales and Victoria at 09:30 from March 2, 2024 to March 3, 2024", 3: "what next?"}
+    rows = []
+    for k, q in asked.items():
+        f = calendar.parse_request(q)
+        rows.append((k, ",".join(sorted(f.groups)), ",".join(f.metrics), ",".join(f.times), f.date_start, f.date_end, ",".join(f.weekdays), f.weekends, f.holidays, f.freq))
+    return spark.createDataFrame(rows, "id int, regions string, metrics string, times string, date_start string, date_end string, weekdays string, weekends boolean, holidays boolean, freq string")
+
+
 # --- sources ------------------------------------------------------------------------------------------------------
 
 
@@ -560,4 +769,49 @@ def csv_preview(spark: SparkSession, sf: str) -> DataFrame:
     return readings.csv_text(table(spark, sf, "orders"), ("o_orderdate", "o_orderkey"), ("o_orderdate", "o_orderkey"), 20)
 
 
+@query("SELECT o_orderpriority AS region, o_orderdate AS ts, o_totalprice AS demand, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 90)::DOUBLE END AS price, true AS has_file FROM orders")
+def csv_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Written as CSV with two spellings of time and texts for missing numbers, and read as readings."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    time = F.when(k % 2 == 0, F.date_format(at, "yyyy/MM/dd HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm"))
+    price = F.when(k % 7 == 0, "n/a").otherwise((k % 90).cast("string"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("REGION"), time.alias("SETTLEMENTDATE"), F.col("o_totalprice").alias("TOTALDEMAND"), price.alias("RRP"), F.lit("TRADE").alias("PERIODTYPE"))
+    folder = readings.scratch(spark, "readings")
+    readings.write_csv(rows, folder)
+    return readings.read_readings(spark, folder).select(F.col("REGION").alias("region"), F.col("SETTLEMENTDATE").alias("ts"), F.col("TOTALDEMAND").alias("demand"), F.col("RRP").alias("price"), F.col("source_file").isNotNull().alias("has_file"))
+
+
+@query("SELECT o_orderpriority AS series, count(*) AS n_rows, 0::BIGINT AS null_times, min(o_orderdate) AS first_ts, max(o_orderdate) AS last_ts, 0::BIGINT AS duplicate_rows FROM (SELECT DISTINCT o_orderpriority, o_orderdate FROM orders) GROUP BY 1")
+def ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Two CSV folders read, merged to one row for each region and time, written, profiled."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("REGION"), F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss").alias("SETTLEMENTDATE"), F.col("o_totalprice").alias("TOTALDEMAND"), F.lit(1).alias("RRP"), F.lit("TRADE").alias("PERIODTYPE"), "o_orderkey")
+    folders = [readings.scratch(spark, "part") for _ in range(2)]
+    for k, folder in enumerate(folders):
+        readings.write_csv(o.where(f"o_orderkey % 2 = {k}").drop("o_orderkey"), folder)
+    return readings.ingest(spark, folders, readings.scratch(spark, "merged"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'one', 'listed'), ('q_0001', 'two', 'listed'), ('q_0000', 'three', 'wrapped'), ('b', 'four', 'wrapped')) t(id, text, form)")
+def question_files(spark: SparkSession, sf: str) -> DataFrame:
+    given = {"listed": [{"id": "a", "text": "one"}, {"id": None, "text": "two"}], "wrapped": {"queries": [{"text": "three"}, {"id": "b", "text": "four"}]}}
+    parts = []
+    for form, content in given.items():
+        folder = readings.scratch(spark, form)
+        spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(folder)
+        parts.append(readings.read_queries(spark, folder).select("id", "text", F.lit(form).alias("form")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT exp_id, seed, count(*) AS n_runs, round(sum(answer), 2) AS total, 'csv' AS kind FROM (SELECT o_orderpriority AS exp_id, o_orderkey % 3 AS seed, o_totalprice AS answer FROM orders) GROUP BY 1, 2 UNION ALL SELECT exp_id, seed, count(*), round(sum(answer), 2), 'json' FROM (SELECT o_orderpriority AS exp_id, o_orderkey % 3 AS seed, o_totalprice AS answer FROM orders) GROUP BY 1, 2")
+def run_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records appended in two goes, as CSV and as JSON lines by experiment, and read again."""
+    runs = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("exp_id"), (F.col("o_orderkey") % 3).alias("seed"), F.col("o_totalprice").alias("answer"), "o_orderkey")
+    folder = readings.scratch(spark, "runs")
+    for k in range(2):
+        readings.append_runs(runs.where(f"o_orderkey % 2 = {k}").drop("o_orderkey"), folder)
+    both = {"csv": readings.read_results(spark, f"{folder}/results_csv"), "json": spark.read.json(f"{folder}/results_jsonl")}
+    shown_ = [df.groupBy(F.col("exp_id").cast("string").alias("exp_id"), F.col("seed").cast("long").alias("seed")).agg(F.count(F.lit(1)).alias("n_runs"), F.round(F.sum(F.col("answer").cast("double")), 2).alias("total")).withColumn("kind", F.lit(k)) for k, df in both.items()]
+    return shown_[0].unionByName(shown_[1])
+
+
 __all__ = ["ORACLES", "QUERIES", "RetrievalConfig", "windows_of"]

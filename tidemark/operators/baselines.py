@@ -30,17 +30,20 @@ def persistence(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()
     return found.select(*by, F.col("target").alias("target_id"), "ts", F.coalesce("seen", "carried").alias("prediction"))
 
 
-def seasonal_naive(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), tolerance_minutes: int = 30) -> DataFrame:
-    """The latest earlier value of the same weekday and hour and near the minute; else of the same hour. Candidates are first reduced to
-    the values of a slot before each target, by max_by."""
-    h = history.where("value is not null").select(*[F.col(b).alias(f"h_{b}") for b in by], F.col("ts").alias("h_ts"), "value", F.weekday("ts").alias("h_weekday"), F.hour("ts").alias("h_hour"), F.minute("ts").alias("h_minute"))
-    t = targets.select(*by, F.col("target_id").cast("long").alias("target_id"), "ts", F.hour("ts").alias("slot_hour"))
-    on = (F.col("slot_hour") == F.col("h_hour")) & (F.col("h_ts") < F.col("ts"))
-    for b in by:
-        on &= F.col(b) == F.col(f"h_{b}")
-    joined = t.join(h, on, "left")
-    same = (F.col("h_weekday") == F.weekday("ts")) & (F.abs(F.col("h_minute") - F.minute("ts")) <= tolerance_minutes)
-    return joined.groupBy(*by, "target_id", "ts").agg(F.coalesce(F.max_by("value", F.when(same, F.col("h_ts"))), F.max_by("value", "h_ts")).alias("prediction"))
+def seasonal_naive(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), tolerance_minutes: int = 30, block_days: int = 30) -> DataFrame:
+    """The latest earlier value of the same weekday and hour and near the minute; else of the same hour.
+
+    Two as-of joins like that of persistence: by hour; and by weekday, hour and the target's minute, to which each value is sent that lies near
+    it (the minutes that targets have in an hour of a week, 60 at most). Never targets times history.
+    """
+    parts = {"_weekday": F.weekday("ts"), "_hour": F.hour("ts"), "_minute": F.minute("ts")}
+    h, t = history.where("value is not null").select(*by, "ts", "value").withColumns(parts), targets.withColumns(parts)
+    slot = [*by, "_weekday", "_hour"]
+    asked = t.select(*slot, F.col("_minute").alias("_asked")).distinct()
+    near = h.join(asked, slot).where(F.abs(F.col("_minute") - F.col("_asked")) <= tolerance_minutes).select(*slot, F.col("_asked").alias("_minute"), "ts", "value")
+    same = persistence(near, t, (*slot, "_minute"), block_days).select(*by, "target_id", "ts", F.col("prediction").alias("same"))
+    hourly = persistence(h, t, (*by, "_hour"), block_days).select(*by, "target_id", "ts", F.col("prediction").alias("hourly"))
+    return same.join(hourly, [*by, "target_id", "ts"]).select(*by, "target_id", "ts", F.coalesce("same", "hourly").alias("prediction"))
 
 
 def truth(targets: DataFrame, readings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

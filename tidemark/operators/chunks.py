@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import ChunkConfig
+from .resample import numbered
 
 
 def by_time(df: DataFrame, ts: str, hours: int = 24, by: tuple[str, ...] = ()) -> DataFrame:
@@ -17,9 +18,9 @@ def by_time(df: DataFrame, ts: str, hours: int = 24, by: tuple[str, ...] = ()) -
 
 
 def by_rows(df: DataFrame, order: tuple[str, ...], by: tuple[str, ...], cfg: ChunkConfig = ChunkConfig(), rows: int | None = None) -> DataFrame:
-    """chunk_id of so many rows in order, within each group."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("chunk_id", F.floor(place / (rows or cfg.rows)).cast("long"))
+    """chunk_id of so many rows in order, within each group. The first column of order is a time."""
+    placed = numbered(df, order[0], by, "_place", order[1:])
+    return placed.withColumn("chunk_id", F.floor(F.col("_place") / (rows or cfg.rows)).cast("long")).drop("_place")
 
 
 def summarise(chunked: DataFrame, ts: str, value: str, origin: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,21 +9,12 @@ from pyspark.sql import functions as F
 
 from ..spec import EvaluationConfig
 
-# --- fixed values: USD for 1,000 tokens in and out, and names that stand for these models ---
-PRICES = {
-    "gpt-4o-mini": (0.00015, 0.00066),
-    "deepseek-chat": (0.00028, 0.00028),
-    "gemini-2.5-flash": (0.025, 0.0025),
-    "claude-sonnet-4-5": (0.003, 0.015),
-}
-MODEL_ALIASES = {
-    "openai-mini": "gpt-4o-mini",
-    "deepseek-chat": "deepseek-chat",
-    "gemini-flash-native": "gemini-2.5-flash",
-    "claude-api": "claude-sonnet-4-5",
-}
+# --- fixed values: the stages of a run in their order ---
 STAGES = ("reproducibility", "horizon", "pattern", "stats", "summary")
 # --- end of fixed values ---
+#: Weights of a Poisson variable of mean 1 up to 8; more is rarer than one in a million.
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+_PRIME = 2_147_483_647
 
 
 def with_truth(predictions: DataFrame, truth: DataFrame, key: str = "query_id") -> DataFrame:
@@ -94,36 +85,67 @@ def wilcoxon(p: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFr
     return out.select(*by, "n", "statistic", _p_normal(F.col("z")).alias("p_value"))
 
 
-def bootstrap(errors: DataFrame, by: tuple[str, ...] = ("model",), cfg: EvaluationConfig = EvaluationConfig(), batch: int = 4096) -> DataFrame:
-    """Mean absolute error with a percentile interval. Each value gets Poisson(1) weights for every resample, seeded by its key, in
-    partial sums, so a model's errors never meet in one task: (by, mae, rmse, lo, hi, n)."""
+def poisson_weights(seed, resample):
+    """How often a resample draws a row: Poisson(1) from a number of the row and the number of the resample (integers or arrays of them).
+
+    Arithmetic modulo a prime below 2**31, so SQL engines give the same numbers.
+    """
+    import numpy as np
+
+    y = (seed + resample * 1_299_709) % _PRIME
+    for add in (12_345, seed, resample):
+        y = (y * y + add) % _PRIME
+    return np.searchsorted(_POISSON, y / _PRIME, side="right")
+
+
+def bootstrap(errors: DataFrame, by: tuple[str, ...] = ("model",), cfg: EvaluationConfig = EvaluationConfig(), batch: int = 1024) -> DataFrame:
+    """Mean absolute and root mean squared error with percentile intervals: (by, mae, rmse, lo, hi, rmse_lo, rmse_hi, n).
+
+    Instead of drawing rows, each row gets Poisson(1) weights for every resample, from a number of its key (first digits of its MD5 and cfg.seed), in
+    partial sums, so a model's errors never meet in one task. Poisson weights stand for resampling: their sums vary by a little.
+    """
     import numpy as np
     import pyarrow as pa
 
-    seed, b = cfg.seed, cfg.resamples
-    names = [*by, "w", "s"]
+    b = cfg.resamples
+    names = [*by, "w", "s", "q"]
 
     def partial(batches):
-        sums: dict[tuple, list] = {}
-        for rb in batches:
-            rows = rb.to_pydict()
-            for k in range(rb.num_rows):
-                key = tuple(rows[c][k] for c in by)
-                weight = np.random.default_rng([seed, rows["_h"][k] & 0xFFFFFFFF, rows["_h"][k] >> 32 & 0x7FFFFFFF]).poisson(1.0, b)
-                held = sums.setdefault(key, [np.zeros(b), np.zeros(b)])
-                held[0] += weight
-                held[1] += weight * abs(rows["error"][k])
-        for key, (w, s) in sums.items():
-            yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.string()) for x in key], pa.array([w.tolist()]), pa.array([s.tolist()])], names=names)
-
-    own = errors.where("error is not null").select(*[F.col(c).cast("string").alias(c) for c in by], "error", F.xxhash64("query_id", *by).alias("_h"))
-    parts = own.mapInArrow(partial, ", ".join([*(f"{c} string" for c in by), "w array<double>", "s array<double>"]))
-    places = parts.select(*by, F.posexplode(F.arrays_zip("w", "s")).alias("k", "x"))
-    means = places.groupBy(*by, "k").agg((F.sum("x.s") / F.nullif(F.sum("x.w"), F.lit(0.0))).alias("m"))
+        sums: dict[tuple, np.ndarray] = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, batch):
+                rb = whole.slice(lo, batch)
+                weight = poisson_weights(rb.column(len(by) + 1).to_numpy()[:, None], np.arange(b)[None])
+                e = np.abs(rb.column(len(by)).to_numpy())
+                keys = list(zip(*(rb.column(k).to_pylist() for k in range(len(by)))))
+                for key in set(keys):
+                    own = np.array([k == key for k in keys])
+                    w = weight[own]
+                    sums[key] = sums.get(key, 0) + np.stack([w.sum(axis=0), e[own] @ w, (e[own] ** 2) @ w])
+        for key, parts in sums.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.string()) for x in key], *[pa.array([p.astype(float).tolist()]) for p in parts]], names=names)
+
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(cfg.seed)), F.col("query_id").cast("string"), *by)), 1, 7), 16, 10).cast("long")
+    own = errors.where("error is not null").select(*[F.col(c).cast("string").alias(c) for c in by], F.col("error").cast("double").alias("error"), number.alias("number"))
+    parts = own.mapInArrow(partial, ", ".join([*(f"{c} string" for c in by), "w array<double>", "s array<double>", "q array<double>"]))
+    places = parts.select(*by, F.posexplode(F.arrays_zip("w", "s", "q")).alias("k", "x"))
+    drawn = F.nullif(F.sum("x.w"), F.lit(0.0))
+    means = places.groupBy(*by, "k").agg((F.sum("x.s") / drawn).alias("m"), F.sqrt(F.sum("x.q") / drawn).alias("r"))
     tail = (1 - cfg.confidence) / 2
-    interval = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
+    ends = F.array(F.lit(tail), F.lit(1 - tail))
+    interval = means.groupBy(*by).agg(F.percentile("m", ends).alias("_m"), F.percentile("r", ends).alias("_r"))
     point = own.groupBy(*by).agg(F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.count("error").alias("n"))
-    return point.join(interval, list(by)).select(*by, "mae", "rmse", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"), "n")
+    return point.join(interval, list(by)).select(*by, "mae", "rmse", F.col("_m")[0].alias("lo"), F.col("_m")[1].alias("hi"), F.col("_r")[0].alias("rmse_lo"), F.col("_r")[1].alias("rmse_hi"), "n")
+
+
+def all_pairs(errors: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
+    """Each two models on the questions that both have: mean errors, Wilcoxon statistic and p, winner (the smaller mean; none if equal), in order of
+    the better mean."""
+    p = pairs(errors)
+    means = p.groupBy("model_a", "model_b").agg(F.avg("error_a").alias("mae_a"), F.avg("error_b").alias("mae_b"), F.count(F.lit(1)).alias("n"))
+    tests = wilcoxon(p, cfg).select("model_a", "model_b", "statistic", "p_value")
+    winner = F.when(F.col("mae_a") < F.col("mae_b"), F.col("model_a")).when(F.col("mae_b") < F.col("mae_a"), F.col("model_b"))
+    return means.join(tests, ["model_a", "model_b"], "left").withColumns({"winner": winner, "stars": stars(F.coalesce("p_value", F.lit(1.0)))}).orderBy(F.least("mae_a", "mae_b"), "model_a", "model_b")
 
 
 def significance(errors: DataFrame, baselines: tuple[str, ...], cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
@@ -142,12 +164,13 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("n.s.")
 
 
-def cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
-    """Unknown models cost nothing."""
-    alias = F.create_map(*[F.lit(x) for kv in MODEL_ALIASES.items() for x in kv])
-    name = F.coalesce(alias[model], model)
-    price = [F.create_map(*[F.lit(x) for k, v in PRICES.items() for x in (k, v[side])]) for side in (0, 1)]
-    return tokens_in / 1000 * F.coalesce(price[0][name], F.lit(0.0)) + tokens_out / 1000 * F.coalesce(price[1][name], F.lit(0.0))
+def cost(model: Column, tokens_in: Column, tokens_out: Column, prices: dict[str, tuple[float, float]], aliases: dict[str, str] | None = None) -> Column:
+    """Prices: USD for 1,000 tokens in and out by model; aliases: other names of models. Unknown models cost nothing."""
+    table = prices | {other: prices[name] for other, name in (aliases or {}).items() if name in prices}
+    if not table:
+        return F.lit(0.0)
+    price = [F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, float(v[side]))]) for side in (0, 1)]
+    return tokens_in / 1000 * F.coalesce(price[0][model], F.lit(0.0)) + tokens_out / 1000 * F.coalesce(price[1][model], F.lit(0.0))
 
 
 def cost_by_stage(calls: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:

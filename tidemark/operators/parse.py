@@ -14,18 +14,26 @@ ROW = "array<struct<metric:string,value:double,ts:timestamp_ntz>>"
 _MONTHS = "January February March April May June July August September October November December".split()
 _NUMBER = r"[-+]?\$?\d[\d,]*(?:\.\d+)?"
 _STAMP = re.compile(r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})[ T]+(?:at )?(\d{1,2}):(\d{2})(?::(\d{2}))?")
-_NAMED = re.compile(rf"({'|'.join(_MONTHS)})\s+(\d{{1,2}}),?\s+(\d{{4}})(?:,?\s+(?:at\s+)?(\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?\s*([AaPp][Mm])?)?")
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in _MONTHS)
+_CLOCK = r"(?:,?\s+(?:at\s+)?(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?)?"
+_NAMED = re.compile(rf"\b({_MONTH})\b\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_CLOCK}", re.I)
+_DAY_FIRST = re.compile(rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({_MONTH})\b\.?,?\s+(\d{{4}}){_CLOCK}", re.I)
+#: Words before a value that say it is no forecast, unless one of the words after them is nearer.
+_NO_FORECAST = "average|mean|median|range|observed|historical|historically|prior|previous|evidence|window|between|error|confidence|±|was|were"
+_FORECAST = "forecast|predict|predicted|prediction|expect|expected|estimate|estimated|projected|will be"
 
 
 def stamp(text: str) -> datetime | None:
-    """P5: numeric or named month, 24 hours or AM/PM."""
+    """P5: numeric or named month (whole or three letters, before or after the day), 24 hours or AM/PM."""
     if m := _STAMP.search(text):
         parts = [int(x or 0) for x in m.groups()]
-    elif m := _NAMED.search(text):
+    elif m := _NAMED.search(text) or _DAY_FIRST.search(text):
+        month, day = (m[1], m[2]) if m[1][0].isalpha() else (m[2], m[1])
         hour = int(m[4] or 0)
         if m[7]:
             hour = hour % 12 + 12 * (m[7].lower() == "pm")
-        parts = [int(m[3]), _MONTHS.index(m[1]) + 1, int(m[2]), hour, int(m[5] or 0), int(m[6] or 0)]
+        number_of = next(k for k, name in enumerate(_MONTHS, 1) if name[:3].lower() == month[:3].lower())
+        parts = [int(m[3]), number_of, int(day), hour, int(m[5] or 0), int(m[6] or 0)]
     else:
         return None
     try:
@@ -52,12 +60,23 @@ def _metric(header: str) -> str | None:
 
 
 def clean(text: str) -> str:
-    """Markdown emphasis removed, reasons after the forecast cut off."""
+    """Markdown emphasis removed, rows that run on behind a title put on lines of their own, reasons after the forecast cut off."""
     body = re.sub(r"\*\*|__|`", "", text)
+    body = re.sub(r"(?i)(#+\s*forecast[^|\n]*?)\s*\|", r"\1\n|", body)
     heads = list(re.finditer(r"(?im)^\s*#*\s*(?:rationale|reasoning|explanation|justification)\b", body))
     return body[: heads[0].start()] if heads and heads[0].start() > 0 else body
 
 
+def section(body: str) -> str:
+    """The parts under titles that speak of a forecast, if there are any with a number in them; else the whole text."""
+    heads = list(re.finditer(r"(?m)^\s*#{1,6}\s+(.+)$", body))
+    ends = [*(h.start() for h in heads[1:]), len(body)]
+    own = [body[h.start() : e] for h, e in zip(heads, ends) if "forecast" in h[1].lower()]
+    own = [x for x in own if re.search(r"\d", x.partition("\n")[2])]
+    # a forecast may also be given in a sentence elsewhere
+    return "\n\n".join(own) if own and not re.search(r"(?i)\bforecast\s*:|\bi\s+forecast\b", body) else body
+
+
 def tables(text: str) -> list[tuple[str, float, datetime]]:
     """Rows of Markdown tables. A column is a metric by its header or by its unit cell; an empty time cell repeats the one above."""
     out, header, last = [], [], None
@@ -86,18 +105,26 @@ def tables(text: str) -> list[tuple[str, float, datetime]]:
     return out
 
 
+def _is_no_forecast(before: str) -> bool:
+    """Whether the last of the telling words before a value says that it is no forecast."""
+    said = [m[0].lower() for m in re.finditer(rf"(?i)(?<![a-z])(?:{_NO_FORECAST}|{_FORECAST})(?![a-z])", before)]
+    return bool(said) and re.fullmatch(_NO_FORECAST, said[-1]) is not None
+
+
 def sentences(text: str) -> list[tuple[str, float, datetime]]:
-    """Values with a unit or a metric's name before them, with the nearest time of their line, else the time before."""
-    out, last = [], None
+    """Values with a unit or a metric's name before them, with the time of their line, else of a line before, else the first of the text. Values
+    whose sentence says that they are averages, ranges, observations or history are left out."""
+    out = []
+    last = stamp(text)
     for line in text.splitlines():
         if line.count("|") >= 2:
             continue
-        at = stamp(line) or last
-        last = at
-        bare = _NAMED.sub(" ", _STAMP.sub(" ", line))
-        for m in re.finditer(rf"(?:(TOTALDEMAND|RRP|demand|price|load)\b[^\d$=:]{{0,30}}[=:]?\s*)?[~≈]?\s*({_NUMBER})\s*(\$?/?\s*(?:MWh|MW|GW)\b|/MWh)?", bare, re.I):
+        at = last = stamp(line) or last
+        bare = _DAY_FIRST.sub(" ", _NAMED.sub(" ", _STAMP.sub(" ", line)))
+        for m in re.finditer(rf"(?:(TOTALDEMAND|RRP|demand|price|load)\b[^\d$=:.;]{{0,30}}[=:]?\s*)?[~≈]?\s*({_NUMBER})\s*(\$?/?\s*(?:MWh|MW|GW)\b|/MWh)?", bare, re.I):
             name = ("RRP" if m[2].startswith("$") and m[3] and "mwh" in m[3].lower() else None) or (unit_of(m[3]) if m[3] else None) or (_metric(m[1]) if m[1] else None)
-            if name and at and not re.search(r"(?i)(?:range|between|error|confidence|historical|±)\W*\w*\W*$", bare[max(0, m.start() - 30) : m.start()]):
+            sentence = re.split(r"[.;!?]\s", bare[max(0, m.start(2) - 60) : m.start(2)])[-1]
+            if name and at and not _is_no_forecast(sentence):
                 out.append((name, number(m[2]) * (1000 if m[3] and "gw" in m[3].lower() else 1), at))
     return out
 
@@ -105,8 +132,8 @@ def sentences(text: str) -> list[tuple[str, float, datetime]]:
 def parse(text: str | None, single_ts: datetime | None = None) -> list[tuple[str, float, datetime]]:
     """All rows of a text, told apart and in order of time. Tables are authoritative. single_ts: a point question: the last value of each
     metric, at that time."""
-    body = clean(text or "")
-    if single_ts is not None and not _STAMP.search(body) and not _NAMED.search(body):
+    body = section(clean(text or ""))
+    if single_ts is not None and stamp(body) is None:
         body = f"{single_ts:%Y-%m-%d %H:%M:%S}\n{body}"
     rows = tables(body) or sentences(body)
     rows = sorted(dict.fromkeys(rows), key=lambda r: (r[0], r[2]))

@@ -14,17 +14,26 @@ DAY = 86_400_000_000
 def rolling_z(long: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
     """(series, ts, metric, value, n, z) of each row against the last cfg.rolling_days (left open, rows at the same time included).
 
-    The time line is cut into blocks as long as the window; each block is sorted on its own, with the block before as context, so one long series
-    spreads over many tasks.
+    The time line is cut into blocks as long as the window, so one long series spreads over many tasks. A row enters the sums of its own block at its
+    time; in the block after, it is there from the start and leaves one window later. So every row costs three additions to running
+    sums, whatever the window holds. Values are taken relative to the block's mean, so that little is cancelled.
     """
     width = cfg.rolling_days * DAY
+    by = ["series", "metric"]
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = long.where("value is not null and ts is not null").withColumns({"at": at, "own": F.floor(at / width).cast("long")})
-    both = rows.withColumn("block", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    w = Window.partitionBy("series", "metric", "block").orderBy("at").rangeBetween(-(width - 1), 0)
-    scored = both.withColumns({"n": F.count("value").over(w), "mean": F.avg("value").over(w), "std": F.stddev_samp("value").over(w)}).where("block = own")
-    z = F.when(F.col("n") >= cfg.min_points, F.try_divide(F.col("value") - F.col("mean"), F.nullif(F.col("std"), F.lit(0.0))))
-    return scored.select("series", "ts", "metric", "value", "n", z.alias("z"))
+    rows = long.where("value is not null and ts is not null").withColumn("at", at).withColumn("own", F.floor(F.col("at") / width).cast("long"))
+    centre = rows.groupBy(*by, F.col("own").alias("block")).agg(F.avg("value").alias("centre"))
+    after = F.col("own") + 1
+    events = [(F.col("own"), F.col("at"), 1, True), (after, after * width - 1, 1, False), (after, F.col("at") + width, -1, False)]
+    moved = F.explode(F.array(*[F.struct(block.alias("block"), when.alias("when"), F.lit(sign).alias("sign"), F.lit(real).alias("real")) for block, when, sign, real in events])).alias("e")
+    placed = rows.select(*by, "ts", "value", moved).select(*by, "ts", "value", "e.*").join(centre, [*by, "block"]).withColumn("x", F.col("value") - F.col("centre"))
+    w = Window.partitionBy(*by, "block").orderBy("when").rangeBetween(Window.unboundedPreceding, 0)
+    sums = placed.withColumns({"n": F.sum("sign").over(w), "s": F.sum(F.col("sign") * F.col("x")).over(w), "q": F.sum(F.col("sign") * F.col("x") * F.col("x")).over(w)}).where("real")
+    spread = F.col("q") - F.col("s") * F.col("s") / F.col("n")
+    # what is left of equal values after rounding is no deviation
+    std = F.when(spread > 1e-12 * F.col("q"), F.sqrt(spread / F.nullif(F.col("n") - 1, F.lit(0))))
+    z = F.when(F.col("n") >= cfg.min_points, F.try_divide(F.col("x") - F.col("s") / F.col("n"), std))
+    return sums.select("series", "ts", "metric", "value", F.col("n").cast("long").alias("n"), z.alias("z"))
 
 
 def anomalies(long: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
@@ -45,15 +54,18 @@ def trend(long: DataFrame, min_points: int = PatternConfig().min_trend_points) -
 
 
 def autocorrelation(long: DataFrame, step_seconds: int, lags_hours: tuple[int, ...] = PatternConfig().acf_lags_hours) -> DataFrame:
-    """Biased autocorrelation at hour lags on the regular, interpolated grid; null below 10 points."""
+    """Biased autocorrelation at hour lags on the regular, interpolated grid; null below 10 points.
+
+    Each slot sends its value to the slots it is a partner of, and a plain sum by slot pairs them: no window over a series.
+    """
     by = ("series", "metric")
     grid = resample.regular(long, "ts", "value", step_seconds, by)
     centre = grid.groupBy(*by).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    c = grid.join(centre, list(by)).select(*by, "slot", "n", (F.col("value") - F.col("mean")).alias("c"))
+    c = grid.join(centre, list(by)).select(*by, "slot", (F.col("value") - F.col("mean")).alias("c"))
     lags = {h: stats.hours_to_steps(h, step_seconds) for h in lags_hours}
-    w = Window.partitionBy(*by).orderBy("slot")
-    wide = c.select(*by, "n", "c", *[(F.col("c") * F.lag("c", k).over(w)).alias(f"p{h}") for h, k in lags.items()])
-    summed = wide.groupBy(*by).agg(F.max("n").alias("n"), F.sum(F.col("c") * F.col("c")).alias("v"), *[F.sum(f"p{h}").alias(f"s{h}") for h in lags])
+    sent = F.explode(F.array(F.struct(F.lit(-1).alias("lag"), F.col("slot").alias("at")), *[F.struct(F.lit(h).alias("lag"), (F.col("slot") + k).alias("at")) for h, k in lags.items()])).alias("e")
+    met = c.select(*by, "c", sent).groupBy(*by, F.col("e.at").alias("at")).agg(F.max(F.when(F.col("e.lag") == -1, F.col("c"))).alias("c"), *[F.max(F.when(F.col("e.lag") == h, F.col("c"))).alias(f"c{h}") for h in lags])
+    summed = met.groupBy(*by).agg(F.count("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("v"), *[F.sum(F.col("c") * F.col(f"c{h}")).alias(f"s{h}") for h in lags])
     cell = F.explode(F.array(*[F.struct(F.lit(h).alias("lag_hours"), F.when(F.col("n") >= 10, F.try_divide(F.coalesce(f"s{h}", F.lit(0.0)), F.nullif("v", F.lit(0.0)))).alias("acf")) for h in lags])).alias("a")
     return summed.select(*by, cell).select(*by, "a.*")
 
@@ -62,8 +74,7 @@ def thumbnail(long: DataFrame, points: int = PatternConfig().thumbnail_points) -
     """Every ceil(n / points)-th row of each series."""
     by = ("series", "metric")
     n = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("ts", "value")) - 1
-    placed = long.withColumn("place", place).join(n, list(by))
+    placed = resample.numbered(long, "ts", by, "place", ("value",)).join(n, list(by))
     return placed.where(F.col("place") % F.greatest(F.lit(1), F.ceil(F.col("n") / points)) == 0).select(*by, "ts", "value")
 
 
@@ -74,7 +85,7 @@ def first_groups(df: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def labels(long: DataFrame, step_seconds: int = 3600, cfg: PatternConfig = PatternConfig(), anomaly: AnomalyConfig = AnomalyConfig()) -> DataFrame:
-    """Trend direction and strength, daily and weekly season, anomaly counts of each series and metric, by fixed thresholds."""
+    """Trend direction and strength, daily and weekly season, anomaly counts of each series and metric, by fixed thresholds."""
     by = ["series", "metric"]
     acf = autocorrelation(long, step_seconds, (24, 168)).groupBy(*by).pivot("lag_hours", [24, 168]).agg(F.first("acf"))
     found = anomalies(long, anomaly).groupBy(*by).agg(F.count(F.lit(1)).alias("n_anomalies"))
@@ -86,6 +97,18 @@ def labels(long: DataFrame, step_seconds: int = 3600, cfg: PatternConfig = Patte
     return all_.select(*by, "slope_per_hour", strength.alias("trend_strength"), direction.alias("trend_direction"), season("24").alias("daily_season"), season("168").alias("weekly_season"), F.coalesce("n_anomalies", F.lit(0)).alias("n_anomalies"))
 
 
+def bundle(df: DataFrame, spec: SeriesSpec, step_seconds: int = 3600, cfg: PatternConfig = PatternConfig()) -> dict[str, DataFrame]:
+    """The evidence of a series: labels, hourly, weekly and monthly profiles, thumbnail, largest anomalies; of the first cfg.max_groups groups and
+    cfg.max_metrics metrics by name."""
+    own = first_groups(df, spec.group, cfg.max_groups) if spec.group else df
+    spec = SeriesSpec(spec.ts, spec.group, spec.metrics[: cfg.max_metrics], spec.key)
+    long = stats.unpivot(own, spec)
+    out = {"labels": labels(long, step_seconds, cfg), "thumbnail": thumbnail(long, cfg.thumbnail_points), "anomalies": top_anomalies(long)}
+    for part in ("hour", "weekday", "month"):
+        out |= {f"profile_{part}_{m}": stats.profile(own, spec.ts, m, part) for m in spec.metrics}
+    return out
+
+
 def by_origin(blocks: DataFrame, spec: SeriesSpec, step_seconds: int = 3600) -> DataFrame:
     """Labels of every retrieval block at once: the block is part of the series' name."""
     named = blocks.withColumn("_series", F.concat_ws("/", "ret_block", spec.group or F.lit("all")))

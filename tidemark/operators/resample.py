@@ -12,20 +12,30 @@ def bucket_mean(df: DataFrame, ts: str, value: str, seconds: int, by: tuple[str,
     return df.where(F.col(ts).isNotNull()).groupBy(*by, slot.alias("slot")).agg(F.avg(value).alias("value"))
 
 
-def regular(df: DataFrame, ts: str, value: str, seconds: int, by: tuple[str, ...] = (), both_ways: bool = True) -> DataFrame:
+def regular(df: DataFrame, ts: str, value: str, seconds: int, by: tuple[str, ...] = (), both_ways: bool = True, block: int = 4096) -> DataFrame:
     """(slot, value) on every bucket between the first and the last, gaps filled in a straight line. Buckets lie at equal distances, so by
-    place and by time are the same. both_ways: also constant before the first value; else only after the last."""
+    place and by time are the same. both_ways: also constant before the first value; else only after the last.
+
+    The grid is cut into blocks of so many slots. What a block passes on, its last and its first known value, is one row, so a long series spreads
+    over many tasks.
+    """
     means = bucket_mean(df, ts, value, seconds, by)
     span = means.groupBy(*by).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    grid = span.select(*by, F.explode(F.sequence("lo", "hi")).alias("slot"))
-    on = grid.join(means, [*by, "slot"], "left")
-    w = Window.partitionBy(*by).orderBy("slot")
+    blocks = span.select(*by, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))).alias("block"))
+    inside = F.sequence(F.greatest("lo", F.col("block") * block), F.least("hi", (F.col("block") + 1) * block - 1))
+    on = blocks.select(*by, "block", F.explode(inside).alias("slot")).join(means, [*by, "slot"], "left")
+    # a bucket can hold nulls only: its mean is null, and it counts as a gap
     known = F.when(F.col("value").isNotNull(), F.struct("slot", "value"))
+    ends = means.where("value is not null").groupBy(*by, F.floor(F.col("slot") / block).alias("block")).agg(F.max(F.struct("slot", "value")).alias("last"), F.min(F.struct("slot", "value")).alias("first"))
+    across = Window.partitionBy(*by).orderBy("block")
+    passed = blocks.select(*by, "block").join(ends, [*by, "block"], "left").select(*by, "block", F.last("last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"), F.first("first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("from_after"))
+    w = Window.partitionBy(*by, "block").orderBy("slot")
     before, after = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    ends = on.select(*by, "slot", before.alias("a"), after.alias("b"))
+    seen = on.select(*by, "block", "slot", before.alias("a"), after.alias("b")).join(passed, [*by, "block"])
+    filled = seen.select(*by, "slot", F.coalesce("a", "from_before").alias("a"), F.coalesce("b", "from_after").alias("b"))
     line = F.col("a.value") + (F.col("b.value") - F.col("a.value")) * (F.col("slot") - F.col("a.slot")) / F.nullif(F.col("b.slot") - F.col("a.slot"), F.lit(0))
-    filled = F.coalesce(F.when(F.col("a.slot") == F.col("b.slot"), F.col("a.value")), line, F.col("a.value"), *([F.col("b.value")] if both_ways else []))
-    return ends.select(*by, "slot", F.timestamp_micros(F.col("slot") * seconds * 1_000_000).cast("timestamp_ntz").alias("ts"), filled.alias("value"))
+    found = F.coalesce(F.when(F.col("a.slot") == F.col("b.slot"), F.col("a.value")), line, F.col("a.value"), *([F.col("b.value")] if both_ways else []))
+    return filled.select(*by, "slot", F.timestamp_micros(F.col("slot") * seconds * 1_000_000).cast("timestamp_ntz").alias("ts"), found.alias("value"))
 
 
 def normalise(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
@@ -34,6 +44,19 @@ def normalise(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     return df.join(s, list(by)).withColumn("z", F.try_divide(F.col(value) - F.col("_mean"), F.nullif(F.col("_std"), F.lit(0.0)))).drop("_mean", "_std")
 
 
-def numbered(df: DataFrame, ts: str, by: tuple[str, ...]) -> DataFrame:
-    """The place of each row in its group, from 0."""
-    return df.withColumn("time_idx", F.row_number().over(Window.partitionBy(*by).orderBy(ts)) - 1)
+def numbered(df: DataFrame, ts: str, by: tuple[str, ...] = (), name: str = "time_idx", then: tuple[str, ...] = (), days: int = 7) -> DataFrame:
+    """The place of each row in its group, from 0, in order of ts (nulls first) and then.
+
+    Rows are numbered inside blocks of so many days; the sums of the blocks' counts, one row a block, give each block its first number.
+    """
+    block = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (days * 86_400_000_000)).cast("long")
+    own = df.withColumn("_block", F.coalesce(block, F.lit(-(1 << 62))))
+    counts = own.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], F.col("_block").alias("_of"), before.alias("_first"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(ts, *then)) - 1
+    on = F.col("_block") == F.col("_of")
+    for k, b in enumerate(by):
+        on &= F.col(b).eqNullSafe(F.col(f"_by{k}"))
+    joined = own.withColumn("_place", inside).join(starts, on)
+    return joined.select(*df.columns, (F.col("_first") + F.col("_place")).alias(name))

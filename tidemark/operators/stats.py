@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec, StatConfig
+from .resample import numbered
 
 
 def unpivot(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -91,10 +92,11 @@ def hours_to_steps(hours: float, step_seconds: float) -> int:
 
 
 def autocorrelation(df: DataFrame, ts: str, value: str, lags: tuple[int, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """Pearson of a series with itself lags steps earlier, in rows (lag, r)."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    shifted = df.select(*by, F.col(value).alias("x"), *[F.lag(value, k).over(w).alias(f"x{k}") for k in lags])
-    wide = shifted.groupBy(*by).agg(*[correlation(F.col("x"), F.col(f"x{k}")).alias(f"r{k}") for k in lags])
+    """Pearson of a series with itself lags steps earlier, in rows (lag, r). Rows are numbered and sent to the places they are partners of."""
+    placed = numbered(df.select(*by, F.col(ts).alias("ts"), F.col(value).alias("x")), "ts", by, "place")
+    sent = F.explode(F.array(F.struct(F.lit(0).alias("lag"), F.col("place").alias("at")), *[F.struct(F.lit(k).alias("lag"), (F.col("place") + k).alias("at")) for k in lags])).alias("e")
+    met = placed.select(*by, "x", sent).groupBy(*by, F.col("e.at").alias("at")).agg(F.max(F.when(F.col("e.lag") == 0, F.col("x"))).alias("x"), *[F.max(F.when(F.col("e.lag") == k, F.col("x"))).alias(f"x{k}") for k in lags])
+    wide = met.groupBy(*by).agg(*[correlation(F.col("x"), F.col(f"x{k}")).alias(f"r{k}") for k in lags])
     return wide.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in lags])).alias("c")).select(*by, "c.*")
 
 

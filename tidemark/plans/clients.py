@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 from ..functions.calendar import salvage_json, schema_errors
-from ..operators.evaluate import MODEL_ALIASES, PRICES
 
 
 class ChatClient(Protocol):
@@ -80,6 +79,7 @@ class CallLog:
 
     client: ChatClient
     stage: str = ""
+    prices: dict[str, tuple[float, float]] = field(default_factory=dict)  # USD for 1,000 tokens in and out, by model
     calls: list[dict] = field(default_factory=list)
 
     @property
@@ -90,7 +90,7 @@ class CallLog:
         began = time.time()
         text = self.client.chat(messages, **options)
         n_in, n_out = (max(1, len(t) // 4) for t in ("".join(m["content"] for m in messages), text))
-        price = PRICES.get(MODEL_ALIASES.get(self.model, self.model), (0.0, 0.0))
+        price = self.prices.get(self.model, (0.0, 0.0))
         self.calls.append({"stage": self.stage, "model": self.model, "latency_sec": time.time() - began, "tokens_in": n_in, "tokens_out": n_out, "cost_usd": n_in / 1000 * price[0] + n_out / 1000 * price[1]})
         return text
 

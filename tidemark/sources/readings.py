@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from itertools import product
 from pathlib import Path
 
@@ -14,6 +18,22 @@ READINGS = "REGION string, SETTLEMENTDATE string, TOTALDEMAND string, RRP string
 STAMP_FORMATS = ("yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm")
 
 
+_own_dir: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir; where it is unset and all runs in one process, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="readings-"))
+            atexit.register(shutil.rmtree, _own_dir[0], True)
+        base = _own_dir[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stamp(c: Column) -> Column:
     """Any of the known formats as wall-clock time; null if it is none."""
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in STAMP_FORMATS])
