@@ -19,10 +19,12 @@ WORD_CLASS = rb"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir. Where it is unset and everything runs in this process (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="shared-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -36,16 +38,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialised intermediate that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*written: DataFrame) -> None:
+    """Delete the files of materialised intermediates that nothing reads any more, and let Spark's cleaner delete the shuffle files of finished jobs."""
+    for df in written:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if written:
+        written[0].sparkSession._jvm.System.gc()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +94,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         to_a, to_b = parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(to_a, "a").join(to_b, "b").where("pa <> pb")
         new_edges = materialise(moved.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct(), "cc-edges")
-        for old in (labels, edges, parent):
-            forget(old)
+        forget(labels, edges, parent)
         labels, edges = new_labels, new_edges
     return labels

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
+from .common import SPACE_CLASS, free_name
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _NO_ID = 2**63 - 1
 FANOUT = 16
+#: The sixteen steps of four bits of the first half of a digest: contents equal in all of these are as good as never met.
+LAST_LEVEL = 15
 
 
 class OpenTable:
@@ -74,7 +76,7 @@ def grace(records: Iterator[list], budget: int, level: int = 0) -> Iterator[list
                 old[2] += r[2]
                 if (-r[3], r[4]) < (-old[3], old[4]):
                     old[3:5] = r[3:5]
-            elif table.bytes < budget or level > 12:
+            elif table.bytes < budget or level > LAST_LEVEL:
                 table.add(slot, r)
             else:  # the partition doesn't fit: spill by the next digest bits
                 folder = folder or tempfile.TemporaryDirectory(prefix="grace-")
@@ -158,11 +160,12 @@ def exact_dedup(docs: DataFrame, budget_bytes: int = 48 << 20) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, budget_bytes: int = 48 << 20) -> DataFrame:
-    """The rows of docs that stay, all columns unchanged. Rows that repeat one doc_id with equal content count as copies: one stays."""
-    keep = class_winners(docs, budget_bytes).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    own = docs.withColumn("_sha", content_sha())
-    kept = own.join(keep, "_sha").where(F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    return kept.dropDuplicates(["_sha"]).select(*docs.columns)
+    """The rows of docs that stay, all columns unchanged, whatever their names. Rows that repeat one doc_id with equal content count as copies: one stays."""
+    sha, keep, id_ = (free_name(docs, n) for n in ("sha_", "keep_", "id_"))
+    winners = class_winners(docs, budget_bytes).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep))
+    own = docs.withColumns({sha: content_sha(), id_: F.col("doc_id").cast("long")})
+    kept = own.join(winners, sha).where(F.col(id_).eqNullSafe(F.col(keep)))
+    return kept.dropDuplicates([sha]).drop(sha, keep, id_)
 
 
 QUERY = lambda spark, sf_dir: exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
