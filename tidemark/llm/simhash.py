@@ -1,11 +1,11 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints are collapsed to distinct values first, so groups of copies cost one row. The 64 bits are cut into six bands; two
-fingerprints that differ in at most four bits agree on two bands at least, so each of the 15 pairs of bands is one exact table
-of buckets. Inside a bucket the fingerprints are stored as 64 vertical bit planes; the planes shifted by d lanes are xor-ed with
-themselves and added up by carry-save adders, giving 64 distances a word; a stretch of lanes is abandoned once all its distances
-exceed the radius. A bucket gives the edges of a spanning forest, never its pairs. A bucket larger than CELL is cut into chunks
-whose pairs are compared in tasks of their own, so no bucket size is dropped or gathered in one task.
+Fingerprints are collapsed to distinct values first, so groups of copies cost one row. The 64 bits are cut into radius + m bands; two fingerprints
+within the radius agree on m bands at least, so each choice of m bands is one exact table of buckets. m grows with the number of fingerprints, so that
+buckets stay small. Inside a bucket the fingerprints are stored as 64 vertical bit planes; the planes shifted by d lanes are xor-ed with
+themselves and added up by carry-save adders, giving 64 distances a word; words all of whose distances exceed the radius are abandoned.
+A bucket gives the edges of a spanning forest, never its pairs. A bucket larger than CELL is cut into chunks whose pairs
+are compared in tasks of their own, so no bucket size is dropped or gathered in one task.
 
 Null and empty texts and texts without words have fingerprint zero, which links like any other. Texts of one to three words hash
 their whole sequence. Rows that share a doc_id are separate rows. A null doc_id never becomes a component's id unless all are null.
@@ -22,12 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, connected_components, materialise
+from .common import WORD_CLASS, connected_components, forget, materialise
+from .substring_dedup import _B1, Ranges, word_hashes
 
 RADIUS = 4
 SHINGLE = 4
 #: Rows of a bucket that one task compares with each other at most (twice as many in a cell of two chunks).
 CELL = 4096
+#: Rows of a bucket on average beyond which more and wider keys are used.
+CROWD = 16
+#: Near copies in the pipeline: words of a shingle, and Jaccard similarity of the sets in percent. A bit of the fingerprints of two sets with
+#: similarity 0.8 differs with a probability of 0.151, that is 9.7 of 64 bits, with a deviation of 2.9: WIDE is 3.6 deviations above.
+STAGE_SHINGLE, PERCENT, WIDE = 5, 80, 20
+#: Rows whose shingles are counted, and how often a common one occurs there. The sample decides the cost, never the result.
+SAMPLE, COMMON, MOST_COMMON = 4096, 4, 50_000
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -64,30 +72,25 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """64 x words: bit i of the fingerprints of 64 lanes in one word each, lowest lane in the lowest bit."""
+    """64 rows: bit i of the fingerprints of 64 lanes in one word each, lowest lane in the lowest bit. As many empty words follow."""
     lanes = -len(fps) % 64
     padded = np.concatenate([fps, np.zeros(lanes, dtype=np.uint64)])
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
-
-
-def _shifted(words: np.ndarray, d: int) -> np.ndarray:
-    """The plane whose lane i is lane i + d of words."""
-    whole, part = divmod(d, 64)
-    out = np.zeros_like(words)
-    if whole < len(words):
-        moved = words[whole:]
-        out[: len(moved)] = moved >> np.uint64(part)
-        if part:
-            out[: len(moved) - 1] |= moved[1:] << np.uint64(64 - part)
-    return out
+    words = np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
+    return np.concatenate([words, np.zeros((64, words.shape[1] + 2), dtype=np.uint64)], axis=1)
 
 
 def _within(planes: np.ndarray, d: int, n_words: int, radius: int) -> np.ndarray:
-    """A word for each 64 lanes: a bit is set where lanes i and i + d differ in at most radius bits."""
+    """A word for each 64 lanes: a bit is set where lanes i and i + d differ in at most radius bits.
+
+    After every 16 planes the words all of whose distances exceed the radius are abandoned.
+    """
     width = max(2, (radius + 1).bit_length())
     count = [np.zeros(n_words, dtype=np.uint64) for _ in range(width)]
     over = np.zeros(n_words, dtype=np.uint64)
+    whole, part = divmod(d, 64)
+    at: slice | np.ndarray = slice(0, n_words)  # the words that are left
+    low, high = slice(whole, whole + n_words), slice(whole + 1, whole + 1 + n_words)
 
     def beyond() -> np.ndarray:
         more, equal = over.copy(), ~over
@@ -99,147 +102,316 @@ def _within(planes: np.ndarray, d: int, n_words: int, radius: int) -> np.ndarray
                 equal &= ~count[k]
         return more
 
+    def differ(plane: np.ndarray) -> np.ndarray:
+        if not part:
+            return plane[at] ^ plane[low]
+        return plane[at] ^ (plane[low] >> np.uint64(part) | plane[high] << np.uint64(64 - part))
+
     ones = ~np.uint64(0)
     for k in range(0, 64, 2):
-        a = planes[k, :n_words] ^ _shifted(planes[k], d)[:n_words]
-        b = planes[k + 1, :n_words] ^ _shifted(planes[k + 1], d)[:n_words]
+        a, b = differ(planes[k]), differ(planes[k + 1])
         half = count[0] ^ a  # carry-save: three words in, sum and carry out
         carry = (count[0] & a) | (b & half)
         count[0] = half ^ b
         for j in range(1, width):
             count[j], carry = count[j] ^ carry, count[j] & carry
         over |= carry
-        if k % 16 == 14 and (beyond() == ones).all():
-            return over * np.uint64(0)
-    return ~beyond()
+        if k % 16 == 14 and k < 62:
+            left = np.flatnonzero(beyond() != ones)
+            if len(left) < len(over):
+                at = np.arange(n_words)[at][left]
+                if not len(at):
+                    break
+                low, high = at + whole, at + whole + 1
+                count, over = [c[left] for c in count], over[left]
+    out = np.zeros(n_words, dtype=np.uint64)
+    if len(over):
+        out[at] = ~beyond() if len(out[at]) else 0
+    return out
 
 
-def forest(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, smaller fingerprint) of a spanning forest of the links inside each group. groups: sorted ids."""
+def linked(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS, parent: np.ndarray | None = None, accept=None, spanning: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group that differ in at most radius bits. groups: sorted ids; accept(x, y): which pairs count.
+
+    parent gives each row an earlier row of its group (or itself) with which it is joined already; such pairs are left out. With spanning, only
+    pairs that join what was apart are given: a spanning forest of each group, which is left as soon as it is one piece.
+    """
     fps = fps.astype(np.uint64)
-    _, first, size = np.unique(groups, return_index=True, return_counts=True)
-    keep = size > 1
-    first, size = first[keep], size[keep]
-    order = np.argsort(-size, kind="stable")  # lanes of large groups first: later shifts need a prefix only
-    first, size = first[order], size[order]
-    if not len(size):
-        return np.array([], dtype=np.uint64), np.array([], dtype=np.uint64)
-    lanes = np.concatenate([np.arange(f, f + s) for f, s in zip(first, size)])
-    ends = np.repeat(np.cumsum(size), size)
-    own = fps[lanes]
-    parent = np.arange(len(own))
-    planes = _planes(own)
-    for d in range(1, int(size[0])):
-        live = int(size[size > d].sum())
-        words = -(-live // 64)
-        hit = np.flatnonzero(np.unpackbits(_within(planes, d, words, radius).view(np.uint8), bitorder="little"))
-        hit = hit[hit < live]
-        hit = hit[hit + d < ends[hit]]
-        hit = hit[parent[hit] != parent[hit + d]]
-        if len(hit):
-            for i in hit.tolist():
-                x, y = i, i + d
-                while parent[x] != x:
-                    x = parent[x]
-                while parent[y] != y:
-                    y = parent[y]
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
+    parent = np.arange(len(fps)) if parent is None else parent.copy()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    _, first, inverse, size = np.unique(groups, return_index=True, return_inverse=True, return_counts=True)
+    pieces = np.bincount(inverse, weights=parent == np.arange(len(parent)), minlength=len(size)).astype(np.int64)
+    d = 1
+    while True:
+        keep = (size > d) & (pieces > 1)
+        if not keep.any():
+            break
+        own_first, own_size, own_group = first[keep], size[keep], np.flatnonzero(keep)
+        order = np.argsort(-own_size, kind="stable")  # lanes of large groups first: later shifts need a prefix only
+        own_first, own_size, own_group = own_first[order], own_size[order], own_group[order]
+        total = int(own_size.sum())
+        lanes = np.arange(total) + np.repeat(own_first - (np.cumsum(own_size) - own_size), own_size)
+        ends = np.repeat(np.cumsum(own_size), own_size)
+        upto = np.cumsum(own_size)
+        planes = _planes(fps[lanes])
+        while d < own_size[0]:
+            longer = int(np.searchsorted(-own_size, -d, side="left"))  # groups of more than d rows
+            live = int(upto[longer - 1])
+            hit = np.flatnonzero(np.unpackbits(_within(planes, d, -(-live // 64), radius).view(np.uint8), bitorder="little"))
+            hit = hit[hit < live]
+            hit = hit[hit + d < ends[hit]]
+            x, y = lanes[hit], lanes[hit + d]
+            d += 1
+            apart = parent[x] != parent[y]
+            if accept is not None and len(x):
+                apart &= accept(x, y)
+            x, y = x[apart], y[apart]
+            if not len(x):
+                continue
+            if not spanning:
+                found.append((x, y))
+                continue
+            joins = []
+            for i, j in zip(x.tolist(), y.tolist()):
+                u, v = i, j
+                while parent[u] != u:
+                    u = parent[u]
+                while parent[v] != v:
+                    v = parent[v]
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    joins.append((i, j))
+                    pieces[inverse[i]] -= 1
             while (parent[parent] != parent).any():
                 parent = parent[parent]
-    low = own.copy()
-    np.minimum.at(low, parent, own)
-    smallest = low[parent]
-    edge = smallest != own
-    return own[edge], smallest[edge]
+            found.append(tuple(np.array(joins, dtype=np.int64).reshape(-1, 2).T))
+            if 2 * own_size[pieces[own_group] > 1].sum() < live:
+                break  # most lanes are of groups that are one piece: pack the others anew
+        else:
+            break
+    if not found:
+        return np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def forest(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints that make a spanning forest of the links inside each group. groups: sorted ids."""
+    x, y = linked(fps, groups, radius)
+    return fps.astype(np.uint64)[x], fps.astype(np.uint64)[y]
 
 
-def bands(radius: int) -> list[int]:
-    """Bounds of the bands: two more than the radius, so that two bands agree in full."""
-    n = radius + 2
-    return [round(64 * k / n) for k in range(n + 1)]
+def bands(radius: int, rows: int = 0) -> tuple[list[int], int]:
+    """Bounds of the bands, and how many of them agree in full in each pair within radius: as few as leave CROWD rows in a bucket on average."""
+    for n in range(radius + 2, 64):
+        if rows <= CROWD << (64 // n * (n - radius)) or n - radius >= 5:
+            break
+    return [round(64 * k / n) for k in range(n + 1)], n - radius
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """distinct: fp. Edges (a, b) whose components are those of all pairs within radius."""
-    at = bands(radius)
+def _cells(rows: DataFrame, cell: int, name: str) -> DataFrame:
+    """rows: key, node, more. With i and j: rows of a key in cells of two chunks of about cell rows; each two rows of a key meet in one cell."""
+    sizes = materialise(rows.groupBy("key").count().where(F.col("count") > cell), name)
+    if sizes.isEmpty():
+        return rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    chunks = rows.join(sizes, "key", "left").withColumn("chunks", F.ceil(F.coalesce("count", F.lit(1)) / cell).cast("int")).drop("count")
+    own = chunks.withColumn("c", F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int"))
+    other = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return other.withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o")}).drop("c", "o", "chunks")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """work(columns, groups) on stretches of whole cells. batches: key, i, j, more; sorted by them."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, n
+        if not held:
+            return
+        cols = [np.concatenate(c) for c in zip(*held)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+        end = len(cols[0]) if last else (int(change[-1]) if len(change) else 0)
+        groups = np.zeros(len(cols[0]), dtype=np.int64)
+        groups[change] = 1
+        a, b = work([c[:end] for c in cols[3:]], np.cumsum(groups)[:end])
+        held = [[c[end:] for c in cols]] if end < len(cols[0]) else []
+        n = len(cols[0]) - end
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n >= 1 << 17:
+            yield from flush(False)
+    yield from flush(True)
+
+
+def links(distinct: DataFrame, rows: int = 0, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """distinct: fp; rows: about how many. Edges (a, b) whose components are those of all pairs within radius."""
+    at, agree = bands(radius, rows)
     keys = []
-    for t, (i, j) in enumerate(combinations(range(len(at) - 1), 2)):
-        cut = [F.shiftrightunsigned("fp", at[k]).bitwiseAND(F.lit((1 << (at[k + 1] - at[k])) - 1)) for k in (i, j)]
+    for t, chosen in enumerate(combinations(range(len(at) - 1), agree)):
+        cut = [F.shiftrightunsigned("fp", at[k]).bitwiseAND(F.lit((1 << (at[k + 1] - at[k])) - 1)) for k in chosen]
         keys.append(F.xxhash64(F.lit(t), *cut))  # equal hashes of unequal bands only add comparisons
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = materialise(rows.groupBy("key").count().where(F.col("count") > cell), "simhash-large")
-    if sizes.isEmpty():
-        cells = rows.select("fp", "key", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    else:
-        chunks = rows.join(sizes, "key", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(1)) / cell).cast("int"))
-        own = chunks.withColumn("c", F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col("n")).cast("int"))
-        other = own.select("fp", "key", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-        cells = other.select("fp", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    cells = _cells(distinct.select(F.col("fp").alias("node"), F.explode(F.array(*keys)).alias("key")), cell, "simhash-large")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n
-            if not held:
-                return
-            fp, key, i, j = (np.concatenate(c) for c in zip(*held))
-            change = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            end = len(fp) if last else (int(change[-1]) if len(change) else 0)
-            groups = np.zeros(len(fp), dtype=np.int64)
-            groups[change] = 1
-            a, b = forest(fp[:end].view(np.uint64), np.cumsum(groups)[:end], radius)
-            held = [(fp[end:], key[end:], i[end:], j[end:])] if end < len(fp) else []
-            n = len(fp) - end
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-            n += batch.num_rows
-            if n >= 1 << 17:
-                yield from flush(False)
-        yield from flush(True)
-
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long")
+        yield from _by_cell(batches, lambda cols, groups: forest(cols[0].view(np.uint64), groups, radius))
 
-
-def _labelled(own: DataFrame, radius: int, cell: int) -> DataFrame:
-    """own: doc_id, fp. fp, least_id, root: one row for each fingerprint, with the fingerprint that names its component."""
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    nodes = connected_components(links(classes.select("fp"), radius, cell))
-    return classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    dealt = cells.select("key", "i", "j", "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, cell: int = CELL) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id of the component): one row for each row of docs."""
     own = materialise(fingerprints(docs, shingle), "simhash-fps")
-    labelled = _labelled(own, radius, cell)
-    least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
+    classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
+    nodes = connected_components(links(classes.select("fp"), classes.count(), radius, cell))
+    # written, so that a component of any size is split in the joins
+    labelled = materialise(classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")), "simhash-labelled")
+    least = materialise(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least")
+    by_fp = materialise(labelled.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-components")
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(own: DataFrame, roots: DataFrame, on: str) -> DataFrame:
-    """The row of own with the smallest doc_id, nulls last, of each root. own: written, with _row; roots: on, root."""
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")).getField("_row")
-    keep = own.select("doc_id", F.xxhash64("text").alias("_hash"), "_row", on).join(roots, on).groupBy("root").agg(first.alias("_row")).select("_row")
-    return own.join(keep, "_row", "left_semi")
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles; of its whole sequence if it is shorter, and one common value without words."""
+    words, _ = word_hashes((text or "").encode().translate(_LOWER))
+    if not len(words):
+        return np.zeros(1, dtype=np.int64)
+    first = np.arange(max(1, len(words) - shingle + 1))
+    return np.unique(Ranges(words, _B1).of(first, np.minimum(first + shingle, len(words))).view(np.int64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The SimHash of a set of hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[k : k + (1 << 16)].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    bits = _BITS[2 * counts > len(hashes)]
+    return int(bits.sum(dtype=np.uint64)) if len(bits) else 0
+
+
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """rows: node, text. node, own: the shingle set of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle) for t in part.column(1)], pa.list_(pa.int64()))], names=["node", "own"])
+
+    return rows.mapInArrow(run, "node long, own array<long>")
+
 
+def _sketches(rows: DataFrame, common: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """rows: row, text. row, fp, n (size of the shingle set), s1, s2 (digest of the set), prefix.
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of docs for each component, all columns unchanged: that of the smallest doc_id; null ids come last and stay if there is no other."""
+    Of two sets of n shingles whose similarity is percent / 100 at least, both hold one of the first n - ceil(n * percent / 100) + 1, in any order that all
+    texts share. Here common ones come last.
+    """
 
-    @F.arrow_udf("long")
-    def fp(text: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in text], dtype=np.uint64).view(np.int64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                fps, sizes, digests, prefixes = [], [], [], []
+                for t in part.column(1):
+                    own = shingle_set(t.as_py(), shingle)
+                    n = len(own)
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1) if len(common) else None
+                    late = common[at] == own if len(common) else np.zeros(n, dtype=bool)
+                    fps.append(_majority(own))
+                    sizes.append(n)
+                    digests.append(xxh3_128_digest(own.tobytes()))
+                    prefixes.append(np.concatenate([own[~late], own[late]])[: n + (-n * percent // 100) + 1])
+                both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(prefixes, pa.list_(pa.int64()))], names=["row", "fp", "n", "s1", "s2", "prefix"])
+
+    return rows.mapInArrow(run, "row long, fp long, n int, s1 long, s2 long, prefix array<long>")
+
+
+def _met(known: DataFrame, labels: DataFrame | None, spanning: bool, turn: int, percent: int, radius: int, cell: int) -> DataFrame:
+    """known: key, node, fp, n; labels: node, component. a, b: pairs of a key, of different components, within radius, whose sizes allow the similarity."""
+    with_label = known.withColumn("component", F.col("node")) if labels is None else known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def work(cols: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        node, fp, n, component = cols
+        n = n.astype(np.int64)
+        order = np.lexsort((np.arange(len(node)), component, groups))
+        same = np.concatenate([[False], (component[order][1:] == component[order][:-1]) & (groups[order][1:] == groups[order][:-1])])
+        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        parent = np.empty(len(order), dtype=np.int64)
+        parent[order] = order[start]  # the first row of its component in the group
+        x, y = linked(fp.view(np.uint64), groups, radius, parent, lambda x, y: 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]), spanning)
+        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
-    own = materialise(docs.withColumns({"fp_": fp(F.col("text").cast("string")), "_row": F.monotonically_increasing_id()}), "simhash-rows")
-    roots = _labelled(own.select("doc_id", F.col("fp_").alias("fp")), radius, CELL).select(F.col("fp").alias("fp_"), "root")
-    return one_of_each(own, roots, "fp_").select(*docs.columns)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_cell(batches, work)
+
+    cells = _cells(with_label, cell, "near-large").select("key", "i", "j", "node", "fp", "n", "component")
+    # a new order in each turn, so that a forest holds other pairs
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.xxhash64(F.lit(turn), "node"))
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def similar(rows: DataFrame, percent: int = PERCENT, shingle: int = STAGE_SHINGLE, radius: int = WIDE, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """rows: row, text; written. (row, node): the first row with the same shingle set; and (node, component) of the nodes with links.
+
+    Links are pairs of sets with a Jaccard similarity of percent / 100 at least, whose fingerprints differ in at most radius bits. Rows meet by the
+    shingles of which similar sets share one. Bit-sliced comparison finds candidates: first spanning forests of each shingle's rows, whose
+    pairs are checked on the complete sets, then, between rows that are still in different components, all pairs within the radius.
+    """
+    every = max(1, rows.count() // SAMPLE)
+    some = _sets(rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0), shingle).select(F.explode("own").alias("key"))
+    common = some.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
+    sketches = materialise(_sketches(rows, np.sort(common.select("key").toArrow()["key"].to_numpy().astype(np.int64)), shingle, percent), "near-sketches")
+    firsts = materialise(sketches.groupBy("s1", "s2").agg(F.min("row").alias("node")), "near-firsts")
+    members = materialise(sketches.select("row", "s1", "s2").join(firsts, ["s1", "s2"]).select("row", "node"), "near-members")
+    own = sketches.join(firsts.select(F.col("node").alias("row")), "row", "left_semi")
+    keys = own.select(F.explode("prefix").alias("key"), F.col("row").alias("node"), "fp", "n")
+    shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "near-shared")
+    known = materialise(keys.join(shared, "key", "left_semi"), "near-known")
+    forget(sketches, firsts, shared)
+    texts = rows.select(F.col("row").alias("node"), "text")
+    labels = edges = tested = None
+    for turn, spanning in enumerate((True, True, False)):
+        pairs = _met(known, labels, spanning, turn, percent, radius, cell)
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        if pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-asked")
+        sets = materialise(_sets(texts.join(asked, "node", "left_semi"), shingle), "near-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+        common_size = F.size(F.array_intersect("x", "y"))
+        # 100 * common >= percent * union
+        good = materialise(both.where((100 + percent) * common_size >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
+        forget(asked, sets)
+        edges = good if edges is None else edges.unionAll(good)
+        labels = connected_components(edges)
+    forget(known)
+    if labels is None:
+        labels = members.select("node", F.col("node").alias("component")).where("false")
+    return members, labels
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = STAGE_SHINGLE, radius: int = WIDE) -> DataFrame:
+    """One row of docs for each group of near copies, all columns unchanged: that of the smallest doc_id, nulls last.
+
+    A group is a component of the links of similar(). Extra columns may have any names.
+    """
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    own = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*quoted).alias("doc"), F.col("text").cast("string").alias("text")), "near-rows")
+    members, labels = similar(own.select("row", "text"), percent, shingle, radius)
+    grouped = members.join(labels, "node", "left").select("row", F.coalesce("component", "node").alias("group"))
+    grouped = materialise(own.select("row", F.col("doc.doc_id").alias("doc_id"), F.xxhash64("text").alias("hash")).join(grouped, "row"), "near-grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "row")).getField("row")
+    keep = materialise(grouped.groupBy("group").agg(first.alias("row")).select("row"), "near-keep")
+    return own.join(keep, "row", "left_semi").select("doc.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

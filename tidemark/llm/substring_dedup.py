@@ -7,14 +7,15 @@ elsewhere is a factor as it is; at the boundaries of factors (the run's cover oc
 up on its own, among the boundary windows and one representative of every factor with that seed. Adjoining factors that continue in the same
 reference become one. Every covered word goes; no occurrence is spared. Windows are judged on the input only.
 
-Contents are compared by 128-bit keys of all their words. Hot passages are pre-aggregated: of a cover that occurs in any number of
-documents, one representative is expanded. Null and empty texts have no words; texts shorter than LENGTH words keep all. doc_id must
-identify a row; rows with a null doc_id keep all their words. Repeated rows are copies of each other and lose their windows.
+Contents are compared by keys of all their words, made of two independent 64-bit hashes a word (halves of its XXH3-128): a window by 128 bits, a cover
+by 64 bits of the one among the covers whose seeds have equal 64 bits of the other. Hot passages are pre-aggregated: of a cover that occurs in any number
+of documents, one representative is expanded. Rows are told apart by a number of their own, written with them, so null ids and repeated ids are rows like
+any other. Null and empty texts have no words; texts shorter than LENGTH words keep all. Repeated rows are copies of each other and lose their windows.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, materialise
+from .common import WORD_CLASS, forget, materialise
 
 LENGTH = 35
 SEED = 8
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -62,13 +61,12 @@ class Ranges:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of UTF-8 bytes."""
-    inside = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    spread = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_B2))
-    return Ranges(spread[data], _B1).of(start, end)
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word of UTF-8 bytes."""
+    from xxhash import xxh3_128_digest
+
+    both = np.frombuffer(b"".join(map(xxh3_128_digest, re.findall(WORD_CLASS, text))), dtype="<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -79,14 +77,14 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
-def runs(words: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """start, number of windows, seed value, key of the whole cover: of each run of windows with one anchor."""
+def runs(words: np.ndarray, others: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """start, number of windows, seed value (of others), key of the whole cover (of words): of each run of windows with one anchor."""
     n = len(words)
     if n < length:
         empty = np.array([], dtype=np.int64)
         return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     first = np.arange(n - seed + 1)
-    grams = Ranges(words, _B2).of(first, first + seed)
+    grams = Ranges(others, _B2).of(first, first + seed)
     width = length - seed + 1
     least = _slide(grams, width, np.minimum)
     # the leftmost place of the least hash: from the right, the nearest place at or after p that equals least[p]
@@ -102,81 +100,80 @@ def runs(words: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.
     return cut, count, least[cut], _mix(cover ^ _mix(offset * np.uint64(_B2) + count.astype(np.uint64)))
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
-    for t in batch.column(column):
-        yield np.frombuffer((t.as_py() or "").encode(), dtype=np.uint8)
-
-
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64, copy=False).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
 def _all_runs(docs: DataFrame, length: int) -> DataFrame:
-    names = ["doc_id", "start", "windows", "seed", "cover"]
+    names = ["_row", "start", "windows", "seed", "cover"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
-            for doc_id, data in zip(b.column(0).to_pylist(), _texts(b, 1)):
-                start, windows, seed, cover = runs(word_hashes(data), length)
-                for c, x in zip(out, (np.full(len(start), doc_id, dtype=np.int64), start, windows, seed, cover)):
+            for row, text in zip(b.column(0).to_pylist(), b.column(1)):
+                start, windows, seed, cover = runs(*word_hashes((text.as_py() or "").encode()), length)
+                for c, x in zip(out, (np.full(len(start), row, dtype=np.int64), start, windows, seed, cover)):
                     c.append(x)
             if out[0]:
                 cols = [np.concatenate(c) for c in out]
                 yield pa.RecordBatch.from_arrays([_i64(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), _i64(cols[3]), _i64(cols[4])], names=names)
 
-    return docs.mapInArrow(find, "doc_id long, start int, windows int, seed long, cover long")
+    return docs.select("_row", "text").mapInArrow(find, "_row long, start int, windows int, seed long, cover long")
 
 
 def _boundary_windows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """asked: doc_id, spans array of (start, windows, wanted). Key, doc_id, start, wanted of each of their windows."""
-    names = ["k1", "k2", "doc_id", "start", "wanted"]
+    """asked: _row, spans array of (start, windows, wanted). Key, _row, start, wanted of each of their windows."""
+    names = ["k1", "k2", "_row", "start", "wanted"]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
-            for doc_id, data, spans in zip(b.column(0).to_pylist(), _texts(b, 1), b.column(2).to_pylist()):
-                words = word_hashes(data)
+            for row, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                words, others = word_hashes((text.as_py() or "").encode())
                 p = np.concatenate([np.arange(s["start"], s["start"] + s["windows"]) for s in spans])
                 wanted = np.concatenate([np.full(s["windows"], s["wanted"]) for s in spans])
-                for c, x in zip(out, (Ranges(words, _B1).of(p, p + length), Ranges(words, _B2).of(p, p + length), np.full(len(p), doc_id, dtype=np.int64), p, wanted)):
+                for c, x in zip(out, (Ranges(words, _B1).of(p, p + length), Ranges(others, _B2).of(p, p + length), np.full(len(p), row, dtype=np.int64), p, wanted)):
                     c.append(x)
             if out[0]:
                 c = [np.concatenate(x) for x in out]
                 yield pa.RecordBatch.from_arrays([_i64(c[0]), _i64(c[1]), _i64(c[2]), pa.array(c[3].astype(np.int32)), pa.array(c[4].astype(bool))], names=names)
 
-    both = docs.join(asked, "doc_id").select("doc_id", "text", "spans")
-    return both.mapInArrow(expand, "k1 long, k2 long, doc_id long, start int, wanted boolean")
+    both = docs.join(asked, "_row").select("_row", "text", "spans")
+    return both.mapInArrow(expand, "k1 long, k2 long, _row long, start int, wanted boolean")
 
 
 def factors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, windows, ref_doc, ref_start: windows [start, start + windows) of doc_id occur at ref_start of ref_doc."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    """docs: _row, text; written. _row, start, windows, ref_row, ref_start: windows [start, start + windows) of _row occur at ref_start of ref_row."""
+    docs = docs.select("_row", "text").where("text is not null")
     every = materialise(_all_runs(docs, length), "rlz-runs")
     # written, so that both sides of the joins by seed are plain exchanges, whose hot partitions are split
     shared = materialise(every.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "rlz-shared")
     known = materialise(every.join(shared, "seed", "left_semi"), "rlz-known")
-    place = F.struct("doc_id", "start")
-    index = known.groupBy("seed", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    index = materialise(index, "rlz-covers")
-    split = materialise(index.where("n = 1").select("seed").distinct().withColumn("split", F.lit(True)), "rlz-split")
-    index = materialise(index.join(split, "seed", "left"), "rlz-index")
+    forget(every, shared)
+    place = F.struct("_row", "start")
+    covers = materialise(known.groupBy("seed", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "rlz-covers")
+    split = materialise(covers.where("n = 1").select("seed").distinct().withColumn("split", F.lit(True)), "rlz-split")
+    index = materialise(covers.join(split, "seed", "left"), "rlz-index")
+    forget(covers, split)
     parsed = known.join(index, ["seed", "cover"])
     ref = F.when(F.col("first") == place, F.col("last")).otherwise(F.col("first"))
-    parsed = materialise(parsed.select("doc_id", "start", "windows", (F.col("n") > 1).alias("whole"), (F.col("split") & (F.col("first") == place)).alias("asked"), F.when(F.col("n") > 1, ref).alias("ref")), "rlz-parsed")
-    spans = parsed.where("asked").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", (~F.col("whole")).alias("wanted"))).alias("spans"))
+    parsed = materialise(parsed.select("_row", "start", "windows", (F.col("n") > 1).alias("whole"), (F.col("split") & (F.col("first") == place)).alias("asked"), F.when(F.col("n") > 1, ref).alias("ref")), "rlz-parsed")
+    forget(known, index)
+    spans = parsed.where("asked").groupBy("_row").agg(F.collect_list(F.struct("start", "windows", (~F.col("whole")).alias("wanted"))).alias("spans"))
     windows = materialise(_boundary_windows(docs, spans, length), "rlz-windows")
     found = windows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("n > 1")
-    hits = windows.where("wanted").join(found, ["k1", "k2"]).select("doc_id", "start", F.lit(1).alias("windows"), ref.alias("ref"))
-    out = parsed.where("whole").select("doc_id", "start", "windows", "ref").unionByName(hits)
-    return out.select("doc_id", "start", "windows", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
+    hits = windows.where("wanted").join(found, ["k1", "k2"]).select("_row", "start", F.lit(1).alias("windows"), ref.alias("ref"))
+    out = parsed.where("whole").select("_row", "start", "windows", "ref").unionByName(hits)
+    out = materialise(out.select("_row", "start", "windows", F.col("ref._row").alias("ref_row"), F.col("ref.start").alias("ref_start")), "rlz-factors")
+    forget(parsed, windows)
+    return out
 
 
 def greedy(spans: list[dict]) -> list[dict]:
     """Join factors of one document that continue in the same reference, left to right."""
     out: list[dict] = []
     for s in sorted(spans, key=lambda s: s["start"]):
-        if out and s["start"] == out[-1]["start"] + out[-1]["windows"] and s["ref_doc"] == out[-1]["ref_doc"] and s["ref_start"] == out[-1]["ref_start"] + out[-1]["windows"]:
+        if out and s["start"] == out[-1]["start"] + out[-1]["windows"] and s["ref_row"] == out[-1]["ref_row"] and s["ref_start"] == out[-1]["ref_start"] + out[-1]["windows"]:
             out[-1]["windows"] += s["windows"]
         else:
             out.append(dict(s))
@@ -184,18 +181,21 @@ def greedy(spans: list[dict]) -> list[dict]:
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text), spans (first word, words, ref_doc, ref_start): a row for each row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """row, doc_id, n_words, n_removed, kept (text), spans (first word, words, ref_row, ref_start): a row for each row of docs.
+
+    row is the number that ref_row names.
+    """
+    docs = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "rlz-docs")
     found = factors(docs, length)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "ref_doc", "ref_start")).alias("spans"))
+    by_doc = found.groupBy("_row").agg(F.collect_list(F.struct("start", "windows", "ref_row", "ref_start")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref_doc", pa.int64()), ("ref_start", pa.int64())]))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref_row", pa.int64()), ("ref_start", pa.int64())]))
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 rows = []
-                for doc_id, text, spans in zip(*(b.column(c).to_pylist() for c in range(3))):
+                for row, doc_id, text, spans in zip(*(b.column(c).to_pylist() for c in range(4))):
                     words = re.findall(WORD_CLASS, (text or "").encode())
                     joined = greedy(spans or [])
                     gone = np.zeros(len(words), dtype=bool)
@@ -203,12 +203,12 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         gone[s["start"] : s["start"] + s["windows"] + length - 1] = True
                     removed = int(gone.sum())
                     kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if removed else words)
-                    rows.append((doc_id, len(words), removed, kept.decode(), [{"start": s["start"], "words": s["windows"] + length - 1, "ref_doc": s["ref_doc"], "ref_start": s["ref_start"]} for s in joined]))
+                    rows.append((row, doc_id, len(words), removed, kept.decode(), [{"start": s["start"], "words": s["windows"] + length - 1, "ref_row": s["ref_row"], "ref_start": s["ref_start"]} for s in joined]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), kind))], names=["row", "doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    both = docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,words:long,ref_doc:long,ref_start:long>>")
+    both = docs.join(by_doc, "_row", "left").select("_row", "doc_id", "text", "spans")
+    return both.mapInArrow(remove, "row long, doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,words:long,ref_row:long,ref_start:long>>")
 
 
 def digest(done: DataFrame) -> DataFrame:
