@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 from zlib import crc32
@@ -25,30 +26,56 @@ from pyspark.sql import functions as F
 PATH_DIM, WORD_DIM, HIDDEN = 96, 32, 16
 WEIGHTS = Path(__file__).with_name("block_labeller.npz")
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
+# quoted values without angle brackets end at the next > at the latest; other tags go through _end_of_tag
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^"'>]|"[^"<>]*"|'[^'<>]*')*+)>)?""", re.S)
+_UNQUOTED = re.compile(r"""[^"'>]*""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript template iframe svg math object select".split())
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 #: Start tags that end an open element of these names.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, tag path, characters inside links) of each block, in page order."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def _end_of_tag(page: str, at: int, failed: set[int]) -> int:
+    """Place of the > that ends a tag, not counting those in quotes; if all are in quotes, the next one; the page's end without one.
+
+    failed: gets the opening quotes from which no such > was found, so that no stretch is read again and again.
+    """
+    start, seen = at, []
+    while True:
+        at = _UNQUOTED.match(page, at).end()
+        if at < len(page) and page[at] == ">":
+            return at
+        close = -1 if at == len(page) or at in failed else page.find(page[at], at + 1)
+        if close < 0:
+            break
+        seen.append(at)
+        at = close + 1
+    failed.update(seen)
+    failed.add(at)
+    end = page.find(">", start)
+    return len(page) if end < 0 else end
+
+
+def blocks(page: str) -> list[tuple[str, int, int]]:
+    """(text, tag path, characters inside links) of each block, in page order. A path is a bit mask of the hashed tokens of the open elements."""
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int]] = []  # name, path down to it
+    nested: list[int] = []  # places of the block elements in the stack
+    opened: Counter = Counter()
+    failed: set[int] = set()
     text: list[str] = []
-    linked = links = 0
-    at = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal text, linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append((joined, tuple(t for _, tokens in stack for t in tokens), linked))
+                out.append((joined, stack[-1][1] if stack else 0, linked))
             text, linked = [], 0
 
     def add(raw: str) -> None:
@@ -56,53 +83,58 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if raw:
             piece = entities.unescape(raw) if "&" in raw else raw
             text.append(piece)
-            if links:
+            if opened["a"]:
                 linked += len(piece)
 
+    def cut(k: int) -> None:
+        """Close all elements from place k on."""
+        while len(stack) > k:
+            opened[stack.pop()[0]] -= 1
+        while nested and nested[-1] >= k:
+            nested.pop()
+
     while (m := _TAG.search(page, at)) is not None:
         add(page[at : m.start()])
         at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        if m[2] is None:
             if m[0].startswith("<![CDATA["):
                 text.append(m[0][9:].removesuffix("]]>"))
             continue
-        name, closing, rest = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        name, closing, rest = m[2].lower(), bool(m[1]), m[3]
+        if rest is None:
+            end = _end_of_tag(page, at, failed)
+            rest, at = page[at:end], min(end + 1, len(page))
         if name == "br":
             text.append(" ")
         if closing:
-            if any(n == name for n, _ in stack):
+            if opened[name]:
                 if name in _BLOCK:
                     flush()
-                while stack:
-                    n, _ = stack.pop()
-                    links -= n == "a"
-                    if n == name:
-                        break
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                cut(k)
             elif name in _BLOCK:
                 flush()
             continue
         if name in _RAW and not rest.endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
         if name in _BLOCK:
             flush()
-            ends = _ENDS.get(name, set()) | {"p"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    links -= sum(n == "a" for n, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BLOCK:
-                    break
+            if nested and (stack[nested[-1]][0] == "p" or stack[nested[-1]][0] in _ENDS.get(name, ())):
+                cut(nested[-1])
         if name in _VOID or rest.endswith("/"):
             continue
-        tokens = [name]
+        path = (stack[-1][1] if stack else 0) | 1 << _path_buckets[name]
         for a in _ATTRIBUTE.finditer(rest) if "=" in rest else ():
-            tokens += [f"{a[1].lower()}.{t}" if a[1].lower() == "role" else f".{t}" for t in _TOKEN.findall((a[2] or a[3] or a[4] or "").lower())]
-        stack.append((name, tuple(tokens)))
-        links += name == "a"
+            for t in _TOKEN.findall((a[2] or a[3] or a[4] or "").lower()):
+                path |= 1 << _path_buckets[f"{a[1].lower()}.{t}" if a[1].lower() == "role" else f".{t}"]
+        if name in _BLOCK:
+            nested.append(len(stack))
+        stack.append((name, path))
+        opened[name] += 1
     add(page[at:])
     flush()
     return out
@@ -124,28 +156,26 @@ class _Buckets(dict):
 _path_buckets, _word_buckets = _Buckets(PATH_DIM), _Buckets(WORD_DIM)
 
 
-def features(page: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+def features(page: list[tuple[str, int, int]]) -> np.ndarray:
     """A row for each block."""
     rows = len(page)
     x = np.zeros((rows, PATH_DIM + WORD_DIM + 8), dtype=np.float32)
     total = sum(len(t) for t, *_ in page) or 1
-    paths: dict[tuple[str, ...], list[int]] = {}
     before = 0
     hashed: list[int] = []
     lengths = []
     measures = []
     bucket = _word_buckets.__getitem__
-    for k, (text, path, linked) in enumerate(page):
-        at = paths.get(path)
-        if at is None:
-            at = paths[path] = [_path_buckets[t] for t in path]
-        x[k, at] = 1
+    for k, (text, _, linked) in enumerate(page):
         words = text.split(" ")
         hashed += map(bucket, words)
         lengths.append(len(words))
         n = len(text)
         measures.append((len(words), n, min(1, linked / n), n / total, before / total, k / rows, text[-1] in ".!?:;…»”\"", text.count(".") / (len(words) + 1)))
         before += n
+    if rows:
+        paths = b"".join(path.to_bytes(PATH_DIM // 8, "little") for _, path, _ in page)
+        x[:, :PATH_DIM] = np.unpackbits(np.frombuffer(paths, dtype=np.uint8).reshape(rows, -1), axis=1, bitorder="little")
     count = np.array(lengths)
     got = np.bincount(np.repeat(np.arange(rows) * WORD_DIM, count) + np.array(hashed), minlength=rows * WORD_DIM).reshape(rows, WORD_DIM)
     x[:, PATH_DIM : PATH_DIM + WORD_DIM] = got / count[:, None]

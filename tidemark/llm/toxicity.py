@@ -6,10 +6,11 @@ gets the same backoff probability from both and says nothing. The logarithms of
 (words whose difference is within NOISE nats of zero count as undecided, and PRIOR_WORDS undecided words are added to each text, since sampling noise
 is as large), and a logistic curve, fitted on a fold of its own, turns the difference into a score.
 
-Fitting reads a bounded sample (at most MAX_DOCS labelled documents of a class, the smallest hashes of doc_id first, their MAX_WORDS most
-frequent words, and MAX_DOCS for the curve), so the model that is broadcast is bounded too; scoring reads every whole text. Only labels whose
-crc32(doc_id as text) modulo 5 is not 0 are learned from: 1 to 3 for the counts, 4 for the curve. Null and empty texts have difference zero and get
-the curve's value there. Without labels of both classes every score is the smoothed share of toxic labels. Repeated labels of a document: the largest holds.
+Fitting reads a bounded sample (at most MAX_DOCS labelled documents of a class, the smallest hashes of doc_id first, with all their words, and MAX_DOCS for
+the curve) and happens in one task of an executor; the model that is broadcast is bounded by the words of that sample. Scoring reads every whole text.
+Only labels whose crc32(doc_id as text) modulo 5 is not 0 are learned from: 1 to 3 for the counts, 4 for the curve. Null and empty texts have difference zero
+and get the curve's value there. Without labels of both classes every score is the smoothed share of toxic labels. Repeated labels of a document: the largest
+holds. Null labels and labels of a null doc_id say nothing; rows with a null doc_id are scored and not held out. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ DISCOUNT = 0.75
 MAX_DOCS = 4000
 NOISE = 2.0
 PRIOR_WORDS = 10
-MAX_WORDS = 400_000
 CACHE_WORDS = 300_000
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"[^\W_]+")
@@ -107,13 +107,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * mean + self.intercept, -500, 500)))
 
 
-def fit_counts(words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """toxic, ordinary: number of documents of the class that hold each word."""
+def estimates(words: list[str], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """n-grams, contexts (hashes), and for each class the log probability of each n-gram and the log backoff weight of each context.
+
+    counts: for each class, how many documents hold each word.
+    """
     codes, place, n = _grams(words)
-    weight = [np.repeat(c.astype(float), n) for c in (toxic, ordinary)]
     gram = _hash(codes, place, 0, ORDER)
     keys, first, where = np.unique(gram, return_index=True, return_inverse=True)
-    count = [np.bincount(where, weights=w, minlength=len(keys)) for w in weight]
+    del gram
+    count = [np.bincount(where, weights=np.repeat(c.astype(float), n), minlength=len(keys)) for c in counts]
+    del where
     # shared lower orders: continuation counts, that is distinct longer n-grams of either class, from the shortest up
     below = np.full(len(keys), 1 / max(1, len(np.unique(codes))))
     sub_place = place[first]
@@ -136,9 +140,14 @@ def fit_counts(words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Mod
         total = np.bincount(at, weights=c, minlength=len(contexts))
         kinds = np.bincount(at, weights=(c > 0).astype(float), minlength=len(contexts))
         back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        p = np.where(total[at] > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(total[at], 1), 0) + back[at] * below
-        log_gram.append(np.log(p))
+        log_gram.append(np.log(np.where(total[at] > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(total[at], 1), 0) + back[at] * below))
         log_back.append(np.log(back))
+    return keys, contexts, log_gram, log_back
+
+
+def fit_counts(words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+    """toxic, ordinary: number of documents of the class that hold each word."""
+    keys, contexts, log_gram, log_back = estimates(words, [toxic, ordinary])
     return Model(keys, (log_gram[0] - log_gram[1]).astype(np.float32), contexts, (log_back[0] - log_back[1]).astype(np.float32))
 
 
@@ -190,7 +199,7 @@ def fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """A model from the labelled rows of docs that are not held out."""
     given = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(fold() != 0)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -214,14 +223,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_words:
 
     counted = sample.select("text", F.col("toxic").cast("int")).mapInArrow(count, "word string, toxic int, n long")
     by_word = counted.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
-    rows = by_word.orderBy((F.col("t") + F.col("o")).desc(), "word").limit(max_words).toArrow()
-    words, t, o = rows["word"].to_pylist(), rows["t"].to_numpy(), rows["o"].to_numpy()
-    if not len(words) or not t.sum() or not o.sum():
+
+    def model_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, by_word_schema)
+        t, o = rows["t"].to_numpy(), rows["o"].to_numpy()
+        if t.sum() and o.sum():
+            m = fit_counts(rows["word"].to_pylist(), t, o)
+            parts = [m.grams.astype("<u8"), m.gram_value.astype("<f4"), m.contexts.astype("<u8"), m.context_value.astype("<f4")]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["grams", "gram_value", "contexts", "context_value"])
+
+    by_word_schema = pa.schema([("word", pa.string()), ("t", pa.int64()), ("o", pa.int64())])
+    found = by_word.select("word", F.col("t").cast("long"), F.col("o").cast("long")).coalesce(1).mapInArrow(model_of, "grams binary, gram_value binary, contexts binary, context_value binary").collect()
+    if not found:
         got = given.agg(F.sum("toxic"), F.count(F.lit(1))).first()
         share = ((got[0] or 0) + 0.5) / (got[1] + 1)
         none = np.array([], dtype=np.uint64)
         return Model(none, none.astype(np.float32), none, none.astype(np.float32), 0.0, float(np.log(share / (1 - share))))
-    model = fit_counts(words, t, o)
+    model = Model(*(np.frombuffer(x, kind) for x, kind in zip(found[0], ("<u8", "<f4", "<u8", "<f4"))))
     curve = _scores(chosen(fold() == 4, max_docs), model, ["toxic"]).select("mean", "toxic").toArrow()
     if curve.num_rows:
         model.slope, model.intercept = fit_curve(curve["mean"].to_numpy(), curve["toxic"].to_numpy().astype(float))

@@ -23,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import materialise, shared_path
 
 ROLL = 256 << 20
 GAP = 64 << 10
 SPAN = 8 << 20
+#: Bytes of archives that a task reads.
+SHARE = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 _ID = "urn:page:"
 
@@ -77,9 +79,11 @@ def decided(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     """page_id, url, html, sha, refers_to, revisit."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n"))
-    newest = own.groupBy("sha", "n").agg(F.max("page_id").alias("newest"))
-    both = own.join(newest, ["sha", "n"])
-    revisit = (F.col("n") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("newest"))
+    # payloads that occur once need no partner; written, so that a payload of any number of pages is split in the join
+    repeated = own.groupBy("sha", "n").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    newest = materialise(repeated.select("sha", "n", "newest", F.lit(True).alias("again")), "warc-newest")
+    both = own.join(newest, ["sha", "n"], "left")
+    revisit = F.coalesce("again", F.lit(False)) & (F.col("n") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("newest"))
     return both.select("page_id", "url", "html", "sha", F.when(revisit, F.col("newest")).alias("refers_to"), revisit.alias("revisit"))
 
 
@@ -139,7 +143,7 @@ def ranges(rows: list[tuple[str, int, int]], gap: int = GAP, span: int = SPAN) -
         yield rows[held[0]][0], start, end - start, held
 
 
-def read_warc(selected: DataFrame, folder: str, payloads: bool = True, gap: int = GAP, span: int = SPAN) -> DataFrame:
+def read_warc(selected: DataFrame, folder: str, payloads: bool = True, gap: int = GAP, span: int = SPAN, share: int = SHARE) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_digest, payload_bytes(, payload) of the records that the index rows select."""
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"][: 7 if payloads else 6]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -162,7 +166,9 @@ def read_warc(selected: DataFrame, folder: str, payloads: bool = True, gap: int
             if source is not None:
                 source.close()
 
-    dealt = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    chosen = selected.select("file", "offset", "length")
+    tasks = max(1, -(-(chosen.agg(F.sum("length")).first()[0] or 0) // share))
+    dealt = chosen.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payloads
     return dealt.mapInArrow(read, schema)
 
