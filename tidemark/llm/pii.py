@@ -1,40 +1,54 @@
 """Surrogates for personal data, by DataFrame expressions alone.
 
-Entities are found by one regular expression a text (e-mail, phone, IPv4, card, social security number, IBAN, secret, person's
-name). A surrogate is derived from a keyed SHA-512 of the entity, so that an entity has the same one in every document; it keeps kind, length
-and format: digits for digits, letters of the same case for letters, octets of as many digits, a valid check digit for a valid card, a given name of the same
-gender and script. All distinct entities of the corpus are then checked: where two have the same surrogate, or a surrogate is itself an entity of the
-corpus, all but the smallest get the next attempt's surrogate, until none collide; documents that hold such entities look the attempt up.
-
-A null text stays null; an empty one empty. Texts without entities are unchanged. Repeated rows get the same text. doc_id may be null or repeat.
-Other columns are passed on as they are; names starting with _pii are reserved.
+Mentions are found by one regular expression a text (e-mail, phone, IPv4, card, social security number, IBAN, secret, person's name in Latin, Cyrillic, Greek or
+Han letters). A name is found by an honorific or a known given name; each of its words then counts as a name wherever it stands in the same text.
+
+A mention is made of entities, in a form that its variants share: the words of a name without honorific, the digits of a number without separators and
+dialling prefix, an address in lower case. An entity's surrogate is derived from a keyed SHA-512, so that it is the same in every document and variant; it
+is put back in the format of each mention. It keeps kind and length: digits for digits, letters of the same case for letters, octets of as many digits, a valid
+check digit for a valid card. Known given names are permuted among those of the same gender and script; other words of names become made-up ones of the
+same script that end in a vowel a if the word does. All distinct entities of the corpus are then checked: where two have the same surrogate, or a surrogate is
+itself an entity of the corpus, all but the smallest get the next attempt's surrogate, until none collide; texts that hold such entities look the attempt up.
+
+The key is a secret of the caller: whoever has it can tell which surrogate an entity gets. A null text stays null; an empty one empty. Texts without
+mentions are unchanged. Repeated rows get the same text. doc_id isn't used, so it may be null or repeat. Other columns are passed on as they are, whatever
+their names. What is not found: names that come with neither honorific nor known given name, and nicknames.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hmac
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
+from .common import forget, free_name, materialise
 
-KEY = "tidemark"
+#: The session's setting that holds the key of the query and of the pipeline, and the key without it: public, for tests only.
+KEY_SETTING, TEST_KEY = "spark.tidemark.pii.key", "not a secret"
 #: Attempts that keep length and format exactly.
 FREE = 8
+#: Texts with entities of a later attempt that are broadcast at most; more are joined by shuffling.
+BROADCAST_ROWS = 100_000
 
-# Given names by gender and script, and syllables of made-up surnames.
-FEMALE = "Anna Clara Elena Emma Eva Ines Irene Julia Laura Lena Lucia Maria Marta Nina Nora Olivia Paula Sara Sofia Vera".split()
-MALE = "Adam Albert Anton Carlos David Emil Felix Henry Hugo Ivan James Jorge Leon Lucas Martin Oscar Paul Peter Simon Victor".split()
+# Given names by gender and script, and syllables of made-up words.
+FEMALE = "Alice Amelia Anna Barbara Carmen Clara Diana Elena Elizabeth Emily Emma Eva Fatima Grace Hannah Helen Ines Irene Jane Jennifer Julia Karen Laura Lena Linda Lucia Maria Marta Mary Nina Nora Olivia Patricia Paula Rosa Ruth Sara Sarah Sofia Susan Vera".split()
+MALE = "Adam Ahmed Albert Ali Andrew Anton Carlos Charles Daniel David Edward Emil Felix Francisco George Henry Hugo Ivan James Johann John Jorge Jose Leon Louis Lucas Mark Martin Michael Mohammed Oscar Paul Peter Richard Robert Simon Stefan Thomas Victor William".split()
 FEMALE_CYRILLIC = "Анна Вера Галина Дарья Елена Ирина Мария Нина Ольга Светлана".split()
 MALE_CYRILLIC = "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей".split()
+FEMALE_GREEK = "Αικατερίνη Ανδριάνα Βασιλική Ελένη Ευαγγελία Μαρία Σοφία".split()
+MALE_GREEK = "Αντώνης Γιώργος Δημήτρης Κώστας Νίκος Παναγιώτης Χρήστος".split()
+GIVEN = (FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC, FEMALE_GREEK, MALE_GREEK)
 SYLLABLES = "ba be bo da de di fa fe go ka ke la le lo ma me mi na ne no pa pe ra re ro sa se ta te va".split()
 SYLLABLES_CYRILLIC = "ба бе бо ва ве да де до ка ке ла ле ло ма ме ми на не но па пе ра ре ро са се та те ти ру лу".split()
-HONORIFIC_FEMALE = "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Señora Sra Señorita Госпожа".split()
-HONORIFIC_MALE = "Mr Mister Sir Herr Monsieur Señor Sr Господин".split()
+SYLLABLES_GREEK = "βα βε δα δε κα κε κο λα λε λο μα με μι να νε νο πα πε ρα ρε ρο σα σε τα τε".split()
+SURNAMES_HAN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗"
+GIVEN_HAN = "明华强丽敏静伟芳娜杰涛超秀英霞平刚桂文辉"
+HONORIFIC_FEMALE = "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Señora Sra Señorita Госпожа Κυρία".split()
+HONORIFIC_MALE = "Mr Mister Sir Herr Monsieur Señor Sr Господин Κύριος Κύριε".split()
 HONORIFIC_ANY = "Dr Prof".split()
 
-_given = "|".join(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)
+_given = "|".join(sorted((n for names in GIVEN for n in names), key=len, reverse=True))
 _honorific = "|".join(sorted(HONORIFIC_FEMALE + HONORIFIC_MALE + HONORIFIC_ANY, key=len, reverse=True))
 _name_word = r"\p{Lu}\p{Ll}{1,30}"
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -49,28 +63,30 @@ PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,5}\)[ .\-]?)?[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
-    # an honorific before a name tells the gender, so it is part of the entity and stays in the surrogate
-    "name": rf"(?<!\p{{L}})(?:(?:{_honorific})\.? {_name_word}(?:[ \-]{_name_word})?|(?:{_given}) {_name_word})",
+    # an honorific stays as it is
+    "name": rf"(?<!\p{{L}})(?:(?:{_honorific})\.? {_name_word}(?:[ \-]{_name_word})?|(?:{_given}) {_name_word}(?:-{_name_word})?)",
+    "han": rf"[{SURNAMES_HAN}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐)",
 }
 # the first character tells which patterns can match there
-_by_start = [("[0-9+(]", ("ip", "card", "ssn", "phone")), ("[A-ZА-Я]", ("key", "iban", "name")), ("[ptsaPTSA]", ("secret",))]
+_capital = "[A-ZА-ЯΑ-ΩΆ-Ώ]"
+_by_start = [("[0-9+(]", ("ip", "card", "ssn", "phone")), (_capital, ("key", "iban", "name")), ("[ptsaPTSA]", ("secret",)), (f"[{SURNAMES_HAN}]", ("han",))]
 PATTERN = "|".join([PATTERNS["email"], *(rf"(?={start})(?:{'|'.join(PATTERNS[k] for k in kinds)})" for start, kinds in _by_start)])
-#: A text with none of these characters can only hold names and keys, which start with a capital letter.
+#: A text with none of these characters can only hold names and keys.
 _MARKS = "[0-9@=:]"
-CAPITALS = rf"(?=[A-ZА-Я])(?:{PATTERNS['key']}|{PATTERNS['name']})"
+CAPITALS = rf"(?={_capital})(?:{PATTERNS['key']}|{PATTERNS['name']})|{PATTERNS['han']}"
 
 
-def kind_of(e: Column) -> Column:
+def kind_of(m: Column) -> Column:
+    """The kind of a mention without what stays of it."""
     return (
-        F.when(e.contains("@"), "email")
-        .when(e.rlike("^AKIA[0-9A-Z]{16}$"), "key")
-        .when(e.rlike(rf"^{_octet}(?:\.{_octet}){{3}}$"), "ip")
-        .when(e.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(e.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})$"), "card")
-        .when(e.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3}"), "iban")
-        .when(e.rlike(r"^[0-9+(][0-9 ().\-]*$"), "phone")
-        .when(e.rlike(rf"^(?:{PATTERNS['name']})$"), "name")
-        .otherwise("secret")
+        F.when(m.contains("@"), "email")
+        .when(m.rlike("^AKIA[0-9A-Z]{16}$"), "key")
+        .when(m.rlike(rf"^{_octet}(?:\.{_octet}){{3}}$"), "ip")
+        .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
+        .when(m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})$"), "card")
+        .when(m.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3}"), "iban")
+        .when(m.rlike(r"^[0-9+(][0-9 ().\-]*$"), "phone")
+        .otherwise("name")
     )
 
 
@@ -99,26 +115,16 @@ def _pick(values: list[str], v: Column) -> Column:
     return F.split(F.lit(" ".join(values)), " ")[F.pmod(v, F.lit(len(values))).cast("int")]
 
 
-def _name(e: Column, h: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(e, rf"^(?:{_honorific})\b\.? ", 0)
-    return _let(title, lambda t: _let(F.split(F.substring(e, F.length(t) + 1, F.length(e)), "[ -]"), lambda words: _titled(e, h, attempt, t, words)))
-
-
-def _titled(e: Column, h: Column, attempt: Column, title: Column, words: Column) -> Column:
-    bare = F.regexp_replace(title, r"\.? $", "")
-    female = bare.isin(HONORIFIC_FEMALE) | (~bare.isin(HONORIFIC_MALE) & words[0].isin(FEMALE + FEMALE_CYRILLIC))
-    known = ~bare.isin(HONORIFIC_FEMALE + HONORIFIC_MALE) & ~words[0].isin(FEMALE + FEMALE_CYRILLIC + MALE + MALE_CYRILLIC)
-    either = F.pmod(_byte(h, F.lit(30)), F.lit(2)) == 0
-    gap = F.when(e.rlike(r"\p{L}-\p{L}"), "-").otherwise(" ")
+def _word(e: Column, h: Column, attempt: Column) -> Column:
+    """A made-up word of a name, in the same script, with the same kind of ending."""
     places = F.sequence(F.lit(1), F.lit(3) + attempt)
 
-    def made(cyrillic: Column, woman: Column) -> Column:
-        v = _byte(h, F.lit(0))
-        given = F.when(cyrillic & woman, _pick(FEMALE_CYRILLIC, v)).when(cyrillic, _pick(MALE_CYRILLIC, v)).when(woman, _pick(FEMALE, v)).otherwise(_pick(MALE, v))
-        family = F.initcap(F.array_join(F.transform(places, lambda i: F.when(cyrillic, _pick(SYLLABLES_CYRILLIC, _byte(h, i))).otherwise(_pick(SYLLABLES, _byte(h, i)))), ""))
-        return _let(family, lambda f: F.concat(title, F.when(F.size(words) > 1, F.concat(given, gap, f)).otherwise(f)))
+    def made(values: list[str], ending: str, other: str) -> Column:
+        body = F.array_join(F.transform(places, lambda i: _pick(values, _byte(h, i))), "")
+        return F.initcap(F.concat(body, F.when(e.rlike(f"[{ending}]$"), F.lit(ending[0])).otherwise(_pick(list(other), _byte(h, F.lit(0))))))
 
-    return _let(e.rlike(r"\p{IsCyrillic}"), lambda cyrillic: _let(F.when(known, either).otherwise(female), lambda woman: made(cyrillic, woman)))
+    han = F.concat(_pick(list(SURNAMES_HAN), _byte(h, F.lit(0))), F.array_join(F.transform(F.sequence(F.lit(1), F.length(e) - 1 + F.when(attempt > FREE, attempt - FREE).otherwise(0)), lambda i: _pick(list(GIVEN_HAN), _byte(h, i))), ""))
+    return F.when(e.rlike(r"\p{IsHan}"), han).when(e.rlike(r"\p{IsCyrillic}"), made(SYLLABLES_CYRILLIC, "ая", "нрвкл")).when(e.rlike(r"\p{IsGreek}"), made(SYLLABLES_GREEK, "αά", "νρσ")).otherwise(made(SYLLABLES, "aá", "nrsl"))
 
 
 def _ip(e: Column, h: Column, attempt: Column) -> Column:
@@ -147,28 +153,74 @@ def _email(e: Column, h: Column) -> Column:
     return F.concat(_mapped(local, h), F.lit("@"), host, F.lit("example."), F.substring_index(domain, ".", -1))
 
 
-def parts(match: Column) -> tuple[Column, Column]:
-    """What stays of a match (the keyword before a secret), and the entity."""
-    stays = F.regexp_extract(match, "^" + _keyword, 0)
-    return stays, F.substring(match, F.length(stays) + 1, F.length(match))
+def _lists(key: str) -> dict[str, str]:
+    """Each known given name with the one that stands for it: the next of its list in an order that the key gives."""
+    out = {}
+    for names in GIVEN:
+        order = sorted(names, key=lambda n: hmac.new(key.encode(), n.encode(), "sha512").digest())
+        out |= dict(zip(order, order[1:] + order[:1]))
+    return out
+
+
+_PREFIXES = {"email": "e:", "key": "k:", "ip": "a:", "ssn": "n:", "card": "c:", "iban": "i:", "phone": "p:", "secret": "s:", "name": "w:"}
+_KNOWN_UNITS = [_PREFIXES["name"] + n for names in GIVEN for n in names]
+
+
+def _split(mention: Column, body) -> Column:
+    """body(stays, rest, kind): the keyword before a secret or the honorific, what is replaced, and its kind."""
+    keyword = F.regexp_extract(mention, "^" + _keyword, 0)
+
+    def inner(k: Column) -> Column:
+        title = F.regexp_extract(mention, rf"^(?:{_honorific})\.? (?=\p{{Lu}})", 0)
+        return _let(F.when(k != "", k).otherwise(title), lambda stays: _let(F.substring(mention, F.length(stays) + 1, F.length(mention)), lambda rest: _let(F.when(k != "", "secret").otherwise(kind_of(rest)), lambda kind: body(stays, rest, kind))))
+
+    return _let(keyword, inner)
+
+
+def _dial(e: Column) -> Column:
+    return F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
+
+
+def _words(rest: Column) -> Column:
+    return F.split(rest, "[ -]")
+
+
+def described(mention: Column) -> Column:
+    """A mention as what stays (the keyword before a secret, an honorific), the rest, its kind, and its units: the words of a name, else the one entity, each
+    as its kind's prefix and the form that variants share."""
+
+    def of(stays: Column, rest: Column, kind: Column) -> Column:
+        bare = F.regexp_replace(rest, "[^0-9A-Za-z]", "")
+        prefix = F.coalesce(*[F.when(kind == k, v) for k, v in _PREFIXES.items()])
+        form = F.when(kind == "email", F.lower(rest)).when(kind.isin("ssn", "card", "iban"), bare).when(kind == "phone", F.regexp_replace(F.substring(rest, F.length(_dial(rest)) + 1, F.length(rest)), "[^0-9]", "")).otherwise(rest)
+        units = F.when(kind == "name", F.transform(_words(rest), lambda w: F.concat(F.lit(_PREFIXES["name"]), w))).otherwise(F.array(F.concat(prefix, form)))
+        return F.struct(stays.alias("stays"), rest.alias("rest"), kind.alias("kind"), units.alias("units"))
+
+    return _split(mention, of)
 
 
-def surrogate(e: Column, attempt: Column, key: str = KEY) -> Column:
-    def hashed(e: Column, attempt: Column, kind: Column) -> Column:
-        return _let(F.sha2(F.concat_ws("\x1f", F.lit(key), kind, e, attempt.cast("string")), 512), lambda h: _let(_made(e, attempt, kind, h), lambda made: _longer(attempt, kind, h, made)))
+def entities(found: Column) -> Column:
+    """The distinct entities of described mentions: all units but known given names, which have their own list."""
+    return F.array_distinct(F.filter(F.flatten(F.transform(found, lambda m: m["units"])), lambda u: ~u.isin(_KNOWN_UNITS)))
 
-    return _let(e, lambda e: _let(attempt, lambda attempt: _let(kind_of(e), lambda kind: hashed(e, attempt, kind))))
+
+def surrogate(entity: Column, attempt: Column, key: str) -> Column:
+    """Of an entity, in the form that its variants share, without kind."""
+
+    def hashed(entity: Column, attempt: Column) -> Column:
+        return _let(F.sha2(F.concat_ws("\x1f", F.lit(key), entity, attempt.cast("string")), 512), lambda h: _let(F.substring(entity, 3, F.length(entity)), lambda e: _let(F.substring(entity, 1, 2), lambda kind: _let(_made(e, attempt, kind, h), lambda made: _longer(attempt, kind, h, made)))))
+
+    return _let(entity, lambda entity: _let(attempt, lambda attempt: hashed(entity, attempt)))
 
 
 def _made(e: Column, attempt: Column, kind: Column, h: Column) -> Column:
-    dial = F.length(F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[^0-9])", 0))
-    keep = F.when(kind == "key", 4).when(kind == "iban", 2).when(kind == "phone", dial).otherwise(0)
-    letters = F.when((kind == "secret") & e.rlike("^[0-9a-f]+$"), 6).otherwise(26)
+    keep = F.when(kind == "k:", 4).when(kind == "i:", 2).otherwise(0)
+    letters = F.when((kind == "s:") & e.rlike("^[0-9a-f]+$"), 6).otherwise(26)
     return (
-        F.when(kind == "email", _email(e, h))
-        .when(kind == "ip", _ip(e, h, attempt))
-        .when(kind == "card", _card(e, h))
-        .when(kind == "name", _name(e, h, attempt))
+        F.when(kind == "w:", _word(e, h, attempt))
+        .when(kind == "e:", _email(e, h))
+        .when(kind == "a:", _ip(e, h, attempt))
+        .when(kind == "c:", _card(e, h))
         .otherwise(_let(keep, lambda keep: _let(letters, lambda letters: _mapped(e, h, keep, letters))))
     )
 
@@ -176,69 +228,115 @@ def _made(e: Column, attempt: Column, kind: Column, h: Column) -> Column:
 def _longer(attempt: Column, kind: Column, h: Column, made: Column) -> Column:
     """A format that has no free values left (say, one-letter addresses) grows by a few characters."""
     more = F.substring(h, F.lit(1), attempt)
-    as_is = (attempt <= FREE) | (kind == "name") | ((kind == "ip") & (attempt <= 4 * FREE))
-    return F.when(as_is, made).when(kind == "email", F.concat(more, made)).otherwise(F.concat(made, F.lit("-"), more))
+    as_is = (attempt <= FREE) | (kind == "w:") | ((kind == "a:") & (attempt <= 4 * FREE))
+    return F.when(as_is, made).when(kind == "e:", F.concat(more, made)).otherwise(F.concat(made, F.lit("-"), more))
+
+
+def _put_back(rest: Column, made: Column) -> Column:
+    """made, a run of digits and letters, with the separators of rest; what made has more is added behind."""
+    places = F.transform(F.split(rest, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(made, F.length(F.regexp_replace(F.substring(rest, F.lit(1), i + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c))
+    used = F.length(F.regexp_replace(rest, "[^0-9A-Za-z]", ""))
+    return F.concat(F.array_join(places, ""), F.substring(made, used + 1, F.length(made)))
+
+
+def replacement(m: Column, attempt_of, key: str) -> Column:
+    """What stands for a described mention. attempt_of(entity): its attempt."""
+    listed = F.create_map(*[F.lit(x) for name, other in _lists(key).items() for x in (_PREFIXES["name"] + name, other)])
+    made = F.transform(m["units"], lambda u: F.coalesce(F.try_element_at(listed, u), surrogate(u, attempt_of(u), key)))
+
+    def shown(all_: Column) -> Column:
+        rest, kind, new = m["rest"], m["kind"], all_[0]
+        gaps = F.split(F.regexp_replace(rest, "[^ -]+", "x"), "x")
+        name = F.array_join(F.zip_with(all_, F.slice(gaps, 2, F.size(gaps) - 1), lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), "")
+        dial, local = _dial(rest), F.substring_index(rest, "@", 1)
+        cased = F.array_join(F.transform(F.split(local, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
+        as_long = F.length(F.substring_index(new, "@", 1)) == F.length(local)
+        email = F.when(as_long & rest.rlike("[A-Z]"), F.concat(cased, F.lit("@"), F.substring_index(new, "@", -1))).otherwise(new)
+        number = F.concat(dial, _put_back(F.substring(rest, F.length(dial) + 1, F.length(rest)), new))  # only phones have a dialling prefix
+        return F.when(kind == "name", name).when(kind == "email", email).when(kind.isin("phone", "ssn", "card", "iban"), number).otherwise(new)
 
+    return F.concat(m["stays"], _let(made, shown))
 
-def _by_marks(text: Column, f) -> Column:
-    """f(pattern) by what the text can hold; null where nothing can be found."""
-    return F.when(text.rlike(_MARKS), f(PATTERN)).when(text.rlike(CAPITALS), f(CAPITALS))
 
+def general_pattern(text: Column) -> Column:
+    """By what the text can hold; null where nothing can be found."""
+    return F.when(text.rlike(_MARKS), PATTERN).when(text.rlike(CAPITALS), CAPITALS)
 
-def matches(text: Column) -> Column:
-    """Array of the matches in a text, in order, repeats included; empty for null."""
-    return F.coalesce(_by_marks(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))), F.array().cast("array<string>"))
 
+def name_words(found: Column) -> Column:
+    """Alternatives for the words of the names among described mentions, the longer ones first, so that none hides another."""
+    units = entities(F.filter(found, lambda m: m["kind"] == "name"))
+    ordered = F.reverse(F.array_sort(F.transform(units, lambda u: F.struct(F.length(u).alias("n"), F.substring(u, 3, F.length(u)).alias("w")))))
+    return F.array_join(F.transform(ordered, lambda x: F.when(x["w"].rlike(r"\p{IsHan}"), x["w"]).otherwise(F.concat(F.lit(r"(?<!\p{L})"), x["w"], F.lit(r"(?!\p{L})")))), "|")
 
-def attempts(distinct: DataFrame, key: str = KEY) -> DataFrame:
+
+def with_mentions(docs: DataFrame, general: str, found: str, words: str, pattern: str) -> DataFrame:
+    """docs with columns of these names: the pattern of each text's mentions and the described mentions in order, repeats included; null without any."""
+    text = F.col("text").cast("string")
+    describe = lambda p: F.transform(F.regexp_extract_all(text, p, F.lit(0)), described)
+    own = docs.withColumn(general, general_pattern(text)).withColumn(found, describe(F.col(general))).withColumn(words, name_words(F.col(found)))
+    own = own.withColumn(pattern, F.when(F.col(words) != "", F.concat(F.col(general), F.lit("|"), F.col(words))).otherwise(F.col(general)))
+    return own.withColumn(found, F.when(F.col(words) != "", describe(F.col(pattern))).otherwise(F.col(found))).drop(general, words)
+
+
+def attempts(distinct: DataFrame, key: str) -> DataFrame:
     """distinct: entity. (entity, attempt) of the entities whose first surrogate collides; the final ones collide with nothing."""
     state = materialise(distinct.select("entity", F.lit(0).alias("attempt")), "pii-attempt")
     while True:
-        made = state.select("entity", "attempt", surrogate(F.col("entity"), F.col("attempt"), key).alias("made"))
-        real = distinct.select(F.col("entity").alias("made")).withColumn("real", F.lit(True))
+        kind = F.substring("entity", 1, 2)
+        made = state.select("entity", "attempt", F.concat(kind, surrogate(F.col("entity"), F.col("attempt"), key)).alias("made"))
+        made = materialise(made, "pii-made")
+        real = distinct.select(F.col("entity").alias("made"))
         first = made.groupBy("made").agg(F.min(F.struct("attempt", "entity")).getField("entity").alias("owner"), F.count(F.lit(1)).alias("n"))
-        bad = materialise(made.join(first.where("n > 1"), "made").where("entity <> owner").select("entity").unionByName(made.join(real, "made").select("entity")).distinct(), "pii-bad")
+        twice = made.join(first.where("n > 1"), "made").where("entity <> owner").select("entity")
+        taken = made.join(real, "made", "left_semi").select("entity").unionByName(made.where(F.col("made").isin(_KNOWN_UNITS)).select("entity"))
+        bad = materialise(twice.unionByName(taken).distinct(), "pii-bad")
+        forget(made)
         if bad.isEmpty():
             return state.where("attempt > 0")
         moved = materialise(state.join(bad.withColumn("again", F.lit(1)), "entity", "left").select("entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-attempt")
-        forget(state)
-        forget(bad)
+        forget(state, bad)
         state = moved
 
 
-def replace_pii(docs: DataFrame, key: str = KEY, id_column: str = "doc_id") -> DataFrame:
-    """docs with text replaced and _pii_entities (their number) added."""
-    found = materialise(docs.select(F.col(id_column).alias("id"), F.explode(F.array_distinct(F.transform(matches(F.col("text").cast("string")), lambda m: parts(m)[1]))).alias("entity")), "pii-found")
-    again = materialise(attempts(found.select("entity").distinct(), key), "pii-again")
+def replace_pii(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """docs with text replaced and one more column, the number of mentions; and the name of that column."""
     text = F.col("text").cast("string")
-    own = docs.withColumn("_pii_found", matches(text))
+    number, general, found, words, pattern, again_, hash_, own_hash = (free_name(docs, f"pii_{n}") for n in ("entities", "general", "found", "words", "pattern", "again", "hash", "own_hash"))
+    own = with_mentions(docs, general, found, words, pattern)
+    # by a text's hash: where two texts share one, each only knows of entities of the other as well
+    seen = own.where(F.size(found) > 0).select(F.xxhash64(text).alias("hash"), F.explode(entities(F.col(found))).alias("entity"))
+    seen = materialise(seen.distinct(), "pii-found")
+    again = materialise(attempts(seen.select("entity").distinct(), key), "pii-again")
     if again.isEmpty():
-        own = own.withColumn("_pii_again", F.lit(None).cast("map<string,int>"))
+        own = own.withColumn(again_, F.lit(None).cast("map<string,int>"))
     else:
-        by_doc = found.join(again, "entity").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("_pii_again")).withColumnRenamed("id", "_pii_id")
-        own = own.join(by_doc, own[id_column].eqNullSafe(by_doc["_pii_id"]), "left").drop("_pii_id")
-
-    def replaced(match: Column) -> Column:
-        stays, e = parts(match)
-        return F.concat(stays, surrogate(e, F.coalesce(F.try_element_at(F.col("_pii_again"), e), F.lit(0)), key))
-
-    made = F.transform("_pii_found", replaced)
-    between = _by_marks(text, lambda p: F.split(text, p, -1))
+        by_text = seen.join(again, "entity").groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias(again_)).withColumnRenamed("hash", hash_)
+        by_text = materialise(by_text, "pii-by-text")
+        if by_text.count() <= BROADCAST_ROWS:
+            by_text = F.broadcast(by_text)
+        own = own.withColumn(own_hash, F.xxhash64(text)).join(by_text, F.col(own_hash) == F.col(hash_), "left").drop(hash_, own_hash)
+    made = F.transform(found, lambda m: replacement(m, lambda e: F.coalesce(F.try_element_at(F.col(again_), e), F.lit(0)), key))
+    between = F.split(text, F.col(pattern), -1)
     pieces = F.zip_with(between, F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    new = F.when(F.size("_pii_found") > 0, F.array_join(pieces, "")).otherwise(text)
-    return own.withColumns({"text": new, "_pii_entities": F.size("_pii_found")}).drop("_pii_found", "_pii_again")
+    new = F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)
+    return own.withColumns({"text": new, number: F.greatest(F.coalesce(F.size(found), F.lit(0)), F.lit(0))}).drop(pattern, found, again_), number
 
 
-def redact_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
+def redact_documents(docs: DataFrame, key: str) -> DataFrame:
     """docs with text replaced; n_chars, if there is one, is that of the new text."""
-    out = replace_pii(docs, key).drop("_pii_entities")
+    out, _ = replace_pii(docs, key)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
+
+
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
 
 
-def digest(done: DataFrame) -> DataFrame:
-    return done.select("doc_id", F.col("_pii_entities").alias("n_entities"), "text")
+def digest(done: tuple[DataFrame, str]) -> DataFrame:
+    return done[0].select("doc_id", F.col(done[1]).alias("n_entities"), "text")
 
 
-QUERY = lambda spark, sf_dir: digest(replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+QUERY = lambda spark, sf_dir: digest(replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), key_of(spark)))

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 CACHE_WORDS = 600_000
+#: Characters up to which runs are searched many at once; longer ones go one by one, character by character. Both commit by the same rule.
+ABREAST = 64
 _models: dict[str, Vocabulary] = {}
 
 
@@ -267,13 +269,31 @@ class Words:
             a, b = np.where(later, self.right[a], a), np.where(later, b, self.left[b])
         return out
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Ids as bytes. Words must be short and of characters of the vocabulary."""
+    def encode(self, words: list[str], commits: list[int] | None = None) -> list[bytes]:
+        """Ids as bytes. Words must be of characters of the vocabulary. commits: gets the longest stretch between two commits.
+
+        All pieces that start at one place are looked at before those that start at the next. Every `longest` places the pieces that end further on are
+        followed back in each word; as soon as all of them pass one boundary, the ids before it are committed.
+        """
         n = np.array([len(w) for w in words], dtype=np.int64)
         width = int(n.max())
         code = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), width).astype(np.uint64)
         last = np.full((len(words), width + 1), -1, dtype=np.int64)
         start = np.zeros((len(words), width + 1), dtype=np.int64)
+        base = np.zeros(len(words), dtype=np.int64)  # up to where ids are committed
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, place of the piece's end, piece
+
+        def commit(rows: np.ndarray, e: np.ndarray) -> None:
+            if commits is not None:
+                commits.append(int((e - base[rows]).max(initial=0)))
+            ahead, lower = e.copy(), base[rows]
+            base[rows] = e
+            while len(rows):
+                done.append((rows, ahead, last[rows, ahead]))
+                ahead = start[rows, ahead]
+                more = ahead > lower
+                rows, ahead, lower = rows[more], ahead[more], lower[more]
+
         for s in range(width):
             rows = np.flatnonzero(n > s)
             h = np.zeros(len(rows), dtype=np.uint64)
@@ -292,19 +312,25 @@ class Words:
                     pair, where = np.unique(last[rows[ends], s] * self.n + piece[ends], return_inverse=True)
                     ends = ends[self.compatible(pair // self.n, pair % self.n)[where]]
                 last[rows[ends], e], start[rows[ends], e] = piece[ends], s
-        cols, e, rows = [], n.copy(), np.arange(len(words))
-        count = np.zeros(len(words), dtype=np.int64)
-        while len(rows):
-            cols.append((rows, count[rows].copy(), last[rows, e[rows]]))
-            count[rows] += 1
-            e[rows] = start[rows, e[rows]]
-            rows = rows[e[rows] > 0]
-        end = np.cumsum(count)
-        flat = np.empty(int(end[-1]), dtype="<u4")
-        for r, k, piece in cols:
-            flat[end[r] - 1 - k] = self.id[piece]
-        raw, ends = flat.tobytes(), (4 * end).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+            if (s + 1) % self.v.longest == 0 and s + 1 < width:
+                rows = np.flatnonzero(n > s + 1)
+                further = np.arange(s + 1, min(width, s + self.v.longest) + 1)
+                paths = np.where(last[rows][:, further] >= 0, further, -1)
+                while len(rows):
+                    top = paths.max(axis=1)
+                    apart = ((paths >= 0) & (paths < top[:, None])).any(axis=1)
+                    if not apart.any():
+                        break
+                    back = np.where(apart, start[rows, top], top)
+                    paths = np.where((paths == top[:, None]) & apart[:, None], back[:, None], paths)
+                met = top > base[rows] if len(rows) else np.zeros(0, dtype=bool)
+                commit(rows[met], top[met] if len(rows) else rows)
+        commit(np.arange(len(words)), n.copy())
+        row, place, piece = (np.concatenate(c) for c in zip(*done))
+        order = np.lexsort((place, row))
+        raw = self.id[piece[order]].tobytes()
+        end = (4 * np.cumsum(np.bincount(row, minlength=len(words)))).tolist()
+        return [raw[a:b] for a, b in zip([0, *end], end)]
 
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -347,8 +373,8 @@ def encode_all(v: Vocabulary, texts: list[str]) -> list[bytes]:
     runs: dict[str, bytes] = {}
     short = []
     for r in {r for rs in new.values() for r in rs}:
-        if v.bpe and len(r) <= 48 and r[0] in v.characters:
-            short.append(r)
+        if v.bpe and len(r) <= ABREAST and r[0] in v.characters:
+            short.append(r)  # many short streams abreast; the same search
         else:
             runs[r] = np.array(_ids(v, viterbi(v, r)), dtype="<u4").tobytes()
     if short:
