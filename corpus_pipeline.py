@@ -1,7 +1,7 @@
-"""The training-data pipeline: documents -> toxicity -> exact copies -> fingerprints -> personal data -> near copies -> packed sequences.
+"""The training-data pipeline: documents -> toxicity -> exact copies -> near copies -> personal data -> packed sequences.
 
-The simhash stage takes what op10's rule links: fingerprints of four-word shingles within four bits. The near_copies stage takes what that leaves:
-all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+The simhash stage takes near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more, found by bit-sliced comparison of SimHash
+fingerprints and checked on the complete sets. (The query op10 has a contract of its own: four words, four bits.)
 
 Each stage takes (spark, docs, sf_dir) and gets what the one before it wrote. All but the last return the columns of documents.
 """
@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, near_copies, packing, pii, simhash, toxicity
-from tidemark.llm.common import materialise, table
+from tidemark.llm import exact_dedup, packing, pii, simhash, toxicity
+from tidemark.llm.common import forget, materialise, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact_documents(docs)
-
-
-def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.drop_near_copies(docs)
+    return pii.redact_documents(docs, pii.key_of(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +39,6 @@ STAGES = [
     ("exact_dedup", exact_dedup_stage),
     ("simhash", simhash_stage),
     ("pii", pii_stage),
-    ("near_copies", near_copies_stage),
     ("packing", packing_stage),
 ]
 
@@ -54,7 +49,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
+            out = materialise(out, f"stage-{name}")
+            if k:
+                forget(docs)
+        docs = out
     return docs
