@@ -94,13 +94,25 @@ def test_persistence_is_strictly_before_and_carries_over_blocks(spark):
     assert got == {0: None, 1: 1.0, 2: 1.0, 3: 2.0}
 
 
-def test_sarima_says_that_it_is_missing(spark, series):
-    pytest.importorskip("pyspark")
-    try:
-        import statsmodels  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError):
-            baselines.sarima(series.withColumnRenamed("v", "value"), 4, ("g",))
+def test_sarima_finds_coefficients_and_continues_seasons(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    phi, theta, big = 0.5, 0.3, -0.4
+    e, w = rng.standard_normal(4000), np.zeros(4000)
+    for t in range(49, 4000):
+        w[t] = phi * w[t - 1] + big * (w[t - 48] - phi * w[t - 49]) + e[t] + theta * e[t - 1]
+    d, y = np.zeros(4000), np.zeros(4001)
+    for t in range(4000):
+        d[t] = w[t] + (d[t - 48] if t >= 48 else 0)
+        y[t + 1] = y[t] + d[t]
+    _, found = baselines.css_sarima(y[200:], 3)
+    assert all(abs(a - b) < 0.08 for a, b in zip(found, (phi, theta, big)))
+    start = datetime(2024, 1, 1)
+    rows = [("a", start + timedelta(minutes=30 * k), 100 + 0.1 * k + k % 48) for k in range(400)] + [("b", start, 1.0)]
+    df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, value double")
+    got = baselines.sarima(df, 5, ("g",)).orderBy("step").collect()
+    assert [(r["g"], r["step"], round(r["prediction"], 6)) for r in got] == [("a", k + 1, round(100 + 0.1 * (400 + k) + (400 + k) % 48, 6)) for k in range(5)]
 
 
 def test_chunks_partition_rows(series):
@@ -200,3 +212,118 @@ def test_streaming_chunks(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("chunk_stats").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_rolling_z_of_ties_and_constants(spark):
+    t = datetime(2024, 3, 1)
+    rows = [("c", "v", t + timedelta(hours=k), 1e9 + 7.0) for k in range(300)] + [("d", "v", t + timedelta(hours=k // 3), float(k % 3)) for k in range(300)]
+    got = patterns.rolling_z(spark.createDataFrame(rows, "series string, metric string, ts timestamp_ntz, value double")).collect()
+    assert all(r["z"] is None for r in got if r["series"] == "c") and len(got) == 600
+    d = [r for r in got if r["series"] == "d"]
+    assert {r["n"] for r in d} == {3 * (min(k, 167) + 1) for k in range(100)} and sum(abs(r["z"]) for r in d if r["value"] == 1.0 and r["z"] is not None) < 1e-6
+
+
+def test_places_of_rows_over_blocks(spark):
+    t = datetime(2024, 3, 1)
+    rows = [(k % 3 if k % 3 else None, t + timedelta(days=(k * 7) % 50) if k % 11 else None, k) for k in range(300)]
+    got = resample.numbered(spark.createDataFrame(rows, "g int, ts timestamp_ntz, k int"), "ts", ("g",), then=("k",)).collect()
+    for g in (None, 1, 2):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: (r["ts"] is not None, r["ts"] or t, r["k"]))
+        assert [r["time_idx"] for r in own] == list(range(len(own)))
+
+
+def test_seasonal_naive_equals_brute_force(spark):
+    import random
+
+    rng, t = random.Random(3), datetime(2024, 1, 1)
+    history = [(rng.choice("ab"), t + timedelta(minutes=rng.randrange(60 * 24 * 60)), float(k)) for k in range(2500)]
+    history = list({(g, at): (g, at, v) for g, at, v in history}.values())
+    targets = [(g, k, t + timedelta(days=rng.randrange(5, 60), hours=rng.randrange(24), minutes=rng.choice((0, 10, 30, 45)))) for k in range(60) for g in "ab"]
+    want = {}
+    for g, k, at in targets:
+        hour = [(h, v) for x, h, v in history if x == g and h < at and h.hour == at.hour]
+        week = [(h, v) for h, v in hour if h.weekday() == at.weekday() and abs(h.minute - at.minute) <= 30]
+        want[g, k] = max(week or hour or [(None, None)])[1]
+    df = baselines.seasonal_naive(spark.createDataFrame(history, "g string, ts timestamp_ntz, value double"), spark.createDataFrame(targets, "g string, target_id long, ts timestamp_ntz"), ("g",), block_days=9)
+    assert {(r["g"], r["target_id"]): r["prediction"] for r in df.collect()} == want
+
+
+@pytest.mark.parametrize("said,want", [
+    ("Demand on 3 Sep 2025, 14:00 → 5,100 MW", [("TOTALDEMAND", 5100.0)]),
+    ("On Sept 3 nothing.\nOn Sep. 3rd, 2025 at 2:00 PM I forecast 5 GW. Historically it was 4 GW.", [("TOTALDEMAND", 5000.0)]),
+    ("# Evidence\n2025-09-03 14:00: 1 MW\n## Forecast\nTime: 2025/09/03 15:00\nTOTALDEMAND: 5000 MW\nRRP: $45", [("RRP", 45.0), ("TOTALDEMAND", 5000.0)]),
+    ("## Forecast | 2025-09-03 15:00 | 5000 MW | 45 $/MWh |", [("RRP", 45.0), ("TOTALDEMAND", 5000.0)]),
+])
+def test_forecasts_as_models_write_them(said, want):
+    assert [(m, v) for m, v, _ in parse.parse(said)] == want
+
+
+def test_provider_requests_and_responses():
+    spec = clients.ModelSpec("m", roles="apart", json_answers=False, extra={"effort": "low"})
+    said = [{"role": "system", "content": "be brief"}, {"role": "user", "content": "hello"}, {"role": "assistant", "content": "hi"}, {"role": "user", "content": "again"}]
+    sent = []
+    answers = [{"candidates": [{"content": {"parts": []}, "finish_reason": 2}]}, {"candidates": [{"content": {"parts": []}, "finish_reason": "MAX_TOKENS"}]}, {"candidates": [{"content": {"parts": [{"text": "o"}, {"text": "k "}]}, "finish_reason": 1}]}]
+
+    def send(request):
+        sent.append(request)
+        return answers[len(sent) - 1]
+
+    assert clients.chat(clients.ProviderClient(spec, send), said, max_tokens=9, as_json=True) == "ok"
+    assert [r["max_tokens"] for r in sent] == [9, 65_536, 16_384] and sent[0]["system_instruction"] == "be brief" and "response_format" not in sent[0]
+    assert [c["role"] for c in sent[0]["contents"]] == ["user", "model", "user"] and sent[2]["contents"] == [{"role": "user", "parts": ["be brief\n\nagain"]}]
+    plain = clients.request_of(clients.ModelSpec("m"), said, as_json=True)
+    assert plain["messages"] == said and plain["response_format"] == {"type": "json_object"}
+    for response, want in (({"choices": [{"message": {"content": " a "}}]}, "a"), ({"choices": [{"text": "b"}]}, "b"), ({"choices": [{"delta": {"content": "c"}}]}, "c"), ({"choices": [{"message": {"content": [{"text": "d"}, "e"]}}]}, "de"), ({}, "")):
+        assert clients.response_text(response)[0] == want
+    with pytest.raises(clients.Empty):
+        clients.ProviderClient(spec, lambda r: {"choices": []}).chat(said)
+
+
+def test_summaries_in_words_and_reports(series, tmp_path):
+    import json as js
+
+    from tidemark.plans import prompts, reports
+
+    chunked = chunks.by_time(series.where("k < 100"), "ts", 24, ("g",))
+    chunk, per_origin, _ = chunks.summarise(chunked, "ts", "v", "g")
+    asked = []
+
+    def rule(messages):
+        asked.append(messages)
+        return js.dumps({"headlines": ["h"], "bullets": ["b"], "origin": "x"})
+
+    told = prompts.narrate(clients.ReplayClient(rule=rule), chunk, per_origin, None, "g")
+    assert prompts.as_text(told) == "Overall: h\na: b\nb: b" and len(asked) == 5 + 5 + 2 + 1 and prompts.as_text({}) == "No summaries."
+    assert len(prompts.shortened(list(range(10_000)), 200)) < 230 and js.loads(prompts.shortened({"a": [1], "b": "x"}, 100)) == {"a": [1], "b": "x"}
+    table = per_origin.select("g", "n", F.lit(0.5).alias("x_1"))
+    assert reports.text_table(table, "T", ("g",)).splitlines()[4].split() == ["a", "50", "0.5000"]
+    assert r"a & 50 & 0.5000 \\" in reports.latex_table(table, "C", "t", ("g",)) and r"x\_1" in reports.latex_table(table, "C", "t", ("g",))
+    reports.main(["dataset_now", "/root/testdata/sf0.001", "--out", str(tmp_path / "r")])
+    assert (tmp_path / "r" / "dataset_now.txt").read_text().startswith("dataset_now")
+    assert reports.seeded(5).random() == reports.seeded(5).random()
+
+
+def test_ablation_records_and_traces(spark, series, tmp_path):
+    asked = [{"id": "q1", "text": "demand tomorrow"}, {"id": "q2", "text": "price in Sydney"}]
+    client = clients.ReplayClient(rule=lambda m: "said", model="m")
+    runs = pipeline.run_ablations(spark, series, SPEC, asked, {"all": Flags(), "direct": Flags(direct_only=True)}, (1, 2), client, {"m": (1.0, 1.0)}, str(tmp_path / "t"))
+    got = runs.collect()
+    assert [r["run_id"] for r in got] == [f"{e}-{s}-{q}" for e in ("all", "direct") for s in (1, 2) for q in ("q1", "q2")]
+    assert all(r["answer"] == "said" and r["tokens_in"] > 0 and r["cost_usd"] > 0 and not r["error"] for r in got if r["query_id"] == "q1")
+    assert all("no rows" in r["error"] for r in got if r["query_id"] == "q2") and spark.read.text(str(tmp_path / "t")).count() == 8
+
+
+def test_question_generators():
+    bins = {"morning": ("09:00:00", 60), "night": ("22:00:00", 60)}
+    point = readings.point_questions("2025-01-01", {"NSW1": "Sydney"}, bins, 7)
+    times = [datetime.strptime(q["timestamp"], "%Y/%m/%d %H:%M:%S") for q in point]
+    assert len(point) == 14 and all(t.minute in (0, 30) and t.second == 0 for t in times) and [t.weekday() >= 5 for t in times] == ([False] * 6 + [True]) * 2
+    assert point == readings.point_questions("2025-01-01", {"NSW1": "Sydney"}, bins, 7)
+    assert all("hourly" in q["id"] for q in readings.hourly_questions("2025-01-01", {"A": "a", "B": "b"}, (24, 48)))
+    assert readings.half_hour(datetime(2025, 1, 1, 23, 45)) == datetime(2025, 1, 2)
+    assert calendar.is_holiday(datetime(2022, 12, 27).date()) and calendar.is_holiday(datetime(2025, 4, 18).date()) and not calendar.is_holiday(datetime(2025, 4, 17).date())
+
+
+def test_evidence_bundle(series):
+    out = patterns.bundle(series, SPEC)
+    assert {"labels", "thumbnail", "anomalies", "profile_hour_v"} <= set(out) and out["labels"].count() == 2 and out["profile_hour_v"].count() == 24

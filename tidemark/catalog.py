@@ -136,7 +136,7 @@ def topk_per_block(spark: SparkSession, sf: str) -> DataFrame:
     return shown(top, s).join(top.select("ret_block", F.col(s.key).alias("key"), "lag", "rank"), ["ret_block", "key", "lag"])
 
 
-@query(found_sql("O", "short_term") + " SELECT count(*) AS total_rows, count(DISTINCT ret_block) AS n_blocks, 'short_term' AS route, strftime((SELECT a FROM a), '%Y-%m-%dT%H:%M:%S') AS anchor FROM found")
+@query(found_sql("O", "short_term") + " SELECT count(*) AS total_rows, count(DISTINCT ret_block) AS n_blocks, 'short_term' AS route, strftime((SELECT a FROM a), '%Y-%m-%dT%H:%M:%S') AS anchor, NULL::VARCHAR AS target_start, NULL::VARCHAR AS target_end, NULL::VARCHAR AS freq, (SELECT count(*) FROM w)::INT AS windows, '' AS groups FROM found")
 def retrieval_meta(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.meta_frame(found(spark, sf, "O", "short_term")[0])
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,20 +50,77 @@ def truth(targets: DataFrame, readings: DataFrame, by: tuple[str, ...] = ()) ->
     return targets.join(exact, [*by, "ts"], "left")
 
 
+def _residuals(w: list[float], season: int, phi: float, theta: float, big: float) -> list[float]:
+    """One-step errors of a twice differenced series under (1,.,1)(1,.,0); those that lack a partner a season back count as zero."""
+    e, before = [0.0] * len(w), 0.0
+    for t in range(season + 1, len(w)):
+        before = w[t] - phi * w[t - 1] - big * (w[t - season] - phi * w[t - season - 1]) - theta * before
+        e[t] = before
+    return e
+
+
+def css_sarima(y, horizon: int, season: int = 48, iterations: int = 50) -> tuple[list[float], tuple[float, float, float]]:
+    """(1,1,1)(1,1,0)season by the conditional sum of squares: forecasts, and the coefficients (autoregressive, moving average, seasonal).
+
+    Coefficients stay inside (-1, 1) by a hyperbolic tangent; the search is a simplex (Nelder and Mead) over these three numbers.
+    """
+    import numpy as np
+
+    y = [float(v) for v in y]
+    w = (np.diff(np.array(y))[season:] - np.diff(np.array(y))[:-season]).tolist() if len(y) > season + 1 else []
+    if len(w) <= season + 1:
+        raise ValueError(f"at least {2 * season + 3} values are needed")
+
+    def loss(x) -> float:
+        return sum(e * e for e in _residuals(w, season, *np.tanh(x).tolist()))
+
+    points = [np.zeros(3), *(0.5 * np.eye(3))]
+    found = sorted(((loss(p), k, p) for k, p in enumerate(points)), key=lambda f: f[:2])
+    for n in range(3 * iterations):
+        best, worst = found[0], found[-1]
+        if worst[0] - best[0] <= 1e-10 * (abs(best[0]) + 1e-300):
+            break
+        middle = sum(p for *_, p in found[:-1]) / 3
+        tried = middle + (middle - worst[2])
+        value = loss(tried)
+        if value < best[0]:
+            further = middle + 2 * (middle - worst[2])
+            value, tried = min(((value, 0, tried), (loss(further), 1, further)), key=lambda f: f[:2])[::2]
+        elif value >= found[-2][0]:
+            tried = middle + 0.5 * (worst[2] - middle)
+            value = loss(tried)
+            if value >= worst[0]:
+                found = [best] + [(loss(q), 10 * n + k, q) for k, q in enumerate(best[2] + 0.5 * (p - best[2]) for *_, p in found[1:])]
+                found.sort(key=lambda f: f[:2])
+                continue
+        found[-1] = (value, 1000 + n, tried)
+        found.sort(key=lambda f: f[:2])
+    phi, theta, big = np.tanh(found[0][2]).tolist()
+    last = _residuals(w, season, phi, theta, big)[-1]
+    for _ in range(horizon):
+        step = phi * w[-1] + big * (w[-season] - phi * w[-season - 1]) + theta * last
+        last = 0.0
+        w.append(step)
+        y.append(y[-1] + y[-season] - y[-season - 1] + step)
+    return y[-horizon:], (phi, theta, big)
+
+
 def sarima(history: DataFrame, horizon: int, by: tuple[str, ...], rows: int = 1344) -> DataFrame:
-    """(1,1,1)(1,1,0,48) on the last half hours of the regular grid, where statsmodels is there; else an error, never silent nulls."""
-    if importlib.util.find_spec("statsmodels") is None:
-        raise RuntimeError("SARIMA needs statsmodels, which is not installed")
+    """(1,1,1)(1,1,0,48) on the last rows half hours of the regular grid of each group: bounded groups, fitted in numpy. Groups that are too short give
+    no rows."""
     grid = resample.regular(history, "ts", "value", 1800, by)
-    tail = grid.withColumn("back", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("slot").desc()))).where(F.col("back") <= rows)
+    last = grid.groupBy(*by).agg(F.max("slot").alias("_last"))
+    tail = grid.join(last, list(by)).where(F.col("slot") > F.col("_last") - rows).drop("_last")
 
     def fit(key, frame):
         import pandas as pd
-        from statsmodels.tsa.statespace.sarimax import SARIMAX
 
         s = frame.sort_values("slot")
-        out = SARIMAX(s["value"].to_numpy(), order=(1, 1, 1), seasonal_order=(1, 1, 0, 48), enforce_stationarity=False, enforce_invertibility=False).fit(disp=False, maxiter=50).forecast(horizon)
-        return pd.DataFrame({**{b: [k] * horizon for b, k in zip(by, key)}, "step": range(1, horizon + 1), "prediction": out})
+        try:
+            out, _ = css_sarima(s["value"].to_numpy(), horizon)
+        except ValueError:
+            out = []
+        return pd.DataFrame({**{b: pd.Series([k] * len(out), dtype="object") for b, k in zip(by, key)}, "step": pd.Series(range(1, len(out) + 1), dtype="int32"), "prediction": pd.Series(out, dtype="float64")})
 
     schema = ", ".join([*(f"{b} string" for b in by), "step int", "prediction double"])
     return tail.groupBy(*by).applyInPandas(fit, schema)

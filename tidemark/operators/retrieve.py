@@ -80,4 +80,5 @@ def retrieve(df: DataFrame, spec: SeriesSpec, route: str = "short_term", f: Filt
 def meta_frame(result: RetrievalResult) -> DataFrame:
     """R21 as one row, with the total of the blocks."""
     m = result.meta
-    return result.counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("n_blocks")).withColumns({"route": F.lit(m["route"]), "anchor": F.lit(m["anchor"])})
+    given = {k: F.lit(m[k]).cast("string") for k in ("route", "anchor", "target_start", "target_end", "freq")} | {"windows": F.lit(m["windows"]), "groups": F.lit(",".join(m["groups"]))}
+    return result.counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("n_blocks")).withColumns(given)

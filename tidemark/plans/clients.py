@@ -73,6 +73,95 @@ def loose(client: ChatClient, messages: list[dict], **options) -> dict:
     return found if isinstance(found, dict) else {"summary": str(found)}
 
 
+class Empty(Exception):
+    """A response without text; reason says why it ended."""
+
+    def __init__(self, reason: str) -> None:
+        super().__init__(f"no text in the response: {reason}")
+        self.reason = reason
+
+
+def _of(value, name: str, default=None):
+    return value.get(name, default) if isinstance(value, dict) else getattr(value, name, default)
+
+
+def text_of(content) -> str:
+    """The text of a message's content: a string, a part with text, or a list of these."""
+    if isinstance(content, str):
+        return content
+    if isinstance(content, (list, tuple)):
+        return "".join(map(text_of, content))
+    found = _of(content, "text") if content is not None else None
+    return found if isinstance(found, str) else ""
+
+
+def response_text(response) -> tuple[str, str]:
+    """Text and finish reason (lower case) of a response: choices with messages, plain texts or deltas, or candidates with parts; objects or mappings."""
+    several = _of(response, "choices") or _of(response, "candidates") or []
+    if not several:
+        return "", "none"
+    first = several[0]
+    places = [_of(_of(first, "message"), "content"), _of(_of(first, "content"), "parts"), first, _of(_of(first, "delta"), "content")]
+    reason = _of(first, "finish_reason", "")
+    reason = _of(reason, "name") or reason
+    return next((t for p in places if p is not None and (t := text_of(p))), "").strip(), "length" if str(reason).lower() in ("2", "max_tokens", "length") else str(reason).lower()
+
+
+@dataclass(frozen=True)
+class ModelSpec:
+    """What a provider's requests need."""
+
+    model: str
+    roles: str = "system"  # "system": a message like the others; "apart": an instruction of its own, and the assistant is called model
+    json_answers: bool = True
+    extra: dict = field(default_factory=dict)
+
+
+def request_of(spec: ModelSpec, messages: list[dict], temperature: float = 0.0, max_tokens: int | None = None, as_json: bool = False, **options) -> dict:
+    """The request for messages; options that the model doesn't take are left out."""
+    out = {"model": spec.model, "temperature": temperature} | spec.extra | options
+    if max_tokens is not None:
+        out["max_tokens"] = max_tokens
+    if as_json and spec.json_answers:
+        out["response_format"] = {"type": "json_object"}
+    if spec.roles != "apart":
+        return out | {"messages": messages}
+    told = [m["content"] for m in messages if m["role"] == "system"]
+    rest = [{"role": "model" if m["role"] == "assistant" else "user", "parts": [m["content"]]} for m in messages if m["role"] != "system"]
+    return out | {"system_instruction": "\n\n".join(told) or None, "contents": rest}
+
+
+@dataclass
+class ProviderClient:
+    """A client over a function that sends a request and returns the provider's response. The function is the caller's: the engine has no network.
+
+    M3: a response that ended for its length without text is asked for again with long tokens; one that has still none once more, as one flat message
+    with flat tokens; then Empty is raised.
+    """
+
+    spec: ModelSpec
+    send: Callable[[dict], object]
+    long: int = 65_536
+    flat: int = 16_384
+
+    @property
+    def model(self) -> str:
+        return self.spec.model
+
+    def chat(self, messages: list[dict], **options) -> str:
+        text, reason = response_text(self.send(request_of(self.spec, messages, **options)))
+        if not text and reason == "length":
+            text, reason = response_text(self.send(request_of(self.spec, messages, **options | {"max_tokens": self.long})))
+        if not text:
+            told = "\n\n".join(m["content"] for m in messages if m["role"] == "system")
+            asked = next((m["content"] for m in reversed(messages) if m["role"] == "user"), "")
+            one = [{"role": "user", "content": "\n\n".join(x for x in (told, asked) if x)}]
+            text, reason = response_text(self.send(request_of(self.spec, one, **options | {"max_tokens": self.flat})))
+        if not text:
+            raise Empty(reason)
+        return text
+
+
 @dataclass
 class CallLog:
     """Stage, model, latency, tokens and cost of every call."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import iso_datetime, parse_request, route_of, sector_of
 from ..operators import chunks, patterns, retrieve, stats
 from ..spec import ChunkConfig, Filters, Flags, RetrievalConfig, SeriesSpec
-from .clients import ChatClient, chat
+from .clients import CallLog, ChatClient, chat
 from .windows import target_window
 
 
@@ -51,7 +53,7 @@ def target_label(f: Filters) -> str:
     return f"{start:%Y-%m-%d %H:%M}" + (f" to {end:%Y-%m-%d %H:%M}" if end else "")
 
 
-def answer(df: DataFrame, spec: SeriesSpec, question: str, client: ChatClient | None = None, flags: Flags = Flags(), cfg: RetrievalConfig = RetrievalConfig(), reference: datetime | None = None, step_seconds: int = 3600) -> Answer:
+def answer(df: DataFrame, spec: SeriesSpec, question: str, client: ChatClient | None = None, flags: Flags = Flags(), cfg: RetrievalConfig = RetrievalConfig(), reference: datetime | None = None, step_seconds: int = 3600, prompt_lines: int = 50) -> Answer:
     """Lazily planned; the only action is the anchor."""
     marks, began = {}, time.time()
 
@@ -80,7 +82,9 @@ def answer(df: DataFrame, spec: SeriesSpec, question: str, client: ChatClient |
             chunked = chunks.by_time(found.rows, spec.ts, ChunkConfig().hours or 24, ("ret_block",))
             out.summary = chunks.summarise(chunked, spec.ts, spec.metrics[0], "ret_block")
     if client is not None:
-        lines = [f"{r['series']} {r['metric']}: {r['forecast']}" for r in out.forecast.limit(50).collect()]  # a table of groups and metrics
+        # a table of groups and metrics; a request holds the first prompt_lines of them by name
+        shown = out.forecast.orderBy("series", "metric").limit(prompt_lines).collect()
+        lines = [f"{r['series']} {r['metric']}: {r['forecast']}" for r in shown]
         out.text = chat(client, [{"role": "system", "content": f"Explain a forecast for {target_label(f)} ({route})."}, {"role": "user", "content": question + "\n" + "\n".join(lines)}])
     mark("forecast")
     out.seconds = marks
@@ -92,16 +96,33 @@ def trace(a: Answer) -> dict:
     return {"route": a.route, "sector": a.sector, "filters": {k: v for k, v in asdict(a.filters).items() if v}, "meta": a.meta, "seconds": a.seconds}
 
 
-def run_ablations(spark: SparkSession, df: DataFrame, spec: SeriesSpec, questions: list[dict], setups: dict[str, Flags], seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """A record for each setup, seed and question; a failing run is a record with its error."""
-    rows = []
-    for exp_id, flags in setups.items():
-        for seed in seeds:
-            for q in questions:
-                began, error, route = time.time(), "", ""
-                try:
-                    route = answer(df, spec, q["text"], flags=flags, reference=iso_datetime(q.get("reference"))).route
-                except ValueError as e:
-                    error = str(e)
-                rows.append((f"{exp_id}-{seed}-{q['id']}", exp_id, seed, q["id"], route, error, time.time() - began))
-    return spark.createDataFrame(rows, "run_id string, exp_id string, seed int, query_id string, route string, error string, wall_clock_sec double")
+def run_one(df: DataFrame, spec: SeriesSpec, exp_id: str, seed: int, question: dict, flags: Flags, client: ChatClient | None = None, prices: dict | None = None) -> tuple[dict, dict]:
+    """One run: its record and its trace. A failing run is a record with its error. Tokens and cost are those of the client's calls."""
+    began, error, found = time.time(), "", None
+    log = CallLog(client, "forecast", prices=prices or {}) if client is not None else None
+    said = ""
+    try:
+        found = answer(df, spec, question["text"], client=log, flags=flags, reference=iso_datetime(question.get("reference")))
+        shown = found.forecast.orderBy("series", "metric").limit(50).collect()
+        said = found.text or "; ".join(f"{r['series']} {r['metric']}={r['forecast']}" for r in shown)
+    except Exception as e:  # whatever goes wrong in a run belongs in its record
+        error = f"{type(e).__name__}: {e}"
+    calls = log.calls if log else []
+    total = lambda k: sum(c[k] for c in calls)
+    run_id = f"{exp_id}-{seed}-{question['id']}"
+    record = {"run_id": run_id, "exp_id": exp_id, "seed": seed, "query_id": question["id"], "route": found.route if found else "", "answer": said, "tokens_in": total("tokens_in"), "tokens_out": total("tokens_out"), "cost_usd": float(total("cost_usd")), "latency_sec": float(total("latency_sec")), "wall_clock_sec": time.time() - began, "error": error}
+    return record, {"run_id": run_id, "calls": calls} | (trace(found) if found else {})
+
+
+RUN_SCHEMA = "run_id string, exp_id string, seed int, query_id string, route string, answer string, tokens_in long, tokens_out long, cost_usd double, latency_sec double, wall_clock_sec double, error string, trace_path string"
+
+
+def run_ablations(spark: SparkSession, df: DataFrame, spec: SeriesSpec, questions: list[dict], setups: dict[str, Flags], seeds: tuple[int, ...] = (42,), client: ChatClient | None = None, prices: dict | None = None, folder: str | None = None, at_once: int = 4) -> DataFrame:
+    """A record for each setup, seed and question, in that order; at_once runs share the session. folder: also a JSON file of each run's trace."""
+    asked = [(exp_id, seed, q, flags) for exp_id, flags in setups.items() for seed in seeds for q in questions]
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(lambda a: run_one(df, spec, a[0], a[1], a[2], a[3], client, prices), asked))
+    if folder:
+        traces = spark.createDataFrame([(t["run_id"], json.dumps(t, default=str)) for _, t in done], "run_id string, value string")
+        traces.write.mode("append").partitionBy("run_id").text(folder)
+    return spark.createDataFrame([(*r.values(), f"{folder}/run_id={r['run_id']}" if folder else None) for r, _ in done], RUN_SCHEMA)

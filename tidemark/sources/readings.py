@@ -172,3 +172,42 @@ def query_grid(start: str, days: int, bins: dict[str, tuple[str, int]], seed: in
         t = datetime.fromtimestamp(round(t.timestamp() / 1800) * 1800)
         out.append({"id": f"q_{k:04d}", "timestamp": t.strftime("%Y/%m/%d %H:%M:%S"), "hour_bin": name})
     return out
+
+
+def half_hour(t):
+    """The nearest half hour; a quarter past goes up."""
+    from datetime import timedelta
+
+    whole = t.replace(minute=0, second=0, microsecond=0)
+    return whole + timedelta(minutes=30 * ((t - whole + timedelta(minutes=15)) // timedelta(minutes=30)))
+
+
+def point_questions(start: str, regions: dict[str, str], bins: dict[str, tuple[str, int]], each: int, seed: int = 7) -> list[dict]:
+    """Each questions for every region and time bin: a day in the year from start, every seventh one on a weekend, a time near the bin's."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, first, out = random.Random(seed), datetime.fromisoformat(start), []
+    for region, name in regions.items():
+        for label, (clock, jitter) in bins.items():
+            for k in range(each):
+                h, m, s = map(int, clock.split(":"))
+                t = first + timedelta(days=rng.randrange(365))
+                while (t.weekday() >= 5) != (k % 7 == 6):
+                    t += timedelta(days=1)
+                t = half_hour(t + timedelta(hours=h, minutes=m + rng.randint(-jitter // 2, jitter // 2), seconds=s))
+                out.append({"id": f"{region}_{len(out):03d}", "region": region, "region_name": name, "timestamp": t.strftime("%Y/%m/%d %H:%M:%S"), "hour_bin": label, "text": f"What will demand and price be in {name} at {t:%Y-%m-%d %H:%M}?"})
+    return out
+
+
+def hourly_questions(start: str, regions: dict[str, str], hours: tuple[int, ...], seed: int = 7) -> list[dict]:
+    """For every region and horizon a question over so many hours from a half hour of the month after start; ids hold 'hourly'."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, first, out = random.Random(seed), datetime.fromisoformat(start), []
+    for region, name in regions.items():
+        for n in hours:
+            t = first + timedelta(minutes=30 * rng.randrange(48 * 30))
+            out.append({"id": f"{region}_hourly_{len(out):03d}", "region": region, "region_name": name, "forecast_horizon_hours": n, "start_timestamp": t.strftime("%Y/%m/%d %H:%M:%S"), "text": f"Forecast demand and price in {name} for each hour of the next {n} hours from {t:%Y-%m-%d %H:%M}."})
+    return out
