@@ -36,6 +36,8 @@ CROWD = 16
 STAGE_SHINGLE, PERCENT, WIDE = 5, 80, 20
 #: Rows whose shingles are counted, and how often a common one occurs there. The sample decides the cost, never the result.
 SAMPLE, COMMON, MOST_COMMON = 4096, 4, 50_000
+#: Rows and shingles of a group of candidates beyond which it is cut into chunks, and words of the matrix of a group's shared shingles.
+GROUP, SHINGLES, MATRIX_WORDS = 2048, 4_000_000, 1 << 24
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -130,17 +132,15 @@ def _within(planes: np.ndarray, d: int, n_words: int, radius: int) -> np.ndarray
     return out
 
 
-def linked(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS, parent: np.ndarray | None = None, accept=None, spanning: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group that differ in at most radius bits. groups: sorted ids; accept(x, y): which pairs count.
-
-    parent gives each row an earlier row of its group (or itself) with which it is joined already; such pairs are left out. With spanning, only
-    pairs that join what was apart are given: a spanning forest of each group, which is left as soon as it is one piece.
+def linked(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS, accept=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that make a spanning forest of the links inside each group: of rows that differ in at most radius bits, where accept(x, y) holds. groups:
+    sorted ids. Pairs are looked at, and asked about, only while they are apart; a group is left as soon as it is one piece.
     """
     fps = fps.astype(np.uint64)
-    parent = np.arange(len(fps)) if parent is None else parent.copy()
+    parent = np.arange(len(fps))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     _, first, inverse, size = np.unique(groups, return_index=True, return_inverse=True, return_counts=True)
-    pieces = np.bincount(inverse, weights=parent == np.arange(len(parent)), minlength=len(size)).astype(np.int64)
+    pieces = size.copy()
     d = 1
     while True:
         keep = (size > d) & (pieces > 1)
@@ -163,14 +163,12 @@ def linked(fps: np.ndarray, groups: np.ndarray, radius: int = RADIUS, parent: np
             x, y = lanes[hit], lanes[hit + d]
             d += 1
             apart = parent[x] != parent[y]
-            if accept is not None and len(x):
-                apart &= accept(x, y)
             x, y = x[apart], y[apart]
+            if accept is not None and len(x):
+                good = accept(x, y)
+                x, y = x[good], y[good]
             if not len(x):
                 continue
-            if not spanning:
-                found.append((x, y))
-                continue
             joins = []
             for i, j in zip(x.tolist(), y.tolist()):
                 u, v = i, j
@@ -294,15 +292,19 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """rows: node, text. node, own: the shingle set of each."""
+    """rows: node, text, more. node, more, fp, own: the SimHash and the shingle set of each."""
+    more = [f for f in rows.schema.fields if f.name not in ("node", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle) for t in part.column(1)], pa.list_(pa.int64()))], names=["node", "own"])
+                own = [shingle_set(t.as_py(), shingle) for t in part.column(1)]
+                fps = np.array([_majority(x) for x in own], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(fps), pa.array(own, pa.list_(pa.int64()))], names=["node", *[f.name for f in more], "fp", "own"])
 
-    return rows.mapInArrow(run, "node long, own array<long>")
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
+    return rows.select("node", "text", *[f.name for f in more]).mapInArrow(run, f"node long{kinds}, fp long, own array<long>")
 
 
 def _sketches(rows: DataFrame, common: np.ndarray, shingle: int, percent: int) -> DataFrame:
@@ -334,39 +336,106 @@ def _sketches(rows: DataFrame, common: np.ndarray, shingle: int, percent: int) -
     return rows.mapInArrow(run, "row long, fp long, n int, s1 long, s2 long, prefix array<long>")
 
 
-def _met(known: DataFrame, labels: DataFrame | None, spanning: bool, turn: int, percent: int, radius: int, cell: int) -> DataFrame:
-    """known: key, node, fp, n; labels: node, component. a, b: pairs of a key, of different components, within radius, whose sizes allow the similarity."""
-    with_label = known.withColumn("component", F.col("node")) if labels is None else known.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _met(known: DataFrame, percent: int, radius: int, cell: int) -> DataFrame:
+    """known: key, node, fp, n. a, b: pairs that link the rows of each key as far as radius and sizes allow the similarity; a forest, never all pairs."""
 
     def work(cols: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        node, fp, n, component = cols
-        n = n.astype(np.int64)
-        order = np.lexsort((np.arange(len(node)), component, groups))
-        same = np.concatenate([[False], (component[order][1:] == component[order][:-1]) & (groups[order][1:] == groups[order][:-1])])
-        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        parent = np.empty(len(order), dtype=np.int64)
-        parent[order] = order[start]  # the first row of its component in the group
-        x, y = linked(fp.view(np.uint64), groups, radius, parent, lambda x, y: 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]), spanning)
+        node, fp, n = cols[0], cols[1], cols[2].astype(np.int64)
+        x, y = linked(fp.view(np.uint64), groups, radius, lambda x, y: 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
         return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_cell(batches, work)
 
-    cells = _cells(with_label, cell, "near-large").select("key", "i", "j", "node", "fp", "n", "component")
-    # a new order in each turn, so that a forest holds other pairs
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.xxhash64(F.lit(turn), "node"))
+    cells = _cells(known, cell, "near-large").select("key", "i", "j", "node", "fp", "n")
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _common(sets: list[np.ndarray]):
+    """f(x, y): the number of shingles that each pair of rows has in common. Shingles of one row only are left out; the others are bits of a row."""
+    sizes = np.array([len(x) for x in sets])
+    kinds, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    width = -(-int(shared.sum()) // 64)
+    if not width or len(sets) * width > MATRIX_WORDS:
+        return lambda x, y: np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist())], dtype=np.int64)
+    place = np.cumsum(shared) - 1
+    bits = np.zeros((len(sets), width), dtype=np.uint64)
+    row, own = np.repeat(np.arange(len(sets)), sizes)[shared[where]], place[where[shared[where]]]
+    word = row * width + own // 64
+    order = np.argsort(word, kind="stable")
+    word, bit = word[order], np.uint64(1) << (own[order] % 64).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    bits.ravel()[word[first]] = np.bitwise_or.reduceat(bit, first)
+
+    def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        step = max(1, (1 << 20) // width)
+        return np.concatenate([np.bitwise_count(bits[x[lo : lo + step]] & bits[y[lo : lo + step]]).sum(axis=1, dtype=np.int64) for lo in range(0, len(x), step)])
+
+    return common
+
+
+def verified(fps: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, radius: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that make a spanning forest of the true links: fingerprints within radius, similarity of the sets of percent / 100 at least."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    common = _common(sets)
+
+    def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+        x, y = x[out], y[out]
+        if len(x):
+            out[out] = (100 + percent) * common(x, y) >= percent * (sizes[x] + sizes[y])  # 100 * common >= percent * union
+        return out
+
+    return linked(fps, np.zeros(len(fps), dtype=np.int64), radius, accept)
+
+
+def _true_links(rows: DataFrame, percent: int, radius: int) -> DataFrame:
+    """rows: node, component, fp, own; written. a, b: a spanning forest of the true links inside each component.
+
+    A component of more than GROUP rows or SHINGLES shingles is cut into chunks, whose pairs are compared in tasks of their own.
+    """
+    chunks = F.ceil(F.greatest(F.col("count") / GROUP, F.col("total") / SHINGLES)).cast("int")
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("count"), F.sum(F.size("own")).alias("total")).select("component", chunks.alias("chunks"))
+    sizes = materialise(sizes.where("chunks > 1"), "near-sizes")
+    own = rows.join(sizes, "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = own.withColumn("c", F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = own.select("component", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "node", "fp", "own")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, fps, sets = None, [], [], []
+
+        def links_of() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                x, y = verified(np.array(fps, dtype=np.int64).view(np.uint64), sets, percent, radius)
+                if len(x):
+                    own = np.array(nodes, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[x], own[y])), pa.array(np.maximum(own[x], own[y]))], names=["a", "b"])
+
+        for b in batches:
+            for *of, node, fp, one in zip(*(b.column(c).to_pylist() for c in range(5)), b.column(5)):
+                if of != key:
+                    yield from links_of()
+                    key, nodes, fps, sets = of, [], [], []
+                nodes.append(node)
+                fps.append(fp)
+                sets.append(one.values.to_numpy())
+        yield from links_of()
+
+    return cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(check, "a long, b long")
+
+
 def similar(rows: DataFrame, percent: int = PERCENT, shingle: int = STAGE_SHINGLE, radius: int = WIDE, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """rows: row, text; written. (row, node): the first row with the same shingle set; and (node, component) of the nodes with links.
 
     Links are pairs of sets with a Jaccard similarity of percent / 100 at least, whose fingerprints differ in at most radius bits. Rows meet by the
-    shingles of which similar sets share one. Bit-sliced comparison finds candidates: first spanning forests of each shingle's rows, whose
-    pairs are checked on the complete sets, then, between rows that are still in different components, all pairs within the radius.
+    shingles of which similar sets share one; bit-sliced comparison links them by forests of pairs within the radius. The components of these hold every
+    link. Each row then goes to its component once, with its set, where bit-sliced comparison gives the pairs that are still apart
+    and the sets decide. No step gives a row for each pair of a group.
     """
     every = max(1, rows.count() // SAMPLE)
-    some = _sets(rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0), shingle).select(F.explode("own").alias("key"))
+    some = _sets(rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select(F.col("row").alias("node"), "text"), shingle).select(F.explode("own").alias("key"))
     common = some.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
     sketches = materialise(_sketches(rows, np.sort(common.select("key").toArrow()["key"].to_numpy().astype(np.int64)), shingle, percent), "near-sketches")
     firsts = materialise(sketches.groupBy("s1", "s2").agg(F.min("row").alias("node")), "near-firsts")
@@ -376,26 +445,13 @@ def similar(rows: DataFrame, percent: int = PERCENT, shingle: int = STAGE_SHINGL
     shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "near-shared")
     known = materialise(keys.join(shared, "key", "left_semi"), "near-known")
     forget(sketches, firsts, shared)
-    texts = rows.select(F.col("row").alias("node"), "text")
-    labels = edges = tested = None
-    for turn, spanning in enumerate((True, True, False)):
-        pairs = _met(known, labels, spanning, turn, percent, radius, cell)
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-asked")
-        sets = materialise(_sets(texts.join(asked, "node", "left_semi"), shingle), "near-sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-        common_size = F.size(F.array_intersect("x", "y"))
-        # 100 * common >= percent * union
-        good = materialise(both.where((100 + percent) * common_size >= percent * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
-        forget(asked, sets)
-        edges = good if edges is None else edges.unionAll(good)
-        labels = connected_components(edges)
+    candidates = materialise(_met(known, percent, radius, cell), "near-candidates")
     forget(known)
-    if labels is None:
-        labels = members.select("node", F.col("node").alias("component")).where("false")
+    groups = connected_components(candidates)
+    texts = rows.select(F.col("row").alias("node"), "text").join(groups, "node").select("node", "text", "component")
+    sets = materialise(_sets(texts, shingle), "near-sets")
+    labels = connected_components(materialise(_true_links(sets, percent, radius), "near-links"))
+    forget(sets, candidates)
     return members, labels
 
 
