@@ -31,12 +31,12 @@ from .common import forget, materialise
 
 TABLES = 2
 SLOTS = 3  # values of a function; the outer ones are open
-BUCKET = 2048
+BUCKET = 256
 MAX_HASHES = 10
 CELL = 4096
 QUERY_CELL = 512
 SAMPLE = 4096
-RECALL = 0.97
+RECALL = 0.94
 K = 10
 _KEY = {"t": "int", "bucket": "int", "cell": "int"}
 
