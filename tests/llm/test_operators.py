@@ -155,6 +155,26 @@ def test_forest_and_cells_lose_no_link(spark):
         assert len(set(classes([tuple(int(np.int64(x).view(np.uint64)) for x in p) for p in e]).values())) == len(set(true.values()))
 
 
+def test_verified_links_with_and_without_a_matrix(monkeypatch):
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 1 << 62, 90))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.08], rng.integers(0, 1 << 62, int(rng.integers(0, 9)))])) for _ in range(80)]
+    fps = np.array([simhash._majority(x) for x in sets], dtype=np.uint64)
+    label = list(range(80))
+    for j in range(80):
+        for i in range(j):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and (int(fps[i]) ^ int(fps[j])).bit_count() <= 20:
+                label = [label[i] if k == label[j] else k for k in label]
+    for words_ in (1 << 24, 0):
+        monkeypatch.setattr(simhash, "MATRIX_WORDS", words_)
+        x, y = simhash.verified(fps, sets)
+        parent = list(range(80))
+        for i, j in zip(x.tolist(), y.tolist()):
+            parent = [parent[i] if k == parent[j] else k for k in parent]
+        assert len(set(parent)) == len(set(label)) and len(x) == 80 - len(set(label)) and all((label[i] == label[j]) == (parent[i] == parent[j]) for i in range(80) for j in range(80))
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 200), (300, 200)], "a long, b long")
     assert {r["component"] for r in connected_components(e).collect()} == {1, 100}
@@ -632,7 +652,7 @@ def test_near_copies_equal_brute_force(spark, docs):
     assert simhash.drop_near_duplicates(frame.where("false")).isEmpty()
 
 
-def test_near_copies_of_a_chain_and_of_a_crowd(spark):
+def test_near_copies_of_a_chain_and_of_a_crowd(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = [f"c{k}" for k in range(120)]
     crowd = []
@@ -646,7 +666,9 @@ def test_near_copies_of_a_chain_and_of_a_crowd(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     own = frame.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id").collect()
     written = spark.createDataFrame([(r["row"], r["text"]) for r in own], "row long, text string")
-    for cell in (4096, 16):
+    for cell, group, words_ in ((4096, 2048, 1 << 24), (16, 9, 1 << 24), (4096, 2048, 1)):
+        monkeypatch.setattr(simhash, "GROUP", group)  # in chunks
+        monkeypatch.setattr(simhash, "MATRIX_WORDS", words_)  # without a matrix; the driver's value only matters to what it sends
         members, labels = simhash.similar(written, cell=cell)
         label = {r["node"]: r["component"] for r in labels.collect()}
         node = {r["row"]: r["node"] for r in members.collect()}
@@ -664,3 +686,66 @@ def test_pipeline_keeps_no_near_copies(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         near = stage(spark, near, sf)
     assert [r["doc_id"] for r in near.collect()] == [1]
+
+
+def test_run_of_the_pipeline_equals_a_plain_version(spark, sf):
+    """Toxicity and personal data by their operators, which have plain versions of their own; copies, near copies and packing plainly."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = table(spark, sf, "documents")
+    toxic = {r["doc_id"] for r in toxicity.score(docs, table(spark, sf, "labels")).where("predicted = 1").collect()}
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect() if r["doc_id"] not in toxic]
+    best = {}
+    for i, t in rows:
+        b = re.sub(r"[\x20\x09-\x0D]", "", t)
+        best[b] = min(best.get(b, (0, 1 << 60)), (-len(t), i))
+    stay = {i for _, i in best.values()}
+    rows = [(i, t) for i, t in rows if i in stay]
+    stay = set(kept_of_each_group(rows))
+    frame = spark.createDataFrame([(i, t) for i, t in rows if i in stay], "doc_id long, text string")
+    texts = {i: t for i, (t, _) in redacted(frame, pii.TEST_KEY).items()}
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    out = corpus_pipeline.run(spark, sf)
+    assert len(corpus_pipeline.STAGES) == 5 and out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for p in out.collect():
+        own = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert p["ids_crc32"] == zlib.crc32(np.array(own, dtype="<u4").tobytes())
+        pieces[p["doc_id"]].append((p["start"], p["length"]))
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert {i: sum(n for _, n in x) for i, x in pieces.items()} == {i: len(x) for i, x in ids.items()}
+    full = sorted(sum(n for _, n in x) for x in sequences.values())
+    assert full[1:] == [2048] * (len(full) - 1) and sorted(sequences) == list(range(len(sequences)))
+
+
+def test_pipeline_on_awkward_tables(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row string, _SHA string"
+    rows = [(None, None, None, None, None, "a", "b"), (None, PASSAGE, "en", "x", 3, None, None), (None, PASSAGE, "en", "x", 3, None, None), (1, "", "en", "x", 0, "", ""), (2, LONG, None, "y", 4, "r", "s"), (3, "Mr John Smith token=abcdefgh12", "en", "x", 5, "r", "s"), (3, "another text of this id", "en", "x", 5, "r", "s")]
+    for name, given in (("full", rows), ("empty", [])):
+        spark.createDataFrame(given, columns).write.parquet(str(tmp_path / name / "documents.parquet"))
+        table(spark, sf, "labels").write.parquet(str(tmp_path / name / "labels.parquet"))
+        docs = table(spark, str(tmp_path / name), "documents")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path / name))
+            assert docs.dtypes == table(spark, str(tmp_path / name), "documents").dtypes
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert sorted((r["doc_id"] or 0) for r in out if r["start"] == 0) == ([0, 1, 2, 3, 3] if given else [])
+
+
+def test_awkward_rows_of_the_other_queries(spark, odd):
+    """Null and repeated ids, and columns whose names the operators use themselves."""
+    rows = [(None, PASSAGE, 1, "a"), (None, PASSAGE, 2, "b"), (5, PASSAGE + " x", 3, "c"), (5, "quite another text", 4, "d"), (None, None, 5, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp long, sha_ string")
+    assert sorted((r["keep_id"] or 0, r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect()) == [(0, 1, True), (0, 2, True), (0, 2, True), (5, 1, True), (5, 1, True)]
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and sorted(r["fp"] for r in kept.collect() if r["fp"] > 2) == [3, 4, 5] and kept.count() == 4
+    found = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(df).collect()]
+    assert len(found) == 5 and (None, 0, None) in found and {c for i, _, c in found if i == 5} == {5}
+    assert simhash.drop_near_duplicates(df).columns == df.columns
+    assert packing.digest(packing.pack(df)).where("start = 0").count() == 5
+    assert sentencepiece_viterbi.roundtrip(df).where("exact").count() == 5
+    assert toxicity.score(df, spark.createDataFrame([(5, 1), (None, 0)], "doc_id long, toxic int")).where("not held_out or doc_id = 5").count() == 5
