@@ -327,3 +327,14 @@ def test_question_generators():
 def test_evidence_bundle(series):
     out = patterns.bundle(series, SPEC)
     assert {"labels", "thumbnail", "anomalies", "profile_hour_v"} <= set(out) and out["labels"].count() == 2 and out["profile_hour_v"].count() == 24
+
+
+def test_quantiles_of_ties_nulls_and_outliers(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.standard_normal(1001).tolist(), "b": [5.0] * 30, None: [1.0, 2.0, 1e12], "d": rng.integers(0, 4, 500).astype(float).tolist(), "e": [7.5]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("f", None)]
+    got = {r["g"]: r["q"] for r in stats.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", ("g",), (1, 25, 50, 99)).collect()}
+    assert set(got) == set(groups) and all(np.allclose(got[g], np.percentile(vs, (1, 25, 50, 99))) for g, vs in groups.items())
+    assert stats.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", (), (50,)).count() == 1

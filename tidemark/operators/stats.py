@@ -19,13 +19,39 @@ def unpivot(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.select(group.alias("series"), F.col(spec.ts).alias("ts"), *keep, pairs).select("series", "ts", *keep, "p.metric", "p.value")
 
 
+def quantiles(df: DataFrame, value: str, by: tuple[str, ...], percentiles, bins: int = 4096) -> DataFrame:
+    """(by, q): exact percentiles with linear interpolation, as an array.
+
+    Values are counted, their counts summed in bins of equal width between a group's ends, and only the few bins that hold a wanted rank are sorted.
+    So no task holds a group's values; one holds a bin's, which is large only where most of a group lies within a bin's width.
+    """
+    own = df.where(F.col(value).isNotNull()).select(F.struct(*by, F.lit(0).alias("_")).alias("_g"), F.col(value).cast("double").alias("v"))
+    counted = own.groupBy("_g", "v").agg(F.count(F.lit(1)).alias("n"))
+    ends = counted.groupBy("_g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    place = F.floor(F.try_divide(F.col("v") - F.col("lo"), F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))) * bins)
+    placed = counted.join(ends, "_g").withColumn("bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int"))
+    at = lambda p: F.lit(p / 100) * (F.col("total") - 1)
+    ranks = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in percentiles for f in (F.floor, F.ceil)]))
+    tally = placed.groupBy("_g", "bin").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("_g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # bins of a group
+    bounds = tally.withColumn("upto", upto).select("_g", "bin", (F.col("upto") - F.col("n")).alias("below"), "upto", ranks.alias("ranks"))
+    asked = bounds.select("_g", "bin", "below", F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("upto"))).alias("wanted")).where(F.size("wanted") > 0)
+    inside = placed.select("_g", "bin", "v", "n").join(asked, ["_g", "bin"])
+    last = F.col("below") + F.sum("n").over(Window.partitionBy("_g", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hits = inside.withColumn("last", last).select("_g", "v", F.explode(F.filter("wanted", lambda r: (r >= F.col("last") - F.col("n")) & (r < F.col("last")))).alias("r"))
+    found = hits.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m")).join(ends.select("_g", "total"), "_g")
+    low = lambda p: F.element_at("m", F.floor(at(p)).cast("long"))
+    high = lambda p: F.element_at("m", F.ceil(at(p)).cast("long"))
+    q = F.array(*[low(p) + (high(p) - low(p)) * (at(p) - F.floor(at(p))) for p in percentiles])
+    return found.select(*[F.col("_g")[b].alias(b) for b in by], q.alias("q"))
+
+
 def basic(df: DataFrame, value: str, by: tuple[str, ...] = (), percentiles=StatConfig().percentiles) -> DataFrame:
-    """A1 to A3: count, mean, standard deviation (0 for one value), extremes and exact linear percentiles. Percentiles keep counts of distinct
-    values, so groups are merged map-side."""
+    """A1 to A3: count, mean, standard deviation (0 for one value), extremes and exact linear percentiles."""
     v = F.col(value)
-    at = F.percentile(v, F.array(*[F.lit(p / 100) for p in percentiles]))
-    out = df.where(v.isNotNull()).groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), at.alias("_p"))
-    return out.select(*by, "n", "mean", "std", "min", "max", *[F.col("_p")[k].alias(f"p{p}") for k, p in enumerate(percentiles)])
+    out = df.where(v.isNotNull()).groupBy(F.struct(*by, F.lit(0).alias("_")).alias("_g")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(df, value, by, percentiles).select(F.struct(*by, F.lit(0).alias("_")).alias("_g"), "q")
+    return out.join(q, "_g").select(*[F.col("_g")[b].alias(b) for b in by], "n", "mean", "std", "min", "max", *[F.col("q")[k].alias(f"p{p}") for k, p in enumerate(percentiles)])
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -54,7 +80,7 @@ def profile(df: DataFrame, ts: str, value: str, part: str) -> DataFrame:
     """The median of each hour (24), weekday (7, Monday 0) or month (12); null where there is none."""
     of, lo, hi = {"hour": (F.hour, 0, 24), "weekday": (F.weekday, 0, 7), "month": (F.month, 1, 13)}[part]
     grid = df.sparkSession.range(lo, hi).select(F.col("id").cast("int").alias("slot"))
-    found = df.groupBy(of(ts).alias("slot")).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    found = quantiles(df.select(of(ts).alias("slot"), F.col(value).alias("v")), "v", ("slot",), (50,)).select("slot", F.col("q")[0].alias("median"))
     return grid.join(found, "slot", "left")
 
 
