@@ -277,7 +277,14 @@ def name_words(found: Column) -> Column:
     """Alternatives for the words of the names among described mentions, the longer ones first, so that none hides another."""
     units = entities(F.filter(found, lambda m: m["kind"] == "name"))
     ordered = F.reverse(F.array_sort(F.transform(units, lambda u: F.struct(F.length(u).alias("n"), F.substring(u, 3, F.length(u)).alias("w")))))
-    return F.array_join(F.transform(ordered, lambda x: F.when(x["w"].rlike(r"\p{IsHan}"), x["w"]).otherwise(F.concat(F.lit(r"(?<!\p{L})"), x["w"], F.lit(r"(?!\p{L})")))), "|")
+
+    def alternatives(words: Column) -> Column:
+        han, other = F.filter(words, lambda w: w.rlike(r"\p{IsHan}")), F.filter(words, lambda w: ~w.rlike(r"\p{IsHan}"))
+        # looked for at capital letters only
+        cased = F.when(F.size(other) > 0, F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?:"), F.array_join(other, "|"), F.lit(r")(?!\p{L})")))
+        return F.concat_ws("|", cased, F.when(F.size(han) > 0, F.array_join(han, "|")))
+
+    return _let(F.transform(ordered, lambda x: x["w"]), alternatives)
 
 
 def with_mentions(docs: DataFrame, general: str, found: str, words: str, pattern: str) -> DataFrame:
