@@ -239,7 +239,8 @@ def _search(points: DataFrame, asked: DataFrame, dim: int, n_points: int, n_quer
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
 
-    met = blocks.join(visits, ["t", "bucket"]).select("x", "point", "members", "qkey", "id", "copies", "qx")
+    # what a query visits is many times the size that the planner sees in the queries, so neither side is broadcast
+    met = blocks.hint("merge").join(visits, ["t", "bucket"]).select("x", "point", "members", "qkey", "id", "copies", "qx")
     return met.mapInArrow(compare, "qkey long, query_id long, copies long, point long, vec_id long, score double, n long")
 
 
