@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, html_extract, packing, pii, sentencepiece_viterbi, simhash, substring_dedup, toxicity, warc
+from . import ann, ball_kmeans, exact_dedup, fill_in_middle, html_extract, packing, pii, secret_scan, sentencepiece_viterbi, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.QUERY,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.QUERY,
     "op9_pii": pii.QUERY,
     "op10_simhash": simhash.QUERY,
+    "op11_fill_in_middle": fill_in_middle.QUERY,
+    "op12_secret_scan": secret_scan.QUERY,
+    "op13_ball_kmeans": ball_kmeans.QUERY,
 }
-ORACLES = {"op2_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op2_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL, "op11_fill_in_middle": fill_in_middle.SQL, "op13_ball_kmeans": ball_kmeans.SQL}
