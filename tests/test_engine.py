@@ -10,7 +10,7 @@ from tidemark.operators import baselines, chunks, evaluate, filters, parse, patt
 from tidemark.plans import clients, pipeline
 from tidemark.plans.windows import recent_span, target_window, windows_of, years_back
 from tidemark.sources import readings
-from tidemark.spec import AnomalyConfig, Filters, Flags, RetrievalConfig, SeriesSpec
+from tidemark.spec import AnomalyConfig, Filters, Flags, RetrievalConfig, ScanConfig, SeriesSpec
 
 SPEC = SeriesSpec("ts", "g", ("v",), "k")
 
@@ -244,7 +244,7 @@ def test_seasonal_naive_equals_brute_force(spark):
         hour = [(h, v) for x, h, v in history if x == g and h < at and h.hour == at.hour]
         week = [(h, v) for h, v in hour if h.weekday() == at.weekday() and abs(h.minute - at.minute) <= 30]
         want[g, k] = max(week or hour or [(None, None)])[1]
-    df = baselines.seasonal_naive(spark.createDataFrame(history, "g string, ts timestamp_ntz, value double"), spark.createDataFrame(targets, "g string, target_id long, ts timestamp_ntz"), ("g",), block_days=9)
+    df = baselines.seasonal_naive(spark.createDataFrame(history, "g string, ts timestamp_ntz, value double"), spark.createDataFrame(targets, "g string, target_id long, ts timestamp_ntz"), ("g",), cfg=ScanConfig(300, 16))
     assert {(r["g"], r["target_id"]): r["prediction"] for r in df.collect()} == want
 
 

@@ -441,7 +441,7 @@ def _targets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_TARGETS} SELECT t.event_type, t.target_id, t.ts, round(e.value, 6) AS prediction FROM t ASOF LEFT JOIN events e ON t.event_type = e.event_type AND t.ts > e.ts")
 def persistence_asof(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(baselines.persistence(_history(spark, sf), _targets(spark, sf), ("event_type",), block_days=7))
+    return rounded(baselines.persistence(_history(spark, sf), _targets(spark, sf), ("event_type",)))
 
 
 _SEASONAL = f"""{_TARGETS}, j AS (SELECT t.*, e.ts AS h, e.value FROM t LEFT JOIN events e ON t.event_type = e.event_type AND e.ts < t.ts AND hour(e.ts) = hour(t.ts)),
@@ -510,39 +510,54 @@ def reproducibility_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 _DM = "d AS (SELECT *, error_a * error_a - error_b * error_b AS d FROM p), t AS (SELECT model_a, model_b, count(*) AS n, avg(d) / sqrt(var_samp(d) / count(*)) AS dm FROM d GROUP BY 1, 2 HAVING count(*) >= 10)"
 _HAC = "d AS (SELECT *, error_a - error_b AS d FROM p), l AS (SELECT *, lag(d) OVER (PARTITION BY model_a, model_b ORDER BY query_id) AS b FROM d), t AS (SELECT model_a, model_b, count(*) AS n, avg(d) / sqrt((var_samp(d) + covar_samp(d, b)) / count(*)) AS dm FROM l GROUP BY 1, 2 HAVING count(*) >= 4)"
-_SIGNED = """sd AS (SELECT model_a, model_b, error_a - error_b AS d FROM p WHERE error_a <> error_b), sr AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY model_a, model_b, abs(d)) AS t FROM sd),
-  ss AS (SELECT model_a, model_b, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS statistic, sum(t * t - 1) AS ties FROM sr GROUP BY 1, 2 HAVING count(*) >= 10),
-  sw AS (SELECT *, (statistic - n * (n + 1) / 4.0) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48.0) AS z FROM ss)"""
+_SIGNED = """sd AS (SELECT model_a, model_b, error_a - error_b AS d FROM p), sz AS (SELECT model_a, model_b, count(*) FILTER (d = 0) AS zeros FROM sd GROUP BY 1, 2),
+  sr AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY model_a, model_b, abs(d)) AS t FROM sd WHERE d <> 0),
+  ss AS (SELECT model_a, model_b, count(*) AS n, any_value(zeros) AS zeros, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS statistic, sum(t * t - 1) AS ties FROM sr JOIN sz USING (model_a, model_b) GROUP BY 1, 2 HAVING count(*) + any_value(zeros) >= 10),
+  sz2 AS (SELECT *, (statistic - n * (n + 1) / 4.0) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48.0) AS z, n <= 50 AND ties = 0 AND zeros = 0 AS exact FROM ss),
+  sw AS (SELECT *, CASE WHEN exact THEN (SELECT least(1.0, 2 * sum(ways) / pow(2, sz2.n)) FROM signs WHERE signs.n = sz2.n AND s <= statistic) ELSE """ + p_sql("z") + """ END AS p FROM sz2)"""
+#: How many sets of the ranks 1 to n have the sum s.
+_SIGNS = "RECURSIVE signs(n, s, ways) AS (SELECT 0, 0, 1::DOUBLE UNION ALL SELECT n + 1, s + x * (n + 1), sum(ways) FROM signs, (VALUES (0), (1)) v(x) WHERE n < 50 GROUP BY 1, 2)"
 
 
 @query(f"WITH {_PAIRS}, {_DM} SELECT model_a, model_b, n, round(dm, 6) AS dm, round({p_sql('dm')}, 6) AS p_value FROM t")
 def diebold_mariano(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.diebold_mariano(evaluate.pairs(_errors(spark, sf))).where("dm is not null"))
+    return rounded(evaluate.loss_difference(evaluate.pairs(_errors(spark, sf))).where("dm is not null"))
 
 
 @query(f"WITH {_PAIRS}, {_HAC} SELECT model_a, model_b, n, round(dm, 6) AS dm, round({p_sql('dm')}, 6) AS p_value FROM t")
 def diebold_mariano_hac(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.diebold_mariano(evaluate.pairs(_errors(spark, sf)), absolute=True).where("dm is not null"))
+    return rounded(evaluate.loss_difference(evaluate.pairs(_errors(spark, sf)), absolute=True).where("dm is not null"))
 
 
-@query(f"WITH {_PAIRS}, {_SIGNED} SELECT model_a, model_b, n, statistic, round({p_sql('z')}, 6) AS p_value FROM sw")
+@query(f"WITH {_SIGNS}, {_PAIRS}, {_SIGNED} SELECT model_a, model_b, n, statistic, round(p, 6) AS p_value FROM sw")
 def wilcoxon_stat(spark: SparkSession, sf: str) -> DataFrame:
-    found = evaluate.wilcoxon(evaluate.pairs(_errors(spark, sf))).where("statistic is not null")
+    found = evaluate.signed_ranks(evaluate.pairs(_errors(spark, sf))).where("statistic is not null")
     return found.select("model_a", "model_b", "n", F.col("statistic").cast("double").alias("statistic"), F.round("p_value", 6).alias("p_value"))
 
 
+_SMALL = _PAIRS.replace("o_orderpriority AS model", "o_orderpriority || '/' || o_custkey // 30 AS model")
+
+
+@query(f"WITH {_SIGNS}, {_SMALL}, {_SIGNED} SELECT model_a, model_b, n, statistic, round(p, 9) AS p_value, exact FROM sw")
+def exact_signed_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of thirty questions, as many as an evaluation set holds: p by counting the choices of signs."""
+    named = _predictions(spark, sf).withColumn("model", F.concat("model", F.lit("/"), F.floor(F.col("query_id") / 30).cast("string")))
+    found = evaluate.signed_ranks(evaluate.pairs(evaluate.normalised_error(named))).where("statistic is not null")
+    return found.select("model_a", "model_b", "n", F.col("statistic").cast("double").alias("statistic"), F.round("p_value", 9).alias("p_value"), "exact")
+
+
 _STARS = "CASE WHEN {0} < 0.001 THEN '***' WHEN {0} < 0.01 THEN '**' WHEN {0} < 0.05 THEN '*' ELSE 'n.s.' END"
 _BASE_PAIRS = _ERRORS + ", p AS (SELECT a.model AS model_a, b.model AS model_b, query_id, a.error AS error_a, b.error AS error_b FROM e a JOIN e b USING (query_id) WHERE a.model <> '1-URGENT' AND b.model = '1-URGENT')"
 
 
-@query(f"""WITH {_BASE_PAIRS}, {_HAC}, {_SIGNED}, j AS (SELECT t.model_a, t.model_b, t.n, dm, {p_sql('dm')} AS dm_p, statistic, {p_sql('z')} AS wilcoxon_p FROM t LEFT JOIN sw USING (model_a, model_b) WHERE t.n >= 5)
-  SELECT model_a, model_b, n, round(dm, 6) AS dm, round(dm_p, 6) AS dm_p, statistic, round(wilcoxon_p, 6) AS wilcoxon_p, {_STARS.format('least(coalesce(dm_p, 1), coalesce(wilcoxon_p, 1))')} AS stars, CASE WHEN dm < 0 THEN 'model better' ELSE 'baseline better' END AS direction FROM j""")
+@query(f"""WITH {_SIGNS}, {_BASE_PAIRS}, {_HAC}, {_SIGNED}, j AS (SELECT t.model_a, t.model_b, t.n, dm, {p_sql('dm')} AS dm_p, statistic, p AS signed_p FROM t LEFT JOIN sw USING (model_a, model_b) WHERE t.n >= 5)
+  SELECT model_a, model_b, n, round(dm, 6) AS dm, round(dm_p, 6) AS dm_p, statistic, round(signed_p, 6) AS signed_p, {_STARS.format('least(coalesce(dm_p, 1), coalesce(signed_p, 1))')} AS stars, CASE WHEN dm < 0 THEN 'model better' ELSE 'baseline better' END AS direction FROM j""")
 def significance_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.significance(_errors(spark, sf), ("1-URGENT",)))
 
 
-@query(f"""WITH {_PAIRS}, {_SIGNED}, m AS (SELECT model_a, model_b, avg(error_a) AS mae_a, avg(error_b) AS mae_b, count(*) AS n FROM p GROUP BY 1, 2), j AS (SELECT m.*, statistic, {p_sql('z')} AS p_value FROM m LEFT JOIN sw USING (model_a, model_b))
-  SELECT model_a, model_b, round(mae_a, 6) AS mae_a, round(mae_b, 6) AS mae_b, n, statistic, round(p_value, 6) AS p_value, CASE WHEN mae_a < mae_b THEN model_a WHEN mae_b < mae_a THEN model_b END AS winner, {_STARS.format('coalesce(p_value, 1)')} AS stars FROM j""")
+@query(f"""WITH {_SIGNS}, {_PAIRS}, {_SIGNED}, m AS (SELECT model_a, model_b, avg(error_a) AS mae_a, avg(error_b) AS mae_b, median(error_a) AS mid_a, median(error_b) AS mid_b, count(*) AS n FROM p GROUP BY 1, 2), j AS (SELECT m.*, statistic, p AS p_value FROM m LEFT JOIN sw USING (model_a, model_b))
+  SELECT model_a, model_b, round(mae_a, 6) AS mae_a, round(mae_b, 6) AS mae_b, n, round(mid_a, 6) AS median_a, round(mid_b, 6) AS median_b, statistic, round(p_value, 6) AS p_value, CASE WHEN p_value < 0.05 THEN CASE WHEN mid_a < mid_b THEN model_a ELSE model_b END END AS winner, {_STARS.format('coalesce(p_value, 1)')} AS stars FROM j""")
 def model_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluate.all_pairs(_errors(spark, sf)))
 

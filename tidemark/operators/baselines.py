@@ -5,30 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..spec import ScanConfig
 from . import resample
+from .ordered import in_blocks
 
 
-def persistence(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), block_days: int = 30) -> DataFrame:
+def persistence(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), cfg: ScanConfig | None = None) -> DataFrame:
     """For each target the latest value strictly before it. A sorted union with a running last, never a range join.
 
-    The time line is cut into blocks; what the end of each block passes on is one row, so a long series spreads over many tasks.
+    The union is scanned in blocks that follow its density; what the end of each block passes on is one row, so a long or dense series spreads over many tasks.
     """
-    width = block_days * 86_400_000_000
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
     last = history.where("value is not null").groupBy(*by, "ts").agg(F.min("value").alias("value"))
     h = last.select(*by, "ts", "value", F.lit(None).cast("long").alias("target"), F.lit(1).alias("kind"))
     t = targets.select(*by, "ts", F.lit(None).cast("double").alias("value"), F.col("target_id").cast("long").alias("target"), F.lit(0).alias("kind"))
-    rows = h.unionByName(t).withColumn("block", F.floor(at / width).cast("long"))
-    carry = rows.groupBy(*by, "block").agg(F.max_by("value", F.when(F.col("kind") == 1, F.col("ts"))).alias("value"))
-    blocks = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = carry.select(*by, "block", F.last("value", True).over(blocks).alias("carried"))
-    inside = Window.partitionBy(*by, "block").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows, cut = in_blocks(h.unionByName(t), "ts", by, (), cfg)
+    inside = Window.partitionBy("_g", "_block").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
     # at equal times targets (kind 0) come first, so that the value at the target itself is not seen
-    found = rows.withColumn("seen", F.last("value", True).over(inside)).where("kind = 0").join(carried, [*by, "block"])
-    return found.select(*by, F.col("target").alias("target_id"), "ts", F.coalesce("seen", "carried").alias("prediction"))
+    found = rows.withColumn("prediction", F.last("value", True).over(inside)).where("kind = 0")
+    if cut:
+        carry = rows.groupBy("_g", "_block").agg(F.max_by("value", F.when(F.col("kind") == 1, F.col("ts"))).alias("value"))
+        blocks = Window.partitionBy("_g").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = carry.select("_g", "_block", F.last("value", True).over(blocks).alias("carried"))
+        found = found.join(carried, ["_g", "_block"]).withColumn("prediction", F.coalesce("prediction", "carried"))
+    return found.select(*by, F.col("target").alias("target_id"), "ts", "prediction")
 
 
-def seasonal_naive(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), tolerance_minutes: int = 30, block_days: int = 30) -> DataFrame:
+def seasonal_naive(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), tolerance_minutes: int = 30, cfg: ScanConfig | None = None) -> DataFrame:
     """The latest earlier value of the same weekday and hour and near the minute; else of the same hour.
 
     Two as-of joins like that of persistence: by hour; and by weekday, hour and the target's minute, to which each value is sent that lies near
@@ -39,8 +41,8 @@ def seasonal_naive(history: DataFrame, targets: DataFrame, by: tuple[str, ...] =
     slot = [*by, "_weekday", "_hour"]
     asked = t.select(*slot, F.col("_minute").alias("_asked")).distinct()
     near = h.join(asked, slot).where(F.abs(F.col("_minute") - F.col("_asked")) <= tolerance_minutes).select(*slot, F.col("_asked").alias("_minute"), "ts", "value")
-    same = persistence(near, t, (*slot, "_minute"), block_days).select(*by, "target_id", "ts", F.col("prediction").alias("same"))
-    hourly = persistence(h, t, (*by, "_hour"), block_days).select(*by, "target_id", "ts", F.col("prediction").alias("hourly"))
+    same = persistence(near, t, (*slot, "_minute"), cfg).select(*by, "target_id", "ts", F.col("prediction").alias("same"))
+    hourly = persistence(h, t, (*by, "_hour"), cfg).select(*by, "target_id", "ts", F.col("prediction").alias("hourly"))
     return same.join(hourly, [*by, "target_id", "ts"]).select(*by, "target_id", "ts", F.coalesce("same", "hourly").alias("prediction"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import EvaluationConfig
+from .ordered import previous, running_sums
+from .stats import quantiles
 
 # --- fixed values: the stages of a run in their order ---
 STAGES = ("reproducibility", "horizon", "pattern", "stats", "summary")
@@ -58,31 +60,52 @@ def _p_normal(z: Column) -> Column:
     return F.when(z.isNull(), None).when(x < 3, 1 - 2 / math.sqrt(math.pi) * term).otherwise(F.exp(-x * x) / (F.lit(math.sqrt(math.pi)) * fraction))
 
 
-def diebold_mariano(p: DataFrame, order: str = "query_id", absolute: bool = False, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
-    """A23 (squared loss, plain variance, 10 pairs at least) or A24 (absolute loss, one Bartlett lag of weight 1/2, 4 at least)."""
-    by, least = ["model_a", "model_b"], cfg.min_dm_hac if absolute else cfg.min_dm
+def loss_difference(p: DataFrame, order: str = "query_id", absolute: bool = False, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
+    """A23 (squared loss, plain variance, 10 pairs at least) or A24 (absolute loss, one lag of weight 1/2 in the variance, 4 at least): mean loss difference by
+    its standard error. The question before comes from an ordered scan, so a pair of models may have any number of questions."""
+    by, least = ("model_a", "model_b"), cfg.min_loss_lagged if absolute else cfg.min_loss
     d = (F.abs("error_a") - F.abs("error_b")) if absolute else (F.col("error_a") * F.col("error_a") - F.col("error_b") * F.col("error_b"))
-    rows = p.withColumn("d", d).withColumn("before", F.lag("d").over(Window.partitionBy(*by).orderBy(order)))
-    variance = F.var_samp("d") + (F.covar_samp(F.when(F.col("before").isNotNull(), F.col("d")), F.col("before")) if absolute else F.lit(0.0))
+    rows = p.select(*by, order, d.alias("d"))
+    variance = F.var_samp("d")
+    if absolute:
+        rows = previous(rows, order, by, {"d": "before"})
+        variance += F.covar_samp(F.when(F.col("before").isNotNull(), F.col("d")), F.col("before"))
     out = rows.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("mean"), variance.alias("v"))
     usable = (F.col("n") >= least) & (F.col("v") > 0)
     stat = F.when(usable, F.col("mean") / F.sqrt(F.when(usable, F.col("v") / F.col("n"))))
     return out.select(*by, "n", stat.alias("dm")).withColumn("p_value", _p_normal(F.col("dm")))
 
 
-def wilcoxon(p: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
-    """Signed ranks (zeros dropped, ties share their mean rank): the smaller rank sum, and the normal p with tie correction; null below 10 pairs."""
-    by = ["model_a", "model_b"]
-    d = p.withColumn("d", F.abs("error_a") - F.abs("error_b")).where("d <> 0").withColumn("size", F.abs("d"))
+def exact_signed_p(n: Column, statistic: Column) -> Column:
+    """Two-sided p of the smaller rank sum of n differences without ties or zeros: among the 2**n choices of signs, how many give this sum or less.
+
+    Dynamic programming over the ranks: ways[s] counts the sets of ranks up to r that sum to s; the sums beyond the statistic aren't needed. n is 62 at most.
+    """
+    top = statistic.cast("int")
+    one = F.transform(F.sequence(F.lit(0), top), lambda s: F.when(s == 0, 1).otherwise(0).cast("long"))
+    ways = F.aggregate(F.sequence(F.lit(1), n.cast("int")), one, lambda acc, r: F.transform(acc, lambda x, s: x + F.when(s >= r, F.get(acc, s - r)).otherwise(0)))
+    below = F.aggregate(ways, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n))
+
+
+def signed_ranks(p: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
+    """Ranks of |d| (zeros dropped, ties share their mean rank): the smaller rank sum and its two-sided p. The p is exact up to cfg.exact_signed pairs
+    without ties and zeros, else normal with tie correction. Null below cfg.min_signed pairs. exact: which it is. Ranks are running counts of distinct
+    sizes by an ordered scan."""
+    by = ("model_a", "model_b")
+    d = p.select(*by, (F.abs("error_a") - F.abs("error_b")).alias("d")).where("d is not null").withColumn("size", F.abs("d"))
     counted = d.groupBy(*by, "size").agg(F.sum((F.col("d") > 0).cast("long")).alias("up"), F.count(F.lit(1)).alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counted.withColumn("rank", below + (F.col("t") + 1) / 2)
-    s = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("minus"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    zeros = F.col("size") == 0
+    ranked = running_sums(counted, "size", by, {"below": F.when(zeros, 0).otherwise(F.col("t"))}, ahead=True).withColumn("rank", F.col("below") + (F.col("t") + 1) / 2)
+    full = lambda c: F.sum(F.when(~zeros, c).otherwise(0))
+    t, up = F.col("t"), F.col("up")
+    s = ranked.groupBy(*by).agg(full(F.col("rank") * up).alias("plus"), full(F.col("rank") * (t - up)).alias("minus"), full(t).alias("n"), full(t * t * t - t).alias("ties"), F.sum(F.when(zeros, t).otherwise(0)).alias("zeros"))
     w, n = F.least("plus", "minus"), F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    enough = F.col("n") >= cfg.min_wilcoxon
-    out = s.select(*by, "n", F.when(enough, w).alias("statistic"), F.when(enough, F.try_divide(w - n * (n + 1) / 4, F.nullif(sd, F.lit(0.0)))).alias("z"))
-    return out.select(*by, "n", "statistic", _p_normal(F.col("z")).alias("p_value"))
+    enough = F.col("n") + F.col("zeros") >= cfg.min_signed
+    exact = enough & (F.col("n") + F.col("zeros") <= cfg.exact_signed) & (F.col("ties") == 0) & (F.col("zeros") == 0)
+    out = s.where("n > 0").select(*by, "n", exact.alias("exact"), F.when(enough, w).alias("statistic"), F.when(enough, F.try_divide(w - n * (n + 1) / 4, F.nullif(sd, F.lit(0.0)))).alias("z"))
+    return out.select(*by, "n", "statistic", F.when(F.col("exact"), exact_signed_p(F.col("n"), F.col("statistic"))).otherwise(_p_normal(F.col("z"))).alias("p_value"), "exact")
 
 
 def poisson_weights(seed, resample):
@@ -139,13 +162,18 @@ def bootstrap(errors: DataFrame, by: tuple[str, ...] = ("model",), cfg: Evaluati
 
 
 def all_pairs(errors: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
-    """Each two models on the questions that both have: mean errors, Wilcoxon statistic and p, winner (the smaller mean; none if equal), in order of
-    the better mean."""
+    """Each two models on the questions that both have: mean errors, signed-rank statistic and p, winner (the smaller median, where p is below
+    cfg.winner_below; else none), in order of the better mean."""
+    by = ["model_a", "model_b"]
     p = pairs(errors)
-    means = p.groupBy("model_a", "model_b").agg(F.avg("error_a").alias("mae_a"), F.avg("error_b").alias("mae_b"), F.count(F.lit(1)).alias("n"))
-    tests = wilcoxon(p, cfg).select("model_a", "model_b", "statistic", "p_value")
-    winner = F.when(F.col("mae_a") < F.col("mae_b"), F.col("model_a")).when(F.col("mae_b") < F.col("mae_a"), F.col("model_b"))
-    return means.join(tests, ["model_a", "model_b"], "left").withColumns({"winner": winner, "stars": stars(F.coalesce("p_value", F.lit(1.0)))}).orderBy(F.least("mae_a", "mae_b"), "model_a", "model_b")
+    means = p.groupBy(*by).agg(F.avg("error_a").alias("mae_a"), F.avg("error_b").alias("mae_b"), F.count(F.lit(1)).alias("n"))
+    sides = p.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"error_{s}").alias("error")) for s in "ab"])).alias("e")).select(*by, "e.*")
+    middle = quantiles(sides, "error", (*by, "side"), (50,))
+    medians = middle.groupBy(*by).agg(*[F.max(F.when(F.col("side") == s, F.col("q")[0])).alias(f"median_{s}") for s in "ab"])
+    means = means.join(medians, by)
+    tests = signed_ranks(p, cfg).select(*by, "statistic", "p_value")
+    winner = F.when(F.col("p_value") < cfg.winner_below, F.when(F.col("median_a") < F.col("median_b"), F.col("model_a")).otherwise(F.col("model_b")))
+    return means.join(tests, by, "left").withColumns({"winner": winner, "stars": stars(F.coalesce("p_value", F.lit(1.0)))}).orderBy(F.least("mae_a", "mae_b"), *by)
 
 
 def significance(errors: DataFrame, baselines: tuple[str, ...], cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
@@ -154,9 +182,9 @@ def significance(errors: DataFrame, baselines: tuple[str, ...], cfg: EvaluationC
     mixed = p.where(F.col("model_a").isin(*baselines) != F.col("model_b").isin(*baselines))
     swap = F.col("model_a").isin(*baselines)
     own = mixed.select("query_id", F.when(swap, F.col("model_b")).otherwise(F.col("model_a")).alias("model_a"), F.when(swap, F.col("model_a")).otherwise(F.col("model_b")).alias("model_b"), F.when(swap, F.col("error_b")).otherwise(F.col("error_a")).alias("error_a"), F.when(swap, F.col("error_a")).otherwise(F.col("error_b")).alias("error_b"))
-    dm = diebold_mariano(own, absolute=True, cfg=cfg).select("model_a", "model_b", "n", "dm", F.col("p_value").alias("dm_p"))
-    both = dm.join(wilcoxon(own, cfg).select("model_a", "model_b", "statistic", F.col("p_value").alias("wilcoxon_p")), ["model_a", "model_b"], "left").where(F.col("n") >= cfg.min_shared)
-    least = F.least(F.coalesce("dm_p", F.lit(1.0)), F.coalesce("wilcoxon_p", F.lit(1.0)))
+    dm = loss_difference(own, absolute=True, cfg=cfg).select("model_a", "model_b", "n", "dm", F.col("p_value").alias("dm_p"))
+    both = dm.join(signed_ranks(own, cfg).select("model_a", "model_b", "statistic", F.col("p_value").alias("signed_p")), ["model_a", "model_b"], "left").where(F.col("n") >= cfg.min_shared)
+    least = F.least(F.coalesce("dm_p", F.lit(1.0)), F.coalesce("signed_p", F.lit(1.0)))
     return both.withColumns({"stars": stars(least), "direction": F.when(F.col("dm") < 0, "model better").otherwise("baseline better")})
 
 

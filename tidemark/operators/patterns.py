@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..spec import AnomalyConfig, PatternConfig, SeriesSpec
 from . import resample, stats
+from .ordered import micros, running_sums
 
 DAY = 86_400_000_000
 
@@ -14,21 +15,18 @@ DAY = 86_400_000_000
 def rolling_z(long: DataFrame, cfg: AnomalyConfig = AnomalyConfig()) -> DataFrame:
     """(series, ts, metric, value, n, z) of each row against the last cfg.rolling_days (left open, rows at the same time included).
 
-    The time line is cut into blocks as long as the window, so one long series spreads over many tasks. A row enters the sums of its own block at its
-    time; in the block after, it is there from the start and leaves one window later. So every row costs three additions to running
-    sums, whatever the window holds. Values are taken relative to the block's mean, so that little is cancelled.
+    A row enters running sums at its time and leaves them one window later, so it costs two additions whatever the window holds. The sums run in
+    blocks that follow the rows' density. Values are taken relative to their series' mean, so that little is cancelled.
     """
     width = cfg.rolling_days * DAY
-    by = ["series", "metric"]
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = long.where("value is not null and ts is not null").withColumn("at", at).withColumn("own", F.floor(F.col("at") / width).cast("long"))
-    centre = rows.groupBy(*by, F.col("own").alias("block")).agg(F.avg("value").alias("centre"))
-    after = F.col("own") + 1
-    events = [(F.col("own"), F.col("at"), 1, True), (after, after * width - 1, 1, False), (after, F.col("at") + width, -1, False)]
-    moved = F.explode(F.array(*[F.struct(block.alias("block"), when.alias("when"), F.lit(sign).alias("sign"), F.lit(real).alias("real")) for block, when, sign, real in events])).alias("e")
-    placed = rows.select(*by, "ts", "value", moved).select(*by, "ts", "value", "e.*").join(centre, [*by, "block"]).withColumn("x", F.col("value") - F.col("centre"))
-    w = Window.partitionBy(*by, "block").orderBy("when").rangeBetween(Window.unboundedPreceding, 0)
-    sums = placed.withColumns({"n": F.sum("sign").over(w), "s": F.sum(F.col("sign") * F.col("x")).over(w), "q": F.sum(F.col("sign") * F.col("x") * F.col("x")).over(w)}).where("real")
+    by = ("series", "metric")
+    rows = long.where("value is not null and ts is not null")
+    centre = rows.groupBy(*by).agg(F.avg("value").alias("centre"))
+    at = micros(F.col("ts"))
+    moved = F.explode(F.array(*[F.struct(when.alias("when"), F.lit(sign).alias("sign")) for when, sign in ((at, 1), (at + width, -1))])).alias("e")
+    events = rows.select(*by, "ts", "value", moved).join(centre, list(by)).select(*by, "ts", "value", "e.*", (F.col("value") - F.col("centre")).alias("x"))
+    sign, x = F.col("sign"), F.col("x")
+    sums = running_sums(events, "when", by, {"n": sign.cast("long"), "s": sign * x, "q": sign * x * x}).where("sign > 0")
     spread = F.col("q") - F.col("s") * F.col("s") / F.col("n")
     # what is left of equal values after rounding is no deviation
     std = F.when(spread > 1e-12 * F.col("q"), F.sqrt(spread / F.nullif(F.col("n") - 1, F.lit(0))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered  # noqa: F401
+
 
 def bucket_mean(df: DataFrame, ts: str, value: str, seconds: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The mean of each bucket of so many seconds. Map-side sums."""
@@ -42,21 +44,3 @@ def normalise(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     """Z-scores by group, from one aggregate joined back (no window over whole groups)."""
     s = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
     return df.join(s, list(by)).withColumn("z", F.try_divide(F.col(value) - F.col("_mean"), F.nullif(F.col("_std"), F.lit(0.0)))).drop("_mean", "_std")
-
-
-def numbered(df: DataFrame, ts: str, by: tuple[str, ...] = (), name: str = "time_idx", then: tuple[str, ...] = (), days: int = 7) -> DataFrame:
-    """The place of each row in its group, from 0, in order of ts (nulls first) and then.
-
-    Rows are numbered inside blocks of so many days; the sums of the blocks' counts, one row a block, give each block its first number.
-    """
-    block = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (days * 86_400_000_000)).cast("long")
-    own = df.withColumn("_block", F.coalesce(block, F.lit(-(1 << 62))))
-    counts = own.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], F.col("_block").alias("_of"), before.alias("_first"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(ts, *then)) - 1
-    on = F.col("_block") == F.col("_of")
-    for k, b in enumerate(by):
-        on &= F.col(b).eqNullSafe(F.col(f"_by{k}"))
-    joined = own.withColumn("_place", inside).join(starts, on)
-    return joined.select(*df.columns, (F.col("_first") + F.col("_place")).alias(name))

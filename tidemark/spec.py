@@ -73,6 +73,15 @@ class StatConfig:
     min_pairs: int = 8
 
 
+@dataclass(frozen=True)
+class ScanConfig:
+    """Ordered scans: rows of a block, keys sampled for each, and blocks at most."""
+
+    rows_per_block: int = 500_000
+    samples_per_block: int = 16
+    max_blocks: int = 65_536
+
+
 @dataclass(frozen=True)
 class AnomalyConfig:
     z_threshold: float = 3.0
@@ -128,9 +137,11 @@ class EvaluationConfig:
     resamples: int = 2000
     confidence: float = 0.95
     seed: int = 42
-    min_wilcoxon: int = 10
-    min_dm: int = 10
-    min_dm_hac: int = 4
+    min_signed: int = 10
+    exact_signed: int = 50
+    min_loss: int = 10
+    min_loss_lagged: int = 4
+    winner_below: float = 0.05
     min_shared: int = 5
 
 
