@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import calendar, text
-from .operators import baselines, chunks, evaluate, filters, parse, patterns, resample, retrieve, stats
+from .operators import baselines, chunks, evaluate, filters, parse, patterns, questions, resample, retrieve, stats
 from .plans import pipeline
 from .plans.windows import recent_span, target_window, windows_of
 from .sources import readings
@@ -197,6 +197,57 @@ def recent_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(f, c, int(recent_span(f, RetrievalConfig(compat=c)).total_seconds() // 3600)) for f, c in asked], "freq string, compat boolean, hours int")
 
 
+# --- tables of questions ------------------------------------------------------------------------------------------
+# 25 anchors over the years of orders, routes in turn; every second one asks for one priority, every fifth for the latest time of its groups
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    priorities = F.split(F.lit("1-URGENT|2-HIGH|3-MEDIUM|4-NOT SPECIFIED|5-LOW"), r"\|")
+    q = F.col("q")
+    anchor = F.lit(datetime(2001, 7, 1, 12)).cast("timestamp_ntz") - F.make_dt_interval((q * 67).cast("int"))
+    route = F.element_at(F.split(F.lit("short_term|mid_term|long_term"), r"\|"), (q % 3 + 1).cast("int"))
+    own = spark.range(25).withColumnRenamed("id", "q")
+    return own.select(q.alias("question_id"), route.alias("route"), F.when(q % 5 != 0, anchor).alias("anchor"), F.when(q % 2 == 1, F.array(F.lower(F.element_at(priorities, (q % 5 + 1).cast("int"))))).alias("groups"))
+
+
+def _questions_sql() -> str:
+    """CTEs a (q, route, a, g), w and found for the questions, by a plain range join."""
+    def of(route: str) -> str:
+        parts = [p for p in ROUTE_SQL[route] if not p.endswith("WHERE false")]
+        return " UNION ALL ".join(p.replace("SELECT '", "SELECT q, '", 1).replace("FROM a", f"FROM (SELECT * FROM a WHERE route = '{route}') a", 1) for p in parts)
+
+    head = ROUTE_SQL["long_term"][0].replace("SELECT '", "SELECT q, '", 1)
+    return f"""WITH p AS (SELECT ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'] AS p),
+      g AS (SELECT i::BIGINT AS q, ['short_term', 'mid_term', 'long_term'][i % 3 + 1] AS route, CASE WHEN i % 2 = 1 THEN p[i % 5 + 1] END AS g, TIMESTAMP '2001-07-01 12:00' - i * INTERVAL 67 DAY AS given FROM range(25) t(i), p),
+      a AS (SELECT q, route, g, CASE WHEN q % 5 <> 0 THEN given ELSE (SELECT max(o_orderdate) FROM orders WHERE g.g IS NULL OR o_orderpriority = g.g) END AS a FROM g),
+      w AS ({head} UNION ALL {" UNION ALL ".join(of(r) for r in ROUTE_SQL)}),
+      found AS (SELECT q, ret_block, block_rank, lag, ts, series, key, value, {_SCORE} AS ret_score FROM (SELECT o_orderdate AS ts, o_orderpriority AS series, o_orderkey AS key, o_totalprice AS value FROM orders) src JOIN a ON ts < a AND (g IS NULL OR series = g) JOIN w USING (q) WHERE ts >= lo AND (hi IS NULL OR ts <= hi))"""
+
+
+@query(_questions_sql() + " SELECT q AS question_id, ret_block, count(*) AS n_rows, round(sum(value * ret_score) / sum(ret_score), 4) AS weighted_mean, round(max(ret_score), 9) AS best_score FROM found GROUP BY 1, 2")
+def question_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of 25 questions by block, in one pass over orders."""
+    e = questions.retrieve_all(table(spark, sf, "orders"), O, _asked(spark, sf))
+    return e.rows.groupBy("question_id", "ret_block").agg(F.count(F.lit(1)).alias("n_rows"), F.round(stats.weighted_mean(F.col("o_totalprice"), F.col("ret_score")), 4).alias("weighted_mean"), F.round(F.max("ret_score"), 9).alias("best_score"))
+
+
+_BEST = """, d AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY q, ts, series ORDER BY ret_score DESC, block_rank, lag, key) = 1), c AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ret_score DESC, ts, series, key) AS rank FROM d QUALIFY rank <= 200)"""
+
+
+@query(_questions_sql() + _BEST + " SELECT q AS question_id, ret_block, lag::INT AS lag, ts, series, key, value, round(ret_score, 9) AS ret_score, rank::INT AS rank FROM c")
+def question_table_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 200 best rows of each of 25 questions."""
+    e = questions.retrieve_all(table(spark, sf, "orders"), O, _asked(spark, sf), RetrievalConfig(max_segments=200))
+    return e.combined.select("question_id", "ret_block", "lag", F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("series"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"), F.round("ret_score", 9).alias("ret_score"), "rank")
+
+
+@query(_questions_sql() + _BEST + " SELECT q AS question_id, series, 'o_totalprice' AS metric, round(sum(value * ret_score) / sum(ret_score), 6) AS forecast, count(*) AS n_same_slot, count(*) AS n_evidence FROM c GROUP BY 1, 2")
+def question_table_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _asked(spark, sf)
+    e = questions.retrieve_all(table(spark, sf, "orders"), O, asked, RetrievalConfig(max_segments=200))
+    return rounded(questions.forecasts(e, O, asked))
+
+
 # --- predicates ---------------------------------------------------------------------------------------------------
 
 

@@ -68,8 +68,9 @@ def retrieve(df: DataFrame, spec: SeriesSpec, route: str = "short_term", f: Filt
     start, end = target_window(f, cfg.compat)
     rows = windows_of(anchor, route, cfg, start, end, f.freq)
     found = candidates(own, spec, rows, anchor).withColumn("ret_score", score_of(F.col(spec.ts), anchor, cfg.weights))
-    if f.times and end is None:  # R11
-        near = flt.time_of_day_near(F.col(spec.ts), flt.times_of(f.times), cfg.time_tolerance_minutes)
+    times = flt.times_of(f.times)
+    if times and end is None:  # R11
+        near = flt.time_of_day_near(F.col(spec.ts), times, cfg.time_tolerance_minutes)
         found = found.where(~F.col("ret_block").isin("prior_years_same_dates", "prior_years_same_week") | near)
     counts = found.groupBy("ret_block").agg(F.count(F.lit(1)).alias("n_rows"))
     combined = top(dedupe(found, spec, cfg.compat), spec, cfg.max_segments)
