@@ -5,8 +5,9 @@ contents; records that no longer fit go to spill files by the next bits of their
 recursively. Copies of a content that is in the table never spill, so a hot content costs one entry. This happens twice: within
 every input partition (so that at most one record a partition and content is shuffled) and then within every partition of digests.
 
-Null and empty texts are one class (empty content). Rows that share a doc_id are separate rows of a class; all rows of the id
-that stays are kept. A null doc_id sorts last. An empty table gives an empty result; other columns are not read.
+Null and empty texts are one class (empty content). Rows that share a doc_id are separate rows of a class; kept is true for rows with the id and the
+length of the row that stays, so for more than one only where such rows repeat (drop_copies then keeps one of them). A null doc_id sorts last; any bigint
+is an id. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, free_name
 
 _SPACE = b" \t\n\x0b\x0c\r"
-_NO_ID = 2**63 - 1
 FANOUT = 16
 #: The sixteen steps of four bits of the first half of a digest: contents equal in all of these are as good as never met.
 LAST_LEVEL = 15
@@ -65,6 +65,11 @@ class OpenTable:
                 self.slots[at] = k
 
 
+def _order(r: list) -> tuple:
+    """The longest text stays, then the smallest id; null sorts last."""
+    return -r[3], r[4] is None, r[4] or 0
+
+
 def grace(records: Iterator[list], budget: int, level: int = 0) -> Iterator[list]:
     """Merge records [digest, content, rows, chars, doc_id] of equal content; memory stays near budget bytes of distinct content."""
     table, files, folder = OpenTable(), {}, None
@@ -74,7 +79,7 @@ def grace(records: Iterator[list], budget: int, level: int = 0) -> Iterator[list
             if e >= 0:
                 old = table.entries[e]
                 old[2] += r[2]
-                if (-r[3], r[4]) < (-old[3], old[4]):
+                if _order(r) < _order(old):
                     old[3:5] = r[3:5]
             elif table.bytes < budget or level > LAST_LEVEL:
                 table.add(slot, r)
@@ -127,7 +132,7 @@ def _emit(entries: Iterator[list], with_content: bool) -> Iterator[pa.RecordBatc
 
 
 def class_winners(docs: DataFrame, budget_bytes: int = 48 << 20) -> DataFrame:
-    """(text_sha256, keep_id, group_size): a row for each distinct content."""
+    """(text_sha256, keep_id, keep_chars, group_size): a row for each distinct content."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[list]:
@@ -136,7 +141,7 @@ def class_winners(docs: DataFrame, budget_bytes: int = 48 << 20) -> DataFrame:
                     raw = b.column(1)[i].as_py() or ""
                     content = raw.encode().translate(None, _SPACE)
                     doc_id = b.column(0)[i].as_py()
-                    yield [hashlib.sha256(content).digest(), content, 1, len(raw), _NO_ID if doc_id is None else doc_id]
+                    yield [hashlib.sha256(content).digest(), content, 1, len(raw), doc_id]
 
         yield from _emit(grace(records(), budget_bytes), True)
 
@@ -145,27 +150,32 @@ def class_winners(docs: DataFrame, budget_bytes: int = 48 << 20) -> DataFrame:
 
     reps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(local, _SCHEMA)
     merged = reps.repartition("digest").mapInArrow(overall, _SCHEMA)
-    return merged.select(F.lower(F.hex("digest")).alias("text_sha256"), F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("keep_id"), F.col("n_rows").alias("group_size"))
+    return merged.select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("doc_id").alias("keep_id"), F.col("n_chars").alias("keep_chars"), F.col("n_rows").alias("group_size"))
 
 
 def content_sha(text: str = "text"):
     return F.sha2(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACE_CLASS + "+", ""), 256)
 
 
+def _chars(text: str = "text"):
+    return F.char_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long")
+
+
 def exact_dedup(docs: DataFrame, budget_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
-    members = docs.select("doc_id", content_sha().alias("text_sha256"))
+    members = docs.select("doc_id", content_sha().alias("text_sha256"), _chars().alias("n_chars"))
     out = members.join(class_winners(docs, budget_bytes), "text_sha256")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, budget_bytes: int = 48 << 20) -> DataFrame:
     """The rows of docs that stay, all columns unchanged, whatever their names. Rows that repeat one doc_id with equal content count as copies: one stays."""
-    sha, keep, id_ = (free_name(docs, n) for n in ("sha_", "keep_", "id_"))
-    winners = class_winners(docs, budget_bytes).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep))
-    own = docs.withColumns({sha: content_sha(), id_: F.col("doc_id").cast("long")})
-    kept = own.join(winners, sha).where(F.col(id_).eqNullSafe(F.col(keep)))
-    return kept.dropDuplicates([sha]).drop(sha, keep, id_)
+    sha, keep, chars, id_, n = (free_name(docs, c) for c in ("sha_", "keep_", "keep_chars_", "id_", "n_"))
+    winners = class_winners(docs, budget_bytes).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.col("keep_chars").alias(chars))
+    own = docs.withColumns({sha: content_sha(), id_: F.col("doc_id").cast("long"), n: _chars()})
+    kept = own.join(winners, sha).where(F.col(id_).eqNullSafe(F.col(keep)) & (F.col(n) == F.col(chars)))
+    return kept.dropDuplicates([sha]).drop(sha, keep, chars, id_, n)
 
 
 QUERY = lambda spark, sf_dir: exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
