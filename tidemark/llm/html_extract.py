@@ -6,7 +6,9 @@ LSTM in numpy reads the whole sequence, so that a block's label depends on the w
 
 The labeller is trained by train() on pages made up here, from a seed: articles under many layouts with menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments. Its weights lie in block_labeller.npz beside this file. Whole texts are kept: nothing is cut off or capped. A null or empty page
-gives an empty text; rows are independent, so repeated rows and ids give repeated results. Broken markup is read as far as it goes.
+gives an empty text; rows are independent, so repeated rows and ids give repeated results. Broken markup is read as far as it goes: scripts, styles, text areas and
+titles without an end run to the page's end, as in browsers; drawings and lists of options end at the next block at the latest; frames, templates and what stands in for
+scripts are passed over only if they end. The texts of formulas and embedded objects count as text. White space is all that Unicode names so, no-break spaces included.
 """
 
 from __future__ import annotations
@@ -32,8 +34,13 @@ _UNQUOTED = re.compile(r"""[^"'>]*""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style textarea title noscript template iframe svg math object select".split())
+_RAW = set("script style textarea title noscript template iframe".split())
+#: Of these, what is passed over only if it ends.
+_IF_CLOSED = {"noscript", "template", "iframe"}
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Drawings and lists of options end with their element, or where a block shows that they were left open.
+_IN_SELECT = {"option", "optgroup", "hr", "legend"}
+_REGION = {"svg": re.compile(rf"<(/?)(svg)(?=[\s/>])|<()({'|'.join(sorted(_BLOCK))})(?=[\s/>])", re.I), "select": re.compile(rf"<(/?)(select)(?=[\s/>])|<(/?)({'|'.join(sorted(_BLOCK - _IN_SELECT))})(?=[\s/>])", re.I)}
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 #: Start tags that end an open element of these names.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -60,6 +67,23 @@ def _end_of_tag(page: str, at: int, failed: set[int]) -> int:
     return len(page) if end < 0 else end
 
 
+def _end_of_region(page: str, name: str, at: int) -> int:
+    """Where a drawing or a list of options that was opened before at ends."""
+    depth = 1
+    for m in _REGION[name].finditer(page, at):
+        if m[2] is None:  # a block
+            return m.start()
+        end = page.find(">", m.end())
+        end = len(page) if end < 0 else end
+        if m[1] or name == "select":
+            depth -= 1
+        elif page[end - 1] != "/":
+            depth += 1
+        if not depth:
+            return min(end + 1, len(page)) if m[1] else m.start()
+    return len(page)
+
+
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, tag path, characters inside links) of each block, in page order. A path is a bit mask of the hashed tokens of the open elements."""
     out: list[tuple[str, int, int]] = []
@@ -67,6 +91,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
     nested: list[int] = []  # places of the block elements in the stack
     opened: Counter = Counter()
     failed: set[int] = set()
+    endless: set[str] = set()
     text: list[str] = []
     linked = at = 0
 
@@ -117,9 +142,15 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             elif name in _BLOCK:
                 flush()
             continue
-        if name in _RAW and not rest.endswith("/"):
+        if name in _RAW and not rest.endswith("/") and name not in endless:
             end = _RAW_END[name].search(page, at)
-            at = end.end() if end else len(page)
+            if end is None and name in _IF_CLOSED:
+                endless.add(name)  # nor is there an end further on
+            else:
+                at = end.end() if end else len(page)
+            continue
+        if name in _REGION and not rest.endswith("/"):
+            at = _end_of_region(page, name, at)
             continue
         if name in _BLOCK:
             flush()
