@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -749,3 +750,48 @@ def test_awkward_rows_of_the_other_queries(spark, odd):
     assert packing.digest(packing.pack(df)).where("start = 0").count() == 5
     assert sentencepiece_viterbi.roundtrip(df).where("exact").count() == 5
     assert toxicity.score(df, spark.createDataFrame([(5, 1), (None, 0)], "doc_id long, toxic int")).where("not held_out or doc_id = 5").count() == 5
+
+
+def test_personal_data_of_awkward_form(spark):
+    texts = ["mail x@" + "a." * 100_000, "mail x@" + "ab-" * 50_000 + ".com", "mail me@" + "a." * 60 + "org now", "John O'Neill and Mary McDonald, Maria Lopez Garcia said", "Mr. John D’Angelo, then D’Angelo alone", "release v1.2.3.4 but host 1.2.3.4", "card 3782-822463-10005 paid", "Authorization: Bearer abcDEF123.ghi_456 and the bearer certificates", "account DE89 3704 0044 0532 0130 00 end", "x" * 3000 + "@" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact_documents(df, "k").collect()}
+    assert got[0] == texts[0] and "ab-ab" not in got[1] and re.fullmatch(r"mail [a-z]{2}@[a-z]\.example\.org now", got[2])
+    assert not re.search("Neill|Donald|Lopez|Garcia", got[3]) and got[3].endswith(" said") and " and " in got[3]
+    first, then = re.fullmatch(r"Mr\. \S+ (\S+), then (\S+) alone", got[4]).groups()
+    assert first == then and "Angelo" not in first
+    assert got[5].startswith("release v1.2.3.4 but host ") and not got[5].endswith(" 1.2.3.4")
+    card = re.fullmatch(r"card (\d{4}-\d{6}-\d{5}) paid", got[6])[1].replace("-", "")
+    assert card != "378282246310005" and sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(card))) % 10 == 0
+    assert "abcDEF123" not in got[7] and got[7].startswith("Authorization: Bearer ") and got[7].endswith(" and the bearer certificates")
+    iban = re.fullmatch(r"account (DE\d\d(?: \d{4}){4} \d\d) end", got[8])[1].replace(" ", "")
+    assert iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert got[9] == texts[9]
+
+
+def test_ids_at_the_ends_of_bigint_and_repeated_ids(spark):
+    rows = [(2**63 - 1, "a b"), (None, "a b"), (-(2**63), "c"), (2**63 - 1, "c"), (1, "a  b "), (1, "ab"), (2**63 - 1, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect()), key=str)
+    assert got == sorted([(2**63 - 1, 1, 4, False), (None, 1, 4, False), (1, 1, 4, True), (1, 1, 4, False), (-(2**63), -(2**63), 2, True), (2**63 - 1, -(2**63), 2, False), (2**63 - 1, 2**63 - 1, 1, True)], key=str)
+    assert sorted(map(tuple, exact_dedup.drop_copies(df).collect())) == sorted([(1, "a  b "), (-(2**63), "c"), (2**63 - 1, "alone")])
+    last = spark.createDataFrame([(2**63 - 1, "x"), (2**63 - 1, "x"), (None, "x")], "doc_id long, text string")
+    assert exact_dedup.drop_copies(last).collect() == [(2**63 - 1, "x")]
+
+
+def test_html_elements_left_open_or_nested():
+    def texts(page):
+        return [t for t, *_ in html_extract.blocks(page)]
+
+    for name in ("svg", "math", "select", "object", "noscript", "template", "iframe"):
+        assert texts(f"<p>before</p><{name} a=b><p>behind</p><p>last") == ["before", "behind", "last"], name
+        assert texts(f"<p>one</p><{name}></{name}><p>two</p>") == ["one", "two"], name
+    for name in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>one</p><{name}>x<p>two</{name}><p>three</p>") == ["one", "three"] and texts(f"<p>one</p><{name}>x<p>two") == ["one"], name
+    assert texts("<form><select><option>a</form><article><p>kept</p></article>") == ["kept"] and texts("<p>a<select><option>x<optgroup><option>y</select>b") == ["ab"]
+    assert texts("<p>a <svg><g><svg><text>x</text></svg><text>y</text></g></svg>b</p>") == ["a b"]
+    assert texts("<p>a <svg><svg/><text>x</text></svg>b</p>") == ["a b"]
+    assert texts("<p>Let <math><mi>x</mi></math> be</p>") == ["Let x be"] and texts("<p>a <object><object>in</object> fall</object> b</p>") == ["a in fall b"]
+    assert texts("<noscript><p>no</p></noscript><p>yes</p><noscript><p>open") == ["yes", "open"]
+    began = time.time()
+    assert len(texts("<svg>" * 20_000 + "<select>" * 20_000 + "<noscript>" * 20_000 + "<p>x")) == 1 and time.time() - began < 20
