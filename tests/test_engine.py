@@ -10,7 +10,7 @@ from tidemark.operators import baselines, chunks, evaluate, filters, parse, patt
 from tidemark.plans import clients, pipeline
 from tidemark.plans.windows import recent_span, target_window, windows_of, years_back
 from tidemark.sources import readings
-from tidemark.spec import AnomalyConfig, Filters, Flags, RetrievalConfig, ScanConfig, SeriesSpec
+from tidemark.spec import AnomalyConfig, EvaluationConfig, Filters, Flags, RetrievalConfig, ScanConfig, SeriesSpec
 
 SPEC = SeriesSpec("ts", "g", ("v",), "k")
 
@@ -106,7 +106,7 @@ def test_sarima_finds_coefficients_and_continues_seasons(spark):
     for t in range(4000):
         d[t] = w[t] + (d[t - 48] if t >= 48 else 0)
         y[t + 1] = y[t] + d[t]
-    _, found = baselines.css_sarima(y[200:], 3)
+    *_, found = baselines.fit_sarima(y[200:2000], 3)
     assert all(abs(a - b) < 0.08 for a, b in zip(found, (phi, theta, big)))
     start = datetime(2024, 1, 1)
     rows = [("a", start + timedelta(minutes=30 * k), 100 + 0.1 * k + k % 48) for k in range(400)] + [("b", start, 1.0)]
@@ -338,3 +338,85 @@ def test_quantiles_of_ties_nulls_and_outliers(spark):
     got = {r["g"]: r["q"] for r in stats.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", ("g",), (1, 25, 50, 99)).collect()}
     assert set(got) == set(groups) and all(np.allclose(got[g], np.percentile(vs, (1, 25, 50, 99))) for g, vs in groups.items())
     assert stats.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", (), (50,)).count() == 1
+
+
+def test_kalman_likelihood_equals_a_dense_one():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for phi, theta, big, season in ((0.5, 0.3, -0.4, 4), (-0.7, 0.6, 0.5, 3), (0.2, -0.9, 0.8, 6), (0.0, 0.0, 0.0, 5)):
+        w = rng.standard_normal(70)
+        ar = baselines._companion(phi, big, season)
+        psi = np.zeros(3000)
+        for k in range(3000):
+            psi[k] = (k == 0) + theta * (k == 1) + sum(c * psi[k - j] for j, c in enumerate(ar, 1) if c and k >= j)
+        gamma = np.array([psi[: 3000 - k] @ psi[k:] for k in range(70)])
+        cov = gamma[np.abs(np.subtract.outer(np.arange(70), np.arange(70)))]
+        s2 = w @ np.linalg.solve(cov, w) / 70
+        dense = -0.5 * (70 * np.log(2 * np.pi * s2) + np.linalg.slogdet(cov)[1] + 70)
+        assert abs(baselines.log_likelihood(w, phi, theta, big, season) - dense) < 1e-6
+        v, f = baselines.kalman_errors(w, phi, theta, big, season)
+        assert abs((v * v / f).sum() - w @ np.linalg.solve(cov, w)) < 1e-6
+
+
+def test_seasonal_model_inside_and_behind_the_sample(spark):
+    start = datetime(2024, 1, 1)
+    rows = [("a", start + timedelta(minutes=30 * k), 100 + 0.1 * k + k % 48) for k in range(400)] + [("b", start, 1.0)]
+    df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, value double")
+    asked = [(g, k, start + timedelta(minutes=30 * k + 10)) for g in "abc" for k in (-5, 10, 60, 200, 398, 399, 400, 450)]
+    targets = spark.createDataFrame(asked, "g string, target_id long, ts timestamp_ntz")
+    got = {(r["g"], r["target_id"]): r["prediction"] for r in baselines.sarima_at(df, targets, ("g",)).collect()}
+    assert len(got) == 24 and all(got[g, k] is None for g, k in got if g != "a") and got["a", 10] is None and got["a", -5] is None
+    for k in (60, 200, 398, 400, 450):
+        assert abs(got["a", k] - (100 + 0.1 * k + k % 48)) < 1e-3
+    both = baselines.run(df, targets.where("g = 'a'"), df, ("g",), seasonal_model=True)
+    assert {"persistence", "seasonal_naive", "sarima", "ground_truth"} <= set(both.columns) and both.count() == 8
+
+
+def test_drawn_bootstrap_agrees_with_a_plain_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    values = {"m": rng.exponential(2, 700), "k": rng.standard_normal(40)}
+    df = spark.createDataFrame([(m, k, float(v)) for m, vs in values.items() for k, v in enumerate(vs)], "model string, query_id long, error double").repartition(5)
+    cfg = EvaluationConfig(resamples=1500)
+    got = {r["model"]: r for r in evaluate.bootstrap(df, cfg=cfg, rows_each=60).collect()}
+    assert got["m"]["lo"] == {r["model"]: r for r in evaluate.bootstrap(df.repartition(3), cfg=cfg, rows_each=60).collect()}["m"]["lo"]
+    for m, vs in values.items():
+        ends = []
+        for seed in range(12):
+            draws = np.random.default_rng(seed).choice(np.abs(vs), (1500, len(vs)))
+            ends.append([*np.percentile(draws.mean(axis=1), (2.5, 97.5)), *np.percentile(np.sqrt((draws**2).mean(axis=1)), (2.5, 97.5))])
+        middle, spread = np.mean(ends, axis=0), np.std(ends, axis=0)
+        own = [got[m][c] for c in ("lo", "hi", "rmse_lo", "rmse_hi")]
+        assert got[m]["n"] == len(vs) and np.all(np.abs(own - middle) < 5 * spread + 1e-9), (own, middle, spread)
+
+
+def test_incremental_ingest_restarts_and_keeps_first_rows(spark, tmp_path):
+    from tidemark.streaming import ingest
+
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    (tmp_path / "in").mkdir()
+
+    def put(name, rows):
+        (tmp_path / "in" / name).write_text("REGION,SETTLEMENTDATE,TOTALDEMAND,RRP,PERIODTYPE\n" + "".join(f"{r},{t},{d},{p},TRADE\n" for r, t, d, p in rows))
+
+    def state():
+        ingest.ingest_new(spark, folder, out, checkpoint, max_files=1)
+        return sorted((r["REGION"], str(r["SETTLEMENTDATE"]), r["TOTALDEMAND"], r["RRP"], r["source_file"]) for r in ingest.readings_of(spark, out).collect())
+
+    put("b.csv", [("NSW1", "2025/01/01 00:30:00", 5, 1), ("NSW1", "2025/01/01 00:30:00", 4, 1), ("VIC1", "2025/01/01 00:30:00", 7, "n/a"), ("VIC1", "soon", 1, 1)])
+    first = state()
+    assert first == [("NSW1", "2025-01-01 00:30:00", 4.0, 1.0, "b.csv"), ("VIC1", "2025-01-01 00:30:00", 7.0, None, "b.csv")]
+    assert state() == first  # nothing new
+    put("c.csv", [("NSW1", "2025-01-01 00:30", 99, 9), ("VIC1", "2025/01/01 00:30:00", 98, 9)])
+    assert state() == first  # the same keys again
+    put("a.csv", [("TAS1", "2024/12/01 00:00:00", 2, 2), ("NSW1", "2025/01/01 00:30:00", 1, 1)])
+    late = state()
+    assert late == sorted([*first, ("TAS1", "2024-12-01 00:00:00", 2.0, 2.0, "a.csv")])
+    again = spark.read.schema(readings.READINGS).option("header", True).csv(f"{folder}/a.csv").withColumn("source_file", F.lit("a.csv"))
+    ingest.merge_batch(again, 2, out)  # the last batch once more, as after a failure
+    assert state() == late
+    asked = spark.createDataFrame([("https://x/a.csv",), ("https://x/z.csv",)], "url string")
+    assert [(r["file_path"], r["success"]) for r in ingest.report(asked, out, "/d").orderBy("url").collect()] == [("/d/a.csv", True), ("/d/z.csv", False)]
+    assert not ingest.report(asked, str(tmp_path / "none"), "/d").where("success").count()

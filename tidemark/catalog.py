@@ -514,6 +514,15 @@ def baseline_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(baselines.errors(results, ("persistence", "seasonal_naive"), ("event_type",)))
 
 
+@query()
+def seasonal_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets inside the sample of events and behind it; a fitted model, so without SQL."""
+    days = F.explode(F.sequence(F.lit(datetime(2024, 1, 4)), F.lit(datetime(2024, 2, 1)), F.expr("interval 12 hours"))).alias("ts")
+    targets = table(spark, sf, "events").select("event_type").distinct().select("event_type", days).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    targets = targets.withColumn("target_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(43_200_000_000)).cast("long"))
+    return rounded(baselines.sarima_at(_history(spark, sf), targets, ("event_type",)))
+
+
 @query("SELECT (i - 1)::INT AS split, TIMESTAMP '2025-04-01' + i * INTERVAL 1 MONTH AS cutoff, TIMESTAMP '2025-05-01' + i * INTERVAL 1 MONTH AS test_end FROM range(1, 4) r(i) WHERE TIMESTAMP '2025-05-01' + i * INTERVAL 1 MONTH <= TIMESTAMP '2025-07-30' + INTERVAL 2 DAY")
 def monthly_splits(spark: SparkSession, sf: str) -> DataFrame:
     return baselines.monthly_splits(spark.range(1), "2025-04-30", "2025-07-30")
@@ -622,7 +631,13 @@ _DRAWS = " + ".join(f"(y / 2147483647.0 >= {t!r})::INT" for t in evaluate._POISS
   q AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, quantile_cont(r, 0.025) AS rmse_lo, quantile_cont(r, 0.975) AS rmse_hi FROM m GROUP BY 1)
   SELECT model, round(avg(abs(error)), 6) AS mae, round(sqrt(avg(error * error)), 6) AS rmse, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, round(any_value(rmse_lo), 6) AS rmse_lo, round(any_value(rmse_hi), 6) AS rmse_hi, count(*) AS n FROM e JOIN q USING (model) GROUP BY 1""")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(evaluate.bootstrap(_errors(spark, sf), cfg=EvaluationConfig(resamples=200)))
+    return rounded(evaluate.weighted_bootstrap(_errors(spark, sf), cfg=EvaluationConfig(resamples=200)))
+
+
+@query()
+def bootstrap_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """Resamples of exactly as many rows as a model has; drawn at random, so without SQL."""
+    return rounded(evaluate.bootstrap(_errors(spark, sf)))
 
 
 _CALLS = """c AS (SELECT CASE event_type WHEN 'view' THEN 'small' WHEN 'click' THEN 'large-2' ELSE 'other' END AS model, CASE hour(ts) % 3 WHEN 0 THEN 'horizon' WHEN 1 THEN 'stats' ELSE 'summary' END AS stage, value AS latency_sec, 1000 + event_id % 500 AS tokens_in, event_id % 200 AS tokens_out FROM events),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..spec import ScanConfig
 from . import resample
-from .ordered import in_blocks
+from .ordered import in_blocks, micros
 
 
 def persistence(history: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), cfg: ScanConfig | None = None) -> DataFrame:
@@ -52,35 +52,98 @@ def truth(targets: DataFrame, readings: DataFrame, by: tuple[str, ...] = ()) ->
     return targets.join(exact, [*by, "ts"], "left")
 
 
-def _residuals(w: list[float], season: int, phi: float, theta: float, big: float) -> list[float]:
-    """One-step errors of a twice differenced series under (1,.,1)(1,.,0); those that lack a partner a season back count as zero."""
-    e, before = [0.0] * len(w), 0.0
-    for t in range(season + 1, len(w)):
-        before = w[t] - phi * w[t - 1] - big * (w[t - season] - phi * w[t - season - 1]) - theta * before
-        e[t] = before
-    return e
+def _companion(phi: float, big: float, season: int):
+    """Autoregressive coefficients of (1 - phi B)(1 - big B**season)."""
+    import numpy as np
+
+    ar = np.zeros(season + 1)
+    ar[0], ar[season - 1], ar[season] = phi, big, -phi * big
+    if season == 1:
+        ar[0] = phi + big
+    return ar
+
+
+def kalman_errors(w, phi: float, theta: float, big: float, season: int, settled: float = 1e-11):
+    """(v, f): one-step errors of the stationary series w under (1,.,1)(1,.,0)season and their variances in units of the noise, by a Kalman filter.
+
+    The state has season + 1 numbers and begins in its stationary distribution, so the likelihood is exact from the first value on. Once the variance has
+    settled at 1, the filter is the plain recursion of the errors.
+    """
+    import numpy as np
+
+    w, n, ar = np.asarray(w, dtype=float), len(w), _companion(phi, big, season)
+    r = season + 1
+    noise = np.zeros(r)
+    noise[0], noise[1] = 1.0, theta
+
+    def moved(p):
+        """T p T' for the companion matrix T."""
+        half = ar[:, None] * p[0][None]
+        half[:-1] += p[1:]
+        out = half[:, :1] * ar[None]
+        out[:, :-1] += half[:, 1:]
+        return out
+
+    q = np.outer(noise, noise)
+    step = np.zeros((r, r))
+    step[:, 0] = ar
+    step[:-1, 1:] += np.eye(r - 1)
+    p, power = q.copy(), step
+    for _ in range(60):  # doubling: the sum of T**k q T'**k
+        more = power @ p @ power.T
+        p, power = p + more, power @ power
+        if np.abs(more).max() <= 1e-14 * np.abs(p).max():
+            break
+    v, f, a = np.zeros(n), np.ones(n), np.zeros(r)
+    flat = np.convolve(w, np.concatenate([[1.0], -ar]))[:n]  # the series without its autoregressive part
+    for t in range(n):
+        if t > r and abs(f[t - 1] - 1) < settled:
+            last = v[t - 1]
+            for k in range(t, n):
+                last = flat[k] - theta * last
+                v[k] = last
+            break
+        v[t], f[t] = w[t] - a[0], p[0, 0]
+        gain = ar * p[0, 0]
+        gain[:-1] += p[1:, 0]
+        gain /= f[t]
+        head = a[0]
+        a = np.concatenate([a[1:], [0.0]]) + ar * head + gain * v[t]
+        p = moved(p) + q - np.outer(gain, gain) * f[t]
+    return v, f
+
+
+def log_likelihood(w, phi: float, theta: float, big: float, season: int) -> float:
+    """Exact, with the noise's variance at its best value."""
+    import numpy as np
+
+    v, f = kalman_errors(w, phi, theta, big, season)
+    n = len(v)
+    return float(-0.5 * (n * np.log(2 * np.pi * max(np.mean(v * v / f), 1e-300)) + np.log(f).sum() + n))
 
 
-def css_sarima(y, horizon: int, season: int = 48, iterations: int = 50) -> tuple[list[float], tuple[float, float, float]]:
-    """(1,1,1)(1,1,0)season by the conditional sum of squares: forecasts, and the coefficients (autoregressive, moving average, seasonal).
+def fit_sarima(y, horizon: int, season: int = 48, iterations: int = 50):
+    """(1,1,1)(1,1,0)season by exact maximum likelihood: fitted values inside the sample (NaN before the first that differences give), forecasts, and the
+    coefficients (autoregressive, moving average, seasonal).
 
     Coefficients stay inside (-1, 1) by a hyperbolic tangent; the search is a simplex (Nelder and Mead) over these three numbers.
     """
     import numpy as np
 
-    y = [float(v) for v in y]
-    w = (np.diff(np.array(y))[season:] - np.diff(np.array(y))[:-season]).tolist() if len(y) > season + 1 else []
-    if len(w) <= season + 1:
-        raise ValueError(f"at least {2 * season + 3} values are needed")
+    y = np.asarray(y, dtype=float)
+    if len(y) < 2 * season or len(y) < season + 3:
+        raise ValueError(f"at least {max(2 * season, season + 3)} values are needed")
+    w = np.diff(y)
+    w = w[season:] - w[:-season]
 
     def loss(x) -> float:
-        return sum(e * e for e in _residuals(w, season, *np.tanh(x).tolist()))
+        return -log_likelihood(w, *np.tanh(x).tolist(), season)
 
     points = [np.zeros(3), *(0.5 * np.eye(3))]
     found = sorted(((loss(p), k, p) for k, p in enumerate(points)), key=lambda f: f[:2])
     for n in range(3 * iterations):
         best, worst = found[0], found[-1]
-        if worst[0] - best[0] <= 1e-10 * (abs(best[0]) + 1e-300):
+        if worst[0] - best[0] <= 1e-8 * (abs(best[0]) + 1e-300):
             break
         middle = sum(p for *_, p in found[:-1]) / 3
         tried = middle + (middle - worst[2])
@@ -98,42 +161,72 @@ def css_sarima(y, horizon: int, season: int = 48, iterations: int = 50) -> tuple
         found[-1] = (value, 1000 + n, tried)
         found.sort(key=lambda f: f[:2])
     phi, theta, big = np.tanh(found[0][2]).tolist()
-    last = _residuals(w, season, phi, theta, big)[-1]
+    v, _ = kalman_errors(w, phi, theta, big, season)
+    fitted = np.full(len(y), np.nan)
+    fitted[season + 1 :] = y[season + 1 :] - v
+    ar, ws, ys, last = _companion(phi, big, season), w.tolist(), y.tolist(), float(v[-1])
     for _ in range(horizon):
-        step = phi * w[-1] + big * (w[-season] - phi * w[-season - 1]) + theta * last
+        step = sum(c * ws[-k] for k, c in enumerate(ar, 1) if c and k <= len(ws)) + theta * last
         last = 0.0
-        w.append(step)
-        y.append(y[-1] + y[-season] - y[-season - 1] + step)
-    return y[-horizon:], (phi, theta, big)
+        ws.append(step)
+        ys.append(ys[-1] + ys[-season] - ys[-season - 1] + step)
+    return fitted, ys[len(y) :], (phi, theta, big)
 
 
-def sarima(history: DataFrame, horizon: int, by: tuple[str, ...], rows: int = 1344) -> DataFrame:
-    """(1,1,1)(1,1,0,48) on the last rows half hours of the regular grid of each group: bounded groups, fitted in numpy. Groups that are too short give
-    no rows."""
+def sarima(history: DataFrame, horizon: int, by: tuple[str, ...], rows: int = 1344, season: int = 48) -> DataFrame:
+    """M16 as (by, step, prediction): the next steps of each group behind its last half hour."""
+    return _sarima(history, by, rows, season, F.lit(horizon)).where("step > 0").select(*by, "step", "prediction")
+
+
+def _sarima(history: DataFrame, by: tuple[str, ...], rows: int, season: int, ahead) -> DataFrame:
+    """(by, slot, step, prediction) on the last rows half hours of the regular grid of each group, and ahead steps behind it: bounded groups, fitted in numpy.
+    ahead may depend on columns of history. Groups that are too short give no rows."""
+    own = history.withColumn("_ahead", ahead.cast("long"))
+    asked = own.groupBy(*by).agg(F.max("_ahead").alias("_ahead"))
     grid = resample.regular(history, "ts", "value", 1800, by)
     last = grid.groupBy(*by).agg(F.max("slot").alias("_last"))
-    tail = grid.join(last, list(by)).where(F.col("slot") > F.col("_last") - rows).drop("_last")
+    tail = grid.join(last, list(by)).where(F.col("slot") > F.col("_last") - rows).drop("_last").join(asked, list(by))
 
     def fit(key, frame):
+        import numpy as np
         import pandas as pd
 
         s = frame.sort_values("slot")
         try:
-            out, _ = css_sarima(s["value"].to_numpy(), horizon)
+            fitted, out, _ = fit_sarima(s["value"].to_numpy(), max(0, int(s["_ahead"].iloc[0])), season)
         except ValueError:
-            out = []
-        return pd.DataFrame({**{b: pd.Series([k] * len(out), dtype="object") for b, k in zip(by, key)}, "step": pd.Series(range(1, len(out) + 1), dtype="int32"), "prediction": pd.Series(out, dtype="float64")})
+            fitted, out = [], []
+        n = len(fitted) + len(out)
+        first = int(s["slot"].iloc[0])
+        predictions = pd.Series([*fitted, *out], dtype="float64")
+        return pd.DataFrame({**{b: pd.Series([k] * n, dtype="object") for b, k in zip(by, key)}, "slot": np.arange(first, first + n, dtype="int64"), "step": np.arange(1 - len(fitted), 1 + len(out), dtype="int32"), "prediction": predictions.where(predictions.notna(), None)})
 
-    schema = ", ".join([*(f"{b} string" for b in by), "step int", "prediction double"])
+    schema = ", ".join([*(f"{b} string" for b in by), "slot long", "step int", "prediction double"])
     return tail.groupBy(*by).applyInPandas(fit, schema)
 
 
-def run(history: DataFrame, targets: DataFrame, readings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each target: persistence, seasonal naive, ground truth."""
+def sarima_at(history: DataFrame, targets: DataFrame, by: tuple[str, ...], rows: int = 1344, season: int = 48) -> DataFrame:
+    """M16 for targets: (by, target_id, ts, prediction). Inside the sample the fitted value of the nearest half hour (the first one's for earlier targets), beyond it
+    the forecast of the last half hour that has begun, one step at least. Null where a group is too short or has no fitted value there."""
+    half = 1_800_000_000
+    at = micros(F.col("ts")) / half
+    last = history.where("value is not null").groupBy(*by).agg(F.floor(micros(F.max("ts")) / half).alias("_last"))
+    placed = targets.join(last, list(by), "left").withColumn("_slot", F.when(at <= F.col("_last"), F.greatest(F.round(at), F.col("_last") - rows + 1)).otherwise(F.greatest(F.floor(at), F.col("_last") + 1)).cast("long"))
+    steps = placed.groupBy(*by).agg(F.max(F.col("_slot") - F.col("_last")).alias("_steps"))
+    known = history.where("value is not null").join(steps, list(by))
+    values = _sarima(known, by, rows, season, F.greatest(F.col("_steps"), F.lit(0))).select(*by, F.col("slot").alias("_slot"), "prediction")
+    return placed.join(values, [*by, "_slot"], "left").select(*by, "target_id", "ts", "prediction")
+
+
+def run(history: DataFrame, targets: DataFrame, readings: DataFrame, by: tuple[str, ...] = (), seasonal_model: bool = False) -> DataFrame:
+    """A row for each target: persistence, seasonal naive, ground truth; seasonal_model: sarima as well."""
     keys = [*by, "target_id", "ts"]
     p = persistence(history, targets, by).withColumnRenamed("prediction", "persistence")
     s = seasonal_naive(history, targets, by).withColumnRenamed("prediction", "seasonal_naive")
-    return p.join(s, keys).join(truth(targets, readings, by).select(*keys, "ground_truth"), keys)
+    out = p.join(s, keys)
+    if seasonal_model:
+        out = out.join(sarima_at(history, targets, by).withColumnRenamed("prediction", "sarima"), keys)
+    return out.join(truth(targets, readings, by).select(*keys, "ground_truth"), keys)
 
 
 def errors(results: DataFrame, methods: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
@@ -152,4 +245,4 @@ def monthly_splits(df: DataFrame, start: str, end: str, months: int = 1) -> Data
     return m.select("split", F.col("cutoff").cast("timestamp_ntz").alias("cutoff"), stop.cast("timestamp_ntz").alias("test_end")).where(F.col("test_end") <= F.lit(end).cast("timestamp_ntz") + F.expr("interval 2 days"))
 
 
-__all__ = ["errors", "monthly_splits", "persistence", "run", "sarima", "seasonal_naive", "truth"]
+__all__ = ["errors", "fit_sarima", "monthly_splits", "persistence", "run", "sarima", "sarima_at", "seasonal_naive", "truth"]

@@ -121,10 +121,19 @@ def poisson_weights(seed, resample):
     return np.searchsorted(_POISSON, y / _PRIME, side="right")
 
 
-def bootstrap(errors: DataFrame, by: tuple[str, ...] = ("model",), cfg: EvaluationConfig = EvaluationConfig(), batch: int = 1024) -> DataFrame:
-    """Mean absolute and root mean squared error with percentile intervals: (by, mae, rmse, lo, hi, rmse_lo, rmse_hi, n).
+def _intervals(own: DataFrame, means: DataFrame, by: tuple[str, ...], cfg: EvaluationConfig) -> DataFrame:
+    """own: by, error; means: by, m, r of each resample."""
+    tail = (1 - cfg.confidence) / 2
+    ends = F.array(F.lit(tail), F.lit(1 - tail))
+    interval = means.groupBy(*by).agg(F.percentile("m", ends).alias("_m"), F.percentile("r", ends).alias("_r"))
+    point = own.groupBy(*by).agg(F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.count("error").alias("n"))
+    return point.join(interval, list(by)).select(*by, "mae", "rmse", F.col("_m")[0].alias("lo"), F.col("_m")[1].alias("hi"), F.col("_r")[0].alias("rmse_lo"), F.col("_r")[1].alias("rmse_hi"), "n")
 
-    Instead of drawing rows, each row gets Poisson(1) weights for every resample, from a number of its key (first digits of its MD5 and cfg.seed), in
+
+def weighted_bootstrap(errors: DataFrame, by: tuple[str, ...] = ("model",), cfg: EvaluationConfig = EvaluationConfig(), batch: int = 1024) -> DataFrame:
+    """A21 in one pass without any grouping: (by, mae, rmse, lo, hi, rmse_lo, rmse_hi, n).
+
+    Instead of drawing rows (bootstrap() does), each row gets Poisson(1) weights for every resample, from a number of its key (first digits of its MD5 and cfg.seed), in
     partial sums, so a model's errors never meet in one task. Poisson weights stand for resampling: their sums vary by a little.
     """
     import numpy as np
@@ -154,11 +163,55 @@ def bootstrap(errors: DataFrame, by: tuple[str, ...] = ("model",), cfg: Evaluati
     places = parts.select(*by, F.posexplode(F.arrays_zip("w", "s", "q")).alias("k", "x"))
     drawn = F.nullif(F.sum("x.w"), F.lit(0.0))
     means = places.groupBy(*by, "k").agg((F.sum("x.s") / drawn).alias("m"), F.sqrt(F.sum("x.q") / drawn).alias("r"))
-    tail = (1 - cfg.confidence) / 2
-    ends = F.array(F.lit(tail), F.lit(1 - tail))
-    interval = means.groupBy(*by).agg(F.percentile("m", ends).alias("_m"), F.percentile("r", ends).alias("_r"))
-    point = own.groupBy(*by).agg(F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"), F.count("error").alias("n"))
-    return point.join(interval, list(by)).select(*by, "mae", "rmse", F.col("_m")[0].alias("lo"), F.col("_m")[1].alias("hi"), F.col("_r")[0].alias("rmse_lo"), F.col("_r")[1].alias("rmse_hi"), "n")
+    return _intervals(own, means, by, cfg)
+
+
+def bootstrap(errors: DataFrame, by: tuple[str, ...] = ("model",), cfg: EvaluationConfig = EvaluationConfig(), key: str = "query_id", rows_each: int = 5000) -> DataFrame:
+    """Mean absolute and root mean squared error with percentile intervals: (by, mae, rmse, lo, hi, rmse_lo, rmse_hi, n), over resamples that draw exactly as
+    many rows as a group has, with replacement.
+
+    A resample is drawn in two steps: how many of its rows fall to each part of the group (multinomial, from the parts' sizes), then which rows of the
+    part. Parts hold about rows_each rows by a hash, so no task holds a group, only its parts' sizes; partial sums meet in the end. Draws depend on cfg.seed,
+    the group's name, the part and the resample alone.
+    """
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    b, names = cfg.resamples, list(by)
+    own = errors.where("error is not null").select(*[F.col(c).cast("string").alias(c) for c in by], F.col("error").cast("double").alias("error"), F.col(key).cast("string").alias("_key"))
+    wanted = own.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_each).cast("long").alias("_parts"))
+    dealt = own.join(wanted, names).withColumn("_part", F.pmod(F.xxhash64("_key", "error"), F.col("_parts"))).drop("_parts")
+
+    def rng_of(*parts) -> np.random.Generator:
+        return np.random.default_rng(int(hashlib.sha256("|".join(map(str, (cfg.seed, *parts))).encode()).hexdigest()[:15], 16))
+
+    def shares(group, frame):
+        frame = frame.sort_values("_part")
+        sizes = frame["_n"].to_numpy()
+        drawn = rng_of(*group).multinomial(sizes.sum(), sizes / sizes.sum(), size=b)
+        return pd.DataFrame({**{c: [v] * len(frame) for c, v in zip(by, group)}, "_part": frame["_part"], "_drawn": [drawn[:, k].tolist() for k in range(len(frame))]})
+
+    columns = ", ".join(f"{c} string" for c in by)
+    sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    plan = sizes.groupBy(*by).applyInPandas(shares, f"{columns}, _part long, _drawn array<long>")
+
+    def partial(group, rows, drawn):
+        e = np.sort(np.abs(rows["error"].to_numpy()))
+        rng, counts = rng_of(*group), np.asarray(drawn["_drawn"].iloc[0])
+        s, q = np.zeros(b), np.zeros(b)
+        for k in range(b):
+            x = e[rng.integers(0, len(e), counts[k])]
+            s[k], q[k] = x.sum(), (x * x).sum()
+        return pd.DataFrame({**{c: [v] for c, v in zip(by, group)}, "s": [s.tolist()], "q": [q.tolist()]})
+
+    keys = [*by, "_part"]
+    parts = dealt.groupBy(*keys).cogroup(plan.groupBy(*keys)).applyInPandas(partial, f"{columns}, s array<double>, q array<double>")
+    n = own.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sums = parts.select(*by, F.posexplode(F.arrays_zip("s", "q")).alias("k", "x")).groupBy(*by, "k").agg(F.sum("x.s").alias("s"), F.sum("x.q").alias("q"))
+    means = sums.join(n, names).select(*by, "k", (F.col("s") / F.col("_n")).alias("m"), F.sqrt(F.col("q") / F.col("_n")).alias("r"))
+    return _intervals(own, means, by, cfg)
 
 
 def all_pairs(errors: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
