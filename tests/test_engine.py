@@ -420,3 +420,59 @@ def test_incremental_ingest_restarts_and_keeps_first_rows(spark, tmp_path):
     asked = spark.createDataFrame([("https://x/a.csv",), ("https://x/z.csv",)], "url string")
     assert [(r["file_path"], r["success"]) for r in ingest.report(asked, out, "/d").orderBy("url").collect()] == [("/d/a.csv", True), ("/d/z.csv", False)]
     assert not ingest.report(asked, str(tmp_path / "none"), "/d").where("success").count()
+
+
+def test_tables_of_requests(spark):
+    from tidemark.functions import requests
+
+    said = ["demand in Brisbane on Christmas, 2024-12-25 in the late evening", None, "", "Hourly spot price in New South Wales and Victoria at 09:30 from March 2, 2024 to March 3, 2024", "load the next 3 days"]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(said)], "id int, text string, groups string")
+    got = {r["id"]: r for r in requests.request_columns(df).collect()}
+    assert len(got) == 5 and got[0]["groups"] == ["QLD1"] and got[0]["holidays"] and got[0]["target_start"] == datetime(2024, 12, 25, 21) and got[0]["vague_tolerance"] > 0
+    assert got[1]["groups"] == got[2]["metrics"] == [] and got[1]["target_start"] is None and got[4]["horizon_steps"] == 3
+    assert (got[3]["target_start"], got[3]["target_end"], got[3]["freq"], len(got[3]["dates"])) == (datetime(2024, 3, 2, 9, 30), datetime(2024, 3, 3, 9, 30), "1H", 2)
+    assert requests.request_columns(df.where("false")).count() == 0
+    a = requests.answers(df.select("id", F.lit('x {"a": [1, "b"]} y').alias("t")), "t", {"type": "object", "required": ["c"]}).first()
+    assert a["object"] == '{"a": [1, "b"]}' and a["errors"] == "$.c: missing"
+
+
+def test_sequence_model_beats_the_season_before(spark):
+    import numpy as np
+
+    from tidemark.operators import sequence
+    from tidemark.spec import SequenceConfig
+
+    rng, start = np.random.default_rng(1), datetime(2024, 1, 1)
+    curve = lambda g, k: 50 * (g + 1) + 10 * np.sin(2 * np.pi * k / 24) + 4 * ((k // 24) % 7 >= 5)
+    rows = [(f"s{g}", start + timedelta(hours=int(k)), float(curve(g, k) + 3 * rng.standard_normal())) for g in range(3) for k in range(24 * 60)]
+    history = spark.createDataFrame(rows, "g string, ts timestamp_ntz, value double")
+    asked = [(f"s{g}", k, start + timedelta(hours=24 * 60 + k)) for g in range(3) for k in range(0, 160, 3)]
+    targets = spark.createDataFrame(asked, "g string, target_id long, ts timestamp_ntz")
+    truth = {(f"s{g}", k): curve(g, 24 * 60 + k) for g in range(3) for k in range(0, 160, 3)}
+    cfg = SequenceConfig(samples=2500, epochs=6)
+    own = {(r["g"], r["target_id"]): r for r in sequence.predict(history, targets, ("g",), cfg).collect()}
+    naive = {(r["g"], r["target_id"]): r["prediction"] for r in baselines.seasonal_naive(history, targets, ("g",)).collect()}
+    error = lambda p: np.mean([abs(p[k] - truth[k]) for k in truth])
+    assert len(own) == len(truth) and all(r["lower"] <= r["prediction"] <= r["upper"] for r in own.values())
+    assert error({k: r["prediction"] for k, r in own.items()}) < 0.7 * error(naive)
+    short = history.where("ts < '2024-01-03'")
+    assert sequence.predict(short, targets, ("g",), cfg).where("prediction is not null").count() == 0
+
+
+def test_sequence_gradients():
+    import numpy as np
+
+    from tidemark.operators.sequence import Network
+    from tidemark.spec import SequenceConfig
+
+    rng = np.random.default_rng(0)
+    net, x, y = Network(19, SequenceConfig(hidden=4)), rng.standard_normal((50, 19)), rng.standard_normal(50)
+    _, g = net.gradients(x, y)
+    for k, w in net.w.items():
+        at, step = tuple(0 for _ in w.shape), 1e-6
+        w[at] += step
+        up = net.gradients(x, y)[0]
+        w[at] -= 2 * step
+        down = net.gradients(x, y)[0]
+        w[at] += step
+        assert abs((up - down) / (2 * step) - g[k][at]) < 1e-5

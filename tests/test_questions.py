@@ -100,3 +100,23 @@ def test_awkward_questions(spark, readings):
     f = questions.forecasts(e, SPEC, table.dropDuplicates(["question_id"])).collect()
     assert {(r["series"], r["metric"]) for r in f} == {("a", "v"), ("b", "v")} and all(0 <= r["forecast"] <= 1 for r in f)
     assert e.rows.agg(F.max("ts") < F.lit(datetime(2024, 1, 1))).first()[0]
+
+
+def test_runs_of_a_table_equal_single_runs(spark, readings):
+    from tidemark.plans import pipeline
+    from tidemark.spec import Flags
+
+    rng = random.Random(3)
+    rows = [(k, datetime(2021, 1, 1) + timedelta(hours=6 * k), rng.choice(["NSW1", "VIC1"]), rng.random()) for k in range(6000)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, g string, v double")
+    asked = [("q1", "demand in Sydney on 2025-02-20 at 09:30"), ("q2", "spot price in Victoria on March 2, 2026"), ("q3", "what next?"), ("q4", "load in Brisbane"), ("q5", None)]
+    setups = {"full": Flags(stats=False, patterns=False, summary=False), "flat": Flags(horizon=False, stats=False, patterns=False, summary=False)}
+    got = {(r["exp_id"], r["query_id"]): r for r in pipeline.run_questions(df, SPEC, spark.createDataFrame(asked, "id string, text string"), setups, (7,)).collect()}
+    assert len(got) == 10
+    for exp, flags in setups.items():
+        for q, text in asked[:4]:
+            one, _ = pipeline.run_one(df, SPEC, exp, 7, {"id": q, "text": text}, flags)
+            r = got[exp, q]
+            assert (r["run_id"], r["route"], bool(r["error"])) == (one["run_id"], one["route"], bool(one["error"]))
+            numbers = lambda s: [(p.split("=")[0], round(float(p.split("=")[1]), 9)) for p in s.split("; ") if p]
+            assert numbers(r["answer"]) == numbers(one["answer"]) and bool(r["answer"]) == (q != "q4")

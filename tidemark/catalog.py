@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import calendar, text
-from .operators import baselines, chunks, evaluate, filters, parse, patterns, questions, resample, retrieve, stats
+from .functions import calendar, requests, text
+from .operators import baselines, chunks, evaluate, filters, parse, patterns, questions, resample, retrieve, sequence, stats
 from .plans import pipeline
-from .plans.windows import recent_span, target_window, windows_of
+from .plans.windows import windows_of
 from .sources import readings
 from .spec import AnomalyConfig, EvaluationConfig, Filters, RetrievalConfig, SeriesSpec
 
@@ -185,18 +184,6 @@ def forecast_from_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pipeline.forecast(r, s, datetime(2001, 8, 1)))
 
 
-@query("SELECT * FROM (VALUES ('none', NULL::TIMESTAMP, NULL::TIMESTAMP), ('day', TIMESTAMP '2024-05-01', NULL), ('day and time', TIMESTAMP '2024-05-01 09:30', NULL), ('time inside', TIMESTAMP '2024-05-01 23:30', NULL), ('range', TIMESTAMP '2024-05-01', TIMESTAMP '2024-05-03'), ('parts', TIMESTAMP '2024-02-29 08:00', NULL), ('no such day', NULL, NULL), ('given', TIMESTAMP '2024-01-01 05:00', TIMESTAMP '2024-01-01 07:00')) t(name, lo, hi)")
-def target_windows(spark: SparkSession, sf: str) -> DataFrame:
-    given = {"none": Filters(), "day": Filters(date_start="2024-05-01"), "day and time": Filters(date_start="2024-05-01", times=("09:30",)), "time inside": Filters(date_start="2024-05-01T23:30:00"), "range": Filters(date_start="2024-05-01", date_end="2024-05-03"), "parts": Filters(years=(2024,), months=(2,), days=(29,), times=("08:00",)), "no such day": Filters(years=(2023,), months=(2,), days=(29,)), "given": Filters(start_time="2024-01-01 05:00", end_time="2024-01-01 07:00")}
-    return spark.createDataFrame([(n, *target_window(f)) for n, f in given.items()], "name string, lo timestamp_ntz, hi timestamp_ntz")
-
-
-@query("SELECT * FROM (VALUES ('15min', false, 72), ('30 minutes', false, 96), ('hourly', false, 168), ('daily', false, 8760), ('weekly', false, 168), ('hourly', true, 168), ('daily', true, 168), ('30min', true, 96)) t(freq, compat, hours)")
-def recent_spans(spark: SparkSession, sf: str) -> DataFrame:
-    asked = [("15min", False), ("30 minutes", False), ("hourly", False), ("daily", False), ("weekly", False), ("hourly", True), ("daily", True), ("30min", True)]
-    return spark.createDataFrame([(f, c, int(recent_span(f, RetrievalConfig(compat=c)).total_seconds() // 3600)) for f, c in asked], "freq string, compat boolean, hours int")
-
-
 # --- tables of questions ------------------------------------------------------------------------------------------
 # 25 anchors over the years of orders, routes in turn; every second one asks for one priority, every fifth for the latest time of its groups
 
@@ -273,9 +260,13 @@ def filter_weekend(spark: SparkSession, sf: str) -> DataFrame:
     return filters.apply(table(spark, sf, "events"), E, Filters(weekends=True), calendar=True).select("event_id", "ts")
 
 
-@query("SELECT 'l_discount,l_extendedprice,l_linenumber,l_orderkey,l_partkey,l_quantity,l_suppkey,l_tax' AS metrics")
+@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, count({m}) AS n FROM lineitem" for m in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")))
 def metric_detection(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(",".join(sorted(filters.metric_columns(table(spark, sf, "lineitem")))),)], "metrics string")
+    """Columns with numbers, and how many each has."""
+    lines = table(spark, sf, "lineitem")
+    found = filters.metric_columns(lines)
+    counts = lines.agg(*[F.count(m).alias(m) for m in found])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in found])).alias("c")).select("c.*")
 
 
 @query("SELECT o_orderdate AS ts, min(o_totalprice) AS value FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1")
@@ -523,9 +514,25 @@ def seasonal_model(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(baselines.sarima_at(_history(spark, sf), targets, ("event_type",)))
 
 
-@query("SELECT (i - 1)::INT AS split, TIMESTAMP '2025-04-01' + i * INTERVAL 1 MONTH AS cutoff, TIMESTAMP '2025-05-01' + i * INTERVAL 1 MONTH AS test_end FROM range(1, 4) r(i) WHERE TIMESTAMP '2025-05-01' + i * INTERVAL 1 MONTH <= TIMESTAMP '2025-07-30' + INTERVAL 2 DAY")
+@query()
+def sequence_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A week behind events and days inside, by the trained network; without SQL."""
+    days = F.explode(F.sequence(F.lit(datetime(2024, 1, 20)), F.lit(datetime(2024, 2, 4)), F.expr("interval 6 hours"))).alias("ts")
+    targets = table(spark, sf, "events").select("event_type").distinct().select("event_type", days).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    targets = targets.withColumn("target_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(21_600_000_000)).cast("long"))
+    return rounded(sequence.predict(_history(spark, sf), targets, ("event_type",)))
+
+
+@query("""WITH e AS (SELECT date_trunc('day', min(o_orderdate)) AS lo, date_trunc('day', max(o_orderdate)) AS hi FROM orders), m AS (SELECT unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) AS cutoff, lo, hi FROM e),
+  s AS (SELECT (row_number() OVER (ORDER BY cutoff) - 1)::INT AS split, cutoff, cutoff + INTERVAL 1 MONTH AS test_end, hi FROM m WHERE cutoff >= lo)
+  SELECT split, cutoff, test_end, count(o_orderkey) AS n_test, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM s LEFT JOIN orders ON o_orderdate >= cutoff AND o_orderdate < test_end WHERE test_end <= hi + INTERVAL 2 DAY GROUP BY 1, 2, 3""")
 def monthly_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return baselines.monthly_splits(spark.range(1), "2025-04-30", "2025-07-30")
+    """Rolling monthly splits over the span of orders, and the rows that each would test on: splits start with months, so rows meet them by month."""
+    o = table(spark, sf, "orders")
+    lo, hi = o.agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    splits = baselines.monthly_splits(o, f"{lo:%Y-%m-%d}", f"{hi:%Y-%m-%d}")
+    by_month = o.groupBy(F.trunc("o_orderdate", "month").cast("timestamp_ntz").alias("cutoff")).agg(F.count("o_orderkey").alias("n_test"), F.sum("o_totalprice").alias("total"))
+    return splits.join(by_month, "cutoff", "left").select("split", "cutoff", "test_end", F.coalesce("n_test", F.lit(0)).alias("n_test"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------------
@@ -719,9 +726,10 @@ def horizon_route(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", calendar.route_column(F.col("o_orderdate"), F.lit(datetime(1998, 1, 1)).cast("timestamp_ntz")).alias("route"))
 
 
-@query("SELECT d::DATE AS day, year(d)::INT AS year, month(d)::INT AS month, day(d)::INT AS dom, (isodow(d) - 1)::INT AS weekday, isodow(d) >= 6 AS weekend, week(d)::INT AS iso_week FROM range(TIMESTAMP '2023-12-25', TIMESTAMP '2024-03-06', INTERVAL 1 DAY) t(d)")
+@query("SELECT DISTINCT o_orderdate::DATE AS day, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, day(o_orderdate)::INT AS dom, (isodow(o_orderdate) - 1)::INT AS weekday, isodow(o_orderdate) >= 6 AS weekend, week(o_orderdate)::INT AS iso_week FROM orders")
 def date_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return calendar.date_table(spark, "2023-12-25", "2024-03-05")
+    days = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return days.select("day", *calendar.date_columns(F.col("day")))
 
 
 @query("SELECT conv_id, turn, greatest(1, floor(length(text) / 4))::BIGINT AS tokens FROM conversations")
@@ -796,41 +804,80 @@ def localised_times(spark: SparkSession, sf: str) -> DataFrame:
     return calendar.localise(table(spark, sf, "events").select("event_id", "ts"), "ts", t)
 
 
-@query("""SELECT * FROM (VALUES ('date', '2024-05-01'), ('no date', ''), ('time', '2024-05-01 09:30:00'), ('day', '2024-05-01 00:00:00 2024-05-01 23:59:59'), ('vague', '15:00:00 180'), ('no vague', ''), ('times', '9:5:0 23:59:1'), ('list', '[1] [] [2, 3]'), ('bools', 'True True False False'), ('ints', '(3, 4)'), ('regions', 'NSW1 TAS1 XX'), ('metrics', 'RRP TOTALDEMAND'),
-  ('notes', 'a | PERIODTYPE=TRADE'), ('object', '{''a'': [1]}'), ('no object', '{''text'': ''no''}'), ('schema', '$.b: missing, $.a: expected integer'), ('sector', 'Energy Undetected'), ('routes', 'short_term mid_term long_term mid_term'), ('holidays', '2024-01-01 2024-01-26 2024-03-29 2024-04-01 2024-04-25 2024-12-25 2024-12-26'), ('label', '2024-05-01 09:30')) t(name, value)""")
-def request_words(spark: SparkSession, sf: str) -> DataFrame:
-    c, at = calendar, datetime(2024, 1, 1)
-    year = [d for d in (datetime.fromordinal(at.toordinal() + k).date() for k in range(366)) if c.is_holiday(d)]
-    said = {
-        "date": c.iso_date("2024-05-01T05:00"), "no date": c.iso_date("2024-13-01") or "", "time": c.iso_datetime("2024/05/01 09:30"), "day": "%s %s" % c.day_bounds(datetime(2024, 5, 1).date()), "vague": "%s %d" % c.vague_time(" Afternoon"), "no vague": c.vague_time("soon") or "",
-        "times": " ".join("%d:%d:%d" % t for t in c.times_of(["09:05", "24:00", "x", "23:59:01"])), "list": f"{c.as_list(1)} {c.as_list(None)} {c.as_list((2, 3))}", "bools": " ".join(str(c.as_bool(x)) for x in (True, "Yes", "0", None)), "ints": c.as_ints(["3", "x", 4, 3]), "regions": " ".join(c.regions_of(["Sydney", "hobart", "xx", ""])), "metrics": " ".join(c.metrics_of(["spot price", "load", "foo"])),
-        "notes": c.merge_notes("a", "TRADE"), "object": c.salvage_json('say {"a": [1]} end'), "no object": c.salvage_json("no", 5), "schema": ", ".join(c.schema_errors({"a": "x"}, {"type": "object", "required": ["b"], "properties": {"a": {"type": "integer"}}})), "sector": f"{c.sector_of('electricity demand')} {c.sector_of('zzz')}",
-        "routes": " ".join(c.route_of(t, at) for t in (datetime(2024, 1, 16), datetime(2024, 12, 31), datetime(2025, 1, 1), None)), "holidays": " ".join(map(str, year)), "label": pipeline.target_label(Filters(date_start="2024-05-01", times=("09:30",))),
-    }
-    return spark.createDataFrame([(k, str(v)) for k, v in said.items()], "name string, value string")
-
-
-@query("""SELECT * FROM (VALUES (1, 'QLD1', 'TOTALDEMAND', '21:00:00', '2024-12-25', NULL, 'wednesday', false, true, NULL), (2, 'NSW1,VIC1', 'RRP', '09:30:00', '2024-03-02', '2024-03-03', 'saturday,sunday', true, false, '1H'), (3, '', '', '', NULL, NULL, '', false, false, NULL)) t(id, regions, metrics, times, date_start, date_end, weekdays, weekends, holidays, freq)""")
+# requests rendered from orders: k % 4 tells which of four sentences
+_HOLIDAY_SQL = """e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM (SELECT DISTINCT year(o_orderdate) + i AS y FROM orders, range(2) r(i))), e2 AS (SELECT y, a, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h, (32 + 2 * (b % 4) + 2 * (c // 4)) AS q, c % 4 AS k FROM e1),
+  e3 AS (SELECT y, h, (q - h - k) % 7 AS l, a FROM e2), e4 AS (SELECT y, (h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114) AS n FROM e3), easter AS (SELECT make_date(y, n // 31, n % 31 + 1) AS d FROM e4),
+  fixed AS (SELECT make_date(y, m, d) AS d, m FROM (SELECT DISTINCT y FROM e1), (VALUES (1, 1), (1, 26), (4, 25), (12, 25), (12, 26)) f(m, d)),
+  hol AS (SELECT d FROM fixed UNION SELECT d + (8 - isodow(d))::INT FROM fixed WHERE m = 1 AND isodow(d) >= 6 UNION SELECT d + 2 FROM fixed WHERE m = 12 AND isodow(d) IN (6, 7) UNION SELECT d - 2 FROM easter UNION SELECT d + 1 FROM easter)"""
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    said = F.when(k == 0, F.concat(F.lit("demand in Brisbane on "), F.date_format(d, "yyyy-MM-dd"), F.lit(" in the late evening"))).when(k == 1, F.concat(F.lit("Hourly spot price in New South Wales and Victoria at 09:30 from "), F.date_format(d, "MMMM d, yyyy"), F.lit(" to "), F.date_format(d + F.expr("interval 1 day"), "MMMM d, yyyy"))).when(k == 2, "load for Hobart the next 6 hours, a public holiday").otherwise("what next?")
+    return requests.request_columns(table(spark, sf, "orders").select("o_orderkey", said.alias("text")))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate + INTERVAL 21 HOUR WHEN 1 THEN o_orderdate + INTERVAL 9 HOUR + INTERVAL 30 MINUTE END AS target_start, CASE o_orderkey % 4 WHEN 1 THEN o_orderdate + INTERVAL 33 HOUR + INTERVAL 30 MINUTE END AS target_end,
+  CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n_dates FROM orders""")
+def target_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return _requests(spark, sf).select("o_orderkey", "target_start", "target_end", F.size("dates").alias("n_dates"))
+
+
+@query(f"""WITH {_HOLIDAY_SQL}, o AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderdate::DATE AS d FROM orders),
+  w AS (SELECT *, lower(dayname(d)) AS w1, lower(dayname(d + 1)) AS w2 FROM o)
+  SELECT o_orderkey, CASE k WHEN 0 THEN 'QLD1' WHEN 1 THEN 'NSW1,VIC1' WHEN 2 THEN 'TAS1' ELSE '' END AS regions, CASE k WHEN 1 THEN 'RRP' WHEN 3 THEN '' ELSE 'TOTALDEMAND' END AS metrics, CASE k WHEN 0 THEN '21:00:00' WHEN 1 THEN '09:30:00' ELSE '' END AS times,
+    CASE WHEN k < 2 THEN strftime(d, '%Y-%m-%d') END AS date_start, CASE k WHEN 1 THEN strftime(d + 1, '%Y-%m-%d') END AS date_end, CASE k WHEN 0 THEN w1 WHEN 1 THEN CASE WHEN w1 = 'sunday' THEN w2 || ',' || w1 ELSE w1 || ',' || w2 END ELSE '' END AS weekdays,
+    CASE k WHEN 0 THEN isodow(d) >= 6 WHEN 1 THEN isodow(d) >= 5 ELSE false END AS weekends, CASE k WHEN 0 THEN d IN (SELECT d FROM hol) WHEN 1 THEN d IN (SELECT d FROM hol) OR d + 1 IN (SELECT d FROM hol) WHEN 2 THEN true ELSE false END AS holidays,
+    CASE k WHEN 1 THEN '1H' END AS freq, CASE k WHEN 2 THEN 6 ELSE 0 END AS horizon_steps, CASE k WHEN 2 THEN 'hour' END AS horizon_units FROM w""")
 def request_filters(spark: SparkSession, sf: str) -> DataFrame:
-    asked = {1: "demand in Brisbane on Christmas, 2024-12-25 in the late evening", 2: "Hourly spot price in New South Wales and Victoria at 09:30 from March 2, 2024 to March 3, 2024", 3: "what next?"}
-    rows = []
-    for k, q in asked.items():
-        f = calendar.parse_request(q)
-        rows.append((k, ",".join(sorted(f.groups)), ",".join(f.metrics), ",".join(f.times), f.date_start, f.date_end, ",".join(f.weekdays), f.weekends, f.holidays, f.freq))
-    return spark.createDataFrame(rows, "id int, regions string, metrics string, times string, date_start string, date_end string, weekdays string, weekends boolean, holidays boolean, freq string")
+    joined = lambda c, name: F.array_join(c, ",").alias(name)
+    return _requests(spark, sf).select("o_orderkey", joined(F.array_sort("groups"), "regions"), joined("metrics", "metrics"), joined("times", "times"), "date_start", "date_end", joined("weekdays", "weekdays"), "weekends", "holidays", "freq", F.coalesce("horizon_steps", F.lit(0)).alias("horizon_steps"), "horizon_units")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '{"text": "no object ' || o_orderkey || '"}' ELSE '{"days": [' || o_orderkey % 28 || ', "x"], "metric": ' || CASE o_orderkey % 3 WHEN 1 THEN '"RRP"' ELSE '7' END || '}' END AS object,
+  CASE o_orderkey % 3 WHEN 0 THEN '$.metric: missing' WHEN 1 THEN '$.days[1]: expected integer' ELSE '$.metric: expected string, $.days[1]: expected integer' END AS errors FROM orders""")
+def request_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects out of talkative answers, and their faults."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 3 == 0, F.concat(F.lit("no object "), k.cast("string"))).otherwise(F.concat(F.lit('Sure: {"days": ['), (k % 28).cast("string"), F.lit(', "x"], "metric": '), F.when(k % 3 == 1, '"RRP"').otherwise("7"), F.lit("} as asked")))
+    schema = {"type": "object", "required": ["metric"], "properties": {"metric": {"type": "string"}, "days": {"type": "array", "items": {"type": "integer"}}}}
+    return requests.answers(table(spark, sf, "orders").select("o_orderkey", said.alias("said")), "said", schema).select("o_orderkey", "object", "errors")
+
+
+@query("SELECT o_orderkey, date_trunc('day', o_orderdate - to_hours(CASE o_orderkey % 5 WHEN 0 THEN 72 WHEN 1 THEN 96 WHEN 2 THEN 168 WHEN 3 THEN 8760 ELSE 168 END)) AS lo, o_orderdate + INTERVAL 86399 SECOND AS hi FROM orders")
+def recent_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The recent window of a question for each order, by its frequency."""
+    k = F.col("o_orderkey") % 5
+    freq = F.when(k == 0, "15min").when(k == 1, "30 minutes").when(k == 2, "hourly").when(k == 3, "daily").otherwise("weekly")
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.lit("short_term").alias("route"), F.col("o_orderdate").alias("anchor"), freq.alias("freq"))
+    w = questions.windows(questions.normalised(asked)).where("ret_block = 'recent_window'")
+    return w.select(F.col("question_id").alias("o_orderkey"), "lo", "hi")
 
 
 # --- sources ------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT y AS year, m AS month, r AS region, 'https://data.example/price_and_demand_' || y || m || '_' || r || '.csv' AS url FROM (VALUES ('2025')) a(y), (VALUES ('01'), ('02'), ('03'), ('04')) b(m), (VALUES ('NSW1'), ('TAS1'), ('QLD1'), ('VIC1'), ('SA1')) c(r)")
+_AXES = "SELECT DISTINCT strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month, o_orderpriority AS region FROM orders"
+
+
+def _manifest(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("o_orderdate")
+    return readings.with_urls(table(spark, sf, "orders").select(F.date_format(d, "yyyy").alias("year"), F.date_format(d, "MM").alias("month"), F.col("o_orderpriority").alias("region")).distinct())
+
+
+@query(f"SELECT year, month, region, 'https://data.example/price_and_demand_' || year || month || '_' || region || '.csv' AS url FROM ({_AXES})")
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return readings.manifest(spark)
+    """A file for each month and priority of orders."""
+    return _manifest(spark, sf)
 
 
-@query("SELECT '' AS missing_columns, 0::BIGINT AS year_nulls, 0::BIGINT AS month_nulls, 0::BIGINT AS region_nulls, 0::BIGINT AS url_nulls, 0::BIGINT AS duplicate_urls, 20::BIGINT AS n_rows")
+@query(f"WITH m AS ({_AXES}), d AS (SELECT * FROM m UNION ALL SELECT year, month, region FROM m WHERE month = '02'), n AS (SELECT year, CASE WHEN month <> '03' THEN month END AS month, region, CASE WHEN region <> '5-LOW' THEN year || month || region END AS url FROM d) SELECT '' AS missing_columns, 0::BIGINT AS year_nulls, count(*) FILTER (month IS NULL) AS month_nulls, 0::BIGINT AS region_nulls, count(*) FILTER (url IS NULL) AS url_nulls, count(url) - count(DISTINCT url) AS duplicate_urls, count(*) AS n_rows FROM n")
 def manifest_check(spark: SparkSession, sf: str) -> DataFrame:
-    return readings.validate_manifest(readings.manifest(spark))
+    """The same with nulls and repeated rows."""
+    m = _manifest(spark, sf)
+    d = m.unionByName(m.where("month = '02'"))
+    spoilt = d.withColumns({"url": F.when(F.col("region") != "5-LOW", F.col("url")), "month": F.when(F.col("month") != "03", F.col("month"))})
+    return readings.validate_manifest(spoilt)
 
 
 @query("SELECT o_orderpriority, o_orderdate, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey) = 1")
@@ -872,15 +919,16 @@ def ingest(spark: SparkSession, sf: str) -> DataFrame:
     return readings.ingest(spark, folders, readings.scratch(spark, "merged"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'one', 'listed'), ('q_0001', 'two', 'listed'), ('q_0000', 'three', 'wrapped'), ('b', 'four', 'wrapped')) t(id, text, form)")
+@query("SELECT conv_id // 8 AS part, CASE WHEN turn % 2 = 0 THEN conv_id || '-' || turn ELSE printf('q_%04d', row_number() OVER (PARTITION BY conv_id // 8 ORDER BY conv_id, turn) - 1) END AS id, text FROM conversations WHERE text IS NOT NULL")
 def question_files(spark: SparkSession, sf: str) -> DataFrame:
-    given = {"listed": [{"id": "a", "text": "one"}, {"id": None, "text": "two"}], "wrapped": {"queries": [{"text": "three"}, {"id": "b", "text": "four"}]}}
-    parts = []
-    for form, content in given.items():
-        folder = readings.scratch(spark, form)
-        spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(folder)
-        parts.append(readings.read_queries(spark, folder).select("id", "text", F.lit(form).alias("form")))
-    return parts[0].unionByName(parts[1])
+    """Turns written as files of questions, eight conversations a file, every second one without an id, and read again."""
+    c = table(spark, sf, "conversations").where("text is not null").withColumn("part", F.floor(F.col("conv_id") / 8))
+    one = F.struct(F.when(F.col("turn") % 2 == 0, F.concat_ws("-", "conv_id", "turn")).alias("id"), "text")
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", one.alias("q")))), lambda x: x["q"])
+    files = c.groupBy("part").agg(F.to_json(F.struct(packed.alias("queries"))).alias("value"))
+    folder = readings.scratch(spark, "questions")
+    files.write.partitionBy("part").text(folder)
+    return readings.read_queries(spark, folder).select(F.col("part").cast("long").alias("part"), "id", "text")
 
 
 @query("SELECT exp_id, seed, count(*) AS n_runs, round(sum(answer), 2) AS total, 'csv' AS kind FROM (SELECT o_orderpriority AS exp_id, o_orderkey % 3 AS seed, o_totalprice AS answer FROM orders) GROUP BY 1, 2 UNION ALL SELECT exp_id, seed, count(*), round(sum(answer), 2), 'json' FROM (SELECT o_orderpriority AS exp_id, o_orderkey % 3 AS seed, o_totalprice AS answer FROM orders) GROUP BY 1, 2")

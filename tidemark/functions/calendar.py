@@ -266,11 +266,15 @@ def enrich(f: Filters, holiday=is_holiday) -> Filters:
     return replace(f, years=merge(f.years, (d.year for d in dates)), months=merge(f.months, (d.month for d in dates)), days=merge(f.days, (d.day for d in dates)), weekdays=tuple(w for k, w in enumerate(WEEKDAYS) if any(d.weekday() == k for d in dates)), weekends=any(d.weekday() >= 5 for d in dates), holidays=f.holidays or named or bool(holiday and any(map(holiday, dates))))
 
 
+def date_columns(d: Column) -> list[Column]:
+    """Calendar components of a day."""
+    return [F.year(d).alias("year"), F.month(d).alias("month"), F.dayofmonth(d).alias("dom"), F.weekday(d).alias("weekday"), (F.weekday(d) >= 5).alias("weekend"), F.weekofyear(d).alias("iso_week")]
+
+
 def date_table(spark: SparkSession, start: str, end: str) -> DataFrame:
     """X9, X10 as a table: a row for each day with its calendar components."""
-    d = F.col("day")
     days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
-    return days.select("day", F.year(d).alias("year"), F.month(d).alias("month"), F.dayofmonth(d).alias("dom"), F.weekday(d).alias("weekday"), (F.weekday(d) >= 5).alias("weekend"), F.weekofyear(d).alias("iso_week"))
+    return days.select("day", *date_columns(F.col("day")))
 
 
 _MONTHS = {m.lower(): k for k, m in enumerate("January February March April May June July August September October November December".split(), 1)}

@@ -141,9 +141,9 @@ def fit_sarima(y, horizon: int, season: int = 48, iterations: int = 50):
 
     points = [np.zeros(3), *(0.5 * np.eye(3))]
     found = sorted(((loss(p), k, p) for k, p in enumerate(points)), key=lambda f: f[:2])
-    for n in range(3 * iterations):
+    for n in range(2 * iterations):
         best, worst = found[0], found[-1]
-        if worst[0] - best[0] <= 1e-8 * (abs(best[0]) + 1e-300):
+        if worst[0] - best[0] <= 1e-6 * (abs(best[0]) + 1e-300):
             break
         middle = sum(p for *_, p in found[:-1]) / 3
         tried = middle + (middle - worst[2])
@@ -218,14 +218,18 @@ def sarima_at(history: DataFrame, targets: DataFrame, by: tuple[str, ...], rows:
     return placed.join(values, [*by, "_slot"], "left").select(*by, "target_id", "ts", "prediction")
 
 
-def run(history: DataFrame, targets: DataFrame, readings: DataFrame, by: tuple[str, ...] = (), seasonal_model: bool = False) -> DataFrame:
-    """A row for each target: persistence, seasonal naive, ground truth; seasonal_model: sarima as well."""
+def run(history: DataFrame, targets: DataFrame, readings: DataFrame, by: tuple[str, ...] = (), seasonal_model: bool = False, sequence_model: bool = False) -> DataFrame:
+    """A row for each target: persistence, seasonal naive, ground truth; seasonal_model: sarima as well; sequence_model: tft as well."""
     keys = [*by, "target_id", "ts"]
     p = persistence(history, targets, by).withColumnRenamed("prediction", "persistence")
     s = seasonal_naive(history, targets, by).withColumnRenamed("prediction", "seasonal_naive")
     out = p.join(s, keys)
     if seasonal_model:
         out = out.join(sarima_at(history, targets, by).withColumnRenamed("prediction", "sarima"), keys)
+    if sequence_model:
+        from . import sequence
+
+        out = out.join(sequence.predict(history, targets, by).select(*keys, F.col("prediction").alias("tft")), keys)
     return out.join(truth(targets, readings, by).select(*keys, "ground_truth"), keys)
 
 

@@ -8,11 +8,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import iso_datetime, parse_request, route_of, sector_of
+from ..functions.calendar import route_column
+from ..functions.requests import request_columns
 from ..operators import chunks, patterns, retrieve, stats
+from ..operators import questions as tables
 from ..spec import ChunkConfig, Filters, Flags, RetrievalConfig, SeriesSpec
 from .clients import CallLog, ChatClient, chat
 from .windows import target_window
@@ -117,6 +120,27 @@ def run_one(df: DataFrame, spec: SeriesSpec, exp_id: str, seed: int, question: d
 RUN_SCHEMA = "run_id string, exp_id string, seed int, query_id string, route string, answer string, tokens_in long, tokens_out long, cost_usd double, latency_sec double, wall_clock_sec double, error string, trace_path string"
 
 
+def run_questions(df: DataFrame, spec: SeriesSpec, questions: DataFrame, setups: dict[str, Flags], seeds: tuple[int, ...] = (42,), cfg: RetrievalConfig = RetrievalConfig(), lines: int = 50) -> DataFrame:
+    """M26 without a client, for any number of questions (id, text, and perhaps reference: a time that stands for the latest one in choosing a route): the record of
+    each setup, seed and question. Evidence is retrieved once for each question and route, in one pass over df; nothing runs on the driver."""
+    given = questions.select(F.col("id").cast("string").alias("query_id"), "text", F.col("reference").cast("timestamp_ntz").alias("reference") if "reference" in questions.columns else F.lit(None).cast("timestamp_ntz").alias("reference"))
+    asked = request_columns(given).select("query_id", "reference", "groups", "times", "target_start", "target_end", "freq")
+    runs = F.explode(F.array(*[F.struct(F.lit(e).alias("exp_id"), F.lit(s).alias("seed"), F.lit(f.horizon).alias("horizon")) for e, f in setups.items() for s in seeds])).alias("r")
+    known = tables.anchored(tables.normalised(asked.withColumnRenamed("query_id", "question_id").withColumn("route", F.lit("mid_term"))), df, spec).withColumnRenamed("question_id", "query_id").drop("route")
+    routed = known.join(asked.select("query_id", "reference"), "query_id").select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("horizon"))
+    routed = routed.withColumn("route", F.when(F.col("horizon"), route_column(F.col("target_start"), F.coalesce("reference", "anchor"))).otherwise("mid_term"))
+    own = routed.where(F.col("horizon").isin(sorted({f.horizon for f in setups.values()}))).withColumn("question_id", F.concat_ws("\x1f", "query_id", "route"))
+    each = own.drop("query_id", "reference", "horizon").dropDuplicates(["question_id"])
+    found = tables.forecasts(tables.retrieve_all(df, spec, each, cfg), spec, each, cfg.time_tolerance_minutes)
+    first = found.withColumn("_k", F.row_number().over(Window.partitionBy("question_id").orderBy("series", "metric"))).where(F.col("_k") <= lines)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("_k", F.concat(F.col("series"), F.lit(" "), F.col("metric"), F.lit("="), F.col("forecast").cast("string")).alias("t")))), lambda x: x["t"])
+    texts = first.groupBy("question_id").agg(F.array_join(said, "; ").alias("answer"))
+    every = given.select("query_id", runs).select("query_id", "r.*").join(own.select("query_id", "horizon", "route", "question_id"), ["query_id", "horizon"], "left").join(texts, "question_id", "left")
+    run_id = F.concat_ws("-", "exp_id", F.col("seed").cast("string"), "query_id")
+    error = F.when(F.col("question_id").isNull(), "no rows for the requested groups").otherwise("")
+    return every.select(run_id.alias("run_id"), "exp_id", "seed", "query_id", F.coalesce("route", F.lit("")).alias("route"), F.coalesce("answer", F.lit("")).alias("answer"), error.alias("error"))
+
+
 def run_ablations(spark: SparkSession, df: DataFrame, spec: SeriesSpec, questions: list[dict], setups: dict[str, Flags], seeds: tuple[int, ...] = (42,), client: ChatClient | None = None, prices: dict | None = None, folder: str | None = None, at_once: int = 4) -> DataFrame:
     """A record for each setup, seed and question, in that order; at_once runs share the session. folder: also a JSON file of each run's trace."""
     asked = [(exp_id, seed, q, flags) for exp_id, flags in setups.items() for seed in seeds for q in questions]

@@ -53,8 +53,12 @@ def coerce(df: DataFrame, ts: str, metrics: tuple[str, ...]) -> DataFrame:
 def manifest(spark: SparkSession, cfg: ManifestConfig = ManifestConfig()) -> DataFrame:
     """A row for each year, month and region."""
     axes = [spark.createDataFrame([(v,) for v in values], f"{name} string") for name, values in (("year", cfg.years), ("month", cfg.months), ("region", cfg.regions))]
-    both = axes[0].crossJoin(axes[1]).crossJoin(axes[2])  # literal lists of the configuration
-    return both.withColumn("url", F.concat(F.lit(cfg.base_url), "year", "month", F.lit("_"), "region", F.lit(".csv")))
+    return with_urls(axes[0].crossJoin(axes[1]).crossJoin(axes[2]), cfg)  # literal lists of the configuration
+
+
+def with_urls(df: DataFrame, cfg: ManifestConfig = ManifestConfig()) -> DataFrame:
+    """S4 of a table with year, month (two digits) and region."""
+    return df.withColumn("url", F.concat(F.lit(cfg.base_url), "year", "month", F.lit("_"), "region", F.lit(".csv")))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -70,13 +74,6 @@ def validate_manifest(df: DataFrame, required: tuple[str, ...] = ("year", "month
     return df.agg(F.lit(",".join(missing)).alias("missing_columns"), *[F.sum(F.col(c).isNull().cast("long")).alias(f"{c}_nulls") for c in have], *([(F.count("url") - F.count_distinct("url")).alias("duplicate_urls")] if "url" in have else []), count.alias("n_rows"))
 
 
-def download_report(manifest_df: DataFrame, folder: str) -> DataFrame:
-    """S7 without a network: where each file would lie and whether it is there already (skip-existing)."""
-    known = [p.name for p in Path(folder).glob("*.csv")] if Path(folder).is_dir() else []
-    name = F.element_at(F.split("url", "/"), -1)
-    return manifest_df.withColumns({"file_path": F.concat(F.lit(f"{folder}/"), name), "success": name.isin(known) if known else F.lit(False)})
-
-
 def merge(frames: list[DataFrame], keys: tuple[str, ...], order: tuple[str, ...], ts: str) -> DataFrame:
     """Union by name, one row for each key (the first in order), then time coercion and sorting."""
     every = frames[0]
@@ -96,10 +93,10 @@ def profile(df: DataFrame, ts: str, group: str) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list, or {"queries": [...]}; ids are made up where they lack."""
+    """A JSON list, or files of {"queries": [...]}; ids are made up where they lack, by the place in their file."""
     df = spark.read.option("multiLine", True).json(path)
     if "queries" in df.columns:
-        df = df.select(F.posexplode("queries").alias("_at", "q")).select("_at", "q.*")
+        df = df.select(*[c for c in df.columns if c != "queries"], F.posexplode("queries").alias("_at", "q")).select("*", "q.*").drop("q")
     else:
         df = df.withColumn("_at", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)  # a file of questions
     made = F.format_string("q_%04d", F.col("_at").cast("int"))

@@ -101,6 +101,22 @@ class PatternConfig:
     season_bounds: tuple[float, float] = (0.3, 0.5)
 
 
+@dataclass(frozen=True)
+class SequenceConfig:
+    """The sequence forecaster: days of history, hours that it sees and looks ahead, its size and training, and windows that it is fitted on at most."""
+
+    days: int = 90
+    encoder: int = 168
+    horizon: int = 168
+    hidden: int = 32
+    epochs: int = 10
+    batch: int = 64
+    rate: float = 0.005
+    quantiles: tuple[float, ...] = (0.1, 0.5, 0.9)
+    samples: int = 6000
+    seed: int = 42
+
+
 @dataclass(frozen=True)
 class ChunkConfig:
     hours: int | None = 24
