@@ -476,3 +476,14 @@ def test_sequence_gradients():
         down = net.gradients(x, y)[0]
         w[at] += step
         assert abs((up - down) / (2 * step) - g[k][at]) < 1e-5
+
+
+@pytest.mark.parametrize("said,want", [
+    ("At 2025-06-01 10:00 demand 5000 MW; at 2025-06-01 11:00 demand 5100 MW.", [(5000.0, 10), (5100.0, 11)]),
+    ("5000 MW at 2025-06-01 10:00 and 5.1 GW at 2025-06-01 11:00", [(5000.0, 10), (5100.0, 11)]),
+    ("2025-06-01 10:00\nload: 5000 MW\n" + "x" * 300 + "\nload: 5100 MW\n2025-06-01 11:00", [(5000.0, 10), (5100.0, 11)]),
+    ("2025-06-01 10:00 then\n" + "y" * 400 + "\nload: 5000 MW\n" + "z" * 400 + "\n2025-06-01 11:00: 5100 MW", [(5000.0, 10), (5100.0, 11)]),
+    ("load: 5000 MW, as said", []),
+])
+def test_times_nearest_to_values(said, want):
+    assert [(v, at.hour) for _, v, at in parse.parse(said)] == want

@@ -746,6 +746,18 @@ def parse_forecast_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return parse.parse_column(o.select("o_orderkey", said.alias("answer"))).drop("answer")
 
 
+@query("""SELECT o_orderkey, 'TOTALDEMAND' AS metric, (1000 + i * 500 + o_orderkey % 300)::DOUBLE AS value, o_orderdate + i * INTERVAL 90 MINUTE AS ts FROM orders, range(3) t(i)""")
+def parse_times_in_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Three values and three times in a line: times first, or values first; or values in lines of their own behind a time."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    at = [F.date_format(F.col("o_orderdate") + F.expr(f"interval {90 * i} minutes"), p) for i, p in enumerate(("yyyy-MM-dd HH:mm", "MMMM d, yyyy 'at' h:mm a", "d MMM yyyy, HH:mm"))]
+    v = [(1000 + 500 * i + k % 300).cast("string") for i in range(3)]
+    said = F.when(k % 3 == 0, F.concat(F.lit("At "), at[0], F.lit(" demand "), v[0], F.lit(" MW; at "), at[1], F.lit(": ~"), v[1], F.lit(" MW, then on "), at[2], F.lit(" a load of "), v[2], F.lit(" MW.")))
+    said = said.when(k % 3 == 1, F.concat(v[0], F.lit(" MW on "), at[0], F.lit(", "), v[1], F.lit(" MW on "), at[1], F.lit(" and "), v[2], F.lit(" MW on "), at[2]))
+    said = said.otherwise(F.concat(F.lit("Time: "), at[0], F.lit("\n"), v[0], F.lit(" MW\n\nTime: "), at[1], F.lit("\n"), v[1], F.lit(" MW\n\nTime: "), at[2], F.lit("\n"), v[2], F.lit(" MW")))
+    return parse.parse_column(o.select("o_orderkey", said.alias("answer"))).drop("answer")
+
+
 @query("SELECT o_orderkey, 'TOTALDEMAND' AS metric, 2000.0::DOUBLE + o_orderkey % 7 AS value, o_orderdate AS ts FROM orders")
 def parse_point_answer(spark: SparkSession, sf: str) -> DataFrame:
     said = F.format_string("Demand: 10 MW. After a second look → %d MW", (2000 + F.col("o_orderkey") % 7).cast("int"))

@@ -111,21 +111,58 @@ def _is_no_forecast(before: str) -> bool:
     return bool(said) and re.fullmatch(_NO_FORECAST, said[-1]) is not None
 
 
+def times_in(text: str) -> list[tuple[int, int, datetime]]:
+    """(start, end, time) of every time in a text, in order; none overlap."""
+    found = sorted((m.start(), m.end(), at) for pattern in (_STAMP, _NAMED, _DAY_FIRST) for m in pattern.finditer(text) if (at := stamp(m[0])))
+    out: list[tuple[int, int, datetime]] = []
+    for lo, hi, at in found:
+        if not out or lo >= out[-1][1]:
+            out.append((lo, hi, at))
+    return out
+
+
+_VALUE = re.compile(rf"(?:(TOTALDEMAND|RRP|demand|price|load)\b[^\d$=:.;]{{0,30}}[=:]?\s*)?[~≈]?\s*({_NUMBER})\s*(\$?/?\s*(?:MWh|MW|GW)\b|/MWh)?", re.I)
+
+
+def values_in(line: str) -> list[tuple[int, str, float]]:
+    """(place, metric, value) of the values with a unit or a metric's name before them. Those whose sentence says that they are averages, ranges, observations or
+    history are left out."""
+    out = []
+    for m in _VALUE.finditer(line):
+        name = ("RRP" if m[2].startswith("$") and m[3] and "mwh" in m[3].lower() else None) or (unit_of(m[3]) if m[3] else None) or (_metric(m[1]) if m[1] else None)
+        sentence = re.split(r"[.;!?]\s", line[max(0, m.start(2) - 60) : m.start(2)])[-1]
+        if name and not _is_no_forecast(sentence):
+            out.append((m.start(2), name, number(m[2]) * (1000 if m[3] and "gw" in m[3].lower() else 1)))
+    return out
+
+
 def sentences(text: str) -> list[tuple[str, float, datetime]]:
-    """Values with a unit or a metric's name before them, with the time of their line, else of a line before, else the first of the text. Values
-    whose sentence says that they are averages, ranges, observations or history are left out."""
+    """Values with their times. In a line that begins with a value each takes the next time, in others the latest before it; in a line without a time, the
+    nearest one of the 140 characters before and the 180 behind, else the last one of an earlier line, else the first of the text."""
     out = []
-    last = stamp(text)
-    for line in text.splitlines():
+    every = times_in(text)
+    last, at_line = (every[0][2] if every else None), 0
+    for line in text.splitlines(keepends=True):
+        begin, at_line = at_line, at_line + len(line)
         if line.count("|") >= 2:
             continue
-        at = last = stamp(line) or last
-        bare = _DAY_FIRST.sub(" ", _NAMED.sub(" ", _STAMP.sub(" ", line)))
-        for m in re.finditer(rf"(?:(TOTALDEMAND|RRP|demand|price|load)\b[^\d$=:.;]{{0,30}}[=:]?\s*)?[~≈]?\s*({_NUMBER})\s*(\$?/?\s*(?:MWh|MW|GW)\b|/MWh)?", bare, re.I):
-            name = ("RRP" if m[2].startswith("$") and m[3] and "mwh" in m[3].lower() else None) or (unit_of(m[3]) if m[3] else None) or (_metric(m[1]) if m[1] else None)
-            sentence = re.split(r"[.;!?]\s", bare[max(0, m.start(2) - 60) : m.start(2)])[-1]
-            if name and at and not _is_no_forecast(sentence):
-                out.append((name, number(m[2]) * (1000 if m[3] and "gw" in m[3].lower() else 1), at))
+        own = [(lo - begin, hi - begin, at) for lo, hi, at in every if begin <= lo < at_line]
+        bare = line
+        for lo, hi, _ in own:
+            bare = bare[:lo] + " " * (hi - lo) + bare[hi:]
+        found = values_in(bare)
+        ahead = bool(own and found) and found[0][0] < own[0][0]
+        for place, name, value in found:
+            before, behind = [t for _, hi, t in own if hi <= place], [t for lo, _, t in own if lo >= place]
+            if own:
+                at = behind[0] if ahead and behind else before[-1] if before else behind[0]
+            else:
+                near = [(max(lo - begin - place, place - hi + begin), at) for lo, hi, at in every if -180 <= place + begin - lo and place + begin - hi <= 140]
+                at = min(near)[1] if near else last
+            if at:
+                out.append((name, value, at))
+        if own:
+            last = own[-1][2]
     return out
 
 
@@ -172,4 +209,4 @@ def as_literal(df: DataFrame, key: str) -> DataFrame:
     return one.groupBy(key).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list("part")), ", "), F.lit("}")).alias("predicted"))
 
 
-__all__ = ["as_literal", "clean", "lines", "number", "parse", "parse_column", "sentences", "stamp", "tables", "unit_of"]
+__all__ = ["as_literal", "clean", "lines", "number", "parse", "parse_column", "sentences", "stamp", "tables", "times_in", "unit_of", "values_in"]
