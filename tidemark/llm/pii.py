@@ -345,7 +345,8 @@ def replace_pii(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
     number, general, found, words, pattern, again_, hash_, own_hash = (free_name(docs, f"pii_{n}") for n in ("entities", "general", "found", "words", "pattern", "again", "hash", "own_hash"))
     own = with_mentions(docs, general, found, words, pattern)
     # by a text's hash: where two texts share one, each only knows of entities of the other as well
-    seen = own.where(F.size(found) > 0).select(F.xxhash64(text).alias("hash"), F.explode(entities(F.col(found))).alias("entity"))
+    # (the outer form, since a filter before the plain one would look for all mentions a second time)
+    seen = own.select(F.xxhash64(text).alias("hash"), F.explode_outer(entities(F.col(found))).alias("entity")).where("entity is not null")
     seen = materialise(seen.distinct(), "pii-found")
     again = materialise(attempts(seen.select("entity").distinct(), key), "pii-again")
     if again.isEmpty():
