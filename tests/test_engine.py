@@ -294,6 +294,11 @@ def test_summaries_in_words_and_reports(series, tmp_path):
 
     told = prompts.narrate(clients.ReplayClient(rule=rule), chunk, per_origin, None, "g")
     assert prompts.as_text(told) == "Overall: h\na: b\nb: b" and len(asked) == 5 + 5 + 2 + 1 and prompts.as_text({}) == "No summaries."
+    asked.clear()
+    less = prompts.narrate(clients.ReplayClient(rule=rule), chunk, per_origin, None, "g", chunks_each=2, origins=1)
+    assert less["left_out"] == {"origins": 1, "anomalies": 0, "chunks": {"a": 3}} and len(asked) == 2 + 1 + 1 and '"chunks": 3' in asked[2][1]["content"] and '"origins": 1' in asked[3][1]["content"]
+    every = prompts.narrate(clients.ReplayClient(rule=rule), chunk, per_origin, None, "g", chunks_each=None, origins=None)
+    assert every["left_out"] == {"origins": 0, "anomalies": 0, "chunks": {}} and len(every["per_origin"]) == 2
     assert len(prompts.shortened(list(range(10_000)), 200)) < 230 and js.loads(prompts.shortened({"a": [1], "b": "x"}, 100)) == {"a": [1], "b": "x"}
     table = per_origin.select("g", "n", F.lit(0.5).alias("x_1"))
     assert reports.text_table(table, "T", ("g",)).splitlines()[4].split() == ["a", "50", "0.5000"]
