@@ -214,3 +214,12 @@ def test_intermediates_are_deleted(spark, sf):
     before = set(os.listdir(shared_dir(spark)))
     ball_kmeans.kmeans(table(spark, sf, "embeddings"))
     assert len([f for f in set(os.listdir(shared_dir(spark))) - before if f.startswith("ball-")]) == 1
+
+
+def test_sweep_deletes_what_results_were_read_from(spark, sf):
+    from tidemark.llm.common import shared_dir, sweep
+
+    before = set(os.listdir(shared_dir(spark)))
+    state, _ = ball_kmeans.kmeans(table(spark, sf, "embeddings"))
+    assert state.count() and sweep(spark) >= 1 and sweep(spark) == 0
+    assert not [f for f in set(os.listdir(shared_dir(spark))) - before if f.startswith("ball-")]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _held: dict = {}
+_written: set[str] = set()
 
 #: Class of the white space that the text contracts name, as a regular expression for Java and Python.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -32,7 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete whatever this session's operators have written to the shared folder and not deleted yet: what results are read from. Call it once they are
+    stored. The number of folders."""
+    gone = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return gone
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -45,10 +62,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def forget(*written: DataFrame) -> None:
     """Delete the files of materialised intermediates that nothing reads any more, and let Spark's cleaner delete the shuffle files of finished jobs."""
     for df in written:
-        jvm = df.sparkSession._jvm
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+            _written.difference_update([p for p in _written if p.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]])
     if written:
         written[0].sparkSession._jvm.System.gc()
 
