@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,9 +25,12 @@ def unpivot(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.select(group.alias("series"), F.col(spec.ts).alias("ts"), *keep, pairs).select("series", "ts", *keep, "p.metric", "p.value")
 
 
-def _ranks(percentiles, n: Column) -> Column:
+# The expressions below are texts: built piece by piece, they cost more time than the queries.
+
+
+def _ranks(percentiles) -> str:
     """The places in ascending order that percentiles of n values need."""
-    return F.array_sort(F.array_distinct(F.array(*[f(F.lit(p / 100) * (n - 1)).cast("long") for p in percentiles for f in (F.floor, F.ceil)])))
+    return f"array_sort(array_distinct(flatten(transform(array({', '.join(f'{p / 100!r}D' for p in percentiles)}), p -> array(cast(floor(p * (n - 1)) as bigint), cast(ceil(p * (n - 1)) as bigint))))))"
 
 
 def brackets(own: DataFrame, percentiles, size: int = SKETCH) -> DataFrame:
@@ -37,11 +38,11 @@ def brackets(own: DataFrame, percentiles, size: int = SKETCH) -> DataFrame:
     sums = own.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.kll_sketch_agg_double("_v", F.lit(size)).alias("_sketch"))
     # three times what a sketch of this size errs by in 99 of 100 cases
     slack, shares = 3 * 2.296 / size**0.9021, sorted(p / 100 for p in percentiles)
-    at = lambda shift: F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(min(1.0, max(0.0, x + shift))) for x in shares]))
-    found = sums.withColumns({"_los": at(-slack), "_his": at(slack), "_whole": F.col("n") * slack < 2})
+    at = lambda shift: f"kll_sketch_get_quantile_double(_sketch, array({', '.join(f'{min(1.0, max(0.0, x + shift))!r}D' for x in shares)}))"
+    found = sums.selectExpr("_g", "_min", "_max", f"{at(-slack)} as _los", f"{at(slack)} as _his", f"n * {slack!r}D < 2 as _whole")
     # where two rows are more than the slack, the bracket is the whole range
-    side = lambda name, all_, k: F.when(F.col("_whole"), F.col(all_)).otherwise(F.col(name)[k])
-    return found.select("_g", *[side("_los", "_min", k).alias(f"_lo{k}") for k in range(len(shares))], *[side("_his", "_max", k).alias(f"_hi{k}") for k in range(len(shares))])
+    side = lambda all_, name, as_: [f"if(_whole, {all_}, {name}[{k}]) as {as_}{k}" for k in range(len(shares))]
+    return found.selectExpr("_g", *side("_min", "_los", "_lo"), *side("_max", "_his", "_hi"))
 
 
 def _fixed(found: DataFrame) -> DataFrame:
@@ -68,21 +69,21 @@ def quantiles(df: DataFrame, value: str, by: tuple[str, ...], percentiles, size:
     met = own.join(_fixed(brackets(own, percentiles, size)), "_g")
     # brackets in ascending order: how many begin at or before a value tells its region; inside rows of a region come before the others
     places = range(len(percentiles))
-    region = reduce(operator.add, [(F.col("_v") >= F.col(f"_lo{k}")).cast("int") for k in places])
-    inside = reduce(operator.or_, [F.col("_v").between(F.col(f"_lo{k}"), F.col(f"_hi{k}")) for k in places])
-    cells = met.groupBy("_g", region.alias("region"), F.when(inside, F.col("_v")).alias("v")).agg(F.count(F.lit(1)).alias("t"))
+    region = " + ".join(f"cast(_v >= _lo{k} as int)" for k in places)
+    inside = " or ".join(f"_v between _lo{k} and _hi{k}" for k in places)
+    cells = met.selectExpr("_g", f"{region} as region", f"if({inside}, _v, null) as v").groupBy("_g", "region", "v").agg(F.count(F.lit(1)).alias("t"))
     totals = cells.groupBy("_g", "region").agg(F.sum("t").alias("total"))
     all_ = Window.partitionBy("_g")
     before = F.coalesce(F.sum("total").over(all_.orderBy("region").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select("_g", "region", before.alias("before"), F.sum("total").over(all_).alias("n"))
     upto = F.col("before") + F.sum("t").over(Window.partitionBy("_g", "region").orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
     placed = cells.join(starts, ["_g", "region"]).withColumn("upto", upto)
-    hits = placed.select("_g", "n", "v", F.explode(F.filter(_ranks(percentiles, F.col("n")), lambda r: F.col("v").isNotNull() & (r >= F.col("upto") - F.col("t")) & (r < F.col("upto")))).alias("r"))
+    hits = placed.selectExpr("_g", "n", "v", f"explode(filter({_ranks(percentiles)}, r -> v is not null and r >= upto - t and r < upto)) as r")
     found = hits.groupBy("_g").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m"))
-    at = lambda p: F.lit(p / 100) * (F.col("n") - 1)
-    value_at = lambda r: F.coalesce(F.try_element_at("m", r.cast("long")), F.raise_error(F.lit("a rank lies outside its bracket: run again")).cast("double"))
-    q = F.array(*[value_at(F.floor(at(p))) + (value_at(F.ceil(at(p))) - value_at(F.floor(at(p)))) * (at(p) - F.floor(at(p))) for p in percentiles])
-    return found.select(*[F.col("_g")[b].alias(b) for b in by], q.alias("q"))
+    value_at = lambda r: f"coalesce(try_element_at(m, cast({r} as bigint)), cast(raise_error('a rank lies outside its bracket: run again') as double))"
+    at = [f"{p / 100!r}D * (n - 1)" for p in percentiles]
+    q = ", ".join(f"{value_at(f'floor({x})')} + ({value_at(f'ceil({x})')} - {value_at(f'floor({x})')}) * ({x} - floor({x}))" for x in at)
+    return found.select(*[F.col("_g")[b].alias(b) for b in by], F.expr(f"array({q})").alias("q"))
 
 
 def basic(df: DataFrame, value: str, by: tuple[str, ...] = (), percentiles=StatConfig().percentiles) -> DataFrame:
