@@ -427,7 +427,8 @@ def _true_links(rows: DataFrame, percent: int, radius: int) -> DataFrame:
 
 
 def similar(rows: DataFrame, percent: int = PERCENT, shingle: int = STAGE_SHINGLE, radius: int = WIDE, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
-    """rows: row, text; written. (row, node): the first row with the same shingle set; and (node, component) of the nodes with links.
+    """rows: row, text; written. (row, node): the first row with the same shingle set (null, empty and wordless texts share the empty one); and (node, component) of
+    the nodes with links.
 
     Links are pairs of sets with a Jaccard similarity of percent / 100 at least, whose fingerprints differ in at most radius bits. Rows meet by the
     shingles of which similar sets share one; bit-sliced comparison links them by forests of pairs within the radius. The components of these hold every
@@ -458,7 +459,8 @@ def similar(rows: DataFrame, percent: int = PERCENT, shingle: int = STAGE_SHINGL
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = STAGE_SHINGLE, radius: int = WIDE) -> DataFrame:
     """One row of docs for each group of near copies, all columns unchanged: that of the smallest doc_id, nulls last.
 
-    A group is a component of the links of similar(). Extra columns may have any names.
+    A group is a component of the links of similar(). Null, empty and wordless texts have the same (empty) set and are one group; texts of fewer words than a shingle are
+    one shingle. Rows that repeat, ids included, are copies: one stays. An empty table gives an empty result. Extra columns may have any names.
     """
     quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     own = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*quoted).alias("doc"), F.col("text").cast("string").alias("text")), "near-rows")
