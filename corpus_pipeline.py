@@ -4,6 +4,10 @@ The simhash stage takes near copies: sets of five-word shingles with a Jaccard s
 fingerprints and checked on the complete sets. (The query op10 has a contract of its own: four words, four bits.)
 
 Each stage takes (spark, docs, sf_dir) and gets what the one before it wrote. All but the last return the columns of documents.
+
+Null texts: scored as empty by the first stage, one class with empty ones for exact copies, one group with empty and wordless ones for near copies, unchanged by
+the personal data's, no tokens but the closing id when packed. Null and repeated ids are rows like any other; of equal rows one stays. Texts of any length are
+taken whole. Other columns pass through, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
