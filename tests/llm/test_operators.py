@@ -769,6 +769,41 @@ def test_personal_data_of_awkward_form(spark):
     assert got[9] == texts[9]
 
 
+def test_pii_given_names_have_the_gender_of_their_honorific(spark):
+    texts = [
+        "Mrs. Priya Patel met Mr. Rohan Patel. Priya said Rohan left; Patel too.",
+        "Mr. Priya Patel",
+        "Dr. Rohan Weber, Rohan",
+        "Frau Carol Kim. Carol",
+        "Dr. Carol Kim",
+        "Госпожа Любовь Петрова, Господин Тимур Петров",
+        "Mrs. Anna-Maria Weber-Klein, Mrs. Maria Lopez Garcia, Mr. J. Smith, John Q. Smith, Mrs. Smith",
+        "Ms. Jean Luc and Mr. Jean Luc; Jean",
+        None,
+        "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {i: t for i, (t, _) in redacted(df).items()}
+    she, pat, he, pat2, she2, he2, pat3 = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mr\. (\w+) (\w+)\. (\w+) said (\w+) left; (\w+) too\.", got[0]).groups()
+    assert she == she2 and he == he2 and pat == pat2 == pat3 and she.endswith("a") and re.search("[nrsl]$", he)
+    other = re.fullmatch(r"Mr\. (\w+) (\w+)", got[1]).groups()
+    assert other[1] == pat and other[0] != she and re.search("[nrsl]$", other[0])
+    # the only gender of a word in all texts holds where its own text gives none
+    assert re.fullmatch(rf"Dr\. {he} \w+, {he}", got[2])
+    carol, kim, again = re.fullmatch(r"Frau (\w+) (\w+)\. (\w+)", got[3]).groups()
+    assert carol == again and carol.endswith("a") and got[4] == f"Dr. {carol} {kim}"
+    assert re.fullmatch(r"Госпожа [А-Я][а-я]+а [А-Я][а-я]+а, Господин [А-Я][а-я]+[нрвкл] [А-Я][а-я]+[нрвкл]", got[5])
+    assert not re.search("Anna|Weber|Klein|Maria|Lopez|Garcia|Smith|J\\.|John|Q\\.", got[6]) and re.search(r"^Mrs\. \w+-\w+ \w+-\w+, Mrs\. \w+ \w+ \w+, Mr\. [A-Z]\. (\w+), \w+ [A-Z]\. \1, Mrs\. \1$", got[6])
+    jeans = re.fullmatch(r"Ms\. (\w+) (\w+) and Mr\. (\w+) (\w+); (\w+)", got[7]).groups()
+    assert len({jeans[0], jeans[2], jeans[4]}) == 3 and jeans[1] == jeans[3]
+    assert got[8] is None and got[9] == ""
+
+
+def test_pii_warns_of_the_public_key(spark):
+    with pytest.warns(UserWarning, match=pii.KEY_SETTING):
+        assert pii.key_of(spark) == pii.TEST_KEY
+
+
 def test_ids_at_the_ends_of_bigint_and_repeated_ids(spark):
     rows = [(2**63 - 1, "a b"), (None, "a b"), (-(2**63), "c"), (2**63 - 1, "c"), (1, "a  b "), (1, "ab"), (2**63 - 1, "alone")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

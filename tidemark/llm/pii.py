@@ -6,20 +6,23 @@ Han letters). A name is found by an honorific or a known given name; each of its
 A mention is made of entities, in a form that its variants share: the words of a name without honorific, the digits of a number without separators and
 dialling prefix, an address in lower case. An entity's surrogate is derived from a keyed SHA-512, so that it is the same in every document and variant; it
 is put back in the format of each mention. It keeps kind and length: digits for digits, letters of the same case for letters, octets of as many digits, a valid
-check digit for a valid card. Known given names are permuted among those of the same gender and script; other words of names become made-up ones of the
-same script that end in a vowel a if the word does. All distinct entities of the corpus are then checked: where two have the same surrogate, or a surrogate is
+check digit for a valid card. Known given names are permuted among those of the same gender and script, initials among initials; other words of names become
+made-up ones of the same script. A given name that no list holds has the gender of the honorific before it (Mrs. Priya Patel, Mr. Priya Patel): feminine ones
+end in a vowel a, masculine ones in a consonant. Without an honorific it has the gender that its own text gives it elsewhere, else the one that all texts agree
+on, so that a person keeps one surrogate; where both genders occur it is a name of its own, which ends in a vowel a if the word does. All distinct entities of the corpus are then checked: where two have the same surrogate, or a surrogate is
 itself an entity of the corpus, all but the smallest get the next attempt's surrogate, until none collide; texts that hold such entities look the attempt up.
 
 The key is a secret of the caller: whoever has it can tell which surrogate an entity gets. A null text stays null; an empty one empty. Texts without
 mentions are unchanged. Repeated rows get the same text. doc_id isn't used, so it may be null or repeat. Other columns are passed on as they are, whatever
 their names. What is not found: names that come with neither honorific nor known given name, names in capitals, nicknames, phone numbers without any separator, and
-addresses of IP version 6. A made-up word follows the ending of the word it stands for, not the honorific before it. Words are found by form alone, so that a
-capitalised word behind a given name that is a common word as well (Grace Period) counts as a name.
+addresses of IP version 6. Chinese names have no gender of their own. Words are found by form alone, so that a capitalised word behind a given name that is a common
+word as well (Grace Period), or behind an initial (Grace B. Then), counts as a name. Without a key in the session's settings the query warns and uses a public one.
 """
 
 from __future__ import annotations
 
 import hmac
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +33,8 @@ from .common import forget, free_name, materialise
 KEY_SETTING, TEST_KEY = "spark.tidemark.pii.key", "not a secret"
 #: Attempts that keep length and format exactly.
 FREE = 8
-#: Texts with entities of a later attempt that are broadcast at most; more are joined by shuffling.
-BROADCAST_ROWS = 100_000
+#: Bytes of what texts look up (attempts and genders of their entities) that are broadcast at most; more is joined by shuffling.
+BROADCAST_BYTES = 8 << 20
 
 # Given names by gender and script, and syllables of made-up words.
 FEMALE = "Alice Amelia Anna Barbara Carmen Clara Diana Elena Elizabeth Emily Emma Eva Fatima Grace Hannah Helen Ines Irene Jane Jennifer Julia Karen Laura Lena Linda Lucia Maria Marta Mary Nina Nora Olivia Patricia Paula Rosa Ruth Sara Sarah Sofia Susan Vera".split()
@@ -41,6 +44,8 @@ MALE_CYRILLIC = "Алексей Андрей Борис Виктор Дмитр
 FEMALE_GREEK = "Αικατερίνη Ανδριάνα Βασιλική Ελένη Ευαγγελία Μαρία Σοφία".split()
 MALE_GREEK = "Αντώνης Γιώργος Δημήτρης Κώστας Νίκος Παναγιώτης Χρήστος".split()
 GIVEN = (FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC, FEMALE_GREEK, MALE_GREEK)
+INITIALS = [c + "." for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+LISTED = (*GIVEN, INITIALS)
 SYLLABLES = "ba be bo da de di fa fe go ka ke la le lo ma me mi na ne no pa pe ra re ro sa se ta te va".split()
 SYLLABLES_CYRILLIC = "ба бе бо ва ве да де до ка ке ла ле ло ма ме ми на не но па пе ра ре ро са се та те ти ру лу".split()
 SYLLABLES_GREEK = "βα βε δα δε κα κε κο λα λε λο μα με μι να νε νο πα πε ρα ρε ρο σα σε τα τε".split()
@@ -66,6 +71,9 @@ _two_surnames = _any_of("Carlos Carmen Elena Francisco Ines Jorge Jose Lucia Mar
 _honorific = _any_of(HONORIFIC_FEMALE + HONORIFIC_MALE + HONORIFIC_ANY)
 #: O'Neill, McDonald and the like included.
 _name_word = r"(?:\p{Lu}[\x27’])?\p{Lu}\p{Ll}{1,30}+(?:\p{Lu}\p{Ll}{1,30}+)?(?!\p{L})"
+#: Two words of a hyphenated name at most.
+_double = rf"{_name_word}(?:-{_name_word})?"
+_initials = r"(?:[A-Z]\. ){0,3}"
 _octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _keyword = r"(?:(?i:password|passwd|pwd|token|secret|api_key|apikey|access_key)[\x22']?\s{0,2}[=:]\s{0,2}[\x22']?|(?i:bearer) (?=[A-Za-z+/_.\-]{0,100}[0-9]))"
 PATTERNS = {
@@ -79,7 +87,8 @@ PATTERNS = {
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,5}\)[ .\-]?)?[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     # an honorific stays as it is
-    "name": rf"(?<!\p{{L}})(?:(?:{_honorific})\.? {_name_word}(?:[ \-]{_name_word})?|(?:{_two_surnames}) {_name_word} {_name_word}|(?:{_given}) {_name_word}(?:-{_name_word})?)",
+    "name": rf"(?<!\p{{L}})(?:(?:{_honorific})\.? {_initials}(?:(?:{_two_surnames}) {_double} {_double}|{_double}(?: {_initials}{_double})?)"
+    rf"|(?:{_two_surnames}) {_name_word} {_double}|(?:{_given}) {_initials}{_double})",
     "han": rf"[{SURNAMES_HAN}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐)",
 }
 # the first character tells which patterns can match there
@@ -130,13 +139,13 @@ def _pick(values: list[str], v: Column) -> Column:
     return F.split(F.lit(" ".join(values)), " ")[F.pmod(v, F.lit(len(values))).cast("int")]
 
 
-def _word(e: Column, h: Column, attempt: Column) -> Column:
-    """A made-up word of a name, in the same script, with the same kind of ending."""
+def _word(e: Column, h: Column, attempt: Column, kind: Column) -> Column:
+    """A made-up word of a name, in the same script, with the ending of its gender, else the same kind of ending."""
     places = F.sequence(F.lit(1), F.lit(3) + attempt)
 
     def made(values: list[str], ending: str, other: str) -> Column:
         body = F.array_join(F.transform(places, lambda i: _pick(values, _byte(h, i))), "")
-        return F.initcap(F.concat(body, F.when(e.rlike(f"[{ending}]$"), F.lit(ending[0])).otherwise(_pick(list(other), _byte(h, F.lit(0))))))
+        return F.initcap(F.concat(body, F.when((kind == "f:") | ((kind == "w:") & e.rlike(f"[{ending}]$")), F.lit(ending[0])).otherwise(_pick(list(other), _byte(h, F.lit(0))))))
 
     han = F.concat(_pick(list(SURNAMES_HAN), _byte(h, F.lit(0))), F.array_join(F.transform(F.sequence(F.lit(1), F.length(e) - 1 + F.when(attempt > FREE, attempt - FREE).otherwise(0)), lambda i: _pick(list(GIVEN_HAN), _byte(h, i))), ""))
     return F.when(e.rlike(r"\p{IsHan}"), han).when(e.rlike(r"\p{IsCyrillic}"), made(SYLLABLES_CYRILLIC, "ая", "нрвкл")).when(e.rlike(r"\p{IsGreek}"), made(SYLLABLES_GREEK, "αά", "νρσ")).otherwise(made(SYLLABLES, "aá", "nrsl"))
@@ -186,16 +195,19 @@ def _email(e: Column, h: Column) -> Column:
 
 
 def _lists(key: str) -> dict[str, str]:
-    """Each known given name with the one that stands for it: the next of its list in an order that the key gives."""
+    """Each known given name, and each initial, with the one that stands for it: the next of its list in an order that the key gives."""
     out = {}
-    for names in GIVEN:
+    for names in LISTED:
         order = sorted(names, key=lambda n: hmac.new(key.encode(), n.encode(), "sha512").digest())
         out |= dict(zip(order, order[1:] + order[:1]))
     return out
 
 
 _PREFIXES = {"email": "e:", "key": "k:", "ip": "a:", "ssn": "n:", "card": "c:", "iban": "i:", "phone": "p:", "secret": "s:", "name": "w:"}
-_KNOWN_UNITS = [_PREFIXES["name"] + n for names in GIVEN for n in names]
+_KNOWN_UNITS = [_PREFIXES["name"] + n for names in LISTED for n in names]
+#: Prefixes of given names by the honorific before them.
+_FEMININE, _MASCULINE = "f:", "m:"
+_GENDERS = (_FEMININE, _MASCULINE)
 
 
 def _split(mention: Column, body) -> Column:
@@ -217,6 +229,30 @@ def _words(rest: Column) -> Column:
     return F.split(rest, "[ -]")
 
 
+def _prefix(unit: Column) -> Column:
+    return F.substring(unit, 1, 2)
+
+
+def _form(unit: Column) -> Column:
+    return F.substring(unit, F.lit(3), F.length(unit))
+
+
+def _ungendered(unit: Column) -> Column:
+    return F.when(_prefix(unit).isin(*_GENDERS), F.concat(F.lit(_PREFIXES["name"]), _form(unit))).otherwise(unit)
+
+
+def _name_units(stays: Column, rest: Column) -> Column:
+    """The words of a name; the first of several is a given name, which has the gender of the honorific if no list knows it."""
+    honorific = lambda titles: stays.rlike(rf"^(?:{_any_of(titles)})\.? $")
+    plain = F.transform(_words(rest), lambda w: F.concat(F.lit(_PREFIXES["name"]), w))
+
+    def gendered(gender: Column) -> Column:
+        return F.transform(plain, lambda u, i: F.when((i == 0) & ~u.isin(_KNOWN_UNITS), F.concat(gender, _form(u))).otherwise(u))
+
+    several = rest.contains(" ")
+    return F.when(several & honorific(HONORIFIC_FEMALE), gendered(F.lit(_FEMININE))).when(several & honorific(HONORIFIC_MALE), gendered(F.lit(_MASCULINE))).otherwise(plain)
+
+
 def described(mention: Column) -> Column:
     """A mention as what stays (the keyword before a secret, an honorific), the rest, its kind, and its units: the words of a name, else the one entity, each
     as its kind's prefix and the form that variants share."""
@@ -225,12 +261,28 @@ def described(mention: Column) -> Column:
         bare = F.regexp_replace(rest, "[^0-9A-Za-z]", "")
         prefix = F.coalesce(*[F.when(kind == k, v) for k, v in _PREFIXES.items()])
         form = F.when(kind == "email", F.lower(rest)).when(kind.isin("ssn", "card", "iban"), bare).when(kind == "phone", F.regexp_replace(F.substring(rest, F.length(_dial(rest)) + 1, F.length(rest)), "[^0-9]", "")).otherwise(rest)
-        units = F.when(kind == "name", F.transform(_words(rest), lambda w: F.concat(F.lit(_PREFIXES["name"]), w))).otherwise(F.array(F.concat(prefix, form)))
+        units = F.when(kind == "name", _name_units(stays, rest)).otherwise(F.array(F.concat(prefix, form)))
         return F.struct(stays.alias("stays"), rest.alias("rest"), kind.alias("kind"), units.alias("units"))
 
     return _split(mention, of)
 
 
+def with_genders(found: Column) -> Column:
+    """Described mentions of one text, where a word that has one gender somewhere has it everywhere."""
+    given = F.array_distinct(F.filter(F.flatten(F.transform(found, lambda m: m["units"])), lambda u: _prefix(u).isin(*_GENDERS)))
+
+    def resolved(given: Column) -> Column:
+        def unit(u: Column) -> Column:
+            has = lambda gender: F.array_contains(given, F.concat(F.lit(gender), _form(u)))
+            named = lambda gender: F.concat(F.lit(gender), _form(u))
+            f, m = has(_FEMININE), has(_MASCULINE)
+            return F.when(_prefix(u) != _PREFIXES["name"], u).when(f & ~m, named(_FEMININE)).when(m & ~f, named(_MASCULINE)).otherwise(u)
+
+        return F.when(F.size(given) > 0, F.transform(found, lambda m: m.withField("units", F.transform(m["units"], unit)))).otherwise(found)
+
+    return _let(given, resolved)
+
+
 def entities(found: Column) -> Column:
     """The distinct entities of described mentions: all units but known given names, which have their own list."""
     return F.array_distinct(F.filter(F.flatten(F.transform(found, lambda m: m["units"])), lambda u: ~u.isin(_KNOWN_UNITS)))
@@ -249,7 +301,7 @@ def _made(e: Column, attempt: Column, kind: Column, h: Column) -> Column:
     keep = F.when(kind == "k:", 4).otherwise(0)
     letters = F.when((kind == "s:") & e.rlike("^[0-9a-f]+$"), 6).otherwise(26)
     return (
-        F.when(kind == "w:", _word(e, h, attempt))
+        F.when(kind.isin("w:", *_GENDERS), _word(e, h, attempt, kind))
         .when(kind == "e:", _email(e, h))
         .when(kind == "a:", _ip(e, h, attempt))
         .when(kind == "c:", _card(e, h))
@@ -261,7 +313,7 @@ def _made(e: Column, attempt: Column, kind: Column, h: Column) -> Column:
 def _longer(attempt: Column, kind: Column, h: Column, made: Column) -> Column:
     """A format that has no free values left (say, one-letter addresses) grows by a few characters."""
     more = F.substring(h, F.lit(1), attempt)
-    as_is = (attempt <= FREE) | (kind == "w:") | ((kind == "a:") & (attempt <= 4 * FREE))
+    as_is = (attempt <= FREE) | kind.isin("w:", *_GENDERS) | ((kind == "a:") & (attempt <= 4 * FREE))
     return F.when(as_is, made).when(kind == "e:", F.concat(more, made)).otherwise(F.concat(made, F.lit("-"), more))
 
 
@@ -272,10 +324,11 @@ def _put_back(rest: Column, made: Column) -> Column:
     return F.concat(F.array_join(places, ""), F.substring(made, used + 1, F.length(made)))
 
 
-def replacement(m: Column, attempt_of, key: str) -> Column:
-    """What stands for a described mention. attempt_of(entity): its attempt."""
+def replacement(m: Column, found_of, key: str) -> Column:
+    """What stands for a described mention. found_of(unit): the entity it is and that one's attempt, null for itself and the first."""
     listed = F.create_map(*[F.lit(x) for name, other in _lists(key).items() for x in (_PREFIXES["name"] + name, other)])
-    made = F.transform(m["units"], lambda u: F.coalesce(F.try_element_at(listed, u), surrogate(u, attempt_of(u), key)))
+    own = lambda u: _let(found_of(u), lambda hit: surrogate(F.coalesce(hit["entity"], u), F.coalesce(hit["attempt"], F.lit(0)), key))
+    made = F.transform(m["units"], lambda u: F.coalesce(F.try_element_at(listed, u), own(u)))
 
     def shown(all_: Column) -> Column:
         rest, kind, new = m["rest"], m["kind"], all_[0]
@@ -316,17 +369,30 @@ def with_mentions(docs: DataFrame, general: str, found: str, words: str, pattern
     describe = lambda p: F.transform(F.regexp_extract_all(text, p, F.lit(0)), described)
     own = docs.withColumn(general, general_pattern(text)).withColumn(found, describe(F.col(general))).withColumn(words, name_words(F.col(found)))
     own = own.withColumn(pattern, F.when(F.col(words) != "", F.concat(F.col(general), F.lit("|"), F.col(words))).otherwise(F.col(general)))
-    return own.withColumn(found, F.when(F.col(words) != "", describe(F.col(pattern))).otherwise(F.col(found))).drop(general, words)
+    return own.withColumn(found, with_genders(F.when(F.col(words) != "", describe(F.col(pattern))).otherwise(F.col(found)))).drop(general, words)
+
+
+def named_entities(seen: DataFrame) -> DataFrame:
+    """seen: unit, repeats included. (unit, entity): a word without gender is the given name that has the only gender of the word in all texts; all else is itself.
+    Rows with unit = entity hold each entity once."""
+    by_form = seen.groupBy(_ungendered(F.col("unit")).alias("form")).agg(*[F.max(_prefix(F.col("unit")) == g).alias(g[0]) for g in _GENDERS], F.max(~_prefix(F.col("unit")).isin(*_GENDERS)).alias("plain"))
+    word = _form(F.col("form"))
+    f, m = (F.concat(F.lit(g), word) for g in _GENDERS)
+    pair = lambda unit, entity: F.struct(unit.alias("unit"), entity.alias("entity"))
+    both = F.when(F.expr("f and not m"), f).when(F.expr("m and not f"), m).otherwise(F.col("form"))
+    pairs = F.array(F.when(F.col("plain"), pair(F.col("form"), both)), F.when(F.col("f"), pair(f, f)), F.when(F.col("m"), pair(m, m)))
+    return by_form.select(F.inline(F.array_compact(pairs)))
 
 
 def attempts(distinct: DataFrame, key: str) -> DataFrame:
     """distinct: entity. (entity, attempt) of the entities whose first surrogate collides; the final ones collide with nothing."""
     state = materialise(distinct.select("entity", F.lit(0).alias("attempt")), "pii-attempt")
     while True:
-        kind = F.substring("entity", 1, 2)
+        # a name collides with a name, whatever their genders
+        kind = _prefix(_ungendered(F.col("entity")))
         made = state.select("entity", "attempt", F.concat(kind, surrogate(F.col("entity"), F.col("attempt"), key)).alias("made"))
         made = materialise(made, "pii-made")
-        real = distinct.select(F.col("entity").alias("made"))
+        real = distinct.select(_ungendered(F.col("entity")).alias("made"))
         first = made.groupBy("made").agg(F.min(F.struct("attempt", "entity")).getField("entity").alias("owner"), F.count(F.lit(1)).alias("n"))
         twice = made.join(first.where("n > 1"), "made").where("entity <> owner").select("entity")
         taken = made.join(real, "made", "left_semi").select("entity").unionByName(made.where(F.col("made").isin(_KNOWN_UNITS)).select("entity"))
@@ -346,18 +412,22 @@ def replace_pii(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
     own = with_mentions(docs, general, found, words, pattern)
     # by a text's hash: where two texts share one, each only knows of entities of the other as well
     # (the outer form, since a filter before the plain one would look for all mentions a second time)
-    seen = own.select(F.xxhash64(text).alias("hash"), F.explode_outer(entities(F.col(found))).alias("entity")).where("entity is not null")
+    seen = own.select(F.xxhash64(text).alias("hash"), F.explode_outer(entities(F.col(found))).alias("unit")).where("unit is not null")
     seen = materialise(seen.distinct(), "pii-found")
-    again = materialise(attempts(seen.select("entity").distinct(), key), "pii-again")
+    named = materialise(named_entities(seen.select("unit")), "pii-named")
+    later = materialise(attempts(named.where("unit = entity").select("entity"), key), "pii-again")
+    again = materialise(named.join(later, "entity", "left").where("unit <> entity or attempt is not null").select("unit", "entity", "attempt"), "pii-other")
     if again.isEmpty():
-        own = own.withColumn(again_, F.lit(None).cast("map<string,int>"))
+        own = own.withColumn(again_, F.lit(None).cast("map<string,struct<entity:string,attempt:int>>"))
     else:
-        by_text = seen.join(again, "entity").groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias(again_)).withColumnRenamed("hash", hash_)
+        of_text = F.map_from_entries(F.collect_list(F.struct("unit", F.struct("entity", "attempt"))))
+        size = F.sum(F.octet_length("unit") + F.octet_length("entity") + 32) + 64
+        by_text = seen.join(again, "unit").groupBy("hash").agg(of_text.alias(again_), size.alias("bytes")).withColumnRenamed("hash", hash_)
         by_text = materialise(by_text, "pii-by-text")
-        if by_text.count() <= BROADCAST_ROWS:
-            by_text = F.broadcast(by_text)
-        own = own.withColumn(own_hash, F.xxhash64(text)).join(by_text, F.col(own_hash) == F.col(hash_), "left").drop(hash_, own_hash)
-    made = F.transform(found, lambda m: replacement(m, lambda e: F.coalesce(F.try_element_at(F.col(again_), e), F.lit(0)), key))
+        small = by_text.agg(F.sum("bytes")).first()[0] <= BROADCAST_BYTES
+        by_text = by_text.drop("bytes")
+        own = own.withColumn(own_hash, F.xxhash64(text)).join(F.broadcast(by_text) if small else by_text, F.col(own_hash) == F.col(hash_), "left").drop(hash_, own_hash)
+    made = F.transform(found, lambda m: replacement(m, lambda u: F.try_element_at(F.col(again_), u), key))
     between = F.split(text, F.col(pattern), -1)
     pieces = F.zip_with(between, F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     new = F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)
@@ -373,7 +443,10 @@ def redact_documents(docs: DataFrame, key: str) -> DataFrame:
 
 
 def key_of(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with a public key, so anyone can tell which entity has which", stacklevel=2)
+    return key or TEST_KEY
 
 
 def digest(done: tuple[DataFrame, str]) -> DataFrame:
