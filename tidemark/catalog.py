@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import calendar, requests, text
+from .functions import calendar, payloads, requests, text
 from .operators import baselines, chunks, evaluate, filters, parse, patterns, questions, resample, retrieve, sequence, stats
 from .plans import pipeline
 from .plans.windows import windows_of
@@ -856,6 +856,48 @@ def request_words(spark: SparkSession, sf: str) -> DataFrame:
     return requests.answers(table(spark, sf, "orders").select("o_orderkey", said.alias("said")), "said", schema).select("o_orderkey", "object", "errors")
 
 
+@query(f"""WITH {_HOLIDAY_SQL}, o AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderdate::DATE AS d FROM orders),
+  x AS (SELECT *, CASE k WHEN 0 THEN [d] WHEN 1 THEN [d, d + 1, d + 2, d + 3] WHEN 2 THEN [d, d + 1, d + 9] WHEN 4 THEN [d - 2, d] ELSE []::DATE[] END AS ds FROM o),
+  n AS (SELECT o_orderkey, count(*) FILTER (WHERE isodow(u) >= 6) AS nw, count(*) FILTER (WHERE u IN (SELECT d FROM hol)) AS nh FROM (SELECT o_orderkey, unnest(ds) AS u FROM x) GROUP BY 1)
+  SELECT o_orderkey, CASE k WHEN 0 THEN 'NSW1' ELSE '' END AS groups, CASE k WHEN 1 THEN 'TOTALDEMAND' ELSE '' END AS metrics, CASE k WHEN 0 THEN '09:05:00' WHEN 1 THEN '21:00:00' ELSE '' END AS times,
+    array_to_string(list_sort(list_distinct([year(u) for u in ds])), ',') AS years, array_to_string(list_sort(list_distinct([month(u) for u in ds])), ',') AS months, array_to_string(list_sort(list_distinct([day(u) for u in ds])), ',') AS days,
+    array_to_string([['MON', 'TUE', 'WED', 'THU', 'FRI', 'SAT', 'SUN'][i] for i in list_sort(list_distinct(list_concat([isodow(u) for u in ds], CASE k WHEN 0 THEN [1] ELSE [] END)))], ',') AS weekdays, array_to_string(ds, ',') AS dates,
+    k = 4 OR coalesce(nw, 0) > 0 AS weekends, coalesce(nw, 0) AS n_weekend, k = 4 OR coalesce(nh, 0) > 0 AS holidays, coalesce(nh, 0) AS n_holiday, CASE k WHEN 0 THEN 6 ELSE 0 END AS horizon_steps, CASE k WHEN 0 THEN 'hours' END AS horizon_units, CASE k WHEN 1 THEN 'short_term' END AS horizon_hint,
+    CASE k WHEN 1 THEN 'multivariate' END AS modality, CASE k WHEN 1 THEN 120 ELSE 0 END AS vague_tolerance, CASE k WHEN 4 THEN '30min' END AS freq, CASE k WHEN 1 THEN d::TIMESTAMP WHEN 2 THEN d + INTERVAL 5 HOUR WHEN 4 THEN d::TIMESTAMP END AS target_start,
+    CASE k WHEN 1 THEN d + 3 + INTERVAL 86399 SECOND WHEN 4 THEN d + INTERVAL 86399 SECOND END AS target_end FROM x LEFT JOIN n USING (o_orderkey)""")
+def payload_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects of five shapes around an order's date: single values for lists, numbers as texts, ends of ranges by several names, a repeated key."""
+    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate").cast("date")
+    day = lambda n: F.date_format(F.date_add(d, n), "yyyy-MM-dd")
+    said = [
+        F.format_string('Here: {"years": "%d", "months": [%d, "13"], "days": ["%d", 40], "times": "9:05", "weekdays": "monday", "regions": "Sydney", "horizon": {"steps": "6", "units": "Hours"}} as asked', F.year(d), F.month(d), F.dayofmonth(d)),
+        F.format_string('{"date_start": "%s", "date_end": "%s", "vague_label": "Late Evening", "modality": "Multivariate", "horizon": "short_term", "metrics": ["demand", "wind"]}', day(0), day(3)),
+        F.format_string('{"date_ranges": {"from": "%s", "to": "%s"}, "single_timestamps": ["%sT10:00", "never"], "start_time": "%sT05:00:00+10:00", "holidays": "no"}', day(0), day(1), day(9), day(0)),
+        F.format_string('{"date_end": "%s", "date_end": "%s"}', day(0), day(1)),
+        F.format_string('{"date_end": "%s", "timestamp_ranges": [{"start": "%sT23:00"}, 7], "freq": "half hour", "weekends": 1, "notes": "a Public Holiday"}', day(0), day(-2)),
+    ]
+    made = payloads.request_payloads(table(spark, sf, "orders").select("o_orderkey", F.coalesce(*[F.when(k == i, s) for i, s in enumerate(said)]).alias("said")), "said")
+    r = F.col("request")
+    lists = [F.array_join(r[c].cast("array<string>"), ",").alias(c) for c in ("groups", "metrics", "times", "years", "months", "days", "weekdays", "dates")]
+    plain = [r[c].alias(c) for c in ("weekends", "holidays", "horizon_units", "horizon_hint", "modality", "freq", "target_start", "target_end")]
+    plain += [F.coalesce(r[c], F.lit(0)).alias(c) for c in ("horizon_steps", "vague_tolerance")]
+    return made.select("o_orderkey", *lists, *plain, F.size(r["weekend_dates"]).cast("long").alias("n_weekend"), F.size(r["holiday_dates"]).cast("long").alias("n_holiday"))
+
+
+@query(_questions_sql() + " SELECT q AS question_id, ret_block, count(*) AS n_rows, round(max(ret_score), 9) AS best_score FROM found GROUP BY 1, 2")
+def payload_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions of question_table as objects, read and answered in one job."""
+    said = F.to_json(F.struct(F.col("groups").alias("regions"), F.struct(F.col("route").alias("hint")).alias("horizon")))
+    made = payloads.request_payloads(_asked(spark, sf).select("question_id", "anchor", said.alias("said")), "said")
+    e = questions.retrieve_all(table(spark, sf, "orders"), O, payloads.asked(made, "question_id", "anchor"))
+    return e.rows.groupBy("question_id", "ret_block").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.max("ret_score"), 9).alias("best_score"))
+
+
+@query(f"WITH {_HOLIDAY_SQL} SELECT o_orderkey, o_orderdate::DATE IN (SELECT d FROM hol) AS holiday FROM orders")
+def holiday_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", calendar.holiday_column(F.col("o_orderdate").cast("date")).alias("holiday"))
+
+
 @query("SELECT o_orderkey, date_trunc('day', o_orderdate - to_hours(CASE o_orderkey % 5 WHEN 0 THEN 72 WHEN 1 THEN 96 WHEN 2 THEN 168 WHEN 3 THEN 8760 ELSE 168 END)) AS lo, o_orderdate + INTERVAL 86399 SECOND AS hi FROM orders")
 def recent_spans(spark: SparkSession, sf: str) -> DataFrame:
     """The recent window of a question for each order, by its frequency."""

@@ -256,6 +256,20 @@ def is_holiday(d: date) -> bool:
     return d in {date(y, 1, 1), monday(date(y, 1, 1)), date(y, 1, 26), monday(date(y, 1, 26)), e - timedelta(days=2), e + timedelta(days=1), date(y, 4, 25), christmas, boxing, *shifted}
 
 
+def holiday_column(d: Column) -> Column:
+    """X11 as an expression: is_holiday of a date column."""
+    y, m, day, wd = F.year(d), F.month(d), F.dayofmonth(d), F.weekday(d)
+    by = lambda x, n: F.floor(x / n).cast("int")
+    a, b, c = y % 19, by(y, 100), y % 100
+    h = (19 * a + b - by(b, 4) - by(b - by(b + 8, 25) + 1, 3) + 15) % 30
+    k = (32 + 2 * (b % 4) + 2 * by(c, 4) - h - c % 4) % 7
+    n = h + k - 7 * by(a + 11 * h + 22 * k, 451) + 114
+    since = F.datediff(d, F.make_date(y, by(n, 31), n % 31 + 1))  # days after Easter Sunday
+    fixed = ((m == 1) & day.isin(1, 26)) | ((m == 4) & (day == 25)) | ((m == 12) & day.isin(25, 26))
+    shifted = ((m == 1) & (wd == 0) & day.isin(2, 3, 27, 28)) | ((m == 12) & (wd < 2) & day.isin(27, 28))
+    return fixed | shifted | since.isin(-2, 1)
+
+
 def enrich(f: Filters, holiday=is_holiday) -> Filters:
     """Calendar components, weekend and holiday flags of the concrete dates. holiday: date -> bool."""
     dates = concrete_dates(f)
