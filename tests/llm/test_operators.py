@@ -680,6 +680,34 @@ def test_near_copies_of_a_chain_and_of_a_crowd(spark, monkeypatch):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_unrelated_rows_that_meet_are_no_candidates(spark):
+    fps = np.random.default_rng(4).integers(-(1 << 63), (1 << 63) - 1, (1000, 3), dtype=np.int64)
+    fps[1] = fps[0] ^ 7
+    marks = spark.createDataFrame([(k, *map(int, f), 100) for k, f in enumerate(fps)], "node long, fp long, w1 long, w2 long, n int")
+    edges = simhash._met(marks.select(F.lit(5).cast("long").alias("key"), "node"), marks, 80, 20, 256).collect()
+    assert (0, 1) in {(r["a"], r["b"]) for r in edges}
+    assert len(edges) < 30  # by the first 64 bits alone: most of 1,000
+
+
+def test_shingles_in_slices_give_the_same_near_copies(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        own = [f"s{i}w{k}" for k in range(80)]
+        for copy in range(2):
+            own[int(rng.integers(0, 80))] = "other"
+            rows.append((2 * i + copy, " ".join(own)))
+    written = spark.createDataFrame(rows, "row long, text string")
+    want = [(2 * i, 2 * i + 1) for i in range(60)]
+    names = []
+    write = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(simhash, "SLICED", 0)
+    _, labels = simhash.similar(written)
+    assert sorted((r["component"], r["node"]) for r in labels.where("component <> node").collect()) == want
+    assert names.count("near-known") == simhash.SLICES
+
+
 def test_pipeline_keeps_no_near_copies(spark, sf):
     import corpus_pipeline
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +37,8 @@ CROWD = 16
 STAGE_SHINGLE, PERCENT, WIDE = 5, 80, 20
 #: Rows whose shingles are counted, and how often a common one occurs there. The sample decides the cost, never the result.
 SAMPLE, COMMON, MOST_COMMON = 4096, 4, 50_000
+#: Shingles by which rows meet beyond which they are shuffled in so many slices one after the other, so that the disk holds one slice.
+SLICED, SLICES = 4_000_000, 4
 #: Rows and shingles of a group of candidates beyond which it is cut into chunks, and words of the matrix of a group's shared shingles.
 GROUP, SHINGLES, MATRIX_WORDS = 2048, 4_000_000, 1 << 24
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
@@ -291,6 +294,24 @@ def _majority(hashes: np.ndarray) -> int:
     return int(bits.sum(dtype=np.uint64)) if len(bits) else 0
 
 
+def far(percent: int) -> int:
+    """In how many of 128 more bits of SimHash candidates may differ.
+
+    Of rows that meet, one unrelated pair in 550 is within WIDE by chance: enough to chain most of a large table together. Sets of the least similarity differ
+    in 128 * p of these bits, with p by their angle; 7 deviations are added. At 80 percent that is 48, and of unrelated pairs one in 330 is left.
+    """
+    p = np.arccos(2 * percent / (100 + percent)) / np.pi
+    return int(np.ceil(128 * p + 7 * np.sqrt(128 * p * (1 - p))))
+
+
+def _more(hashes: np.ndarray, n: int) -> int:
+    """The SimHash of a set of hashes by 64 other bits, for each n others."""
+    x = hashes.view(np.uint64) + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return _majority((x ^ (x >> np.uint64(31))).view(np.int64))
+
+
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     """rows: node, text, more. node, more, fp, own: the SimHash and the shingle set of each."""
     more = [f for f in rows.schema.fields if f.name not in ("node", "text")]
@@ -308,7 +329,7 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _sketches(rows: DataFrame, common: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """rows: row, text. row, fp, n (size of the shingle set), s1, s2 (digest of the set), prefix.
+    """rows: row, text. row, fp, w1, w2 (128 more bits of SimHash), n (size of the shingle set), s1, s2 (digest of the set), prefix.
 
     Of two sets of n shingles whose similarity is percent / 100 at least, both hold one of the first n - ceil(n * percent / 100) + 1, in any order that all
     texts share. Here common ones come last.
@@ -320,34 +341,43 @@ def _sketches(rows: DataFrame, common: np.ndarray, shingle: int, percent: int) -
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                fps, sizes, digests, prefixes = [], [], [], []
+                fps, sizes, digests, prefixes = ([], [], []), [], [], []
                 for t in part.column(1):
                     own = shingle_set(t.as_py(), shingle)
                     n = len(own)
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1) if len(common) else None
                     late = common[at] == own if len(common) else np.zeros(n, dtype=bool)
-                    fps.append(_majority(own))
+                    for k, words in enumerate(fps):
+                        words.append(_more(own, k) if k else _majority(own))
                     sizes.append(n)
                     digests.append(xxh3_128_digest(own.tobytes()))
                     prefixes.append(np.concatenate([own[~late], own[late]])[: n + (-n * percent // 100) + 1])
                 both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(prefixes, pa.list_(pa.int64()))], names=["row", "fp", "n", "s1", "s2", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.array(words, dtype=np.uint64).view(np.int64)) for words in fps], pa.array(sizes, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(prefixes, pa.list_(pa.int64()))], names=["row", "fp", "w1", "w2", "n", "s1", "s2", "prefix"])
+
+    return rows.mapInArrow(run, "row long, fp long, w1 long, w2 long, n int, s1 long, s2 long, prefix array<long>")
 
-    return rows.mapInArrow(run, "row long, fp long, n int, s1 long, s2 long, prefix array<long>")
 
+def _met(known: DataFrame, marks: DataFrame, percent: int, radius: int, cell: int) -> DataFrame:
+    """known: key, node; marks: node, fp, w1, w2, n. a, b: pairs that link the rows of each key as far as fingerprints and sizes allow the similarity; a
+    forest, never all pairs."""
 
-def _met(known: DataFrame, percent: int, radius: int, cell: int) -> DataFrame:
-    """known: key, node, fp, n. a, b: pairs that link the rows of each key as far as radius and sizes allow the similarity; a forest, never all pairs."""
+    most = far(percent)
 
     def work(cols: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        node, fp, n = cols[0], cols[1], cols[2].astype(np.int64)
-        x, y = linked(fp.view(np.uint64), groups, radius, lambda x, y: 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        node, fp, w1, w2, n = *cols[:4], cols[4].astype(np.int64)
+
+        def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            differ = sum(np.bitwise_count((w[x] ^ w[y]).view(np.uint64)).astype(np.int64) for w in (w1, w2))
+            return (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (differ <= most)
+
+        x, y = linked(fp.view(np.uint64), groups, radius, accept)
         return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_cell(batches, work)
 
-    cells = _cells(known, cell, "near-large").select("key", "i", "j", "node", "fp", "n")
+    cells = _cells(known, cell, "near-large").join(marks, "node").select("key", "i", "j", "node", "fp", "w1", "w2", "n")
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
@@ -431,8 +461,8 @@ def similar(rows: DataFrame, percent: int = PERCENT, shingle: int = STAGE_SHINGL
     the nodes with links.
 
     Links are pairs of sets with a Jaccard similarity of percent / 100 at least, whose fingerprints differ in at most radius bits. Rows meet by the
-    shingles of which similar sets share one; bit-sliced comparison links them by forests of pairs within the radius. The components of these hold every
-    link. Each row then goes to its component once, with its set, where bit-sliced comparison gives the pairs that are still apart
+    shingles of which similar sets share one; bit-sliced comparison links them by forests of pairs within the radius, and within far() of 128 more bits. The
+    components of these hold every link (7 deviations leave out none that counts: tests), and hardly any other pair. Each row then goes to its component once, with its set, where bit-sliced comparison gives the pairs that are still apart
     and the sets decide. No step gives a row for each pair of a group.
     """
     every = max(1, rows.count() // SAMPLE)
@@ -442,12 +472,20 @@ def similar(rows: DataFrame, percent: int = PERCENT, shingle: int = STAGE_SHINGL
     firsts = materialise(sketches.groupBy("s1", "s2").agg(F.min("row").alias("node")), "near-firsts")
     members = materialise(sketches.select("row", "s1", "s2").join(firsts, ["s1", "s2"]).select("row", "node"), "near-members")
     own = sketches.join(firsts.select(F.col("node").alias("row")), "row", "left_semi")
-    keys = own.select(F.explode("prefix").alias("key"), F.col("row").alias("node"), "fp", "n")
-    shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "near-shared")
-    known = materialise(keys.join(shared, "key", "left_semi"), "near-known")
-    forget(sketches, firsts, shared)
-    candidates = materialise(_met(known, percent, radius, cell), "near-candidates")
-    forget(known)
+    marks = materialise(own.select(F.col("row").alias("node"), "fp", "w1", "w2", "n"), "near-marks")
+    prefixes = materialise(own.select(F.col("row").alias("node"), "prefix"), "near-prefixes")
+    forget(sketches, firsts)
+    slices = 1 if (prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0) <= SLICED else SLICES
+    found = []
+    for k in range(slices):
+        keys = prefixes.select(F.explode("prefix").alias("key"), "node").where(F.pmod("key", F.lit(slices)) == k)
+        shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "near-shared")
+        known = materialise(keys.join(shared, "key", "left_semi"), "near-known")
+        forget(shared)
+        found.append(materialise(_met(known, marks, percent, radius, cell), "near-met"))
+        forget(known)
+    candidates = materialise(reduce(DataFrame.unionByName, found).distinct(), "near-candidates")
+    forget(prefixes, marks, *found)
     groups = connected_components(candidates)
     texts = rows.select(F.col("row").alias("node"), "text").join(groups, "node").select("node", "text", "component")
     sets = materialise(_sets(texts, shingle), "near-sets")
@@ -463,10 +501,11 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int =
     one shingle. Rows that repeat, ids included, are copies: one stays. An empty table gives an empty result. Extra columns may have any names.
     """
     quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-    own = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*quoted).alias("doc"), F.col("text").cast("string").alias("text")), "near-rows")
-    members, labels = similar(own.select("row", "text"), percent, shingle, radius)
+    own = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*quoted).alias("doc")), "near-rows")
+    text = F.col("doc.text").cast("string")
+    members, labels = similar(own.select("row", text.alias("text")), percent, shingle, radius)
     grouped = members.join(labels, "node", "left").select("row", F.coalesce("component", "node").alias("group"))
-    grouped = materialise(own.select("row", F.col("doc.doc_id").alias("doc_id"), F.xxhash64("text").alias("hash")).join(grouped, "row"), "near-grouped")
+    grouped = materialise(own.select("row", F.col("doc.doc_id").alias("doc_id"), F.xxhash64(text).alias("hash")).join(grouped, "row"), "near-grouped")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "row")).getField("row")
     keep = materialise(grouped.groupBy("group").agg(first.alias("row")).select("row"), "near-keep")
     return own.join(keep, "row", "left_semi").select("doc.*")
