@@ -492,3 +492,11 @@ def test_sequence_gradients():
 ])
 def test_times_nearest_to_values(said, want):
     assert [(v, at.hour) for _, v, at in parse.parse(said)] == want
+
+
+def test_sets_of_questions_share_files(spark, tmp_path):
+    sets = spark.range(0, 400, 1, 2).selectExpr("id AS part", "array(named_struct('id', string(null), 'text', concat('a\n', id)), named_struct('id', 'own', 'text', 'b')) AS queries")
+    readings.write_query_sets(sets, str(tmp_path / "sets"))
+    assert len(list((tmp_path / "sets").rglob("*.json"))) == 2
+    got = readings.read_queries(spark, str(tmp_path / "sets"), "part long, queries array<struct<id:string,text:string>>")
+    assert {(r["part"], r["id"], r["text"]) for r in got.collect()} == {x for k in range(400) for x in ((k, "q_0000", f"a\n{k}"), (k, "own", "b"))}

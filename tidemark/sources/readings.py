@@ -92,9 +92,15 @@ def profile(df: DataFrame, ts: str, group: str) -> DataFrame:
     return pairs.groupBy(F.col(group).alias("series")).agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col(ts).isNull(), F.col("n")).otherwise(0)).alias("null_times"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.sum(F.col("n") - 1).alias("duplicate_rows"))
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list, or files of {"queries": [...]}; ids are made up where they lack, by the place in their file."""
-    df = spark.read.option("multiLine", True).json(path)
+def write_query_sets(sets: DataFrame, path: str) -> None:
+    """Rows with queries, an array of questions, as JSON lines: many sets share a file, so that the number of files doesn't grow with that of the sets."""
+    sets.write.json(path)
+
+
+def read_queries(spark: SparkSession, path: str, sets: str | None = None) -> DataFrame:
+    """A JSON list, or files of {"queries": [...]}; ids are made up where they lack, by the place in their file. sets: the schema of a set, where each line is
+    one ({"queries": [...], more}); ids are then by the place in their set."""
+    df = spark.read.option("multiLine", True).json(path) if sets is None else spark.read.schema(sets).json(path)
     if "queries" in df.columns:
         df = df.select(*[c for c in df.columns if c != "queries"], F.posexplode("queries").alias("_at", "q")).select("*", "q.*").drop("q")
     else:
