@@ -500,3 +500,13 @@ def test_sets_of_questions_share_files(spark, tmp_path):
     assert len(list((tmp_path / "sets").rglob("*.json"))) == 2
     got = readings.read_queries(spark, str(tmp_path / "sets"), "part long, queries array<struct<id:string,text:string>>")
     assert {(r["part"], r["id"], r["text"]) for r in got.collect()} == {x for k in range(400) for x in ((k, "q_0000", f"a\n{k}"), (k, "own", "b"))}
+
+
+def test_a_request_that_repeats_is_parsed_once(spark):
+    from tidemark.functions import requests
+
+    requests._asked.cache_clear()
+    assert {requests._asked("load for Hobart the next 6 hours", False)[12] for _ in range(50)} == {6} and requests._asked.cache_info().misses == 1
+    df = spark.range(0, 600, 1, 2).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'price in Sydney on 2024-03-02' WHEN 1 THEN 'load' END AS text")
+    got = requests.request_columns(df).groupBy("text", "groups", "metrics", "date_start").count().collect()
+    assert {(r["text"], *r["groups"], *r["metrics"], r["date_start"], r["count"]) for r in got} == {("price in Sydney on 2024-03-02", "NSW1", "RRP", "2024-03-02", 200), ("load", "TOTALDEMAND", None, 200), (None, None, 200)}

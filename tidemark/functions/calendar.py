@@ -293,16 +293,21 @@ def date_table(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 _MONTHS = {m.lower(): k for k, m in enumerate("January February March April May June July August September October November December".split(), 1)}
 
+#: Vague times as whole words, longer ones first; aliases as whole words.
+_VAGUE = [(v, re.compile(rf"\b{v}\b")) for v in sorted(VAGUE_TIMES, key=len, reverse=True)]
+_ALIAS = {a: re.compile(rf"(?<![a-z]){re.escape(a)}(?![a-z])") for a in (*REGION_ALIASES, *METRIC_ALIASES)}
+_NAMED_DAY = re.compile(rf"({'|'.join(_MONTHS)}) (\d{{1,2}}),? (\d{{4}})")
+
 
 def parse_request(text: str, reference: datetime | None = None) -> Filters:
     """M9, M10 without a model: dates, times, regions, metrics and vague labels by rules."""
     low = text.lower()
     stamps = re.findall(r"\d{4}[-/]\d{2}[-/]\d{2}(?:[ t]\d{2}:\d{2}(?::\d{2})?)?", low)
-    for m in re.finditer(rf"({'|'.join(_MONTHS)}) (\d{{1,2}}),? (\d{{4}})", low):
+    for m in _NAMED_DAY.finditer(low):
         stamps.append(f"{m[3]}-{_MONTHS[m[1]]:02d}-{int(m[2]):02d}")
-    vague = next((v for v in sorted(VAGUE_TIMES, key=len, reverse=True) if re.search(rf"\b{v}\b", low)), None)
+    vague = next((v for v, whole in _VAGUE if v in low and whole.search(low)), None)
     horizon = re.search(r"next (\d+) (minute|hour|day|week|month)s?", low)
-    has = lambda a: re.search(rf"(?<![a-z]){re.escape(a)}(?![a-z])", low)
+    has = lambda a: a in low and _ALIAS[a].search(low)
     return enrich(filters_of({"date_start": stamps[0] if stamps else None, "date_end": stamps[-1] if len(stamps) > 1 else None, "times": re.findall(r"(?<![\d-])\d{1,2}:\d{2}(?::\d{2})?", low), "regions": [a for a in REGION_ALIASES if len(a) > 2 and has(a)], "metrics": [a for a in METRIC_ALIASES if has(a)], "vague_label": vague, "horizon": {"steps": int(horizon[1]), "units": horizon[2]} if horizon else None, "freq": next((w for w in ("hourly", "daily", "half hour", "half-hour") if w in low), None), "notes": text if any(h in low for h in HOLIDAY_HINTS) else None}))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,25 +14,35 @@ from . import calendar
 REQUEST = "groups array<string>, metrics array<string>, times array<string>, date_start string, date_end string, target_start timestamp_ntz, target_end timestamp_ntz, weekdays array<string>, weekends boolean, holidays boolean, freq string, vague_tolerance int, horizon_steps int, horizon_units string, dates array<date>"
 
 
-def request_columns(df: DataFrame, text: str = "text", compat: bool = False) -> DataFrame:
-    """Df with the columns of REQUEST. A null text asks for nothing."""
-    import pandas as pd
+@lru_cache(maxsize=1 << 14)
+def _asked(said: str | None, compat: bool) -> tuple:
+    """The values of REQUEST for a text. Workers keep those of the texts they met last."""
+    from ..plans.windows import target_window
+
+    f = calendar.parse_request(said or "")
+    start, end = target_window(f, compat)
+    return (list(f.groups), list(f.metrics), list(f.times), f.date_start, f.date_end, start, end, list(f.weekdays), f.weekends, f.holidays, f.freq, f.vague_tolerance_minutes, f.horizon_steps, f.horizon_units, calendar.concrete_dates(replace(f, years=(), months=(), days=())))
 
-    def one(said: str | None) -> dict:
-        from ..plans.windows import target_window
 
-        f = calendar.parse_request(said or "")
-        start, end = target_window(f, compat)
-        return {"groups": list(f.groups), "metrics": list(f.metrics), "times": list(f.times), "date_start": f.date_start, "date_end": f.date_end, "target_start": start, "target_end": end, "weekdays": list(f.weekdays), "weekends": f.weekends, "holidays": f.holidays, "freq": f.freq, "vague_tolerance": f.vague_tolerance_minutes, "horizon_steps": f.horizon_steps, "horizon_units": f.horizon_units, "dates": calendar.concrete_dates(replace(f, years=(), months=(), days=()))}
+def request_columns(df: DataFrame, text: str = "text", compat: bool = False) -> DataFrame:
+    """Df with the columns of REQUEST. A null text asks for nothing. A text is parsed once for all its rows of a batch."""
+    import pyarrow as pa
+
+    names = [c.split(" ")[0] for c in REQUEST.split(", ")]
+    simple = {"string": pa.string(), "timestamp_ntz": pa.timestamp("us"), "boolean": pa.bool_(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<date>": pa.list_(pa.date32())}
+    kinds = [simple[c.split(" ")[1]] for c in REQUEST.split(", ")]
+    own = df.drop(*names)
+    at = own.columns.index(text)
 
     def rows(batches):
-        for frame in batches:
-            made = pd.DataFrame([one(s) for s in frame[text]], columns=[c.split(" ")[0] for c in REQUEST.split(", ")])
-            yield pd.concat([frame.reset_index(drop=True), made], axis=1)
+        for b in batches:
+            coded = b.column(at).dictionary_encode()
+            made = [_asked(s, compat) for s in [*coded.dictionary.to_pylist(), None]]
+            which = coded.indices.fill_null(len(made) - 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, k).take(which) for c, k in zip(zip(*made), kinds)]], names=[*b.schema.names, *names])
 
-    own = df.drop(*[c.split(" ")[0] for c in REQUEST.split(", ")])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.mapInPandas(rows, f"{kept}, {REQUEST}")
+    return own.mapInArrow(rows, f"{kept}, {REQUEST}")
 
 
 def answers(df: DataFrame, text: str, schema: dict, keep: int = 200) -> DataFrame:
