@@ -510,3 +510,14 @@ def test_a_request_that_repeats_is_parsed_once(spark):
     df = spark.range(0, 600, 1, 2).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'price in Sydney on 2024-03-02' WHEN 1 THEN 'load' END AS text")
     got = requests.request_columns(df).groupBy("text", "groups", "metrics", "date_start").count().collect()
     assert {(r["text"], *r["groups"], *r["metrics"], r["date_start"], r["count"]) for r in got} == {("price in Sydney on 2024-03-02", "NSW1", "RRP", "2024-03-02", 200), ("load", "TOTALDEMAND", None, 200), (None, None, 200)}
+
+
+def test_blanks_before_a_value_cost_no_more_than_their_number(spark):
+    import time
+
+    began = time.process_time()
+    assert parse.values_in("demand" + " " * 20 + "1,000 MW;" + " " * 30_000 + "x ~ 7 MW") == [(26, "TOTALDEMAND", 1000.0), (30_039, "TOTALDEMAND", 7.0)]
+    assert time.process_time() - began < 1
+    rows = [(1, "At 2024-03-05 10:30 demand 1000 MW; on 5 Mar 2024, 2:00 PM a load of 2 GW."), (2, None), (3, "nothing")]
+    got = parse.parse_column(spark.createDataFrame(rows, "k int, answer string")).drop("answer").collect()
+    assert sorted(map(tuple, got)) == [(1, "TOTALDEMAND", 1000.0, datetime(2024, 3, 5, 10, 30)), (1, "TOTALDEMAND", 2000.0, datetime(2024, 3, 5, 14))]
